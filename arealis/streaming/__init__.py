@@ -1,0 +1 @@
+"""No streaming operator is in scope: every source is a finished batch file."""
