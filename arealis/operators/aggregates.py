@@ -260,30 +260,40 @@ def total_bounds(df: DataFrame, geom: str = "geom") -> DataFrame:
     )
 
 
-def dissolve(df: DataFrame, key: str, col: str, geom: str = "geom") -> DataFrame:
-    """Parts under one key as one multi-part shape, with the mean of a value.
+def dissolve(
+    df: DataFrame, key: str, col: str, geom: str = "geom", max_parts: int = 100_000
+) -> DataFrame:
+    """Parts under one key as a multi-part shape, with the mean of a value.
 
-    Shared edges stay, so the area is that of the parts.
+    Shared edges stay, so the area is that of the parts. A key with more than
+    ``max_parts`` shapes spreads over several rows, told apart by ``chunk``, as no
+    single row could hold them; the mean is that of the whole key in each.
     """
-    return df.groupBy(key).agg(
-        F.avg(col).alias(col),
-        F.flatten(F.collect_list(F.col(f"{geom}.parts"))).alias("_parts"),
-        F.min(f"{geom}.xmin").alias("_x0"),
-        F.min(f"{geom}.ymin").alias("_y0"),
-        F.max(f"{geom}.xmax").alias("_x1"),
-        F.max(f"{geom}.ymax").alias("_y1"),
-    ).select(
-        key,
-        col,
-        F.struct(
-            F.lit("MultiPolygon").alias("kind"),
-            F.col("_parts").alias("parts"),
-            F.col("_x0").alias("xmin"),
-            F.col("_y0").alias("ymin"),
-            F.col("_x1").alias("xmax"),
-            F.col("_y1").alias("ymax"),
-        ).alias(geom),
+    known = df.where(F.col(key).isNotNull())
+    per_key = known.groupBy(key).agg(F.avg(col).alias(col), F.count(F.lit(1)).alias("_n"))
+    # At most rows / max_parts keys can be this large, so they fit a broadcast.
+    large = per_key.where(F.col("_n") > max_parts).select(
+        key, F.ceil(F.col("_n") / max_parts).alias("_chunks")
+    )
+    shape = F.col(geom)
+    spread = F.pmod(F.xxhash64(shape["xmin"], shape["ymin"], shape["parts"]), F.col("_chunks"))
+    parts = (
+        known.select(key, geom)
+        .join(F.broadcast(large), key, "left")
+        .withColumn("chunk", F.coalesce(spread, F.lit(0)))
+        .groupBy(key, "chunk")
+        .agg(
+            F.flatten(F.collect_list(shape["parts"])).alias("parts"),
+            F.min(shape["xmin"]).alias("xmin"),
+            F.min(shape["ymin"]).alias("ymin"),
+            F.max(shape["xmax"]).alias("xmax"),
+            F.max(shape["ymax"]).alias("ymax"),
+        )
+    )
+    merged = F.struct(
+        F.lit("MultiPolygon").alias("kind"), "parts", "xmin", "ymin", "xmax", "ymax"
     )
+    return parts.join(per_key.select(key, col), key).select(key, "chunk", col, merged.alias(geom))
 
 
 def geometry_report(df: DataFrame, geom: str = "geom") -> DataFrame:
