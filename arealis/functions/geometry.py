@@ -3,13 +3,16 @@
 A geometry is ``struct<kind, parts, xmin, ymin, xmax, ymax>``. ``parts`` is an
 array of point lists: one list per ring, line or point set. Outer rings run
 counter-clockwise and holes clockwise, so signed sums over all rings need no
-nesting. Everything here is a Column expression and stays in the JVM.
+nesting.
+
+Functions take the SQL text of their operands, mostly a column name, and return a
+Column. The bodies are SQL too: one expression to parse instead of hundreds of calls
+into the JVM, and everything stays there at run time. Helpers whose name starts with
+an underscore return text, to be put together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,42 +32,82 @@ MIN_PIECE_AREA = 1e-6
 # strictly inside whatever the other edges say.
 _ON_EDGE = 1 << 20
 
+BBox = tuple[float, float, float, float]
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
 
+# --- text helpers ------------------------------------------------------------
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
+def _let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once and use it several times as ``name`` inside ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def point(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
+def _total(values: str) -> str:
+    return f"aggregate({values}, 0D, (acc, item) -> acc + item)"
 
-def rotate(ring: Column) -> Column:
+
+def _point(x: str, y: str) -> str:
+    return f"named_struct('x', {x}, 'y', {y})"
+
+
+def _rotate(ring: str) -> str:
     """The ring started one vertex later, which pairs each vertex with the next."""
-    return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-
-
-def geometry(kind: Column, parts: Column) -> Column:
-    """Assemble a geometry and its bounding box."""
-
-    def bounded(p: Column) -> Column:
-        flat = F.flatten(p)
-        xs = F.transform(flat, lambda q: q["x"])
-        ys = F.transform(flat, lambda q: q["y"])
-        return F.struct(
-            kind.alias("kind"),
-            p.alias("parts"),
-            F.array_min(xs).alias("xmin"),
-            F.array_min(ys).alias("ymin"),
-            F.array_max(xs).alias("xmax"),
-            F.array_max(ys).alias("ymax"),
-        )
+    return f"concat(slice({ring}, 2, greatest(size({ring}) - 1, 0)), slice({ring}, 1, 1))"
+
+
+def _steps(points: str, body: str) -> str:
+    """``body`` over consecutive points p and q, without closing the list."""
+    n = f"greatest(size({points}) - 1, 0)"
+    return f"zip_with(slice({points}, 1, {n}), slice({points}, 2, {n}), (p, q) -> {body})"
+
+
+def _number(value: float) -> str:
+    return f"CAST('{float(value)!r}' AS DOUBLE)"
+
+
+def _is(geom: str, kinds: tuple[str, ...]) -> str:
+    return f"{geom}.kind IN ({', '.join(repr(k) for k in kinds)})"
+
+
+def _geometry(kind: str, parts: str) -> str:
+    """Assemble a geometry and its bounding box; null parts give null."""
+    box = ", ".join(
+        f"'{axis}{end}', array_{end}(transform(flatten(ps), q -> q.{axis}))"
+        for end in ("min", "max")
+        for axis in ("x", "y")
+    )
+    made = f"named_struct('kind', {kind}, 'parts', ps, {box})"
+    return _let("ps", parts, f"CASE WHEN ps IS NOT NULL THEN {made} END")
+
+
+def _ring_twice_area(r: str) -> str:
+    """Twice the signed area, positive when counter-clockwise.
+
+    Vertices are taken relative to the first one, which keeps the digits at
+    projected coordinates in the millions.
+    """
+    x0, y0 = f"{r}[0].x", f"{r}[0].y"
+    cross = f"(p.x - {x0}) * (q.y - {y0}) - (q.x - {x0}) * (p.y - {y0})"
+    return _total(f"zip_with({r}, {_rotate(r)}, (p, q) -> {cross})")
+
+
+def _orient(rings: str) -> str:
+    """First ring counter-clockwise, all others clockwise."""
+    turned = f"if(({_ring_twice_area('r')} >= 0) = (i = 0), r, reverse(r))"
+    return f"transform({rings}, (r, i) -> {turned})"
+
+
+# --- building ----------------------------------------------------------------
+
 
-    return F.when(parts.isNotNull(), let(parts, bounded))
+def geometry(kind: str, parts: str) -> Column:
+    """Geometry from the SQL text of its kind and its parts."""
+    return F.expr(_geometry(kind, parts))
+
+
+def point(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
 def make_point(x: Column, y: Column) -> Column:
@@ -84,7 +127,8 @@ def make_point(x: Column, y: Column) -> Column:
 def make_box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Axis-aligned rectangle as an ordinary polygon."""
     x0, y0, x1, y1 = (c.cast("double") for c in (x0, y0, x1, y1))
-    ring = F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
+    start = point(x0, y0)
+    ring = F.array(start, point(x1, y0), point(x1, y1), point(x0, y1), start)
     return F.struct(
         F.lit("Polygon").alias("kind"),
         F.array(ring).alias("parts"),
@@ -95,500 +139,391 @@ def make_box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     )
 
 
-def bbox_polygon(bbox: tuple[float, float, float, float]) -> Column:
+def bbox_polygon(bbox: BBox) -> Column:
     """A fixed study rectangle ``(xmin, ymin, xmax, ymax)``."""
     return make_box(*(F.lit(float(v)) for v in bbox))
 
 
-def make_line(points: Column) -> Column:
-    return geometry(F.lit("LineString"), F.array(points))
+def make_line(points: str) -> Column:
+    return geometry("'LineString'", f"array({points})")
 
 
-def make_polygon(rings: Column) -> Column:
+def make_polygon(rings: str) -> Column:
     """Polygon from its rings; the first is the outer one, the rest are holes."""
-    return geometry(F.lit("Polygon"), orient_rings(rings))
+    return geometry("'Polygon'", _orient(rings))
 
 
-def ring_twice_area(ring: Column) -> Column:
-    """Twice the signed area, positive when counter-clockwise.
-
-    Vertices are taken relative to the first one, which keeps the digits at
-    projected coordinates in the millions.
-    """
-    origin = ring[0]
-    return total(
-        F.zip_with(
-            ring,
-            rotate(ring),
-            lambda p, q: (p["x"] - origin["x"]) * (q["y"] - origin["y"])
-            - (q["x"] - origin["x"]) * (p["y"] - origin["y"]),
+def centre_point(geom: str) -> Column:
+    """The centroid as a point geometry."""
+    return F.expr(
+        _let(
+            "c",
+            _centroid(geom),
+            "CASE WHEN c IS NOT NULL THEN named_struct('kind', 'Point', 'parts', array(array(c)),"
+            " 'xmin', c.x, 'ymin', c.y, 'xmax', c.x, 'ymax', c.y) END",
         )
     )
 
 
-def orient_rings(rings: Column) -> Column:
-    """First ring counter-clockwise, all others clockwise."""
-
-    def turn(ring: Column, i: Column) -> Column:
-        ccw = ring_twice_area(ring) >= 0
-        return F.when(ccw == (i == 0), ring).otherwise(F.reverse(ring))
-
-    return F.transform(rings, turn)
+def is_kind(geom: str, kinds: tuple[str, ...]) -> Column:
+    return F.expr(_is(geom, tuple(kinds)))
 
 
-def is_kind(geom: Column, kinds: tuple[str, ...]) -> Column:
-    return geom["kind"].isin(*kinds)
+# --- measures ----------------------------------------------------------------
 
 
-def area(geom: Column) -> Column:
+def area(geom: str) -> Column:
     """Polygon area; 0 for points and lines."""
-    polygon = total(F.transform(geom["parts"], ring_twice_area)) / 2
-    return F.when(is_kind(geom, POLYGON_KINDS), polygon).when(geom.isNotNull(), F.lit(0.0))
+    polygon = _total(f"transform({geom}.parts, r -> {_ring_twice_area('r')})")
+    return F.expr(
+        f"CASE WHEN {_is(geom, POLYGON_KINDS)} THEN {polygon} / 2"
+        f" WHEN {geom} IS NOT NULL THEN 0D END"
+    )
 
 
-def steps(points: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """Apply ``combine`` to each pair of consecutive points, without closing the list."""
-    n = F.greatest(F.size(points) - 1, F.lit(0))
-    return F.zip_with(F.slice(points, 1, n), F.slice(points, 2, n), combine)
+def length(geom: str) -> Column:
+    """Length of a line, perimeter of a polygon, 0 for points."""
+    one = _total(_steps("pts", "hypot(q.x - p.x, q.y - p.y)"))
+    return F.expr(_total(f"transform({geom}.parts, pts -> {one})"))
 
 
-def length(geom: Column) -> Column:
-    """Length of a line, perimeter of a polygon, 0 for points."""
-    return total(
-        F.transform(
-            geom["parts"],
-            lambda pts: total(steps(pts, lambda p, q: F.hypot(q["x"] - p["x"], q["y"] - p["y"]))),
-        )
-    )
+def _centroid(geom: str) -> str:
+    ox, oy = f"{geom}.parts[0][0].x", f"{geom}.parts[0][0].y"
 
+    def mean(items: str) -> str:
+        """Mean of (w, x, y) items, shifted back by the first vertex."""
+        summed = (
+            f"aggregate({items}, named_struct('w', 0D, 'x', 0D, 'y', 0D),"
+            " (a, i) -> named_struct('w', a.w + i.w, 'x', a.x + i.x, 'y', a.y + i.y))"
+        )
+        spot = _point(f"{ox} + m.x / m.w", f"{oy} + m.y / m.w")
+        return _let("m", summed, f"CASE WHEN m.w <> 0 THEN {spot} END")
 
-def _weighted_mean_point(weighted: Column, origin: Column) -> Column:
-    """Mean of ``struct(w, x, y)`` items, shifted back by ``origin``."""
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    summed = F.aggregate(
-        weighted,
-        zero,
-        lambda a, v: F.struct(
-            (a["w"] + v["w"]).alias("w"), (a["x"] + v["x"]).alias("x"), (a["y"] + v["y"]).alias("y")
-        ),
+    cross = f"((p.x - {ox}) * (q.y - {oy}) - (q.x - {ox}) * (p.y - {oy}))"
+    triangle = (
+        f"named_struct('w', {cross} * 3, 'x', {cross} * (p.x + q.x - 2 * {ox}),"
+        f" 'y', {cross} * (p.y + q.y - 2 * {oy}))"
+    )
+    span = "hypot(q.x - p.x, q.y - p.y)"
+    piece = (
+        f"named_struct('w', {span}, 'x', {span} * ((p.x + q.x) / 2 - {ox}),"
+        f" 'y', {span} * ((p.y + q.y) / 2 - {oy}))"
     )
-    return let(
-        summed,
-        lambda s: F.when(
-            s["w"] != 0, point(origin["x"] + s["x"] / s["w"], origin["y"] + s["y"] / s["w"])
-        ),
+    spot = f"named_struct('w', 1D, 'x', p.x - {ox}, 'y', p.y - {oy})"
+    triangles = f"flatten(transform({geom}.parts, r -> zip_with(r, {_rotate('r')}, (p, q) -> {triangle})))"
+    pieces = f"flatten(transform({geom}.parts, r -> {_steps('r', piece)}))"
+    spots = f"transform(flatten({geom}.parts), p -> {spot})"
+    return (
+        f"CASE WHEN {_is(geom, POLYGON_KINDS)} THEN {mean(triangles)}"
+        f" WHEN {_is(geom, LINE_KINDS)} THEN {mean(pieces)} ELSE {mean(spots)} END"
     )
 
 
-def centroid(geom: Column) -> Column:
+def centroid(geom: str) -> Column:
     """Area-weighted for polygons, length-weighted for lines, plain mean for points."""
-    parts = geom["parts"]
-    origin = parts[0][0]
+    return F.expr(_centroid(geom))
 
-    def polygon_item(p: Column, q: Column) -> Column:
-        cross = (p["x"] - origin["x"]) * (q["y"] - origin["y"]) - (q["x"] - origin["x"]) * (
-            p["y"] - origin["y"]
-        )
-        return F.struct(
-            (cross * 3).alias("w"),
-            (cross * (p["x"] + q["x"] - origin["x"] * 2)).alias("x"),
-            (cross * (p["y"] + q["y"] - origin["y"] * 2)).alias("y"),
-        )
 
-    def line_item(p: Column, q: Column) -> Column:
-        d = F.hypot(q["x"] - p["x"], q["y"] - p["y"])
-        return F.struct(
-            d.alias("w"),
-            (d * ((p["x"] + q["x"]) / 2 - origin["x"])).alias("x"),
-            (d * ((p["y"] + q["y"]) / 2 - origin["y"])).alias("y"),
-        )
+def map_points(geom: str, body: str) -> Column:
+    """Replace every vertex ``p`` by ``body`` and rebuild the box."""
+    return geometry(f"{geom}.kind", f"transform({geom}.parts, pts -> transform(pts, p -> {body}))")
 
-    def point_item(p: Column) -> Column:
-        return F.struct(
-            F.lit(1.0).alias("w"),
-            (p["x"] - origin["x"]).alias("x"),
-            (p["y"] - origin["y"]).alias("y"),
-        )
-
-    polygons = F.flatten(F.transform(parts, lambda r: F.zip_with(r, rotate(r), polygon_item)))
-    lines = F.flatten(F.transform(parts, lambda r: steps(r, line_item)))
-    points = F.transform(F.flatten(parts), point_item)
-    return (
-        F.when(is_kind(geom, POLYGON_KINDS), _weighted_mean_point(polygons, origin))
-        .when(is_kind(geom, LINE_KINDS), _weighted_mean_point(lines, origin))
-        .otherwise(_weighted_mean_point(points, origin))
-    )
 
+def translate(geom: str, dx: float, dy: float) -> Column:
+    return map_points(geom, _point(f"p.x + {_number(dx)}", f"p.y + {_number(dy)}"))
 
-def map_points(geom: Column, fn: Callable[[Column], Column]) -> Column:
-    """Apply a point-to-point function to every vertex and rebuild the box."""
-    return geometry(geom["kind"], F.transform(geom["parts"], lambda pts: F.transform(pts, fn)))
 
-
-def translate(geom: Column, dx: float, dy: float) -> Column:
-    return map_points(geom, lambda p: point(p["x"] + dx, p["y"] + dy))
+# --- edges and the closed forms used by the spatial joins --------------------
 
 
-# --- edges and the closed forms used by the spatial joins --------------------
+def _edges(geom: str) -> str:
+    forward = "(p.x < q.x OR (p.x = q.x AND p.y <= q.y))"
+    edge = (
+        "named_struct('xl', least(p.x, q.x), "
+        f"'yl', if({forward}, p.y, q.y), "
+        "'xr', greatest(p.x, q.x), "
+        f"'yr', if({forward}, q.y, p.y), "
+        "'s', CAST(signum(p.x - q.x) AS INT), "
+        "'v', if(p.x = q.x, CAST(signum(q.y - p.y) AS INT), 0))"
+    )
+    paired = f"flatten(transform({geom}.parts, r -> zip_with(r, {_rotate('r')}, (p, q) -> {edge})))"
+    # Closed rings repeat their first vertex, which pairs it with itself.
+    return f"filter({paired}, e -> e.s <> 0 OR e.v <> 0)"
 
 
-def edges(geom: Column) -> Column:
+def edges(geom: str) -> Column:
     """Polygon edges turned left to right: ``struct<xl, yl, xr, yr, s, v>``.
 
     ``s`` is +1 if the ring runs right to left along the edge (interior below),
     -1 if left to right, 0 if vertical. ``v`` is +1 for a vertical edge that
     runs upwards (interior to its left), -1 downwards, 0 otherwise.
     """
+    return F.expr(_edges(geom))
 
-    def edge(p: Column, q: Column) -> Column:
-        forward = (p["x"] < q["x"]) | ((p["x"] == q["x"]) & (p["y"] <= q["y"]))
-        return F.struct(
-            F.least(p["x"], q["x"]).alias("xl"),
-            F.when(forward, p["y"]).otherwise(q["y"]).alias("yl"),
-            F.greatest(p["x"], q["x"]).alias("xr"),
-            F.when(forward, q["y"]).otherwise(p["y"]).alias("yr"),
-            F.signum(p["x"] - q["x"]).cast("int").alias("s"),
-            F.when(p["x"] == q["x"], F.signum(q["y"] - p["y"]).cast("int")).otherwise(0).alias("v"),
-        )
 
-    paired = F.flatten(F.transform(geom["parts"], lambda r: F.zip_with(r, rotate(r), edge)))
-    # Closed rings repeat their first vertex, which pairs it with itself.
-    return F.filter(paired, lambda e: (e["s"] != 0) | (e["v"] != 0))
+def _segments(geom: str) -> str:
+    seg = "named_struct('x0', p.x, 'y0', p.y, 'x1', q.x, 'y1', q.y)"
+    alone = "transform(r, p -> named_struct('x0', p.x, 'y0', p.y, 'x1', p.x, 'y1', p.y))"
+    return (
+        f"flatten(transform({geom}.parts, r -> CASE"
+        f" WHEN {_is(geom, POINT_KINDS)} OR size(r) = 1 THEN {alone}"
+        f" WHEN {_is(geom, POLYGON_KINDS)} THEN zip_with(r, {_rotate('r')}, (p, q) -> {seg})"
+        f" ELSE {_steps('r', seg)} END))"
+    )
 
 
-def segments(geom: Column) -> Column:
+def segments(geom: str) -> Column:
     """Segments of any geometry: ``struct<x0, y0, x1, y1>``; a point is a segment to itself."""
+    return F.expr(_segments(geom))
 
-    def seg(p: Column, q: Column) -> Column:
-        return F.struct(
-            p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1")
-        )
 
-    return F.flatten(
-        F.transform(
-            geom["parts"],
-            lambda r: F.when(
-                is_kind(geom, POINT_KINDS) | (F.size(r) == 1), F.transform(r, lambda p: seg(p, p))
-            )
-            .when(is_kind(geom, POLYGON_KINDS), F.zip_with(r, rotate(r), seg))
-            .otherwise(steps(r, seg)),
-        )
+def _winding(edge_list: str, x: str, y: str) -> str:
+    # Both sides of "y < edge(x)", multiplied out so that no division rounds.
+    lhs, rhs = f"({y} - e.yl) * (e.xr - e.xl)", f"(e.yr - e.yl) * ({x} - e.xl)"
+    touching = (
+        f"{x} >= e.xl AND {x} <= e.xr AND {y} >= least(e.yl, e.yr)"
+        f" AND {y} <= greatest(e.yl, e.yr) AND {lhs} = {rhs}"
     )
+    step = (
+        f"CASE WHEN {touching} THEN {_ON_EDGE}"
+        f" WHEN {x} >= e.xl AND {x} < e.xr AND {lhs} < {rhs} THEN e.s ELSE 0 END"
+    )
+    return f"aggregate({edge_list}, 0, (n, e) -> n + {step})"
 
 
-def _edge_side(e: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    """Both sides of ``y < edge(x)``, multiplied out so that no division rounds."""
-    return (y - e["yl"]) * (e["xr"] - e["xl"]), (e["yr"] - e["yl"]) * (x - e["xl"])
-
-
-def winding(edge_list: Column, x: Column, y: Column) -> Column:
+def winding(edge_list: str, x: str, y: str) -> Column:
     """Winding number of (x, y), or a very large value when it lies on an edge."""
+    return F.expr(_winding(edge_list, x, y))
 
-    def one(acc: Column, e: Column) -> Column:
-        lhs, rhs = _edge_side(e, x, y)
-        touching = (
-            (x >= e["xl"])
-            & (x <= e["xr"])
-            & (y >= F.least(e["yl"], e["yr"]))
-            & (y <= F.greatest(e["yl"], e["yr"]))
-            & (lhs == rhs)
-        )
-        return acc + F.when(touching, F.lit(_ON_EDGE)).when(
-            (x >= e["xl"]) & (x < e["xr"]) & (lhs < rhs), e["s"]
-        ).otherwise(F.lit(0))
 
-    return F.aggregate(edge_list, F.lit(0), one)
+def _strictly_inside(edge_list: str, x: str, y: str) -> str:
+    return _let("w", _winding(edge_list, x, y), f"w <> 0 AND w < {_ON_EDGE // 2}")
 
 
-def strictly_inside(edge_list: Column, x: Column, y: Column) -> Column:
+def strictly_inside(edge_list: str, x: str, y: str) -> Column:
     """True inside, false outside and on the boundary."""
-    return let(winding(edge_list, x, y), lambda w: (w != 0) & (w < _ON_EDGE // 2))
+    return F.expr(_strictly_inside(edge_list, x, y))
 
 
-def overlap_terms(left: Column, right: Column, y0: Column, lo: Column, hi: Column) -> Column:
-    """One struct per pair of non-vertical edges sharing x-range within [lo, hi].
-
-    A polygon is the signed sum of the regions under its edges, so an
-    intersection is the signed sum, over edge pairs, of the region under both.
-    Heights are measured from ``y0``, the lower bound of the pair.
-    """
-
-    def height(e: Column, x: Column) -> Column:
-        return (e["yl"] - y0) + (e["yr"] - e["yl"]) / (e["xr"] - e["xl"]) * (x - e["xl"])
+def _height(e: str, x: str, y0: str) -> str:
+    return f"(({e}.yl - {y0}) + ({e}.yr - {e}.yl) / ({e}.xr - {e}.xl) * ({x} - {e}.xl))"
 
-    def near(e: Column, g: Column) -> Column:
-        return (
-            (e["s"] != 0)
-            & (F.least(e["xr"], g["xr"], hi) > F.greatest(e["xl"], g["xl"], lo))
-        )
 
-    def term(e: Column, g: Column) -> Column:
-        span = F.struct(
-            F.greatest(e["xl"], g["xl"], lo).alias("a"), F.least(e["xr"], g["xr"], hi).alias("b")
-        )
-        return let(
-            span,
-            lambda r: F.struct(
-                (r["b"] - r["a"]).alias("w"),
-                (e["s"] * g["s"]).alias("s"),
-                height(e, r["a"]).alias("fa"),
-                height(e, r["b"]).alias("fb"),
-                height(g, r["a"]).alias("ga"),
-                height(g, r["b"]).alias("gb"),
-            ),
-        )
+def area_under_both(w: str, s: str, fa: str, fb: str, ga: str, gb: str) -> str:
+    """Signed area under the lower of two lines over a width ``w``, as SQL text."""
+    da, db = f"({fa} - {ga})", f"({fb} - {gb})"
+    low_a, low_b = f"least({fa}, {ga})", f"least({fb}, {gb})"
+    t = f"({da} / ({da} - {db}))"
+    meet = f"({fa} + {t} * ({fb} - {fa}))"
+    crossed = f"(({low_a} + {meet}) * {t} + ({meet} + {low_b}) * (1 - {t}))"
+    return f"{s} * {w} * (CASE WHEN {da} * {db} < 0 THEN {crossed} ELSE {low_a} + {low_b} END) / 2"
 
-    usable = F.filter(right, lambda g: g["s"] != 0)
-    return F.flatten(
-        F.transform(
-            usable,
-            lambda g: F.transform(F.filter(left, lambda e: near(e, g)), lambda e: term(e, g)),
-        )
-    )
 
+def edge_pair(e: str, h: str, y0: str, lo: str, hi: str) -> dict[str, str]:
+    """What a pair of edges contributes, as SQL text by name.
 
-def area_under_both(w: Column, s: Column, fa: Column, fb: Column, ga: Column, gb: Column) -> Column:
-    """Signed area under the lower of two lines over a width ``w``."""
-    da, db = fa - ga, fb - gb
-    plain = (F.least(fa, ga) + F.least(fb, gb)) * w
-    t = da / F.when(da != db, da - db)
-    meet = fa + t * (fb - fa)
-    crossed = ((F.least(fa, ga) + meet) * t + (meet + F.least(fb, gb)) * (1 - t)) * w
-    return s * F.when(da * db < 0, crossed).otherwise(plain) / 2
+    A polygon is the signed sum of the regions under its edges, so an
+    intersection is the signed sum, over edge pairs, of the region under both.
+    Heights are measured from ``y0``, the lower bound of the pair of shapes, and x
+    is held to [lo, hi].
+    """
+    return {
+        "a": f"greatest({e}.xl, {h}.xl, {lo})",
+        "b": f"least({e}.xr, {h}.xr, {hi})",
+        "fa": _height(e, "{a}", y0),
+        "fb": _height(e, "{b}", y0),
+        "ga": _height(h, "{a}", y0),
+        "gb": _height(h, "{b}", y0),
+    }
 
 
-def overlap_area(left: Column, right: Column, y0: Column, lo: Column, hi: Column) -> Column:
+def overlap_area(left: str, right: str, y0: str, lo: str, hi: str) -> Column:
     """Area of the intersection of two polygons given by their edges."""
-    return total(
-        F.transform(
-            overlap_terms(left, right, y0, lo, hi),
-            lambda t: area_under_both(t["w"], t["s"], t["fa"], t["fb"], t["ga"], t["gb"]),
-        )
+    parts = edge_pair("e", "h", y0, lo, hi)
+    shared = f"least(e.xr, h.xr, {hi}) > greatest(e.xl, h.xl, {lo})"
+    heights = ", ".join(
+        f"'{n}', {parts[n].format(a='r.a', b='r.b')}" for n in ("fa", "fb", "ga", "gb")
+    )
+    term = _let(
+        "r",
+        f"named_struct('a', {parts['a']}, 'b', {parts['b']})",
+        f"named_struct('w', r.b - r.a, 's', e.s * h.s, {heights})",
     )
+    terms = (
+        f"flatten(transform(filter({right}, h -> h.s <> 0), h ->"
+        f" transform(filter({left}, e -> e.s <> 0 AND {shared}), e -> {term})))"
+    )
+    under = area_under_both("t.w", "t.s", "t.fa", "t.fb", "t.ga", "t.gb")
+    return F.expr(f"aggregate({terms}, 0D, (acc, t) -> acc + {under})")
 
 
-def _inside_share(e: Column, g: Column, lo: Column, hi: Column) -> Column:
+def _inside_share(lo: str, hi: str) -> str:
     """Signed share of segment ``g`` lying under edge ``e`` with x in [lo, hi)."""
-    dx, dy = g["x1"] - g["x0"], g["y1"] - g["y0"]
-    left, right = F.greatest(e["xl"], lo), F.least(e["xr"], hi)
-    safe_dx = F.when(dx != 0, dx)
-    ta = (left - g["x0"]) / safe_dx
-    tb = (right - g["x0"]) / safe_dx
-    zero, one = F.lit(0.0), F.lit(1.0)
-    vertical_in = (g["x0"] >= left) & (g["x0"] < right)
-    interval = F.when(
-        dx == 0,
-        F.struct(zero.alias("a"), F.when(vertical_in, one).otherwise(zero).alias("b")),
-    ).otherwise(
-        F.struct(
-            F.least(F.greatest(F.least(ta, tb), zero), one).alias("a"),
-            F.least(F.greatest(F.greatest(ta, tb), zero), one).alias("b"),
-        )
+    dx, dy = "(g.x1 - g.x0)", "(g.y1 - g.y0)"
+    left, right = f"greatest(e.xl, {lo})", f"least(e.xr, {hi})"
+    ta, tb = f"(({left} - g.x0) / {dx})", f"(({right} - g.x0) / {dx})"
+    interval = (
+        f"CASE WHEN {dx} = 0 THEN named_struct('a', 0D, 'b',"
+        f" if(g.x0 >= {left} AND g.x0 < {right}, 1D, 0D))"
+        f" ELSE named_struct('a', least(greatest(least({ta}, {tb}), 0D), 1D),"
+        f" 'b', least(greatest(greatest({ta}, {tb}), 0D), 1D)) END"
     )
 
-    def gap(t: Column) -> Column:
-        x = g["x0"] + t * dx
-        slope = (e["yr"] - e["yl"]) / (e["xr"] - e["xl"])
-        return e["yl"] + slope * (x - e["xl"]) - (g["y0"] + t * dy)
-
-    def share(r: Column) -> Column:
-        ends = F.struct(gap(r["a"]).alias("p"), gap(r["b"]).alias("q"))
-
-        def part(k: Column) -> Column:
-            p, q = k["p"], k["q"]
-            whole = r["b"] - r["a"]
-            crossing = F.greatest(p, q) / F.when(p != q, F.abs(p) + F.abs(q))
-            # Along the edge itself the segment counts as inside: an upper edge
-            # adds it, a lower edge must not take it away again.
-            along = (p == 0) & (q == 0)
-            return (
-                F.when(along, F.when(e["s"] > 0, whole).otherwise(zero))
-                .when((p >= 0) & (q >= 0), whole)
-                .when((p <= 0) & (q <= 0), zero)
-                .otherwise(whole * crossing)
-            )
-
-        return F.when(r["b"] > r["a"], let(ends, part)).otherwise(zero)
-
-    slanted = e["s"] * let(interval, share)
+    def gap(t: str) -> str:
+        x = f"(g.x0 + {t} * {dx})"
+        return f"({_height('e', x, '0D')} - (g.y0 + {t} * {dy}))"
+
+    # Along the edge itself the segment counts as inside: an upper edge adds it,
+    # a lower edge must not take it away again.
+    part = (
+        "CASE WHEN k.p = 0 AND k.q = 0 THEN if(e.s > 0, r.b - r.a, 0D)"
+        " WHEN k.p >= 0 AND k.q >= 0 THEN r.b - r.a"
+        " WHEN k.p <= 0 AND k.q <= 0 THEN 0D"
+        " ELSE (r.b - r.a) * greatest(k.p, k.q) / (abs(k.p) + abs(k.q)) END"
+    )
+    ends = f"named_struct('p', {gap('r.a')}, 'q', {gap('r.b')})"
+    share = f"CASE WHEN r.b > r.a THEN {_let('k', ends, part)} ELSE 0D END"
+    slanted = f"e.s * {_let('r', interval, share)}"
     # A vertical segment on a right-hand border is outside by the half-open
     # rule above, but a closed polygon holds it.
-    overlap = F.least(F.greatest(g["y0"], g["y1"]), e["yr"]) - F.greatest(
-        F.least(g["y0"], g["y1"]), e["yl"]
-    )
-    on_right = (dx == 0) & (e["v"] > 0) & (g["x0"] == e["xl"]) & (e["xl"] >= lo) & (e["xl"] < hi)
-    upright = F.when(on_right & (overlap > 0), overlap / F.abs(F.when(dy != 0, dy))).otherwise(zero)
-    return F.when(e["s"] != 0, slanted).otherwise(upright)
+    overlap = "(least(greatest(g.y0, g.y1), e.yr) - greatest(least(g.y0, g.y1), e.yl))"
+    on_right = f"{dx} = 0 AND {dy} <> 0 AND e.v > 0 AND g.x0 = e.xl AND e.xl >= {lo} AND e.xl < {hi}"
+    upright = f"CASE WHEN {on_right} AND {overlap} > 0 THEN {overlap} / abs({dy}) ELSE 0D END"
+    return f"CASE WHEN e.s <> 0 THEN {slanted} ELSE {upright} END"
 
 
-def overlap_length(edge_list: Column, segment_list: Column, lo: Column, hi: Column) -> Column:
+def overlap_length(edge_list: str, segment_list: str, lo: str, hi: str) -> Column:
     """Length of a line inside a closed polygon given by its edges."""
-
-    def near(e: Column, g: Column) -> Column:
-        return (
-            (e["xl"] <= F.greatest(g["x0"], g["x1"]))
-            & (e["xr"] >= F.least(g["x0"], g["x1"]))
-            & (F.greatest(e["yl"], e["yr"]) >= F.least(g["y0"], g["y1"]))
-        )
-
-    def one(g: Column) -> Column:
-        share = total(
-            F.transform(
-                F.filter(edge_list, lambda e: near(e, g)), lambda e: _inside_share(e, g, lo, hi)
-            )
-        )
-        return share * F.hypot(g["x1"] - g["x0"], g["y1"] - g["y0"])
-
-    return total(F.transform(segment_list, one))
+    near = (
+        "e.xl <= greatest(g.x0, g.x1) AND e.xr >= least(g.x0, g.x1)"
+        " AND greatest(e.yl, e.yr) >= least(g.y0, g.y1)"
+    )
+    share = _total(f"transform(filter({edge_list}, e -> {near}), e -> {_inside_share(lo, hi)})")
+    one = f"{share} * hypot(g.x1 - g.x0, g.y1 - g.y0)"
+    return F.expr(_total(f"transform({segment_list}, g -> {one})"))
 
 
-def point_segment_distance(x: Column, y: Column, g: Column) -> Column:
-    dx, dy = g["x1"] - g["x0"], g["y1"] - g["y0"]
-    squared = dx * dx + dy * dy
-    along = ((x - g["x0"]) * dx + (y - g["y0"]) * dy) / F.when(squared != 0, squared)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
-    return F.hypot(x - (g["x0"] + t * dx), y - (g["y0"] + t * dy))
+def point_segment_distance(x: str, y: str, g: str) -> Column:
+    dx, dy = f"({g}.x1 - {g}.x0)", f"({g}.y1 - {g}.y0)"
+    squared = f"({dx} * {dx} + {dy} * {dy})"
+    along = f"(({x} - {g}.x0) * {dx} + ({y} - {g}.y0) * {dy})"
+    t = f"CASE WHEN {squared} > 0 THEN greatest(0D, least(1D, {along} / {squared})) ELSE 0D END"
+    return F.expr(f"hypot({x} - ({g}.x0 + ({t}) * {dx}), {y} - ({g}.y0 + ({t}) * {dy}))")
 
 
 # --- shape checks, clipping, convex mask -------------------------------------
 
 
-def clip_ring(ring: Column, bbox: tuple[float, float, float, float]) -> Column:
-    """Cut a ring by the four sides of a rectangle in turn (Sutherland-Hodgman, 1974)."""
-    xmin, ymin, xmax, ymax = (float(v) for v in bbox)
-
-    def cut(r: Column, axis: str, bound: float, keep_above: bool) -> Column:
-        other = "y" if axis == "x" else "x"
-
-        def inside(p: Column) -> Column:
-            return p[axis] >= bound if keep_above else p[axis] <= bound
-
-        def crossing(p: Column, q: Column) -> Column:
-            t = (F.lit(bound) - p[axis]) / F.when(q[axis] != p[axis], q[axis] - p[axis])
-            at = p[other] + t * (q[other] - p[other])
-            return point(F.lit(bound), at) if axis == "x" else point(at, F.lit(bound))
-
-        def emit(p: Column, q: Column) -> Column:
-            none = F.array().cast(f"array<{POINT_TYPE}>")
-            kept = F.when(inside(p), F.array(p)).otherwise(none)
-            met = F.when(inside(p) != inside(q), F.array(crossing(p, q))).otherwise(none)
-            return F.concat(kept, met)
-
-        return F.flatten(F.zip_with(r, rotate(r), emit))
-
-    def one(r: Column) -> Column:
-        a = let(r, lambda v: cut(v, "x", xmin, True))
-        b = let(a, lambda v: cut(v, "x", xmax, False))
-        c = let(b, lambda v: cut(v, "y", ymin, True))
-        return let(c, lambda v: cut(v, "y", ymax, False))
-
-    return one(ring)
+def _cut(ring: str, axis: str, bound: float, keep_above: bool) -> str:
+    """The part of a ring on one side of a line (Sutherland and Hodgman 1974)."""
+    other = "y" if axis == "x" else "x"
+    edge = _number(bound)
+    side = ">=" if keep_above else "<="
+    t = f"(({edge} - p.{axis}) / (q.{axis} - p.{axis}))"
+    at = f"p.{other} + {t} * (q.{other} - p.{other})"
+    met = _point(edge, at) if axis == "x" else _point(at, edge)
+    p_in, q_in = f"p.{axis} {side} {edge}", f"q.{axis} {side} {edge}"
+    emit = (
+        f"CASE WHEN ({p_in}) AND ({q_in}) THEN array(p)"
+        f" WHEN {p_in} THEN array(p, {met})"
+        f" WHEN {q_in} THEN array({met})"
+        f" ELSE slice(array(p), 1, 0) END"
+    )
+    return f"flatten(zip_with({ring}, {_rotate(ring)}, (p, q) -> {emit}))"
 
 
-def clip_polygon(geom: Column, bbox: tuple[float, float, float, float]) -> Column:
+def clip_polygon(geom: str, bbox: BBox) -> Column:
     """Polygon cut to a rectangle; null when no area is left."""
-    rings = F.filter(
-        F.transform(geom["parts"], lambda r: clip_ring(r, bbox)),
-        lambda r: (F.size(r) >= 3) & (ring_twice_area(r) != 0),
-    )
-    closed = F.transform(rings, lambda r: F.concat(r, F.slice(r, 1, 1)))
-    cut = geometry(geom["kind"], closed)
-    return F.when(F.size(closed) > 0, cut)
+    xmin, ymin, xmax, ymax = bbox
+    ring = "r"
+    for axis, bound, above in (("x", xmin, True), ("x", xmax, False), ("y", ymin, True), ("y", ymax, False)):
+        ring = _let("c", ring, _cut("c", axis, bound, above))
+    rings = f"filter(transform({geom}.parts, r -> {ring}), r -> size(r) >= 3 AND {_ring_twice_area('r')} <> 0)"
+    closed = f"transform({rings}, r -> concat(r, slice(r, 1, 1)))"
+    made = f"CASE WHEN size(cs) > 0 THEN {_geometry(f'{geom}.kind', 'cs')} END"
+    return F.expr(_let("cs", closed, made))
 
 
-def segments_cross(a: Column, b: Column) -> Column:
-    """True when two segments properly cross (touching ends do not count)."""
+def _side(s: str, x: str, y: str) -> str:
+    return f"signum(({s}.x1 - {s}.x0) * ({y} - {s}.y0) - ({s}.y1 - {s}.y0) * ({x} - {s}.x0))"
 
-    def side(s: Column, x: Column, y: Column) -> Column:
-        return F.signum(
-            (s["x1"] - s["x0"]) * (y - s["y0"]) - (s["y1"] - s["y0"]) * (x - s["x0"])
-        )
 
-    return (side(a, b["x0"], b["y0"]) * side(a, b["x1"], b["y1"]) < 0) & (
-        side(b, a["x0"], a["y0"]) * side(b, a["x1"], a["y1"]) < 0
-    )
+def _sides(a: str, b: str) -> str:
+    return f"{_side(a, f'{b}.x0', f'{b}.y0')} * {_side(a, f'{b}.x1', f'{b}.y1')}"
 
 
-def segments_touch(a: Column, b: Column) -> Column:
-    """True when two segments share at least one point."""
+def _cross(a: str, b: str) -> str:
+    """Two segments properly cross; touching ends do not count."""
+    return f"({_sides(a, b)} < 0 AND {_sides(b, a)} < 0)"
 
-    def side(s: Column, x: Column, y: Column) -> Column:
-        return F.signum(
-            (s["x1"] - s["x0"]) * (y - s["y0"]) - (s["y1"] - s["y0"]) * (x - s["x0"])
-        )
 
-    def box_of(s: Column) -> list[Column]:
-        return [
-            F.least(s["x0"], s["x1"]),
-            F.least(s["y0"], s["y1"]),
-            F.greatest(s["x0"], s["x1"]),
-            F.greatest(s["y0"], s["y1"]),
-        ]
-
-    p, q = box_of(a), box_of(b)
-    boxes = (p[0] <= q[2]) & (q[0] <= p[2]) & (p[1] <= q[3]) & (q[1] <= p[3])
-    return (
-        boxes
-        & (side(a, b["x0"], b["y0"]) * side(a, b["x1"], b["y1"]) <= 0)
-        & (side(b, a["x0"], a["y0"]) * side(b, a["x1"], a["y1"]) <= 0)
+def _touch(a: str, b: str) -> str:
+    """Two segments share at least one point."""
+    boxes = " AND ".join(
+        f"least({p}.{c}0, {p}.{c}1) <= greatest({q}.{c}0, {q}.{c}1)"
+        for p, q in ((a, b), (b, a))
+        for c in "xy"
     )
+    return f"({boxes} AND {_sides(a, b)} <= 0 AND {_sides(b, a)} <= 0)"
 
 
-def intersects(geom: Column, mask: Column) -> Column:
+def intersects(geom: str, mask: str) -> Column:
     """True when two polygons share any point, a common border included."""
     boxes = (
-        (geom["xmin"] <= mask["xmax"])
-        & (mask["xmin"] <= geom["xmax"])
-        & (geom["ymin"] <= mask["ymax"])
-        & (mask["ymin"] <= geom["ymax"])
+        f"{geom}.xmin <= {mask}.xmax AND {mask}.xmin <= {geom}.xmax"
+        f" AND {geom}.ymin <= {mask}.ymax AND {mask}.ymin <= {geom}.ymax"
     )
-    borders = let(
-        segments(mask),
-        lambda ms: F.exists(segments(geom), lambda a: F.exists(ms, lambda b: segments_touch(a, b))),
+    borders = _let(
+        "ms",
+        _segments(mask),
+        f"exists({_segments(geom)}, a -> exists(ms, b -> {_touch('a', 'b')}))",
     )
-    first_geom, first_mask = geom["parts"][0][0], mask["parts"][0][0]
-    nested = strictly_inside(edges(mask), first_geom["x"], first_geom["y"]) | strictly_inside(
-        edges(geom), first_mask["x"], first_mask["y"]
+    nested = " OR ".join(
+        _strictly_inside(_edges(outer), f"{inner}.parts[0][0].x", f"{inner}.parts[0][0].y")
+        for outer, inner in ((mask, geom), (geom, mask))
     )
-    return boxes & (borders | nested)
+    return F.expr(f"({boxes}) AND ({borders} OR {nested})")
 
 
-def ring_is_open(ring: Column) -> Column:
-    return ring[0] != F.element_at(ring, -1)
+def _open(ring: str) -> str:
+    return f"{ring}[0] <> element_at({ring}, -1)"
 
 
-def ring_is_short(ring: Column) -> Column:
-    """Fewer than three distinct vertices."""
-    return F.size(F.array_distinct(ring)) < 3
+def _short(ring: str) -> str:
+    return f"size(array_distinct({ring})) < 3"
 
 
-def ring_crosses_itself(ring: Column) -> Column:
-    pairs = F.zip_with(
-        ring,
-        rotate(ring),
-        lambda p, q: F.struct(
-            p["x"].alias("x0"), p["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1")
-        ),
-    )
-    return let(pairs, lambda ss: F.exists(ss, lambda a: F.exists(ss, lambda b: segments_cross(a, b))))
+def _crosses_itself(ring: str) -> str:
+    seg = "named_struct('x0', p.x, 'y0', p.y, 'x1', q.x, 'y1', q.y)"
+    pairs = f"zip_with({ring}, {_rotate(ring)}, (p, q) -> {seg})"
+    return _let("ss", pairs, f"exists(ss, a -> exists(ss, b -> {_cross('a', 'b')}))")
 
 
-def drop_repeats(ring: Column) -> Column:
-    """Remove vertices equal to the one before."""
-    return F.filter(ring, lambda p, i: (i == 0) | (p != F.get(ring, i - 1)))
+def has_open_ring(geom: str) -> Column:
+    return F.expr(f"{_is(geom, POLYGON_KINDS)} AND exists({geom}.parts, r -> {_open('r')})")
 
 
-def repair_rings(geom: Column) -> Column:
-    """The repairs that cannot change the shape: close, drop repeats, orient."""
+def has_short_ring(geom: str) -> Column:
+    """A ring with fewer than three distinct vertices."""
+    return F.expr(f"{_is(geom, POLYGON_KINDS)} AND exists({geom}.parts, r -> {_short('r')})")
 
-    def close(ring: Column) -> Column:
-        return F.when(ring_is_open(ring), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
 
-    cleaned = F.transform(geom["parts"], lambda r: close(drop_repeats(r)))
-    one_part = geometry(geom["kind"], orient_rings(cleaned))
-    many = geometry(geom["kind"], cleaned)
-    return (
-        F.when(geom["kind"] == "Polygon", one_part)
-        .when(geom["kind"] == "MultiPolygon", many)
-        .otherwise(geom)
+def crosses_itself(geom: str) -> Column:
+    return F.expr(f"{_is(geom, POLYGON_KINDS)} AND exists({geom}.parts, r -> {_crosses_itself('r')})")
+
+
+def keep_simple_rings(geom: str, parts: str) -> Column:
+    """``geom`` with new ``parts``, except rings that would cross themselves."""
+    chosen = f"if({_is(geom, POLYGON_KINDS)} AND {_crosses_itself('new')}, old, new)"
+    return geometry(f"{geom}.kind", f"zip_with({geom}.parts, {parts}, (old, new) -> {chosen})")
+
+
+def repair_rings(geom: str) -> Column:
+    """The repairs that cannot change the shape: close, drop repeats, orient."""
+    plain = "filter(r, (p, i) -> i = 0 OR p <> get(r, i - 1))"
+    closed = f"transform(transform({geom}.parts, r -> {plain}), r -> if({_open('r')}, concat(r, slice(r, 1, 1)), r))"
+    return F.expr(
+        f"CASE WHEN {geom}.kind = 'Polygon' THEN {_geometry(f'{geom}.kind', _orient(closed))}"
+        f" WHEN {geom}.kind = 'MultiPolygon' THEN {_geometry(f'{geom}.kind', closed)}"
+        f" ELSE {geom} END"
     )

@@ -57,66 +57,72 @@ _DELTA = (
 )
 
 
-def _series(start: Column, terms: list[Column], sign: int) -> Column:
-    out = start
-    for term in terms:
-        out = out + term * sign
-    return out
+def _sum(start: str, terms: list[str], sign: str) -> str:
+    return f"({start} {sign} " + f" {sign} ".join(terms) + ")"
+
+
+def _forward(lon: str, lat: str, grid: Grid) -> str:
+    n = g._number
+    phi, lam = f"radians({lat})", f"radians({lon} - {n(grid.central_meridian)})"
+    t = f"sinh(atanh(sin({phi})) - atanh(sin({phi}) * {n(_ECC)}) * {n(_ECC)})"
+    angles = g._let(
+        "k",
+        f"named_struct('t', {t}, 'l', {lam})",
+        "named_struct('xi', atan2(k.t, cos(k.l)), 'eta', atanh(sin(k.l) / sqrt(k.t * k.t + 1)))",
+    )
+    ks = [(2 * (j + 1), a) for j, a in enumerate(_ALPHA)]
+    east = _sum("c.eta", [f"cos(c.xi * {k}) * sinh(c.eta * {k}) * {n(a)}" for k, a in ks], "+")
+    north = _sum("c.xi", [f"sin(c.xi * {k}) * cosh(c.eta * {k}) * {n(a)}" for k, a in ks], "+")
+    radius = n(grid.scale * _RADIUS)
+    spot = g._point(f"{east} * {radius} + {n(grid.easting)}", f"{north} * {radius} + {n(grid.northing)}")
+    return g._let("c", angles, spot)
+
+
+def _inverse(x: str, y: str, grid: Grid) -> str:
+    n = g._number
+    radius = n(grid.scale * _RADIUS)
+    scaled = (
+        f"named_struct('xi', ({y} - {n(grid.northing)}) / {radius},"
+        f" 'eta', ({x} - {n(grid.easting)}) / {radius})"
+    )
+    ks = [(2 * (j + 1), v) for j, v in enumerate(_BETA)]
+    xi = _sum("c.xi", [f"sin(c.xi * {k}) * cosh(c.eta * {k}) * {n(v)}" for k, v in ks], "-")
+    eta = _sum("c.eta", [f"cos(c.xi * {k}) * sinh(c.eta * {k}) * {n(v)}" for k, v in ks], "-")
+    undone = g._let("c", scaled, f"named_struct('xi', {xi}, 'eta', {eta})")
+    lon = f"degrees(atan2(sinh(u.eta), cos(u.xi))) + {n(grid.central_meridian)}"
+    chi = "asin(sin(u.xi) / cosh(u.eta))"
+    lat = g._let(
+        "v",
+        chi,
+        "degrees(" + _sum("v", [f"sin(v * {2 * (j + 1)}) * {n(d)}" for j, d in enumerate(_DELTA)], "+") + ")",
+    )
+    return g._let("u", undone, g._point(lon, lat))
+
+
+def forward(lon: str, lat: str, grid: Grid = ZONE_55) -> Column:
+    """Degrees to a grid point in metres."""
+    return F.expr(_forward(lon, lat, grid))
 
 
-def forward(lon: Column, lat: Column, grid: Grid = ZONE_55) -> Column:
-    """Degrees to a grid point in metres."""
-    phi = F.radians(lat)
-    lam = F.radians(lon - grid.central_meridian)
-    t = F.sinh(F.atanh(F.sin(phi)) - F.atanh(F.sin(phi) * _ECC) * _ECC)
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
-
-    def place(c: Column) -> Column:
-        x, e = c["xi"], c["eta"]
-        ks = [(2 * (j + 1), a) for j, a in enumerate(_ALPHA)]
-        east = _series(e, [F.cos(x * k) * F.sinh(e * k) * a for k, a in ks], 1)
-        north = _series(x, [F.sin(x * k) * F.cosh(e * k) * a for k, a in ks], 1)
-        return g.point(
-            east * (grid.scale * _RADIUS) + grid.easting,
-            north * (grid.scale * _RADIUS) + grid.northing,
-        )
-
-    return g.let(F.struct(xi.alias("xi"), eta.alias("eta")), place)
-
-
-def inverse(x: Column, y: Column, grid: Grid = ZONE_55) -> Column:
+def forward_point(lon: str, lat: str, grid: Grid = ZONE_55) -> Column:
+    """Degrees to a point geometry in metres."""
+    made = (
+        "CASE WHEN m.x IS NOT NULL AND m.y IS NOT NULL THEN named_struct('kind', 'Point',"
+        " 'parts', array(array(m)), 'xmin', m.x, 'ymin', m.y, 'xmax', m.x, 'ymax', m.y) END"
+    )
+    return F.expr(g._let("m", _forward(lon, lat, grid), made))
+
+
+def inverse(x: str, y: str, grid: Grid = ZONE_55) -> Column:
     """Grid metres back to a degrees point (x = longitude, y = latitude)."""
-    xi = (y - grid.northing) / (grid.scale * _RADIUS)
-    eta = (x - grid.easting) / (grid.scale * _RADIUS)
-
-    def undo(c: Column) -> Column:
-        a, b = c["xi"], c["eta"]
-        ks = [(2 * (j + 1), v) for j, v in enumerate(_BETA)]
-        return F.struct(
-            _series(a, [F.sin(a * k) * F.cosh(b * k) * v for k, v in ks], -1).alias("xi"),
-            _series(b, [F.cos(a * k) * F.sinh(b * k) * v for k, v in ks], -1).alias("eta"),
-        )
-
-    def place(c: Column) -> Column:
-        chi = F.asin(F.sin(c["xi"]) / F.cosh(c["eta"]))
-        lon = F.degrees(F.atan2(F.sinh(c["eta"]), F.cos(c["xi"]))) + grid.central_meridian
-        lat = g.let(
-            chi,
-            lambda v: F.degrees(
-                _series(v, [F.sin(v * 2 * (j + 1)) * d for j, d in enumerate(_DELTA)], 1)
-            ),
-        )
-        return g.point(lon, lat)
-
-    return g.let(g.let(F.struct(xi.alias("xi"), eta.alias("eta")), undo), place)
-
-
-def project(geom: Column, grid: Grid = ZONE_55) -> Column:
+    return F.expr(_inverse(x, y, grid))
+
+
+def project(geom: str, grid: Grid = ZONE_55) -> Column:
     """Every vertex from degrees to metres."""
-    return g.map_points(geom, lambda p: forward(p["x"], p["y"], grid))
+    return g.map_points(geom, _forward("p.x", "p.y", grid))
 
 
-def unproject(geom: Column, grid: Grid = ZONE_55) -> Column:
+def unproject(geom: str, grid: Grid = ZONE_55) -> Column:
     """Every vertex from metres to degrees."""
-    return g.map_points(geom, lambda p: inverse(p["x"], p["y"], grid))
+    return g.map_points(geom, _inverse("p.x", "p.y", grid))

@@ -35,7 +35,7 @@ def weighted_mean(value: Column, weight: Column, null_policy: str = "zero") -> C
 
 def area_weighted_mean(
     source: DataFrame,
-    areas: DataFrame,
+    areas: gridjoin.Areas,
     cols: Sequence[str],
     key: str,
     id_cols: Sequence[str],
@@ -298,18 +298,15 @@ def dissolve(
 
 def geometry_report(df: DataFrame, geom: str = "geom") -> DataFrame:
     """Shapes per kind, with counts of the faults a repair can and cannot mend."""
-    parts = F.col(f"{geom}.parts")
-    polygon = g.is_kind(F.col(geom), g.POLYGON_KINDS)
     marked = df.where(F.col(geom).isNotNull()).select(
         F.col(f"{geom}.kind").alias("kind"),
-        (polygon & F.exists(parts, g.ring_is_open)).alias("open"),
-        (polygon & F.exists(parts, g.ring_is_short)).alias("short"),
-        (polygon & F.exists(parts, g.ring_crosses_itself)).alias("crossed"),
+        g.has_open_ring(geom).alias("open"),
+        g.has_short_ring(geom).alias("short"),
+        g.crosses_itself(geom).alias("crossed"),
     )
-    broken = F.col("open") | F.col("short") | F.col("crossed")
     return marked.groupBy("kind").agg(
         F.count(F.lit(1)).alias("shapes"),
-        F.count_if(~broken).alias("valid"),
+        F.expr("count_if(NOT (open OR short OR crossed)) AS valid"),
         F.count_if(F.col("open")).alias("open_rings"),
         F.count_if(F.col("short")).alias("short_rings"),
         F.count_if(F.col("crossed")).alias("self_crossing"),
@@ -318,8 +315,6 @@ def geometry_report(df: DataFrame, geom: str = "geom") -> DataFrame:
 
 def repair(df: DataFrame, geom: str = "geom") -> DataFrame:
     """Safe repairs, and a ``quarantined`` flag on shapes they cannot mend."""
-    mended = df.withColumn(geom, g.repair_rings(F.col(geom)))
-    parts = F.col(f"{geom}.parts")
-    bad = F.exists(parts, g.ring_is_short) | F.exists(parts, g.ring_crosses_itself)
-    polygon = g.is_kind(F.col(geom), g.POLYGON_KINDS)
-    return mended.withColumn("quarantined", F.coalesce(polygon & bad, F.lit(False)))
+    mended = df.withColumn(geom, g.repair_rings(geom))
+    bad = g.has_short_ring(geom) | g.crosses_itself(geom)
+    return mended.withColumn("quarantined", F.coalesce(bad, F.lit(False)))

@@ -14,9 +14,10 @@ the join shuffles, with crowded cells salted over several tasks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.functions import geometry as g
@@ -52,60 +53,42 @@ class AreaStats:
     max_edges: int
     levels: tuple[int, ...]
     box: tuple[float, float, float, float]
+    split: bool = False
 
     @property
     def mean_edges(self) -> float:
         return self.edges / self.rows if self.rows else 0.0
 
 
-def level_of(step: int, shape: str = "") -> Column:
+def _level(step: int, shape: str) -> str:
     """Grid level of a box: the exponent of the smallest cell not below its side."""
-    side = F.greatest(
-        F.col(f"{shape}xmax") - F.col(f"{shape}xmin"),
-        F.col(f"{shape}ymax") - F.col(f"{shape}ymin"),
-        F.lit(1e-3),
-    )
-    return (F.ceil(F.log2(side) / step) * step).cast("int")
+    side = f"greatest({shape}xmax - {shape}xmin, {shape}ymax - {shape}ymin, 0.001D)"
+    return f"CAST(ceil(log2({side}) / {step}) * {step} AS INT)"
 
 
-def _cell(value: Column, level: Column) -> Column:
-    return F.floor(value / F.pow(F.lit(2.0), level)).cast("long")
+def _cell(value: str) -> str:
+    return f"CAST(floor(({value}) / pow(2D, _lvl)) AS BIGINT)"
 
 
-def _explode_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+def _explode_cells(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
     """One row per cell of the box at column ``_lvl``."""
-    level = F.col("_lvl")
-    return df.withColumn("_cx", F.explode(F.sequence(_cell(x0, level), _cell(x1, level)))).withColumn(
-        "_cy", F.explode(F.sequence(_cell(y0, level), _cell(y1, level)))
-    )
+    return df.select(
+        "*", F.expr(f"explode(sequence({_cell(x0)}, {_cell(x1)}))").alias("_cx")
+    ).select("*", F.expr(f"explode(sequence({_cell(y0)}, {_cell(y1)}))").alias("_cy"))
 
 
-def _area_rows(areas: DataFrame, key: str, geom: str, boxes_only: bool) -> DataFrame:
-    polygons = areas.where(g.is_kind(F.col(geom), g.POLYGON_KINDS))
-    edge_list = g.edges(F.col(geom))
-    return polygons.select(
-        F.col(key).alias("_key"),
-        (F.slice(edge_list, 1, 0) if boxes_only else edge_list).alias("_edges"),
-        *(F.col(f"{geom}.{c}").alias(f"_a{c}") for c in ("xmin", "ymin", "xmax", "ymax")),
-        F.lit(float("-inf")).alias("_lo"),
-        F.lit(float("inf")).alias("_hi"),
-    )
+_AREA_BOX = ("_axmin", "_aymin", "_axmax", "_aymax")
 
 
 def _measure(rows: DataFrame, step: int) -> AreaStats:
     got = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.size("_edges")), F.lit(0)).alias("edges"),
-        F.coalesce(F.max(F.size("_edges")), F.lit(0)).alias("most"),
-        F.collect_set(level_of(step, "_a")).alias("levels"),
-        F.min("_axmin").alias("x0"),
-        F.min("_aymin").alias("y0"),
-        F.max("_axmax").alias("x1"),
-        F.max("_aymax").alias("y1"),
+        F.expr("count(1)"),
+        F.expr("coalesce(sum(size(_edges)), 0)"),
+        F.expr("coalesce(max(size(_edges)), 0)"),
+        F.expr(f"collect_set({_level(step, '_a')})"),
+        F.expr("struct(min(_axmin), min(_aymin), max(_axmax), max(_aymax))"),
     ).first()
-    return AreaStats(
-        got.n, got.edges, got.most, tuple(sorted(got.levels)), (got.x0, got.y0, got.x1, got.y1)
-    )
+    return AreaStats(got[0], got[1], got[2], tuple(sorted(got[3])), tuple(got[4]))
 
 
 def _split_large(rows: DataFrame, limit: int) -> DataFrame:
@@ -114,50 +97,65 @@ def _split_large(rows: DataFrame, limit: int) -> DataFrame:
     Every closed form used here is a sum over x, so a strip only needs the edges
     that reach into it and the result is the plain sum over strips.
     """
-    width = F.greatest(F.col("_axmax") - F.col("_axmin"), F.lit(1e-9))
-    strips = F.greatest(F.ceil(F.size("_edges") / limit), F.lit(1)).cast("int")
-    small = rows.where(F.size("_edges") <= limit)
-    large = rows.where(F.size("_edges") > limit).withColumn("_n", strips)
+    small = rows.where(F.expr(f"size(_edges) <= {limit}"))
+    large = rows.where(F.expr(f"size(_edges) > {limit}")).selectExpr(
+        "*",
+        f"CAST(ceil(size(_edges) / {limit}) AS INT) AS _n",
+        "greatest(_axmax - _axmin, 1e-9D) AS _width",
+    )
 
-    def strip_of(x: Column) -> Column:
-        raw = F.floor((x - F.col("_axmin")) / width * F.col("_n")).cast("int")
-        return F.greatest(F.least(raw, F.col("_n") - 1), F.lit(0))
+    def strip(x: str) -> str:
+        return f"greatest(least(CAST(floor(({x} - _axmin) / _width * _n) AS INT), _n - 1), 0)"
 
-    start = F.col("_axmin") + width * F.col("_k") / F.col("_n")
-    end = F.col("_axmin") + width * (F.col("_k") + 1) / F.col("_n")
+    # One strip further on either side, so rounding at a border loses nothing.
+    reach = f"sequence(greatest({strip('_e.xl')} - 1, 0), least({strip('_e.xr')} + 1, _n - 1))"
     pieces = (
-        large.withColumn("_e", F.explode("_edges"))
-        # One strip further on either side, so rounding at a border loses nothing.
-        .withColumn(
-            "_k",
-            F.explode(
-                F.sequence(
-                    F.greatest(strip_of(F.col("_e.xl")) - 1, F.lit(0)),
-                    F.least(strip_of(F.col("_e.xr")) + 1, F.col("_n") - 1),
-                )
-            ),
-        )
-        .groupBy("_key", "_axmin", "_aymin", "_axmax", "_aymax", "_n", "_k")
+        large.selectExpr("*", "explode(_edges) AS _e")
+        .selectExpr("*", f"explode({reach}) AS _k")
+        .groupBy("_key", *_AREA_BOX, "_n", "_width", "_k")
         .agg(F.collect_list("_e").alias("_edges"))
-        .withColumn("_lo", F.when(F.col("_k") == 0, F.lit(float("-inf"))).otherwise(start))
-        .withColumn(
-            "_hi", F.when(F.col("_k") == F.col("_n") - 1, F.lit(float("inf"))).otherwise(end)
+        .selectExpr(
+            "*",
+            "if(_k = 0, CAST('-Infinity' AS DOUBLE), _axmin + _width * _k / _n) AS _lo",
+            "if(_k = _n - 1, CAST('Infinity' AS DOUBLE), _axmin + _width * (_k + 1) / _n) AS _hi",
         )
-        .withColumn("_axmin", F.greatest("_axmin", "_lo"))
-        .withColumn("_axmax", F.least("_axmax", "_hi"))
+        .withColumns({"_axmin": F.expr("greatest(_axmin, _lo)"), "_axmax": F.expr("least(_axmax, _hi)")})
     )
     return small.unionByName(pieces.select(*small.columns))
 
 
-def _prepare(
-    areas: DataFrame, key: str, geom: str, settings: JoinSettings, boxes_only: bool = False
-) -> tuple[DataFrame, AreaStats]:
-    rows = _area_rows(areas, key, geom, boxes_only)
+@dataclass(frozen=True)
+class PreparedAreas:
+    """Polygons with their edges worked out and measured, for use in several joins."""
+
+    rows: DataFrame
+    stats: AreaStats
+    settings: JoinSettings
+
+
+def prepare(
+    areas: DataFrame, key: str, geom: str = "geom", settings: JoinSettings = DEFAULT
+) -> PreparedAreas:
+    """Measure an area layer once; the result can stand for it in every join here."""
+    rows = areas.where(g.is_kind(geom, g.POLYGON_KINDS)).select(
+        F.col(key).alias("_key"),
+        g.edges(geom).alias("_edges"),
+        *(F.col(f"{geom}.{c[2:]}").alias(c) for c in _AREA_BOX),
+        F.lit(float("-inf")).alias("_lo"),
+        F.lit(float("inf")).alias("_hi"),
+    )
     stats = _measure(rows, settings.level_step)
     if stats.max_edges > settings.max_edges:
         rows = _split_large(rows, settings.max_edges)
-        stats = _measure(rows, settings.level_step)
-    return rows, stats
+        stats = replace(_measure(rows, settings.level_step), split=True)
+    return PreparedAreas(rows, stats, settings)
+
+
+Areas = DataFrame | PreparedAreas
+
+
+def _prepared(areas: Areas, key: str, settings: JoinSettings) -> PreparedAreas:
+    return areas if isinstance(areas, PreparedAreas) else prepare(areas, key, settings=settings)
 
 
 def _bytes(rows: int, edges: int) -> int:
@@ -168,10 +166,8 @@ def _fits(cells: DataFrame, bound: int, settings: JoinSettings) -> bool:
     """Whether the area side may be broadcast: by its bound, else by its measured size."""
     if bound <= settings.broadcast_bytes:
         return True
-    got = cells.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("_edges")), F.lit(0)).alias("e")
-    ).first()
-    return _bytes(got.n, got.e) <= settings.broadcast_bytes
+    got = cells.selectExpr("count(1)", "coalesce(sum(size(_edges)), 0)").first()
+    return _bytes(got[0], got[1]) <= settings.broadcast_bytes
 
 
 def _join_cells(
@@ -185,17 +181,14 @@ def _join_cells(
         source.groupBy(*CELL)
         .count()
         .where(F.col("count") > settings.hot_rows)
-        .select(*CELL, F.ceil(F.col("count") / settings.hot_rows).cast("int").alias("_salts"))
-    )
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    left = (
-        source.join(F.broadcast(hot), CELL, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*salt_on), salts).cast("int"))
-        .drop("_salts")
+        .selectExpr(*CELL, f"CAST(ceil(count / {settings.hot_rows}) AS INT) AS _salts")
     )
+    # Rows are spread by their content, so a task run again spreads them the same way.
+    spread = F.pmod(F.xxhash64(*salt_on), F.expr("coalesce(_salts, 1)")).cast("int")
+    left = source.join(F.broadcast(hot), CELL, "left").withColumn("_salt", spread).drop("_salts")
     right = (
         cells.join(F.broadcast(hot), CELL, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .selectExpr("*", "explode(sequence(0, coalesce(_salts, 1) - 1)) AS _salt")
         .drop("_salts")
     )
     return left.join(right, [*CELL, "_salt"])
@@ -205,14 +198,14 @@ def _source_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("_")]
 
 
-def _plain_columns(df: DataFrame, geom: str) -> list[str]:
+def _spreading(df: DataFrame, geom: str) -> list[str]:
     """Columns that tell rows apart, used to spread copies over salts."""
     return [c for c in _source_names(df) if c != geom]
 
 
 def join_within(
     points: DataFrame,
-    areas: DataFrame,
+    areas: Areas,
     key: str,
     geom: str = "geom",
     settings: JoinSettings = DEFAULT,
@@ -222,169 +215,119 @@ def join_within(
     A point on a border belongs to no area. Cells wholly inside an area carry no
     edges, so most points are accepted without any test.
     """
-    rows, stats = _prepare(areas, key, geom, settings)
-    kept = _source_names(points)
+    ready = _prepared(areas, key, settings)
+    rows, stats, settings = ready.rows, ready.stats, ready.settings
+    kept = [c for c in _source_names(points) if c != key]
     if not stats.rows:
-        return points.withColumn(key, F.lit(None).cast(areas.schema[key].dataType)).limit(0)
-
-    level = level_of(settings.level_step, "_a") - settings.refine
-    cells = _explode_cells(
-        rows.withColumn("_lvl", level), *(F.col(f"_a{c}") for c in ("xmin", "ymin", "xmax", "ymax"))
-    )
-    size = F.pow(F.lit(2.0), F.col("_lvl"))
-    x0, y0 = F.col("_cx") * size, F.col("_cy") * size
-    x1, y1 = x0 + size, y0 + size
-
-    def reaches(e: Column) -> Column:
-        low, high = F.least(e["yl"], e["yr"]), F.greatest(e["yl"], e["yr"])
-        return (e["xr"] >= x0) & (e["xl"] <= x1) & (high >= y0) & (low <= y1)
-
-    def matters(e: Column) -> Column:
-        return (e["xr"] >= x0) & (e["xl"] <= x1) & (F.greatest(e["yl"], e["yr"]) >= y0)
-
-    crossed = F.exists(F.col("_edges"), reaches)
-    whole = (F.col("_lo") == float("-inf")) & (F.col("_hi") == float("inf"))
-    middle = g.winding(F.col("_edges"), x0 + size / 2, y0 + size / 2) != 0
-    # A strip only knows its own edges, so the middle test needs a whole shape.
-    tested = crossed | ~whole
+        return points.select(*kept, F.lit(None).alias(key)).limit(0)
+
+    level = f"{_level(settings.level_step, '_a')} - {settings.refine}"
+    cells = _explode_cells(rows.selectExpr("*", f"{level} AS _lvl"), *_AREA_BOX).selectExpr(
+        "*", "_cx * pow(2D, _lvl) AS _x0", "_cy * pow(2D, _lvl) AS _y0",
+        "(_cx + 1) * pow(2D, _lvl) AS _x1", "(_cy + 1) * pow(2D, _lvl) AS _y1",
+    )
+    matters = "e.xr >= _x0 AND e.xl <= _x1 AND greatest(e.yl, e.yr) >= _y0"
+    reaches = f"{matters} AND least(e.yl, e.yr) <= _y1"
+    middle = g._winding("_edges", "((_x0 + _x1) / 2)", "((_y0 + _y1) / 2)")
+    # A strip only knows its own edges, so only whole shapes can skip the test.
+    part = "(_lo > CAST('-Infinity' AS DOUBLE) OR _hi < CAST('Infinity' AS DOUBLE))"
     cells = (
-        cells.withColumn("_tested", tested)
-        .where(F.col("_tested") | middle)
-        .withColumn(
-            "_edges",
-            F.when(F.col("_tested"), F.filter("_edges", matters)).otherwise(F.slice("_edges", 1, 0)),
+        cells.selectExpr("*", f"{part} OR exists(_edges, e -> {reaches}) AS _tested")
+        .where(f"_tested OR {middle} <> 0")
+        .selectExpr(
+            "0 AS _role", "_lvl", "_cx", "_cy", "_key", "_tested", "_lo", "_hi",
+            f"if(_tested, filter(_edges, e -> {matters}), slice(_edges, 1, 0)) AS _edges",
         )
-        .withColumn("_role", F.lit(0))
-        .select(*CELL, "_key", "_edges", "_tested", "_lo", "_hi")
     )
     per_axis = 2**settings.refine + 1
     fits = _fits(cells, per_axis**2 * _bytes(stats.rows, stats.edges), settings)
 
-    levels = F.array(*(F.lit(v - settings.refine) for v in stats.levels))
-    x, y = F.col(f"{geom}.xmin"), F.col(f"{geom}.ymin")
-    bx0, by0, bx1, by1 = stats.box
+    levels = ", ".join(str(v - settings.refine) for v in stats.levels)
+    bx0, by0, bx1, by1 = (g._number(b) for b in stats.box)
+    x, y = f"{geom}.xmin", f"{geom}.ymin"
     source = (
-        points.where(x.between(bx0, bx1) & y.between(by0, by1))
-        .withColumn("_px", x)
-        .withColumn("_py", y)
-        .withColumn("_lvl", F.explode(levels))
-        .withColumn("_cx", _cell(F.col("_px"), F.col("_lvl")))
-        .withColumn("_cy", _cell(F.col("_py"), F.col("_lvl")))
-        .withColumn("_role", F.lit(0))
+        points.where(f"{x} BETWEEN {bx0} AND {bx1} AND {y} BETWEEN {by0} AND {by1}")
+        .selectExpr(*kept, f"{x} AS _px", f"{y} AS _py", f"explode(array({levels})) AS _lvl")
+        .selectExpr("*", "0 AS _role", f"{_cell('_px')} AS _cx", f"{_cell('_py')} AS _cy")
     )
-    salt_on = ["_px", "_py", *_plain_columns(points, geom)]
     inside = (
-        (F.col("_px") >= F.col("_lo"))
-        & (F.col("_px") < F.col("_hi"))
-        & (~F.col("_tested") | g.strictly_inside(F.col("_edges"), F.col("_px"), F.col("_py")))
+        "_px >= _lo AND _px < _hi AND"
+        f" (NOT _tested OR {g._strictly_inside('_edges', '_px', '_py')})"
     )
+    salt_on = ["_px", "_py", *_spreading(points, geom)]
     joined = _join_cells(source, cells, fits, salt_on, settings).where(inside)
-    return joined.select(*(c for c in kept if c != key), F.col("_key").alias(key))
+    return joined.select(*kept, F.col("_key").alias(key))
 
 
-def _box_pairs(
-    source: DataFrame,
-    areas: DataFrame,
-    key: str,
-    geom: str,
-    settings: JoinSettings,
-    boxes_only: bool = False,
-) -> tuple[DataFrame, AreaStats]:
+def _box_pairs(source: DataFrame, ready: PreparedAreas, geom: str = "geom") -> DataFrame:
     """Pairs of source rows and area pieces whose boxes meet, each once."""
-    rows, stats = _prepare(areas, key, geom, settings, boxes_only)
+    rows, stats, settings = ready.rows, ready.stats, ready.settings
     step = settings.level_step
     boxed = source.select(
         *_source_names(source),
         *(F.col(f"{geom}.{c}").alias(f"_s{c}") for c in ("xmin", "ymin", "xmax", "ymax")),
     )
     if not stats.rows:
-        empty = rows.select("_key", "_edges", "_lo", "_hi", "_axmin", "_aymin", "_axmax", "_aymax")
-        return boxed.limit(0).join(empty, F.lit(False)), stats
-    bx0, by0, bx1, by1 = stats.box
-    boxed = boxed.where(
-        (F.col("_sxmin") <= bx1)
-        & (F.col("_sxmax") >= bx0)
-        & (F.col("_symin") <= by1)
-        & (F.col("_symax") >= by0)
-    )
-    lowest = min(stats.levels)
-    own = F.greatest(level_of(step, "_s"), F.lit(lowest))
-    wide = [
-        r[0]
-        for r in boxed.where(own > lowest).select(own.alias("v")).distinct().orderBy("v").collect()
-    ]
+        return boxed.limit(0).join(rows, F.lit(False))
+    x0, y0, x1, y1 = (g._number(b) for b in stats.box)
+    boxed = boxed.where(f"_sxmin <= {x1} AND _sxmax >= {x0} AND _symin <= {y1} AND _symax >= {y0}")
 
-    def entries(candidates: Column) -> Column:
-        return F.explode(candidates)
-
-    role_level = lambda role, lvl: F.struct(role.alias("_role"), lvl.alias("_lvl"))
+    # Cells are held to the areas' extent, so no level above it is ever needed.
+    lowest = min(stats.levels)
+    span = max(stats.box[2] - stats.box[0], stats.box[3] - stats.box[1], 1e-3)
+    highest = max(math.ceil(math.log2(span) / step) * step + step, max(stats.levels))
+    own = f"least(greatest({_level(step, '_s')}, {lowest}), {highest})"
+    # The levels of sources larger than the smallest areas, found within the same job.
+    wide = boxed.agg(
+        F.expr(f"coalesce(collect_set(if({own} > {lowest}, {own}, NULL)), array())")
+    ).scalar()
 
     # Role 0: the source is no larger than the area; they meet at the area's level.
     # Role 1: the source is larger; the area is lifted to the source's level.
-    area_levels = F.array(*(F.lit(v) for v in stats.levels))
-    source_entries = F.concat(
-        F.transform(
-            F.filter(area_levels, lambda v: v >= F.col("_own")), lambda v: role_level(F.lit(0), v)
-        ),
-        F.when(F.col("_own") > lowest, F.array(role_level(F.lit(1), F.col("_own")))).otherwise(
-            F.array().cast("array<struct<_role:int,_lvl:int>>")
-        ),
+    entry = "named_struct('_role', {}, '_lvl', {})"
+    levels = ", ".join(str(v) for v in stats.levels)
+    from_source = (
+        f"concat(transform(filter(array({levels}), v -> v >= _own), v -> {entry.format(0, 'v')}),"
+        f" filter(array({entry.format(1, '_own')}), e -> _own > {lowest}))"
     )
-    own_area = level_of(step, "_a")
-    lifted = F.array(*(F.lit(v) for v in wide)).cast("array<int>")
-    area_entries = F.concat(
-        F.array(role_level(F.lit(0), F.col("_own"))),
-        F.transform(
-            F.filter(lifted, lambda v: v > F.col("_own")), lambda v: role_level(F.lit(1), v)
-        ),
+    from_area = (
+        f"concat(array({entry.format(0, '_own')}),"
+        f" transform(filter(_wide, v -> v > _own), v -> {entry.format(1, 'v')}))"
     )
     left = _explode_cells(
-        boxed.withColumn("_own", own)
-        .withColumn("_entry", entries(source_entries))
-        .withColumns({"_role": F.col("_entry._role"), "_lvl": F.col("_entry._lvl")})
-        .drop("_own", "_entry"),
-        F.greatest("_sxmin", F.lit(bx0)),
-        F.greatest("_symin", F.lit(by0)),
-        F.least("_sxmax", F.lit(bx1)),
-        F.least("_symax", F.lit(by1)),
+        boxed.selectExpr("*", f"{own} AS _own")
+        .selectExpr("*", f"inline({from_source})")
+        .drop("_own"),
+        f"greatest(_sxmin, {x0})",
+        f"greatest(_symin, {y0})",
+        f"least(_sxmax, {x1})",
+        f"least(_symax, {y1})",
     )
     cells = _explode_cells(
-        rows.withColumn("_own", own_area)
-        .withColumn("_entry", entries(area_entries))
-        .withColumns({"_role": F.col("_entry._role"), "_lvl": F.col("_entry._lvl")})
-        .drop("_own", "_entry"),
-        *(F.col(f"_a{c}") for c in ("xmin", "ymin", "xmax", "ymax")),
+        rows.select("*", F.expr(f"{_level(step, '_a')} AS _own"), wide.alias("_wide"))
+        .selectExpr("*", f"inline({from_area})")
+        .drop("_own", "_wide"),
+        *_AREA_BOX,
     )
-    copies = 4 * (1 + len(wide))
+    copies = 4 * (1 + (highest - lowest) // step)
     fits = _fits(cells, copies * _bytes(stats.rows, stats.edges), settings)
-    salt_on = ["_sxmin", "_symin", *_plain_columns(source, geom)]
-    corner_x, corner_y = F.greatest("_sxmin", "_axmin"), F.greatest("_symin", "_aymin")
+    salt_on = ["_sxmin", "_symin", *_spreading(source, geom)]
     meet = (
-        (F.col("_sxmin") <= F.col("_axmax"))
-        & (F.col("_axmin") <= F.col("_sxmax"))
-        & (F.col("_symin") <= F.col("_aymax"))
-        & (F.col("_aymin") <= F.col("_symax"))
-    )
-    once = (_cell(corner_x, F.col("_lvl")) == F.col("_cx")) & (
-        _cell(corner_y, F.col("_lvl")) == F.col("_cy")
+        "_sxmin <= _axmax AND _axmin <= _sxmax AND _symin <= _aymax AND _aymin <= _symax"
+        f" AND {_cell('greatest(_sxmin, _axmin)')} = _cx AND {_cell('greatest(_symin, _aymin)')} = _cy"
     )
-    pairs = _join_cells(left, cells, fits, salt_on, settings).where(meet & once)
-    return pairs.drop(*CELL, "_salt"), stats
+    return _join_cells(left, cells, fits, salt_on, settings).where(meet).drop(*CELL, "_salt")
 
 
-def _local_edges() -> Column:
-    """Area edges that can matter to the source's box."""
-    return F.filter(
-        "_edges",
-        lambda e: (e["xr"] >= F.col("_sxmin"))
-        & (e["xl"] <= F.col("_sxmax"))
-        & (F.greatest(e["yl"], e["yr"]) >= F.col("_symin")),
-    )
+# Area edges that can matter to the source's box.
+_LOCAL_EDGES = (
+    "filter(_edges, e -> e.xr >= _sxmin AND e.xl <= _sxmax AND greatest(e.yl, e.yr) >= _symin)"
+)
 
 
 def overlay_area(
     source: DataFrame,
-    areas: DataFrame,
+    areas: Areas,
     key: str,
     id_cols: list[str],
     geom: str = "geom",
@@ -396,30 +339,26 @@ def overlay_area(
     ``id_cols`` identify a source row. Pairs that only touch are left out. The
     pieces themselves are never built: their area is a closed form of the edges.
     """
-    polygons = source.where(g.is_kind(F.col(geom), g.POLYGON_KINDS))
-    pairs, stats = _box_pairs(polygons, areas, key, geom, settings)
+    ready = _prepared(areas, key, settings)
+    stats, settings = ready.stats, ready.settings
+    polygons = source.where(g.is_kind(geom, g.POLYGON_KINDS))
     kept = [c for c in _source_names(source) if c not in (geom, key)]
-    base = F.greatest("_symin", "_aymin")
-    shaped = pairs.select(
+    shaped = _box_pairs(polygons, ready, geom).select(
         *kept,
         F.col("_key").alias(key),
-        g.edges(F.col(geom)).alias("_own_edges"),
-        _local_edges().alias("_edges"),
-        base.alias("_y0"),
+        g.edges(geom).alias("_own_edges"),
+        F.expr(_LOCAL_EDGES).alias("_edges"),
+        F.expr("greatest(_symin, _aymin)").alias("_y0"),
         "_lo",
         "_hi",
     )
-    # Rows whose x-range ends where the piece begins share no area.
-    if stats.mean_edges > settings.exploded_edges or stats.max_edges > 4 * settings.exploded_edges:
+    few = settings.exploded_edges
+    if stats.mean_edges > few or stats.max_edges > 4 * few:
         return _summed_by_edge(shaped, kept, key, id_cols, out)
     found = shaped.select(
-        *kept,
-        key,
-        g.overlap_area(
-            F.col("_edges"), F.col("_own_edges"), F.col("_y0"), F.col("_lo"), F.col("_hi")
-        ).alias(out),
+        *kept, key, g.overlap_area("_edges", "_own_edges", "_y0", "_lo", "_hi").alias(out)
     )
-    return found.where(F.col(out) > g.MIN_PIECE_AREA)
+    return found.where(f"`{out}` > {g.MIN_PIECE_AREA}D")
 
 
 def _summed_by_edge(
@@ -430,35 +369,19 @@ def _summed_by_edge(
     The arithmetic then runs in generated code. All edge pairs of a pair of shapes
     arise in one task, so partial aggregation leaves one row per pair to shuffle.
     """
-    e, h = F.col("_e"), F.col("_h")
-    a = F.greatest(e["xl"], h["xl"], F.col("_lo"))
-    b = F.least(e["xr"], h["xr"], F.col("_hi"))
-
-    def height(line: Column, x: Column) -> Column:
-        return (line["yl"] - F.col("_y0")) + (line["yr"] - line["yl"]) / (
-            line["xr"] - line["xl"]
-        ) * (x - line["xl"])
-
+    parts = g.edge_pair("_e", "_h", "_y0", "_lo", "_hi")
+    heights = [f"{parts[n].format(a='_a', b='_b')} AS _{n}" for n in ("fa", "fb", "ga", "gb")]
     rest = [c for c in kept if c not in id_cols]
     rows = (
-        shaped.withColumn("_e", F.explode(F.filter("_own_edges", lambda v: v["s"] != 0)))
+        shaped.selectExpr("*", "explode(filter(_own_edges, e -> e.s <> 0)) AS _e")
         .drop("_own_edges")
-        .withColumn("_h", F.explode("_edges"))
+        .selectExpr("*", "explode(_edges) AS _h")
         .drop("_edges")
-        .withColumns({"_a": a, "_b": b})
-        .where((F.col("_b") > F.col("_a")) & (h["s"] != 0))
-        .select(
-            *kept,
-            key,
-            (F.col("_b") - F.col("_a")).alias("_w"),
-            (e["s"] * h["s"]).alias("_s"),
-            height(e, F.col("_a")).alias("_fa"),
-            height(e, F.col("_b")).alias("_fb"),
-            height(h, F.col("_a")).alias("_ga"),
-            height(h, F.col("_b")).alias("_gb"),
-        )
+        .where(f"_h.s <> 0 AND {parts['b']} > {parts['a']}")
+        .selectExpr("*", f"{parts['a']} AS _a", f"{parts['b']} AS _b")
+        .selectExpr(*kept, key, "_b - _a AS _w", "_e.s * _h.s AS _s", *heights)
     )
-    term = g.area_under_both(*(F.col(c) for c in ("_w", "_s", "_fa", "_fb", "_ga", "_gb")))
+    term = F.expr(g.area_under_both("_w", "_s", "_fa", "_fb", "_ga", "_gb"))
     summed = rows.groupBy(*id_cols, key).agg(
         F.sum(term).alias(out), *(F.first(c).alias(c) for c in rest)
     )
@@ -467,7 +390,7 @@ def _summed_by_edge(
 
 def overlay_length(
     lines: DataFrame,
-    areas: DataFrame,
+    areas: Areas,
     key: str,
     id_cols: list[str],
     geom: str = "geom",
@@ -478,17 +401,21 @@ def overlay_length(
 
     A line along a shared border counts in both areas.
     """
-    only = lines.where(g.is_kind(F.col(geom), g.LINE_KINDS))
-    pairs, stats = _box_pairs(only, areas, key, geom, settings)
+    ready = _prepared(areas, key, settings)
+    only = lines.where(g.is_kind(geom, g.LINE_KINDS))
     kept = [c for c in _source_names(lines) if c not in (geom, key)]
-    measured = pairs.select(
+    pairs = _box_pairs(only, ready, geom).select(
         *kept,
         F.col("_key").alias(key),
-        g.overlap_length(
-            _local_edges(), g.segments(F.col(geom)), F.col("_lo"), F.col("_hi")
-        ).alias(out),
+        F.expr(_LOCAL_EDGES).alias("_edges"),
+        g.segments(geom).alias("_segments"),
+        "_lo",
+        "_hi",
     )
-    if stats.max_edges > settings.max_edges:
+    measured = pairs.select(
+        *kept, key, g.overlap_length("_edges", "_segments", "_lo", "_hi").alias(out)
+    )
+    if ready.stats.split:
         rest = [c for c in kept if c not in id_cols]
         measured = measured.groupBy(*id_cols, key).agg(
             F.sum(out).alias(out), *(F.first(c).alias(c) for c in rest)
@@ -504,53 +431,38 @@ _PYRAMID_SIDE = 512
 
 
 def _upper_bounds(
-    left: DataFrame, key: str, parts: DataFrame, box: tuple[float, float, float, float]
+    left: DataFrame, key: str, features: DataFrame, geom: str, box: tuple[float, float, float, float]
 ) -> DataFrame:
     """A distance per left row within which a feature is certain to lie."""
     x0, y0, x1, y1 = box
-    span = max(x1 - x0, y1 - y0, 1e-6) * (1 + 1e-9)
-    depth = _PYRAMID_SIDE.bit_length()
-
-    def at(level: Column, value: Column, origin: float) -> Column:
-        size = F.lit(span) / F.pow(F.lit(2.0), level)
-        return F.floor((value - origin) / size).cast("int")
-
-    finest = (
-        parts.select(F.col("_g.x0").alias("fx"), F.col("_g.y0").alias("fy"))
-        .select("fx", "fy", F.lit(depth - 1).alias("_lvl"))
-        .withColumns({"_cx": at(F.col("_lvl"), F.col("fx"), x0), "_cy": at(F.col("_lvl"), F.col("fy"), y0)})
-        .groupBy("_cx", "_cy")
+    finest = _PYRAMID_SIDE.bit_length() - 1
+    size = max(x1 - x0, y1 - y0, 1e-6) * (1 + 1e-9) / _PYRAMID_SIDE
+
+    def at(value: str, origin: float) -> str:
+        return f"CAST(floor(({value} - {g._number(origin)}) / {g._number(size)}) AS INT)"
+
+    spot = f"{geom}.parts[0][0]"
+    occupied = (
+        features.selectExpr(f"{spot}.x AS fx", f"{spot}.y AS fy")
+        .groupBy(F.expr(at("fx", x0)).alias("_cx"), F.expr(at("fy", y0)).alias("_cy"))
         .agg(F.min(F.struct("fx", "fy")).alias("v"))
     )
     # Coarser cells are built from the occupied finest ones, not from the layer.
+    levels = f"explode(sequence(0, {finest})) AS _up"
+    coarser = ["_up", "shiftright(_cx, _up) AS _cx", "shiftright(_cy, _up) AS _cy"]
     pyramid = (
-        finest.withColumn("_up", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
-        .select(
-            (F.lit(depth - 1) - F.col("_up")).alias("_lvl"),
-            "_cx",
-            "_cy",
-            "_up",
-            "v",
-        )
-        .withColumns(
-            {
-                "_cx": F.floor(F.col("_cx") / F.pow(F.lit(2.0), F.col("_up"))).cast("int"),
-                "_cy": F.floor(F.col("_cy") / F.pow(F.lit(2.0), F.col("_up"))).cast("int"),
-            }
-        )
-        .groupBy("_lvl", "_cx", "_cy")
+        occupied.selectExpr("_cx", "_cy", "v", levels)
+        .selectExpr(*coarser, "v")
+        .groupBy("_up", "_cx", "_cy")
         .agg(F.min("v").alias("v"))
     )
-    inside_x = F.least(F.greatest(F.col("_px"), F.lit(x0)), F.lit(x1))
-    inside_y = F.least(F.greatest(F.col("_py"), F.lit(y0)), F.lit(y1))
-    probes = (
-        left.withColumn("_lvl", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
-        .withColumn("_cx", at(F.col("_lvl"), inside_x, x0))
-        .withColumn("_cy", at(F.col("_lvl"), inside_y, y0))
-    )
-    met = probes.join(F.broadcast(pyramid), ["_lvl", "_cx", "_cy"])
-    away = F.hypot(F.col("v.fx") - F.col("_px"), F.col("v.fy") - F.col("_py"))
-    return met.groupBy(key, "_px", "_py").agg(F.min(away).alias("_r"))
+    held_x = f"least(greatest(_px, {g._number(x0)}), {g._number(x1)})"
+    held_y = f"least(greatest(_py, {g._number(y0)}), {g._number(y1)})"
+    probes = left.selectExpr(
+        key, "_px", "_py", f"{at(held_x, x0)} AS _cx", f"{at(held_y, y0)} AS _cy", levels
+    ).selectExpr(key, "_px", "_py", *coarser)
+    met = probes.join(F.broadcast(pyramid), ["_up", "_cx", "_cy"])
+    return met.groupBy(key, "_px", "_py").agg(F.expr("min(hypot(v.fx - _px, v.fy - _py)) AS _r"))
 
 
 def join_nearest(
@@ -567,53 +479,47 @@ def join_nearest(
     row a distance that certainly reaches a feature, then only features within
     that distance are measured, segment by segment.
     """
-    points = left.select(
-        key, F.col(f"{geom}.xmin").alias("_px"), F.col(f"{geom}.ymin").alias("_py")
-    ).where(F.col("_px").isNotNull() & F.col(key).isNotNull())
-    parts = right.where(F.col(geom).isNotNull()).select(F.explode(g.segments(F.col(geom))).alias("_g"))
-    extent = right.agg(
-        F.min(f"{geom}.xmin").alias("a"),
-        F.min(f"{geom}.ymin").alias("b"),
-        F.max(f"{geom}.xmax").alias("c"),
-        F.max(f"{geom}.ymax").alias("d"),
+    points = left.selectExpr(key, f"{geom}.xmin AS _px", f"{geom}.ymin AS _py").where(
+        f"_px IS NOT NULL AND {key} IS NOT NULL"
+    )
+    features = right.where(F.col(geom).isNotNull()).select(F.col(geom).alias("geom"))
+    extent = features.selectExpr(
+        "min(geom.xmin)", "min(geom.ymin)", "max(geom.xmax)", "max(geom.ymax)"
     ).first()
-    if extent.a is None:
+    if extent[0] is None:
         return points.select(key, F.lit(None).cast("double").alias(out)).limit(0)
 
-    # One row per left point, read by the two measurements and the join below.
-    bounds = _upper_bounds(points, key, parts, tuple(extent)).persist()
+    # One row per left point, read by the measurement and by the join below.
+    bounds = _upper_bounds(points, key, features, "geom", tuple(extent)).persist()
     # A hair wider than the bound, so the feature that set it is found again.
-    reach = F.col("_r") * (1 + 1e-9) + 1e-9
-    circles = bounds.select(
-        key,
-        "_px",
-        "_py",
-        g.make_box(
-            F.col("_px") - reach, F.col("_py") - reach, F.col("_px") + reach, F.col("_py") + reach
-        ).alias("geom"),
-    ).withColumn("probe", F.struct(key, "_px", "_py"))
-    boxes = parts.select(
-        F.col("_g").alias("seg"),
-        F.struct(
-            F.least("_g.x0", "_g.x1").alias("xmin"),
-            F.least("_g.y0", "_g.y1").alias("ymin"),
-            F.greatest("_g.x0", "_g.x1").alias("xmax"),
-            F.greatest("_g.y0", "_g.y1").alias("ymax"),
-        ).alias("geom"),
-    )
-    pairs, _ = _box_pairs(boxes, circles, "probe", "geom", settings, boxes_only=True)
-    apart = g.point_segment_distance(F.col("_key._px"), F.col("_key._py"), F.col("seg"))
-    by_edge = pairs.select(F.col(f"_key.{key}").alias(key), apart.alias("_d"))
-
-    # Polygons holding the point: only those whose box does are tested.
-    spots = points.select(
-        F.struct(key, "_px", "_py").alias("probe"),
-        g.make_box(F.col("_px"), F.col("_py"), F.col("_px"), F.col("_py")).alias("geom"),
-    )
-    polygons = right.where(g.is_kind(F.col(geom), g.POLYGON_KINDS)).select(
-        F.col(geom).alias("geom")
-    )
-    boxed, _ = _box_pairs(polygons, spots, "probe", "geom", settings, boxes_only=True)
-    holds = g.strictly_inside(g.edges(F.col("geom")), F.col("_key._px"), F.col("_key._py"))
-    covered = boxed.where(holds).select(F.col(f"_key.{key}").alias(key), F.lit(0.0).alias("_d"))
-    return by_edge.unionByName(covered).groupBy(key).agg(F.min("_d").alias(out))
+    reach = "(_r * (1 + 1e-9D) + 1e-9D)"
+    circles = bounds.selectExpr(
+        f"named_struct('key', {key}, 'x', _px, 'y', _py) AS _key",
+        "slice(array(named_struct('xl', 0D, 'yl', 0D, 'xr', 0D, 'yr', 0D, 's', 0, 'v', 0)), 1, 0) AS _edges",
+        f"_px - {reach} AS _axmin",
+        f"_py - {reach} AS _aymin",
+        f"_px + {reach} AS _axmax",
+        f"_py + {reach} AS _aymax",
+        "CAST('-Infinity' AS DOUBLE) AS _lo",
+        "CAST('Infinity' AS DOUBLE) AS _hi",
+    )
+    ready = PreparedAreas(circles, _measure(circles, settings.level_step), settings)
+    segment_box = (
+        "named_struct('xmin', least(seg.x0, seg.x1), 'ymin', least(seg.y0, seg.y1),"
+        " 'xmax', greatest(seg.x0, seg.x1), 'ymax', greatest(seg.y0, seg.y1))"
+    )
+    by_segment = features.select(F.explode(g.segments("geom")).alias("seg")).selectExpr(
+        f"{segment_box} AS geom", "seg", "CAST(NULL AS array<array<struct<x:double,y:double>>>) AS rings"
+    )
+    whole = features.where(g.is_kind("geom", g.POLYGON_KINDS)).selectExpr(
+        "named_struct('xmin', geom.xmin, 'ymin', geom.ymin, 'xmax', geom.xmax, 'ymax', geom.ymax) AS geom",
+        "CAST(NULL AS struct<x0:double,y0:double,x1:double,y1:double>) AS seg",
+        "geom.parts AS rings",
+    )
+    pairs = _box_pairs(by_segment.unionByName(whole), ready)
+    held = "_key.x BETWEEN _sxmin AND _sxmax AND _key.y BETWEEN _symin AND _symax"
+    inside = g._strictly_inside(g._edges("named_struct('parts', rings)"), "_key.x", "_key.y")
+    apart = F.when(F.col("seg").isNotNull(), g.point_segment_distance("_key.x", "_key.y", "seg")).when(
+        F.expr(f"{held} AND {inside}"), F.lit(0.0)
+    )
+    return pairs.groupBy(F.col("_key.key").alias(key)).agg(F.min(apart).alias(out))

@@ -47,7 +47,7 @@ def convex_hull(df: DataFrame, geom: str = "geom", fan_in: int = 64) -> DataFram
     The hull of hulls is the hull: every task reduces its rows to a few corners,
     these are gathered in a fan-in of tasks, then in one.
     """
-    centre = g.centroid(F.col(geom))
+    centre = g.centroid(geom)
     points = (
         df.where(F.col(geom).isNotNull())
         .select(centre.alias("c"))
@@ -57,7 +57,7 @@ def convex_hull(df: DataFrame, geom: str = "geom", fan_in: int = 64) -> DataFram
     corners = points.mapInPandas(_partial_hulls, "x double, y double")
     corners = corners.repartition(fan_in, "x", "y").mapInPandas(_partial_hulls, "x double, y double")
     last = corners.coalesce(1).mapInPandas(_ring_rows, f"ring array<{g.POINT_TYPE}>")
-    return last.select(g.make_polygon(F.array("ring")).alias(geom))
+    return last.select(g.make_polygon("array(ring)").alias(geom))
 
 
 def _ring_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +74,7 @@ def intersects_hull(areas: DataFrame, hull: DataFrame, key: str, out: str = "cov
     mask = hull.select(F.struct("geom.*").alias("geom")).scalar()
     held = areas.select(key, "geom").withColumn("_mask", mask)
     return held.select(
-        key, F.coalesce(g.intersects(F.col("geom"), F.col("_mask")), F.lit(False)).alias(out)
+        key, F.coalesce(g.intersects("geom", "_mask"), F.lit(False)).alias(out)
     )
 
 
@@ -141,11 +141,4 @@ def simplify(df: DataFrame, tolerance: float, geom: str = "geom") -> DataFrame:
         return pd.Series(out)
 
     thinned = df.withColumn("_thin", thin(F.col(f"{geom}.parts"), F.col(f"{geom}.kind")))
-    checked = F.zip_with(
-        F.col(f"{geom}.parts"),
-        F.col("_thin"),
-        lambda old, new: F.when(
-            g.is_kind(F.col(geom), g.POLYGON_KINDS) & g.ring_crosses_itself(new), old
-        ).otherwise(new),
-    )
-    return thinned.withColumn(geom, g.geometry(F.col(f"{geom}.kind"), checked)).drop("_thin")
+    return thinned.withColumn(geom, g.keep_simple_rings(geom, "_thin")).drop("_thin")

@@ -43,7 +43,7 @@ def rename_select(df: DataFrame, mapping: Mapping[str, str], casts: Mapping[str,
 
 
 def of_kind(df: DataFrame, kinds: Sequence[str], geom: str = "geom") -> DataFrame:
-    return df.where(g.is_kind(F.col(geom), tuple(kinds)))
+    return df.where(g.is_kind(geom, tuple(kinds)))
 
 
 def exclude_value(df: DataFrame, col: str, value: object) -> DataFrame:
@@ -74,7 +74,9 @@ def clip_to_box(
     col = F.col(geom)
     meets = (col["xmin"] <= xmax) & (col["xmax"] >= xmin) & (col["ymin"] <= ymax) & (col["ymax"] >= ymin)
     within = (col["xmin"] >= xmin) & (col["xmax"] <= xmax) & (col["ymin"] >= ymin) & (col["ymax"] <= ymax)
-    cut = F.when(within | ~g.is_kind(col, g.POLYGON_KINDS), col).otherwise(g.clip_polygon(col, bbox))
+    cut = F.when(within | ~g.is_kind(geom, g.POLYGON_KINDS), col).otherwise(
+        g.clip_polygon(geom, bbox)
+    )
     return df.where(meets).withColumn(geom, cut).where(F.col(geom).isNotNull())
 
 

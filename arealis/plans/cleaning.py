@@ -36,14 +36,13 @@ def clean_trees(
     )
     plausible = tables.null_implausible(sized, "diameter_breast_height", v.MAX_DIAMETER_CM, seen)
     names = {c: v.standardise_text(F.col(c)) for c in TREE_NAMES if c in raw.columns}
-    spot = projection.forward(F.col("longitude"), F.col("latitude"), grid)
     return plausible.withColumns(
         {
             **names,
             "useful_life_expectency": v.label_missing(
                 F.col("useful_life_expectency"), v.NOT_ASSESSED
             ),
-            "geom": g.let(spot, lambda p: g.make_point(p["x"], p["y"])),
+            "geom": projection.forward_point("longitude", "latitude", grid),
         }
     )
 
@@ -58,7 +57,7 @@ def clean_polygons(
     clipped = tables.clip_to_box(aggregates.repair(raw), bbox)
     if grid is None:
         return clipped
-    return clipped.withColumn("geom", projection.project(F.col("geom"), grid))
+    return clipped.withColumn("geom", projection.project("geom", grid))
 
 
 def clean_canopy(
@@ -76,13 +75,13 @@ def clean_osm(
     for name, raw in layers.items():
         df = aggregates.repair(tables.keep_columns(raw, [*MAP_COLUMNS[name], "geom"]))
         if grid is not None:
-            df = df.withColumn("geom", projection.project(F.col("geom"), grid))
+            df = df.withColumn("geom", projection.project("geom", grid))
         if name == "roads":
             for c in (c for c in MULTI_VALUED if c in df.columns):
                 is_array = isinstance(df.schema[c].dataType, T.ArrayType)
                 text = F.col(c) if is_array else F.col(c).cast("string")
                 df = df.withColumn(c, v.normalise_multivalue(text, is_array))
         if name == "buildings":
-            df = df.withColumn("building_area_sqm", g.area(F.col("geom")))
+            df = df.withColumn("building_area_sqm", g.area("geom"))
         out[name] = df
     return out

@@ -13,6 +13,9 @@ from arealis.functions import geometry as g
 from arealis.functions import values as v
 from arealis.operators import aggregates, gridjoin, shapes, tables
 
+# An area layer already measured for joins, where the caller has one.
+Ready = gridjoin.PreparedAreas | None
+
 HECTARE = 10_000.0
 SQ_KM = 1_000_000.0
 
@@ -38,7 +41,7 @@ TARGET = "mean_uhi_2018"
 
 def area_sizes(areas: DataFrame, key: str) -> DataFrame:
     """Key and area in square metres."""
-    return areas.select(key, g.area(F.col("geom")).alias("_area"))
+    return areas.select(key, g.area("geom").alias("_area"))
 
 
 def on_every_area(areas: DataFrame, facts: DataFrame, key: str) -> DataFrame:
@@ -46,14 +49,16 @@ def on_every_area(areas: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return tables.attach(area_sizes(areas, key), facts, key)
 
 
-def tree_features(trees: DataFrame, hull: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+def tree_features(
+    trees: DataFrame, hull: DataFrame, areas: DataFrame, key: str, ready: Ready = None
+) -> DataFrame:
     """Trees per area: count, density, mean diameter, diversity and useful life.
 
     One pass groups by area and species; the second level turns that into every
     column at once, diversity included, so the trees are shuffled once.
     """
     slim = trees.select("diameter_breast_height", "scientific_name", "useful_life_expectency", "geom")
-    inside = gridjoin.join_within(slim, areas, key)
+    inside = gridjoin.join_within(slim, ready or areas, key)
     diameter = v.null_nan(F.col("diameter_breast_height"))
     life = F.col("useful_life_expectency")
     assessed = ~life.eqNullSafe(F.lit(v.NOT_ASSESSED))
@@ -103,7 +108,7 @@ def tree_features(trees: DataFrame, hull: DataFrame, areas: DataFrame, key: str)
     )
 
 
-def _covered_area(layer: DataFrame, areas: DataFrame, key: str, out: str) -> DataFrame:
+def _covered_area(layer: DataFrame, areas: gridjoin.Areas, key: str, out: str) -> DataFrame:
     """Summed overlap per area; overlapping source shapes count twice."""
     # Only the shapes are needed, and a sum does not need to tell pairs apart.
     slim = layer.select(F.struct("geom.xmin", "geom.ymin", "geom.xmax", "geom.ymax").alias("shape_id"), "geom")
@@ -111,9 +116,11 @@ def _covered_area(layer: DataFrame, areas: DataFrame, key: str, out: str) -> Dat
     return pieces.groupBy(key).agg(F.sum("piece_area").alias(out))
 
 
-def canopy_features(canopy: DataFrame, hull: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+def canopy_features(
+    canopy: DataFrame, hull: DataFrame, areas: DataFrame, key: str, ready: Ready = None
+) -> DataFrame:
     """Share of each area under canopy; null outside the surveyed mask."""
-    summed = _covered_area(canopy, areas, key, "canopy")
+    summed = _covered_area(canopy, ready or areas, key, "canopy")
     full = tables.attach(
         on_every_area(areas, summed, key), shapes.intersects_hull(areas, hull, key), key
     )
@@ -124,11 +131,15 @@ def canopy_features(canopy: DataFrame, hull: DataFrame, areas: DataFrame, key: s
 
 
 def state_vegetation_features(
-    vegetation: DataFrame, areas: DataFrame, key: str, id_cols: Sequence[str]
+    vegetation: DataFrame,
+    areas: DataFrame,
+    key: str,
+    id_cols: Sequence[str],
+    ready: Ready = None,
 ) -> DataFrame:
     """Area-weighted vegetation and tree cover percentages."""
     means = aggregates.area_weighted_mean(
-        vegetation, areas, ["PERANYVEG", "PERANYTREE"], key, id_cols
+        vegetation, ready or areas, ["PERANYVEG", "PERANYTREE"], key, id_cols
     )
     full = tables.complete_on(areas, means, key)
     return full.select(
@@ -138,15 +149,16 @@ def state_vegetation_features(
     )
 
 
-def building_features(buildings: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+def building_features(
+    buildings: DataFrame, areas: DataFrame, key: str, ready: Ready = None
+) -> DataFrame:
     """Buildings go whole to the area that holds their centroid."""
-    centre = g.centroid(F.col("geom"))
     spots = buildings.select(
-        g.area(F.col("geom")).alias("size_sqm"),
-        g.let(centre, lambda c: g.make_point(c["x"], c["y"])).alias("geom"),
+        g.area("geom").alias("size_sqm"),
+        g.centre_point("geom").alias("geom"),
     )
     stats = aggregates.area_stats(
-        gridjoin.join_within(spots, areas, key),
+        gridjoin.join_within(spots, ready or areas, key),
         key,
         {
             "building_count": F.count(F.lit(1)),
@@ -168,11 +180,15 @@ def building_features(buildings: DataFrame, areas: DataFrame, key: str) -> DataF
 
 
 def road_features(
-    roads: DataFrame, areas: DataFrame, key: str, id_cols: Sequence[str] = ()
+    roads: DataFrame,
+    areas: DataFrame,
+    key: str,
+    id_cols: Sequence[str] = (),
+    ready: Ready = None,
 ) -> DataFrame:
     """Clipped road length and density, and road surface from a width per class."""
     slim = roads.select(*id_cols, "highway", "geom")
-    pieces = gridjoin.overlay_length(slim, areas, key, [*id_cols, "highway"])
+    pieces = gridjoin.overlay_length(slim, ready or areas, key, [*id_cols, "highway"])
     width = v.lookup_first(F.col("highway"), v.ROAD_WIDTH_M, v.DEFAULT_ROAD_WIDTH_M)
     stats = pieces.groupBy(key).agg(
         F.sum("clipped_length").alias("metres"),
@@ -189,11 +205,12 @@ def road_features(
 
 
 def park_water_features(
-    parks: DataFrame, water: DataFrame, areas: DataFrame, key: str
+    parks: DataFrame, water: DataFrame, areas: DataFrame, key: str, ready: Ready = None
 ) -> DataFrame:
     """Park and water shares; only polygons have an area."""
-    park = _covered_area(tables.of_kind(parks, g.POLYGON_KINDS), areas, key, "park")
-    wet = _covered_area(tables.of_kind(water, g.POLYGON_KINDS), areas, key, "wet")
+    ready = ready or gridjoin.prepare(areas, key)
+    park = _covered_area(tables.of_kind(parks, g.POLYGON_KINDS), ready, key, "park")
+    wet = _covered_area(tables.of_kind(water, g.POLYGON_KINDS), ready, key, "wet")
     full = tables.attach(on_every_area(areas, park, key), wet, key).fillna({"park": 0.0, "wet": 0.0})
     return full.select(
         key,
@@ -206,10 +223,7 @@ def distance_features(
     areas: DataFrame, parks: DataFrame, water: DataFrame, key: str
 ) -> DataFrame:
     """Distance from each area's centroid to the nearest park and water feature of any kind."""
-    centre = g.centroid(F.col("geom"))
-    spots = areas.select(
-        key, g.let(centre, lambda c: g.make_point(c["x"], c["y"])).alias("geom")
-    )
+    spots = areas.select(key, g.centre_point("geom").alias("geom"))
     to_park = gridjoin.join_nearest(spots, parks, key, out="dist_to_nearest_park_m")
     to_water = gridjoin.join_nearest(spots, water, key, out="dist_to_nearest_water_m")
     return tables.join_all(to_park, to_water, key)
@@ -223,13 +237,15 @@ def urban_features(
     areas: DataFrame,
     key: str,
     road_ids: Sequence[str] = (),
+    ready: Ready = None,
 ) -> DataFrame:
     """All built-form features with the share of sealed surface, capped at 1."""
+    ready = ready or gridjoin.prepare(areas, key)
     joined = tables.join_common(
         [
-            building_features(buildings, areas, key),
-            road_features(roads, areas, key, road_ids),
-            park_water_features(parks, water, areas, key),
+            building_features(buildings, areas, key, ready),
+            road_features(roads, areas, key, road_ids, ready),
+            park_water_features(parks, water, areas, key, ready),
             distance_features(areas, parks, water, key),
             area_sizes(areas, key),
         ],
@@ -241,9 +257,11 @@ def urban_features(
     )
 
 
-def heat_target(heat: DataFrame, areas: DataFrame, key: str, id_cols: Sequence[str]) -> DataFrame:
+def heat_target(
+    heat: DataFrame, areas: DataFrame, key: str, id_cols: Sequence[str], ready: Ready = None
+) -> DataFrame:
     """Area-weighted mean, maximum and piece count of the heat value."""
-    means = aggregates.area_weighted_mean(heat, areas, ["UHI18_M"], key, id_cols)
+    means = aggregates.area_weighted_mean(heat, ready or areas, ["UHI18_M"], key, id_cols)
     full = tables.complete_on(areas, means, key)
     return full.select(
         key,
@@ -254,13 +272,15 @@ def heat_target(heat: DataFrame, areas: DataFrame, key: str, id_cols: Sequence[s
 
 
 def demographic_features(
-    people: DataFrame, areas: DataFrame, key: str, id_cols: Sequence[str]
+    people: DataFrame, areas: DataFrame, key: str, id_cols: Sequence[str], ready: Ready = None
 ) -> DataFrame:
     """Area-weighted population density and care-need share.
 
     The heat-derived index of the same layer is never read: it leaks the target.
     """
-    means = aggregates.area_weighted_mean(people, areas, ["POPU_DENS", "PER_CARE"], key, id_cols)
+    means = aggregates.area_weighted_mean(
+        people, ready or areas, ["POPU_DENS", "PER_CARE"], key, id_cols
+    )
     full = tables.complete_on(areas, means, key)
     return full.select(
         key,
@@ -296,11 +316,14 @@ def feature_matrix(layers: Layers, areas: DataFrame, key: str, name: str) -> Dat
     Other columns of ``areas`` named in it, such as the parent code, are left to the
     caller to attach; the matrix carries the key and the display name only.
     """
-    hull = shapes.convex_hull(layers.canopy)
+    # The area side and the mask serve several joins: measured and worked out once.
+    ready = gridjoin.prepare(areas, key)
+    hull = shapes.convex_hull(layers.canopy).persist()
+    ids = layers.polygon_ids
     parts = [
-        tree_features(layers.trees, hull, areas, key),
-        canopy_features(layers.canopy, hull, areas, key),
-        state_vegetation_features(layers.vegetation, areas, key, layers.polygon_ids),
+        tree_features(layers.trees, hull, areas, key, ready),
+        canopy_features(layers.canopy, hull, areas, key, ready),
+        state_vegetation_features(layers.vegetation, areas, key, ids, ready),
         urban_features(
             layers.buildings,
             layers.roads,
@@ -309,10 +332,11 @@ def feature_matrix(layers: Layers, areas: DataFrame, key: str, name: str) -> Dat
             areas,
             key,
             layers.road_ids,
+            ready,
         ),
-        heat_target(layers.heat, areas, key, layers.polygon_ids),
-        demographic_features(layers.people, areas, key, layers.polygon_ids),
+        heat_target(layers.heat, areas, key, ids, ready),
+        demographic_features(layers.people, areas, key, ids, ready),
     ]
-    base = areas.select(key, name, (g.area(F.col("geom")) / SQ_KM).alias("area_sqkm"))
+    base = areas.select(key, name, (g.area("geom") / SQ_KM).alias("area_sqkm"))
     return reduce(lambda a, b: tables.attach(a, b, key), parts, base)
 

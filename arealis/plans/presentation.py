@@ -86,7 +86,7 @@ def map_layer(
     joined = tables.attach(areas.select(key, "geom"), predictions, key)
     thin = shapes.simplify(joined, tolerance)
     if grid is not None:
-        thin = thin.withColumn("geom", projection.unproject(F.col("geom"), grid))
+        thin = thin.withColumn("geom", projection.unproject("geom", grid))
     shown = [
         "tree_cover_pct_state",
         "vegetation_cover_pct_state",

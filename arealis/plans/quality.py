@@ -22,12 +22,7 @@ def _one(name: str, df: DataFrame) -> DataFrame:
         lambda a, b: a + b, (F.col(c).isNull().cast("long") for c in plain), F.lit(0).cast("long")
     )
     if "geom" in df.columns:
-        parts = F.col("geom.parts")
-        broken = g.is_kind(F.col("geom"), g.POLYGON_KINDS) & (
-            F.exists(parts, g.ring_is_open)
-            | F.exists(parts, g.ring_is_short)
-            | F.exists(parts, g.ring_crosses_itself)
-        )
+        broken = g.has_open_ring("geom") | g.has_short_ring("geom") | g.crosses_itself("geom")
         kinds = F.array_join(F.array_sort(F.collect_set("geom.kind")), ",")
         valid = F.count_if(F.col("geom").isNotNull() & ~broken)
     else:

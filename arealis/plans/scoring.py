@@ -42,7 +42,7 @@ def map_predictions(
     fine: DataFrame, bounds: DataFrame, coarse: DataFrame, key: str, parent: str, value: str = PREDICTED
 ) -> DataFrame:
     """The coarse matrix with the area-weighted mean of its children's predictions."""
-    weights = bounds.select(key, parent, g.area(F.col("geom")).alias("area"))
+    weights = bounds.select(key, parent, g.area("geom").alias("area"))
     return tables.attach(
         coarse, aggregates.rollup_weighted(fine, weights, key, parent, value), parent
     )

@@ -40,36 +40,33 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return named.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in kept))
 
 
-def _pairs(coords: Column) -> Column:
-    return F.transform(coords, lambda c: g.point(c[0], c[1]))
+def from_geojson(text: str) -> Column:
+    """A GeoJSON geometry in text form to a geometry column; unreadable text to null.
 
-
-def _rings(coords: Column) -> Column:
-    return F.transform(coords, _pairs)
-
-
-def from_geojson(text: Column) -> Column:
-    """A GeoJSON geometry in text form to a geometry column; unreadable text to null."""
-    kind = F.get_json_object(text, "$.type")
-    body = F.get_json_object(text, "$.coordinates")
-
-    def read(depth: int) -> Column:
-        return F.from_json(body, "array<" * depth + "double" + ">" * depth)
-
-    one = g.geometry(kind, F.array(F.array(g.point(read(1)[0], read(1)[1]))))
-    line = g.geometry(kind, F.array(_pairs(read(2))))
-    lines = g.geometry(kind, _rings(read(3)))
-    polygon = g.geometry(kind, g.orient_rings(_rings(read(3))))
-    polygons = g.geometry(
-        kind, F.flatten(F.transform(read(4), lambda p: g.orient_rings(_rings(p))))
-    )
-    return (
-        F.when(kind == "Point", one)
-        .when(kind.isin("LineString", "MultiPoint"), line)
-        .when(kind == "MultiLineString", lines)
-        .when(kind == "Polygon", polygon)
-        .when(kind == "MultiPolygon", polygons)
+    ``text`` is the SQL of the column holding it.
+    """
+    kind = f"get_json_object({text}, '$.type')"
+    body = f"get_json_object({text}, '$.coordinates')"
+
+    def read(depth: int) -> str:
+        return f"from_json({body}, '{'array<' * depth}double{'>' * depth}')"
+
+    def pairs(coords: str) -> str:
+        return f"transform({coords}, c -> {g._point('c[0]', 'c[1]')})"
+
+    def rings(coords: str) -> str:
+        return f"transform({coords}, ring -> {pairs('ring')})"
+
+    one = f"transform(array({read(1)}), c -> array({g._point('c[0]', 'c[1]')}))"
+    many = f"flatten(transform({read(4)}, member -> {g._orient(rings('member'))}))"
+    parts = (
+        f"CASE WHEN {kind} = 'Point' THEN {one}"
+        f" WHEN {kind} IN ('LineString', 'MultiPoint') THEN array({pairs(read(2))})"
+        f" WHEN {kind} = 'MultiLineString' THEN {rings(read(3))}"
+        f" WHEN {kind} = 'Polygon' THEN {g._orient(rings(read(3)))}"
+        f" WHEN {kind} = 'MultiPolygon' THEN {many} END"
     )
+    return g.geometry(kind, parts)
 
 
 def read_geojson(spark: SparkSession, path: str, properties: T.StructType, lines: bool = False) -> DataFrame:
@@ -86,7 +83,7 @@ def read_geojson(spark: SparkSession, path: str, properties: T.StructType, lines
         whole = spark.read.text(path, wholetext=True)
         many = F.from_json("value", f"struct<features:array<{feature}>>")
         rows = whole.select(F.explode(many["features"]).alias("f"))
-    return rows.select("f.properties.*", from_geojson(F.col("f.geometry")).alias("geom"))
+    return rows.select("f.properties.*", from_geojson("f.geometry").alias("geom"))
 
 
 def read_layer_parquet(
@@ -98,8 +95,7 @@ def read_layer_parquet(
     if columns is not None:
         df = df.select(*columns, geom)
     if isinstance(df.schema[geom].dataType, T.BinaryType):
-        df = df.withColumn("geom", decode_wkb(F.col(geom)))
-        return df.drop(geom) if geom != "geom" else df
+        return decode_wkb(df, geom)
     return df.withColumnRenamed(geom, "geom")
 
 

@@ -173,10 +173,10 @@ def roads(spark: SparkSession, sf: str) -> DataFrame:
     x0, y0 = _spot("o_orderkey", 613, 2000), _spot("o_orderkey", 389, 2000)
     x1, y1 = x0 + 10 + k % 30, y0 + k % 12
     points = F.array(g.point(x0, y0), g.point(x1, y0), g.point(x1, y1))
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders").withColumn("points", points).select(
         k.alias("road_id"),
         pick(F.col("o_custkey") % 5, HIGHWAYS).alias("highway"),
-        g.make_line(points).alias("geom"),
+        g.make_line("points").alias("geom"),
     )
 
 
@@ -251,9 +251,10 @@ def water(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     x0, y0 = _spot("s_suppkey", 331), _spot("s_suppkey", 457)
     side = 4 + k % 25
-    line = g.make_line(F.array(g.point(x0, y0), g.point(x0 + side, y0)))
+    line = g.make_line("points")
     shape = F.when(k % 4 == 0, line).otherwise(g.make_box(x0, y0, x0 + side, y0 + side))
-    return table(spark, sf, "supplier").select(
+    points = F.array(g.point(x0, y0), g.point(x0 + side, y0))
+    return table(spark, sf, "supplier").withColumn("points", points).select(
         k.alias("water_id"), F.col("s_name").alias("name"), shape.alias("geom")
     )
 

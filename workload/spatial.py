@@ -76,9 +76,9 @@ FROM (SELECT tree_id, longitude, latitude, {_XI} AS xi, {_ETA} AS eta
 def project(spark, sf):
     raw = tables.drop_missing(ly.raw_trees(spark, sf), ["latitude", "longitude"])
     there = raw.select(
-        "tree_id", projection.project(g.make_point(F.col("longitude"), F.col("latitude"))).alias("geom")
+        "tree_id", projection.forward_point("longitude", "latitude").alias("geom")
     )
-    back = there.withColumn("b", projection.unproject(geom()))
+    back = there.withColumn("b", projection.unproject("geom"))
     return back.select(
         "tree_id",
         F.round("geom.xmin", 3).alias("x"),
@@ -95,7 +95,7 @@ def project(spark, sf):
        (x1 - x0) * (y1 - y0) / 1e6 AS sqkm FROM mesh""",
 )
 def area(spark, sf):
-    return ly.mesh(spark, sf).select("mesh_id", g.area(geom()).alias("sqm")).select(
+    return ly.mesh(spark, sf).select("mesh_id", g.area("geom").alias("sqm")).select(
         "mesh_id", "sqm", (F.col("sqm") / 1e4).alias("ha"), (F.col("sqm") / 1e6).alias("sqkm")
     )
 
@@ -105,7 +105,7 @@ def area(spark, sf):
     ly.cte(ly.ROADS) + "SELECT road_id, (x1 - x0) + (y1 - y0) AS metres FROM roads",
 )
 def length(spark, sf):
-    return ly.roads(spark, sf).select("road_id", g.length(geom()).alias("metres"))
+    return ly.roads(spark, sf).select("road_id", g.length("geom").alias("metres"))
 
 
 @query(
@@ -114,7 +114,7 @@ def length(spark, sf):
 )
 def centroid(spark, sf):
     return (
-        ly.parks(spark, sf).select("park_id", g.centroid(geom()).alias("c")).select("park_id", "c.x", "c.y")
+        ly.parks(spark, sf).select("park_id", g.centroid("geom").alias("c")).select("park_id", "c.x", "c.y")
     )
 
 
@@ -143,8 +143,8 @@ _SX0, _SY0, _SX1, _SY1 = STUDY
 FROM mesh""",
 )
 def bbox_polygon(spark, sf):
-    study = g.bbox_polygon(STUDY)
-    return ly.mesh(spark, sf).select("mesh_id", g.intersects(geom(), study).alias("meets"))
+    held = ly.mesh(spark, sf).withColumn("study", g.bbox_polygon(STUDY))
+    return held.select("mesh_id", g.intersects("geom", "study").alias("meets"))
 
 
 @query(
@@ -156,7 +156,7 @@ FROM mesh WHERE least(x1, {_SX1}e0) > greatest(x0, {_SX0}e0) AND least(y1, {_SY1
 )
 def clip_to_box(spark, sf):
     cut = tables.clip_to_box(ly.mesh(spark, sf), STUDY)
-    return cut.select("mesh_id", g.area(geom()).alias("sqm"), "geom.xmin", "geom.ymax")
+    return cut.select("mesh_id", g.area("geom").alias("sqm"), "geom.xmin", "geom.ymax")
 
 
 @query(
@@ -175,7 +175,7 @@ def convex_hull(spark, sf):
         "geom.ymin",
         "geom.xmax",
         "geom.ymax",
-        g.area(geom()).alias("sqm"),
+        g.area("geom").alias("sqm"),
         F.size(F.col("geom.parts")[0]).cast("long").alias("points"),
     )
 
@@ -204,7 +204,8 @@ def _faulty(spark, sf):
     open_ring = F.array(p(x, y), p(x + w, y), p(x + w, y + w), p(x, y + w))
     ring = F.when(k % 7 == 0, bow).when(k % 11 == 0, short).when(k % 5 == 0, open_ring).otherwise(box)
     base = ly.buildings(spark, sf).select(F.col("building_id").alias("p_partkey"), "geom")
-    return base.select("p_partkey", g.geometry(F.lit("Polygon"), F.array(ring)).alias("geom"))
+    ringed = base.withColumn("ring", ring)
+    return ringed.select("p_partkey", g.geometry("'Polygon'", "array(ring)").alias("geom"))
 
 
 @query(
@@ -231,27 +232,18 @@ def geometry_report(spark, sf):
 )
 def simplify(spark, sf):
     """Each box gets a vertex on every side, which a tolerance must take away again."""
+    middle = "named_struct('x', (p.x + q.x) / 2, 'y', (p.y + q.y) / 2)"
+    pairs = g._steps("r", f"array(p, {middle})")
     dense = ly.mesh(spark, sf).select(
         "mesh_id",
         g.geometry(
-            F.lit("Polygon"),
-            F.transform(
-                "geom.parts",
-                lambda ring: F.concat(
-                    F.flatten(
-                        g.steps(
-                            ring,
-                            lambda a, b: F.array(a, g.point((a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2)),
-                        )
-                    ),
-                    F.slice(ring, 1, 1),
-                ),
-            ),
+            "'Polygon'",
+            f"transform(geom.parts, r -> concat(flatten({pairs}), slice(r, 1, 1)))",
         ).alias("geom"),
     )
     thin = shapes.simplify(dense, 0.125)
     return thin.select(
-        "mesh_id", g.area(geom()).alias("sqm"), F.size(F.col("geom.parts")[0]).cast("long").alias("points")
+        "mesh_id", g.area("geom").alias("sqm"), F.size(F.col("geom.parts")[0]).cast("long").alias("points")
     )
 
 
@@ -307,9 +299,7 @@ def _away(p: str) -> str:
 )
 def join_nearest(spark, sf):
     areas = ly.sa1(spark, sf)
-    spots = areas.select(
-        "sa1", g.let(g.centroid(geom()), lambda c: g.make_point(c["x"], c["y"])).alias("geom")
-    )
+    spots = areas.select("sa1", g.centre_point("geom").alias("geom"))
     near = gridjoin.join_nearest(spots, ly.parks(spark, sf), "sa1")
     return near.withColumn("distance", F.round("distance", 9))
 
@@ -350,7 +340,7 @@ def rollup_weighted(spark, sf):
     areas = ly.sa1(spark, sf)
     held = gridjoin.join_within(ly.trees(spark, sf), areas, "sa1")
     pred = held.groupBy("sa1").agg(F.avg("diameter_breast_height").alias("value"))
-    weights = areas.select("sa1", "sa2", g.area(geom()).alias("area"))
+    weights = areas.select("sa1", "sa2", g.area("geom").alias("area"))
     rolled = aggregates.rollup_weighted(pred, weights, "sa1", "sa2", "value")
     return rolled.withColumn("value", F.round("value", 9))
 
@@ -364,7 +354,7 @@ def rollup_weighted(spark, sf):
 def dissolve(spark, sf):
     merged = aggregates.dissolve(ly.mesh(spark, sf), "SA2_MAIN16", "UHI18_M")
     return merged.groupBy("SA2_MAIN16", "UHI18_M").agg(
-        F.sum(g.area(geom())).alias("sqm"),
+        F.sum(g.area("geom")).alias("sqm"),
         F.sum(F.size("geom.parts")).alias("parts"),
         F.min("geom.xmin").alias("xmin"),
         F.max("geom.ymax").alias("ymax"),
@@ -700,7 +690,7 @@ def clean_canopy(spark, sf):
     clean = cleaning.clean_canopy(ly.canopy(spark, sf), STUDY, grid=None)
     return clean.agg(
         F.count(F.lit(1)).alias("shapes"),
-        F.sum(g.area(geom())).alias("sqm"),
+        F.sum(g.area("geom")).alias("sqm"),
         F.min("geom.xmin").alias("xmin"),
         F.max("geom.ymax").alias("ymax"),
     )
@@ -736,7 +726,7 @@ def clean_osm(spark, sf):
     none = F.lit(None).cast("double")
     picked = [
         ("buildings", "building", F.col("building_area_sqm")),
-        ("roads", "highway", g.length(geom())),
+        ("roads", "highway", g.length("geom")),
         ("parks", "leisure", none),
         ("water", "natural", none),
     ]
@@ -761,7 +751,7 @@ FROM mesh WHERE least(x1, {_SX1}e0) > greatest(x0, {_SX0}e0) AND least(y1, {_SY1
 )
 def clean_polygons(spark, sf):
     clean = cleaning.clean_polygons(ly.mesh(spark, sf), STUDY, grid=None)
-    return clean.select("mesh_id", "UHI18_M", g.area(geom()).alias("sqm"), "quarantined")
+    return clean.select("mesh_id", "UHI18_M", g.area("geom").alias("sqm"), "quarantined")
 
 
 @query(
