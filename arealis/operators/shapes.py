@@ -41,7 +41,7 @@ def _partial_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(kept, columns=["x", "y"])
 
 
-def convex_hull(df: DataFrame, geom: str = "geom", fan_in: int = 64) -> DataFrame:
+def convex_hull(df: DataFrame, geom: str = "geom") -> DataFrame:
     """One row ``geom``: the convex hull of the shapes' centroids.
 
     The hull of hulls is the hull: every task reduces its rows to a few corners,
@@ -55,7 +55,7 @@ def convex_hull(df: DataFrame, geom: str = "geom", fan_in: int = 64) -> DataFram
         .select("c.x", "c.y")
     )
     corners = points.mapInPandas(_partial_hulls, "x double, y double")
-    corners = corners.repartition(fan_in, "x", "y").mapInPandas(_partial_hulls, "x double, y double")
+    corners = corners.repartition("x", "y").mapInPandas(_partial_hulls, "x double, y double")
     last = corners.coalesce(1).mapInPandas(_ring_rows, f"ring array<{g.POINT_TYPE}>")
     return last.select(g.make_polygon("array(ring)").alias(geom))
 
