@@ -27,6 +27,8 @@ POINT_KINDS = ("Point", "MultiPoint")
 
 # Overlaps below this many square metres are rounding noise, not pieces.
 MIN_PIECE_AREA = 1e-6
+# The same for lines, in metres.
+MIN_PIECE_LENGTH = 1e-9
 
 # A point on an edge adds this to its winding number, which marks it as not
 # strictly inside whatever the other edges say.
@@ -337,70 +339,52 @@ def edge_pair(e: str, h: str, y0: str, lo: str, hi: str) -> dict[str, str]:
     }
 
 
-def overlap_area(left: str, right: str, y0: str, lo: str, hi: str) -> Column:
-    """Area of the intersection of two polygons given by their edges."""
-    parts = edge_pair("e", "h", y0, lo, hi)
-    shared = f"least(e.xr, h.xr, {hi}) > greatest(e.xl, h.xl, {lo})"
-    heights = ", ".join(
-        f"'{n}', {parts[n].format(a='r.a', b='r.b')}" for n in ("fa", "fb", "ga", "gb")
-    )
-    term = _let(
-        "r",
-        f"named_struct('a', {parts['a']}, 'b', {parts['b']})",
-        f"named_struct('w', r.b - r.a, 's', e.s * h.s, {heights})",
-    )
-    terms = (
-        f"flatten(transform(filter({right}, h -> h.s <> 0), h ->"
-        f" transform(filter({left}, e -> e.s <> 0 AND {shared}), e -> {term})))"
-    )
-    under = area_under_both("t.w", "t.s", "t.fa", "t.fb", "t.ga", "t.gb")
-    return F.expr(f"aggregate({terms}, 0D, (acc, t) -> acc + {under})")
-
-
-def _inside_share(lo: str, hi: str) -> str:
-    """Signed share of segment ``g`` lying under edge ``e`` with x in [lo, hi)."""
-    dx, dy = "(g.x1 - g.x0)", "(g.y1 - g.y0)"
-    left, right = f"greatest(e.xl, {lo})", f"least(e.xr, {hi})"
-    ta, tb = f"(({left} - g.x0) / {dx})", f"(({right} - g.x0) / {dx})"
-    interval = (
-        f"CASE WHEN {dx} = 0 THEN named_struct('a', 0D, 'b',"
-        f" if(g.x0 >= {left} AND g.x0 < {right}, 1D, 0D))"
-        f" ELSE named_struct('a', least(greatest(least({ta}, {tb}), 0D), 1D),"
-        f" 'b', least(greatest(greatest({ta}, {tb}), 0D), 1D)) END"
-    )
+def inside_length(e: str, g: str, lo: str, hi: str) -> list[dict[str, str]]:
+    """The signed length of segment ``g`` under edge ``e`` with x in [lo, hi), in steps.
+
+    Each step names columns made from those of the steps before; the last one is
+    ``_inside``. Summed over all edges of a closed polygon it is the length inside.
+    """
+    left, right = f"greatest({e}.xl, {lo})", f"least({e}.xr, {hi})"
 
     def gap(t: str) -> str:
-        x = f"(g.x0 + {t} * {dx})"
-        return f"({_height('e', x, '0D')} - (g.y0 + {t} * {dy}))"
-
-    # Along the edge itself the segment counts as inside: an upper edge adds it,
-    # a lower edge must not take it away again.
-    part = (
-        "CASE WHEN k.p = 0 AND k.q = 0 THEN if(e.s > 0, r.b - r.a, 0D)"
-        " WHEN k.p >= 0 AND k.q >= 0 THEN r.b - r.a"
-        " WHEN k.p <= 0 AND k.q <= 0 THEN 0D"
-        " ELSE (r.b - r.a) * greatest(k.p, k.q) / (abs(k.p) + abs(k.q)) END"
-    )
-    ends = f"named_struct('p', {gap('r.a')}, 'q', {gap('r.b')})"
-    share = f"CASE WHEN r.b > r.a THEN {_let('k', ends, part)} ELSE 0D END"
-    slanted = f"e.s * {_let('r', interval, share)}"
-    # A vertical segment on a right-hand border is outside by the half-open
-    # rule above, but a closed polygon holds it.
-    overlap = "(least(greatest(g.y0, g.y1), e.yr) - greatest(least(g.y0, g.y1), e.yl))"
-    on_right = f"{dx} = 0 AND {dy} <> 0 AND e.v > 0 AND g.x0 = e.xl AND e.xl >= {lo} AND e.xl < {hi}"
-    upright = f"CASE WHEN {on_right} AND {overlap} > 0 THEN {overlap} / abs({dy}) ELSE 0D END"
-    return f"CASE WHEN e.s <> 0 THEN {slanted} ELSE {upright} END"
-
-
-def overlap_length(edge_list: str, segment_list: str, lo: str, hi: str) -> Column:
-    """Length of a line inside a closed polygon given by its edges."""
-    near = (
-        "e.xl <= greatest(g.x0, g.x1) AND e.xr >= least(g.x0, g.x1)"
-        " AND greatest(e.yl, e.yr) >= least(g.y0, g.y1)"
+        """How far the edge lies above the segment at parameter ``t``."""
+        x = f"({g}.x0 + {t} * _dx)"
+        return f"{_height(e, x, '0D')} - ({g}.y0 + {t} * _dy)"
+
+    # Where the segment lies along the edge it counts as inside: an upper edge adds
+    # it, a lower edge must not take it away again.
+    share = (
+        "CASE WHEN _tb <= _ta THEN 0D"
+        f" WHEN _p = 0 AND _q = 0 THEN if({e}.s > 0, _tb - _ta, 0D)"
+        " WHEN _p >= 0 AND _q >= 0 THEN _tb - _ta"
+        " WHEN _p <= 0 AND _q <= 0 THEN 0D"
+        " ELSE (_tb - _ta) * greatest(_p, _q) / (abs(_p) + abs(_q)) END"
     )
-    share = _total(f"transform(filter({edge_list}, e -> {near}), e -> {_inside_share(lo, hi)})")
-    one = f"{share} * hypot(g.x1 - g.x0, g.y1 - g.y0)"
-    return F.expr(_total(f"transform({segment_list}, g -> {one})"))
+    # A vertical segment on a right-hand border is outside by the half-open rule for
+    # x, but a closed polygon holds it.
+    overlap = f"(least(greatest({g}.y0, {g}.y1), {e}.yr) - greatest(least({g}.y0, {g}.y1), {e}.yl))"
+    on_right = f"_dx = 0 AND {e}.v > 0 AND {g}.x0 = {e}.xl AND {e}.xl >= {lo} AND {e}.xl < {hi}"
+    return [
+        {"_dx": f"{g}.x1 - {g}.x0", "_dy": f"{g}.y1 - {g}.y0"},
+        {
+            "_t0": f"CASE WHEN _dx <> 0 THEN ({left} - {g}.x0) / _dx ELSE 0D END",
+            "_t1": f"CASE WHEN _dx <> 0 THEN ({right} - {g}.x0) / _dx"
+            f" WHEN {g}.x0 >= {left} AND {g}.x0 < {right} THEN 1D ELSE 0D END",
+        },
+        {
+            "_ta": "least(greatest(least(_t0, _t1), 0D), 1D)",
+            "_tb": "least(greatest(greatest(_t0, _t1), 0D), 1D)",
+        },
+        {
+            "_p": f"CASE WHEN {e}.s <> 0 THEN {gap('_ta')} END",
+            "_q": f"CASE WHEN {e}.s <> 0 THEN {gap('_tb')} END",
+        },
+        {
+            "_inside": f"CASE WHEN {e}.s <> 0 THEN {e}.s * ({share}) * hypot(_dx, _dy)"
+            f" WHEN {on_right} THEN greatest({overlap}, 0D) ELSE 0D END"
+        },
+    ]
 
 
 def point_segment_distance(x: str, y: str, g: str) -> Column:

@@ -38,7 +38,6 @@ class JoinSettings:
     max_edges: int = 2048
     level_step: int = 2
     refine: int = 2
-    exploded_edges: int = 24
 
 
 DEFAULT = JoinSettings()
@@ -319,10 +318,42 @@ def _box_pairs(source: DataFrame, ready: PreparedAreas, geom: str = "geom") -> D
     return _join_cells(left, cells, fits, salt_on, settings).where(meet).drop(*CELL, "_salt")
 
 
-# Area edges that can matter to the source's box.
-_LOCAL_EDGES = (
-    "filter(_edges, e -> e.xr >= _sxmin AND e.xl <= _sxmax AND greatest(e.yl, e.yr) >= _symin)"
-)
+def area_terms(
+    source: DataFrame,
+    areas: Areas,
+    key: str,
+    geom: str = "geom",
+    out: str = "term",
+    settings: JoinSettings = DEFAULT,
+) -> DataFrame:
+    """Signed parts whose sum over a source row and an area is their overlap area.
+
+    One row per pair of edges sharing some x, so the arithmetic runs in generated
+    code. Sums per area need nothing else: partial aggregation leaves one row per
+    area and task to shuffle.
+    """
+    ready = _prepared(areas, key, settings)
+    polygons = source.where(g.is_kind(geom, g.POLYGON_KINDS))
+    kept = [c for c in _source_names(source) if c not in (geom, key)]
+    parts = g.edge_pair("_e", "_h", "_y0", "_lo", "_hi")
+    heights = [f"{parts[n].format(a='_a', b='_b')} AS _{n}" for n in ("fa", "fb", "ga", "gb")]
+    own = f"filter({g._edges(geom)}, e -> e.s <> 0)"
+    rows = (
+        _box_pairs(polygons, ready, geom)
+        .selectExpr(
+            *kept, f"_key AS `{key}`", "greatest(_symin, _aymin) AS _y0", "_lo", "_hi", "_edges",
+            "_sxmin", "_sxmax", "_symin", f"explode({own}) AS _e",
+        )
+        .selectExpr("*", "explode(_edges) AS _h")
+        .where(
+            "_h.s <> 0 AND greatest(_h.yl, _h.yr) >= _symin"
+            f" AND {parts['b']} > {parts['a']}"
+        )
+        .selectExpr(*kept, key, "_e", "_h", "_y0", f"{parts['a']} AS _a", f"{parts['b']} AS _b")
+        .selectExpr(*kept, key, "_b - _a AS _w", "_e.s * _h.s AS _s", *heights)
+    )
+    term = g.area_under_both("_w", "_s", "_fa", "_fb", "_ga", "_gb")
+    return rows.selectExpr(*kept, key, f"{term} AS `{out}`")
 
 
 def overlay_area(
@@ -339,53 +370,49 @@ def overlay_area(
     ``id_cols`` identify a source row. Pairs that only touch are left out. The
     pieces themselves are never built: their area is a closed form of the edges.
     """
-    ready = _prepared(areas, key, settings)
-    stats, settings = ready.stats, ready.settings
-    polygons = source.where(g.is_kind(geom, g.POLYGON_KINDS))
-    kept = [c for c in _source_names(source) if c not in (geom, key)]
-    shaped = _box_pairs(polygons, ready, geom).select(
-        *kept,
-        F.col("_key").alias(key),
-        g.edges(geom).alias("_own_edges"),
-        F.expr(_LOCAL_EDGES).alias("_edges"),
-        F.expr("greatest(_symin, _aymin)").alias("_y0"),
-        "_lo",
-        "_hi",
-    )
-    few = settings.exploded_edges
-    if stats.mean_edges > few or stats.max_edges > 4 * few:
-        return _summed_by_edge(shaped, kept, key, id_cols, out)
-    found = shaped.select(
-        *kept, key, g.overlap_area("_edges", "_own_edges", "_y0", "_lo", "_hi").alias(out)
-    )
-    return found.where(f"`{out}` > {g.MIN_PIECE_AREA}D")
+    terms = area_terms(source, areas, key, geom, "_t", settings)
+    return _per_pair(terms, key, id_cols, out).where(F.col(out) > g.MIN_PIECE_AREA)
 
 
-def _summed_by_edge(
-    shaped: DataFrame, kept: list[str], key: str, id_cols: list[str], out: str
-) -> DataFrame:
-    """The same sum with one row per edge pair, for shapes with many vertices.
+def _per_pair(terms: DataFrame, key: str, id_cols: list[str], out: str) -> DataFrame:
+    """Terms summed per source row and area.
 
-    The arithmetic then runs in generated code. All edge pairs of a pair of shapes
-    arise in one task, so partial aggregation leaves one row per pair to shuffle.
+    All terms of a pair arise in one task (one per strip of a split area), so partial
+    aggregation leaves about one row per pair to shuffle.
     """
-    parts = g.edge_pair("_e", "_h", "_y0", "_lo", "_hi")
-    heights = [f"{parts[n].format(a='_a', b='_b')} AS _{n}" for n in ("fa", "fb", "ga", "gb")]
+    kept = _source_names(terms.drop("_t", key))
     rest = [c for c in kept if c not in id_cols]
-    rows = (
-        shaped.selectExpr("*", "explode(filter(_own_edges, e -> e.s <> 0)) AS _e")
-        .drop("_own_edges")
-        .selectExpr("*", "explode(_edges) AS _h")
-        .drop("_edges")
-        .where(f"_h.s <> 0 AND {parts['b']} > {parts['a']}")
-        .selectExpr("*", f"{parts['a']} AS _a", f"{parts['b']} AS _b")
-        .selectExpr(*kept, key, "_b - _a AS _w", "_e.s * _h.s AS _s", *heights)
+    summed = terms.groupBy(*id_cols, key).agg(
+        F.sum("_t").alias(out), *(F.first(c).alias(c) for c in rest)
     )
-    term = F.expr(g.area_under_both("_w", "_s", "_fa", "_fb", "_ga", "_gb"))
-    summed = rows.groupBy(*id_cols, key).agg(
-        F.sum(term).alias(out), *(F.first(c).alias(c) for c in rest)
+    return summed.select(*kept, key, out)
+
+
+def length_terms(
+    lines: DataFrame,
+    areas: Areas,
+    key: str,
+    geom: str = "geom",
+    out: str = "term",
+    settings: JoinSettings = DEFAULT,
+) -> DataFrame:
+    """Signed parts whose sum over a line and an area is the line's length inside it."""
+    ready = _prepared(areas, key, settings)
+    only = lines.where(g.is_kind(geom, g.LINE_KINDS))
+    kept = [c for c in _source_names(lines) if c not in (geom, key)]
+    near = (
+        "_e.xl <= greatest(_g.x0, _g.x1) AND _e.xr >= least(_g.x0, _g.x1)"
+        " AND greatest(_e.yl, _e.yr) >= least(_g.y0, _g.y1)"
+    )
+    rows = (
+        _box_pairs(only, ready, geom)
+        .selectExpr(*kept, f"_key AS `{key}`", "_lo", "_hi", "_edges", f"explode({g._segments(geom)}) AS _g")
+        .selectExpr("*", "explode(_edges) AS _e")
+        .where(near)
     )
-    return summed.where(F.col(out) > g.MIN_PIECE_AREA).select(*kept, key, out)
+    for step in g.inside_length("_e", "_g", "_lo", "_hi"):
+        rows = rows.selectExpr("*", *(f"{body} AS {name}" for name, body in step.items()))
+    return rows.selectExpr(*kept, key, f"_inside AS `{out}`")
 
 
 def overlay_length(
@@ -401,26 +428,8 @@ def overlay_length(
 
     A line along a shared border counts in both areas.
     """
-    ready = _prepared(areas, key, settings)
-    only = lines.where(g.is_kind(geom, g.LINE_KINDS))
-    kept = [c for c in _source_names(lines) if c not in (geom, key)]
-    pairs = _box_pairs(only, ready, geom).select(
-        *kept,
-        F.col("_key").alias(key),
-        F.expr(_LOCAL_EDGES).alias("_edges"),
-        g.segments(geom).alias("_segments"),
-        "_lo",
-        "_hi",
-    )
-    measured = pairs.select(
-        *kept, key, g.overlap_length("_edges", "_segments", "_lo", "_hi").alias(out)
-    )
-    if ready.stats.split:
-        rest = [c for c in kept if c not in id_cols]
-        measured = measured.groupBy(*id_cols, key).agg(
-            F.sum(out).alias(out), *(F.first(c).alias(c) for c in rest)
-        )
-    return measured.where(F.col(out) > 0).select(*kept, key, out)
+    terms = length_terms(lines, areas, key, geom, "_t", settings)
+    return _per_pair(terms, key, id_cols, out).where(F.col(out) > g.MIN_PIECE_LENGTH)
 
 
 # --- nearest -----------------------------------------------------------------

@@ -6,13 +6,16 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Values in the bracket around a rank are read directly once this few are left.
+# Short columns, by cells, are left to the built-in percentile.
+_DIRECT_CELLS = 2_000_000
+# Once a value range holds this few rows they are sorted as one list.
 _DIRECT_ROWS = 200_000
 _BUCKETS = 1024
+_PROBES = [i / _BUCKETS for i in range(1, _BUCKETS)]
 
 
 def value_buckets(df: DataFrame, col: str, cuts: Sequence[float], out: str) -> DataFrame:
@@ -20,41 +23,79 @@ def value_buckets(df: DataFrame, col: str, cuts: Sequence[float], out: str) -> D
     if not cuts:
         return df.withColumn(out, F.lit(0))
     splits = [-math.inf, *cuts, math.inf]
-    placed = Bucketizer(splits=splits, inputCol=col, outputCol="_at").transform(df)
+    placed = Bucketizer(splits=splits, inputCol=col, outputCol="_at", handleInvalid="keep").transform(df)
     at = F.col("_at").cast("int")
     own = F.get(F.lit([float(c) for c in cuts]), at - 1) == F.col(col)
     return placed.withColumn(out, at * 2 - F.coalesce(own, F.lit(False)).cast("int")).drop("_at")
 
 
-def _at_rank(values: DataFrame, rank: int, rows: int) -> float:
-    """The value at a 0-based rank of column ``v``.
+def _bucket_counts(numbers: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[Row]]:
+    """Rows, smallest and largest value of each range, for all columns in one pass."""
+    placed, items = numbers, []
+    for i, (c, spots) in enumerate(cuts.items()):
+        placed = value_buckets(placed, c, spots, f"_b{i}")
+        items.append(f"named_struct('i', {i}, 'b', _b{i}, 'v', `{c}`)")
+    long = placed.selectExpr(f"inline(array({', '.join(items)}))").where("v IS NOT NULL")
+    counted = (
+        long.groupBy("i", "b")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .orderBy("i", "b")
+        .collect()
+    )
+    return {c: [r for r in counted if r.i == i] for i, c in enumerate(cuts)}
+
 
-    Each pass counts a few hundred value buckets and keeps the one holding the
-    rank. Equal values share a bucket, so a value repeated any number of times ends
-    the search rather than growing a task.
+def _at_ranks(
+    numbers: DataFrame, wanted: Sequence[tuple[str, int]]
+) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks of several columns.
+
+    Each pass splits every column into value ranges and counts them; only the range
+    holding a wanted rank is split further. Equal values make a range by themselves,
+    so a value repeated any number of times ends the search instead of filling a task.
     """
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    left = values
-    while low < high:
-        if rows <= _DIRECT_ROWS:
-            share = rank / (rows - 1) if rows > 1 else 0.0
-            return left.agg(F.percentile("v", F.lit(share))).first()[0]
-        probes = [(i + 1) / _BUCKETS for i in range(_BUCKETS - 1)]
-        cuts = sorted(set(left.approxQuantile("v", probes, 1 / (4 * _BUCKETS))))
-        counted = (
-            value_buckets(left, "v", cuts, "b")
-            .groupBy("b")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("b")
-            .collect()
+    cols = list(dict.fromkeys(c for c, _ in wanted))
+    first = numbers.approxQuantile(cols, _PROBES, 1 / (4 * _BUCKETS))
+    cuts = {c: sorted(set(q)) for c, q in zip(cols, first, strict=True)}
+    found: dict[tuple[str, int], float] = {}
+    short: dict[tuple[str, int], tuple[float, float, int]] = {}
+    pending = list(wanted)
+    while pending:
+        counted = _bucket_counts(numbers, {c: cuts[c] for c in dict.fromkeys(c for c, _ in pending)})
+        wide = set()
+        for c, rank in pending:
+            left = rank
+            for row in counted[c]:
+                if left < row.n:
+                    break
+                left -= row.n
+            if row.lo == row.hi:
+                found[c, rank] = row.lo
+            elif row.n <= _DIRECT_ROWS:
+                short[c, rank] = (row.lo, row.hi, left)
+            else:
+                wide.add((c, row.lo, row.hi))
+        pending = [t for t in pending if t not in found and t not in short]
+        for c, lo, hi in wide:
+            part = numbers.where(F.col(c).between(lo, hi))
+            cuts[c] = sorted({*cuts[c], *part.approxQuantile(c, _PROBES, 1 / (4 * _BUCKETS))})
+    if short:
+        keys = list(short)
+        items = [
+            f"named_struct('t', {i}, 'v', if(`{c}` BETWEEN CAST('{short[c, r][0]!r}' AS DOUBLE)"
+            f" AND CAST('{short[c, r][1]!r}' AS DOUBLE), `{c}`, NULL))"
+            for i, (c, r) in enumerate(keys)
+        ]
+        lists = (
+            numbers.selectExpr(f"inline(array({', '.join(items)}))")
+            .where("v IS NOT NULL")
+            .groupBy("t")
+            .agg(F.sort_array(F.collect_list("v")).alias("vs"))
         )
-        for row in counted:
-            if rank < row.n:
-                break
-            rank -= row.n
-        low, high, rows = row.lo, row.hi, row.n
-        left = left.where((F.col("v") >= low) & (F.col("v") <= high))
-    return low
+        spots = F.lit([short[k][2] for k in keys])
+        for row in lists.select("t", F.get("vs", F.get(spots, F.col("t"))).alias("v")).collect():
+            found[keys[row.t]] = row.v
+    return found
 
 
 def exact_quantiles(
@@ -62,32 +103,28 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column, nulls and NaN skipped.
 
-    Short columns take one built-in ``percentile`` job. Longer ones are narrowed
-    pass by pass, as ``percentile`` would hold every distinct value in one task.
+    Short tables take one built-in ``percentile`` job. Longer ones are narrowed by
+    counting, as ``percentile`` would hold every distinct value in one task.
     """
     clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols]
     numbers = df.select(*clean)
     counts = numbers.agg(*(F.count(c).alias(c) for c in cols)).first().asDict()
-    short = [c for c in cols if counts[c] <= _DIRECT_ROWS]
-    out: dict[str, list[float | None]] = {}
-    if short:
-        wanted = F.array(*(F.lit(float(s)) for s in shares))
-        got = numbers.agg(*(F.percentile(c, wanted).alias(c) for c in short)).first()
-        out.update({c: list(got[c]) if got[c] is not None else [None] * len(shares) for c in short})
-    for c in (c for c in cols if c not in short):
-        values = numbers.select(F.col(c).alias("v")).where(F.col("v").isNotNull())
-        found: list[float | None] = []
-        seen: dict[int, float] = {}
-        for share in shares:
-            spot = share * (counts[c] - 1)
-            below, above = math.floor(spot), math.ceil(spot)
-            for rank in (below, above):
-                if rank not in seen:
-                    seen[rank] = _at_rank(values, rank, counts[c])
-            part = spot - below
-            found.append(seen[below] + (seen[above] - seen[below]) * part)
-        out[c] = found
-    return out
+    if sum(counts.values()) <= _DIRECT_CELLS:
+        spots = F.array(*(F.lit(float(s)) for s in shares))
+        got = numbers.agg(*(F.percentile(c, spots).alias(c) for c in cols)).first()
+        return {c: list(got[c]) if got[c] is not None else [None] * len(shares) for c in cols}
+    spots = {(c, s): s * (counts[c] - 1) for c in cols for s in shares if counts[c]}
+    wanted = {(c, r) for (c, _), x in spots.items() for r in (math.floor(x), math.ceil(x))}
+    found = _at_ranks(numbers, sorted(wanted))
+
+    def value(c: str, share: float) -> float | None:
+        if not counts[c]:
+            return None
+        spot = spots[c, share]
+        below, above = found[c, math.floor(spot)], found[c, math.ceil(spot)]
+        return below + (above - below) * (spot - math.floor(spot))
+
+    return {c: [value(c, s) for s in shares] for c in cols}
 
 
 def running_total(
@@ -100,8 +137,8 @@ def running_total(
     the ranges before them.
     """
     rows = df.count()
-    probes = [i / _BUCKETS for i in range(1, _BUCKETS)]
-    cuts = [] if rows <= _DIRECT_ROWS else sorted(set(df.approxQuantile(order, probes, 1 / (4 * _BUCKETS))))
+    few = rows <= _DIRECT_ROWS
+    cuts = [] if few else sorted(set(df.approxQuantile(order, _PROBES, 1 / (4 * _BUCKETS))))
     split = value_buckets(df, order, cuts, "_b")
     # One row per bucket, so this window is short.
     heads = split.groupBy("_b").agg(F.sum(weight).alias("_t"))

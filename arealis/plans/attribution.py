@@ -133,12 +133,17 @@ def shap_values(x: np.ndarray, groups: Sequence[LeafPaths]) -> np.ndarray:
 
 
 def tree_shap(
-    model: PipelineModel, df: DataFrame, key: str, features: Sequence[str]
+    model: PipelineModel,
+    df: DataFrame,
+    key: str,
+    features: Sequence[str],
+    tasks: int | None = None,
 ) -> DataFrame:
     """``key, feature, value, shap, base_value``, one row per row and feature.
 
     Rows are imputed by the model's own first stage. The leaf table is broadcast and
-    rows are independent, so this is a single pass without a shuffle.
+    rows are independent, so this is a single pass without a shuffle. ``tasks``
+    spreads rows that come from fewer files than there are cores.
     """
     spark = df.sparkSession
     last = model.stages[-1]
@@ -167,6 +172,8 @@ def tree_shap(
     filled = model.stages[0].transform(df).select(
         key, *(F.col(c + FILLED).alias(c) for c in names)
     )
+    if tasks:
+        filled = filled.repartition(tasks, key)
     kind = df.schema[key].dataType.simpleString()
     return filled.mapInPandas(
         explain, f"{key} {kind}, feature string, value double, shap double, base_value double"

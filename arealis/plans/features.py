@@ -110,10 +110,9 @@ def tree_features(
 
 def _covered_area(layer: DataFrame, areas: gridjoin.Areas, key: str, out: str) -> DataFrame:
     """Summed overlap per area; overlapping source shapes count twice."""
-    # Only the shapes are needed, and a sum does not need to tell pairs apart.
-    slim = layer.select(F.struct("geom.xmin", "geom.ymin", "geom.xmax", "geom.ymax").alias("shape_id"), "geom")
-    pieces = gridjoin.overlay_area(slim, areas, key, ["shape_id"])
-    return pieces.groupBy(key).agg(F.sum("piece_area").alias(out))
+    terms = gridjoin.area_terms(layer.select("geom"), areas, key)
+    summed = terms.groupBy(key).agg(F.sum("term").alias(out))
+    return summed.where(F.col(out) > g.MIN_PIECE_AREA)
 
 
 def canopy_features(
@@ -180,19 +179,14 @@ def building_features(
 
 
 def road_features(
-    roads: DataFrame,
-    areas: DataFrame,
-    key: str,
-    id_cols: Sequence[str] = (),
-    ready: Ready = None,
+    roads: DataFrame, areas: DataFrame, key: str, ready: Ready = None
 ) -> DataFrame:
     """Clipped road length and density, and road surface from a width per class."""
-    slim = roads.select(*id_cols, "highway", "geom")
-    pieces = gridjoin.overlay_length(slim, ready or areas, key, [*id_cols, "highway"])
     width = v.lookup_first(F.col("highway"), v.ROAD_WIDTH_M, v.DEFAULT_ROAD_WIDTH_M)
-    stats = pieces.groupBy(key).agg(
-        F.sum("clipped_length").alias("metres"),
-        F.sum(F.col("clipped_length") * width).alias("surface"),
+    slim = roads.select(width.alias("width"), "geom")
+    terms = gridjoin.length_terms(slim, ready or areas, key)
+    stats = terms.groupBy(key).agg(
+        F.sum("term").alias("metres"), F.sum(F.col("term") * F.col("width")).alias("surface")
     )
     full = on_every_area(areas, stats, key).fillna({"metres": 0.0, "surface": 0.0})
     km = F.col("metres") / 1000.0
@@ -236,7 +230,6 @@ def urban_features(
     water: DataFrame,
     areas: DataFrame,
     key: str,
-    road_ids: Sequence[str] = (),
     ready: Ready = None,
 ) -> DataFrame:
     """All built-form features with the share of sealed surface, capped at 1."""
@@ -244,7 +237,7 @@ def urban_features(
     joined = tables.join_common(
         [
             building_features(buildings, areas, key, ready),
-            road_features(roads, areas, key, road_ids, ready),
+            road_features(roads, areas, key, ready),
             park_water_features(parks, water, areas, key, ready),
             distance_features(areas, parks, water, key),
             area_sizes(areas, key),
@@ -293,8 +286,7 @@ def demographic_features(
 class Layers:
     """The cleaned layers a matrix is built from, all in metres.
 
-    ``polygon_ids`` identify a row of the vegetation, heat and people layers;
-    ``road_ids`` a road.
+    ``polygon_ids`` identify a row of the vegetation, heat and people layers.
     """
 
     trees: DataFrame
@@ -307,7 +299,6 @@ class Layers:
     heat: DataFrame
     people: DataFrame
     polygon_ids: tuple[str, ...]
-    road_ids: tuple[str, ...] = ()
 
 
 def feature_matrix(layers: Layers, areas: DataFrame, key: str, name: str) -> DataFrame:
@@ -331,7 +322,6 @@ def feature_matrix(layers: Layers, areas: DataFrame, key: str, name: str) -> Dat
             layers.water,
             areas,
             key,
-            layers.road_ids,
             ready,
         ),
         heat_target(layers.heat, areas, key, ids, ready),

@@ -204,19 +204,19 @@ SELECT 'Mean baseline' AS model, round(avg("RMSE"), 6) AS "RMSE_mean", round(std
 )
 def grouped_cv(spark, sf):
     only = {training.BASELINE: builders()[training.BASELINE]}
-    found = training.grouped_cv(only, ly.model_table(spark, sf), "grp", "y")
+    found = training.grouped_cv(only, ly.model_table(spark, sf), "grp", "y", features=X)
     return found.withColumns({c: F.round(c, 6) for c in found.columns if c != "model"})
 
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    return training.grouped_cv(builders(), ly.model_table(spark, sf), "grp", "y", 3, SMALL)
+    return training.grouped_cv(builders(), ly.model_table(spark, sf), "grp", "y", 3, SMALL, X)
 
 
 @query("random_search")
 def random_search(spark, sf):
     found = training.random_search(
-        builders()[training.RIDGE], training.RIDGE_GRID, ly.model_table(spark, sf), "grp", "y", n=4, k=3
+        builders()[training.RIDGE], training.RIDGE_GRID, ly.model_table(spark, sf), "grp", "y", n=4, k=3, features=X
     )
     rows = [(str(p), rmse, p == found.best_params) for p, rmse in found.tried]
     return spark.createDataFrame(rows, "params string, rmse double, best boolean")
@@ -393,7 +393,8 @@ def snapshot(spark, sf):
 @query("tree_shap")
 def tree_shap(spark, sf):
     model = fitted(spark, sf, training.FOREST)
-    return attribution.tree_shap(model, ly.model_table(spark, sf), "row_id", X)
+    cores = spark.sparkContext.defaultParallelism
+    return attribution.tree_shap(model, ly.model_table(spark, sf), "row_id", X, cores)
 
 
 @query(
@@ -403,7 +404,7 @@ def tree_shap(spark, sf):
 def shap_check(spark, sf):
     """Base value plus contributions against the prediction, for every row."""
     model, data = fitted(spark, sf, training.BOOSTED_LEVEL), ly.model_table(spark, sf)
-    shap = attribution.tree_shap(model, data, "row_id", X)
+    shap = attribution.tree_shap(model, data, "row_id", X, spark.sparkContext.defaultParallelism)
     predicted = model.transform(data).select("row_id", "prediction")
     checked = attribution.shap_check(shap, predicted, "row_id", "prediction")
     return checked.select("rows_checked", (F.col("largest_gap") < 1e-6).alias("exact"))

@@ -470,7 +470,7 @@ _ROAD_CTE = f"""road_stats AS (SELECT sa2, sum({ly.clipped_road("a")}) AS metres
 FROM sa2 a LEFT JOIN road_stats USING (sa2)""",
 )
 def road_features(spark, sf):
-    found = features.road_features(ly.roads(spark, sf), ly.sa2(spark, sf), "sa2", ["road_id"])
+    found = features.road_features(ly.roads(spark, sf), ly.sa2(spark, sf), "sa2")
     return rounded(rounded(found, ["road_length_km", "estimated_road_area_sqm"], 6), ["road_density_km_per_sqkm"], 3)
 
 
@@ -559,7 +559,6 @@ def urban_features(spark, sf):
             ly.water(spark, sf),
             ly.sa2(spark, sf),
             "sa2",
-            ["road_id"],
         )
     )
 
@@ -599,7 +598,6 @@ def matrix_layers(spark, sf) -> features.Layers:
         heat=mesh,
         people=mesh,
         polygon_ids=("mesh_id",),
-        road_ids=("road_id",),
     )
 
 
