@@ -146,8 +146,19 @@ def bbox_polygon(bbox: BBox) -> Column:
     return make_box(*(F.lit(float(v)) for v in bbox))
 
 
-def make_line(points: str) -> Column:
-    return geometry("'LineString'", f"array({points})")
+def make_line(*points: tuple[Column, Column]) -> Column:
+    """Line through a few given points."""
+    xs = [x.cast("double") for x, _ in points]
+    ys = [y.cast("double") for _, y in points]
+    listed = F.array(*(point(x, y) for x, y in zip(xs, ys, strict=True)))
+    return F.struct(
+        F.lit("LineString").alias("kind"),
+        F.array(listed).alias("parts"),
+        F.least(*xs).alias("xmin"),
+        F.least(*ys).alias("ymin"),
+        F.greatest(*xs).alias("xmax"),
+        F.greatest(*ys).alias("ymax"),
+    )
 
 
 def make_polygon(rings: str) -> Column:

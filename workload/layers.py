@@ -17,8 +17,28 @@ LIFE_CLASSES = [*v.USEFUL_LIFE_YEARS, v.NOT_ASSESSED]
 HIGHWAYS = ["residential", "motorway", "primary;service", "cycleway"]
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+# Schemas of the provided tables, so that no file is opened to infer them.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
+def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
+    """A provided table. ``spread`` deals one that comes in fewer files than there are
+    cores out over all of them, for queries that compute much per row."""
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and len(df.inputFiles()) < cores else df
 
 
 def _spot(key: str, factor: int, span: int = 1960) -> Column:
@@ -84,7 +104,7 @@ def mesh(spark: SparkSession, sf: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size").cast("double")
     known = k % 10 != 0
     x0, y0 = _spot("p_partkey", 37) - 5, _spot("p_partkey", 53) - 5
-    return table(spark, sf, "part").select(
+    return table(spark, sf, "part", spread=True).select(
         F.col("p_partkey").alias("mesh_id"),
         F.when(known, size * 2).alias("PERANYVEG"),
         F.when(known, size).alias("PERANYTREE"),
@@ -115,7 +135,7 @@ def raw_trees(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     lon = F.lit(144.5) + _spot("o_orderkey", 7919, 2000) / 500
     lat = F.lit(-38.5) + _spot("o_orderkey", 104729, 2000) / 500
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", spread=True).select(
         k.alias("tree_id"),
         F.when(k % 50 != 0, lat).alias("latitude"),
         lon.alias("longitude"),
@@ -143,7 +163,7 @@ def trees(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned trees on the plane."""
     life = pick(F.col("o_custkey") % 7, LIFE_CLASSES)
     size = F.floor(F.col("o_totalprice") / 1000).cast("double")
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", spread=True).select(
         F.col("o_orderkey").alias("tree_id"),
         v.null_implausible(size, v.MAX_DIAMETER_CM).alias("diameter_breast_height"),
         F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderpriority")).alias("scientific_name"),
@@ -172,11 +192,10 @@ def roads(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     x0, y0 = _spot("o_orderkey", 613, 2000), _spot("o_orderkey", 389, 2000)
     x1, y1 = x0 + 10 + k % 30, y0 + k % 12
-    points = F.array(g.point(x0, y0), g.point(x1, y0), g.point(x1, y1))
-    return table(spark, sf, "orders").withColumn("points", points).select(
+    return table(spark, sf, "orders", spread=True).select(
         k.alias("road_id"),
         pick(F.col("o_custkey") % 5, HIGHWAYS).alias("highway"),
-        g.make_line("points").alias("geom"),
+        g.make_line((x0, y0), (x1, y0), (x1, y1)).alias("geom"),
     )
 
 
@@ -209,7 +228,7 @@ def buildings(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     x0, y0 = _spot("p_partkey", 37) - 5, _spot("p_partkey", 53) - 5
     side = 1 + k % 8
-    return table(spark, sf, "part").select(
+    return table(spark, sf, "part", spread=True).select(
         k.alias("building_id"),
         F.col("p_type").alias("building"),
         F.col("p_name").alias("name"),
@@ -233,7 +252,7 @@ def parks(spark: SparkSession, sf: str) -> DataFrame:
     shape = F.when(k % 9 == 0, g.make_point(x0, y0)).otherwise(
         g.make_box(x0, y0, x0 + side, y0 + side)
     )
-    return table(spark, sf, "customer").select(
+    return table(spark, sf, "customer", spread=True).select(
         k.alias("park_id"), F.col("c_mktsegment").alias("leisure"), shape.alias("geom")
     )
 
@@ -251,10 +270,9 @@ def water(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     x0, y0 = _spot("s_suppkey", 331), _spot("s_suppkey", 457)
     side = 4 + k % 25
-    line = g.make_line("points")
+    line = g.make_line((x0, y0), (x0 + side, y0))
     shape = F.when(k % 4 == 0, line).otherwise(g.make_box(x0, y0, x0 + side, y0 + side))
-    points = F.array(g.point(x0, y0), g.point(x0 + side, y0))
-    return table(spark, sf, "supplier").withColumn("points", points).select(
+    return table(spark, sf, "supplier").select(
         k.alias("water_id"), F.col("s_name").alias("name"), shape.alias("geom")
     )
 
@@ -274,7 +292,7 @@ MASK = (0.0, 0.0, 260.0, 260.0)
 def canopy(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     x0, y0 = _spot("p_partkey", 37, 980), _spot("p_partkey", 53, 980)
-    found = table(spark, sf, "part").select(
+    found = table(spark, sf, "part", spread=True).select(
         k.alias("canopy_id"),
         g.make_box(x0, y0, x0 + F.col("p_size") / 2, y0 + 1 + k % 20).alias("geom"),
     )
@@ -326,7 +344,7 @@ def model_table(spark: SparkSession, sf: str) -> DataFrame:
     line = F.col("l_linenumber").cast("long")
     noise = ((F.col("l_orderkey") * 7919 + line * 31 + F.col("l_partkey")) % 1024) / 1024 - 0.5
     y = F.lit(20.0) - F.col("l_quantity") * 0.15 + F.col("l_discount") * 20 + noise
-    return table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem", spread=True).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
         (F.col("l_suppkey") % 25).alias("grp"),
         F.col("l_quantity").alias("x_quantity"),
