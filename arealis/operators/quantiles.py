@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +17,10 @@ _DIRECT_CELLS = 2_000_000
 # Once a value range holds this few rows they are sorted as one list.
 _DIRECT_ROWS = 200_000
 _BUCKETS = 1024
+# How far a proposed range reaches to either side of a rank, as a share of the rows,
+# and the accuracy of the sketch that proposes it.
+_SLACK = 1 / 1024
+_ACCURACY = 10_000
 _PROBES = [i / _BUCKETS for i in range(1, _BUCKETS)]
 
 
@@ -25,76 +31,113 @@ def value_buckets(df: DataFrame, col: str, cuts: Sequence[float], out: str) -> D
     splits = [-math.inf, *cuts, math.inf]
     placed = Bucketizer(splits=splits, inputCol=col, outputCol="_at", handleInvalid="keep").transform(df)
     at = F.col("_at").cast("int")
-    own = F.get(F.lit([float(c) for c in cuts]), at - 1) == F.col(col)
+    own = F.get(F.expr(f"array({', '.join(f'{float(c)!r}D' for c in cuts)})"), at - 1) == F.col(col)
     return placed.withColumn(out, at * 2 - F.coalesce(own, F.lit(False)).cast("int")).drop("_at")
 
 
-def _bucket_counts(numbers: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[Row]]:
-    """Rows, smallest and largest value of each range, for all columns in one pass."""
-    placed, items = numbers, []
-    for i, (c, spots) in enumerate(cuts.items()):
-        placed = value_buckets(placed, c, spots, f"_b{i}")
-        items.append(f"named_struct('i', {i}, 'b', _b{i}, 'v', `{c}`)")
-    long = placed.selectExpr(f"inline(array({', '.join(items)}))").where("v IS NOT NULL")
-    counted = (
-        long.groupBy("i", "b")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .orderBy("i", "b")
-        .collect()
-    )
-    return {c: [r for r in counted if r.i == i] for i, c in enumerate(cuts)}
+@dataclass(frozen=True)
+class _Target:
+    """A rank being closed in on: the range it lies in and what is known of that range."""
+
+    col: str
+    rank: int
+    rows: int
+    low: float
+    high: float
+    below: int = 0
+    halve: bool = False
+
+    def within(self) -> str:
+        return f"`{self.col}` BETWEEN {_text(self.low)} AND {_text(self.high)}"
+
+    def proposal(self) -> str:
+        """Two ends of a narrower range, as SQL text."""
+        if self.halve:
+            return f"array({_text(self.low)}, {_text(_middle(self.low, self.high))})"
+        share = (self.rank - self.below) / self.rows
+        ends = ", ".join(f"{min(max(share + d, 0.0), 1.0)!r}D" for d in (-_SLACK, _SLACK))
+        return f"percentile_approx(if({self.within()}, `{self.col}`, NULL), array({ends}), {_ACCURACY})"
+
+
+def _text(value: float) -> str:
+    return f"CAST('{value!r}' AS DOUBLE)".replace("inf", "Infinity")
+
+
+def _middle(low: float, high: float) -> float:
+    """The double halfway between two others in number order, so 64 steps reach any value."""
+
+    def place(x: float) -> int:
+        bits = struct.unpack("<q", struct.pack("<d", x + 0.0))[0]
+        return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
+
+    at = (place(low) + place(high)) // 2
+    return math.copysign(struct.unpack("<d", struct.pack("<q", abs(at)))[0], at)
+
+
+def _closer(old: _Target, ends: Sequence[float], below: int, rows: int) -> _Target:
+    """The target after a count of its proposed range.
+
+    A sketch that misses the rank or gains nothing gives way to halving, which cannot
+    fail: it leaves half as many possible values every time.
+    """
+    if below <= old.rank < below + rows:
+        stuck = rows == old.rows
+        return replace(old, low=ends[0], high=ends[1], below=below, rows=rows, halve=stuck)
+    if old.halve:
+        rest = old.rows - rows
+        above = math.nextafter(ends[1], math.inf)
+        return replace(old, low=above, below=below + rows, rows=rest)
+    return replace(old, halve=True)
 
 
 def _at_ranks(
-    numbers: DataFrame, wanted: Sequence[tuple[str, int]]
+    numbers: DataFrame,
+    wanted: Sequence[tuple[str, int]],
+    known: dict[str, tuple[int, float, float]],
 ) -> dict[tuple[str, int], float]:
     """Values at 0-based ranks of several columns.
 
-    Each pass splits every column into value ranges and counts them; only the range
-    holding a wanted rank is split further. Equal values make a range by themselves,
-    so a value repeated any number of times ends the search instead of filling a task.
+    Each round takes two passes for all ranks together: a sketch proposes a narrow
+    range around each rank, then a count tells exactly how many values lie below and
+    inside it. A range of one value is the answer however often it occurs; one of few
+    rows is sorted; any other is narrowed again.
     """
-    cols = list(dict.fromkeys(c for c, _ in wanted))
-    first = numbers.approxQuantile(cols, _PROBES, 1 / (4 * _BUCKETS))
-    cuts = {c: sorted(set(q)) for c, q in zip(cols, first, strict=True)}
     found: dict[tuple[str, int], float] = {}
-    short: dict[tuple[str, int], tuple[float, float, int]] = {}
-    pending = list(wanted)
+    short: list[_Target] = []
+    pending = [_Target(c, r, *known[c]) for c, r in wanted]
     while pending:
-        counted = _bucket_counts(numbers, {c: cuts[c] for c in dict.fromkeys(c for c, _ in pending)})
-        wide = set()
-        for c, rank in pending:
-            left = rank
-            for row in counted[c]:
-                if left < row.n:
-                    break
-                left -= row.n
-            if row.lo == row.hi:
-                found[c, rank] = row.lo
-            elif row.n <= _DIRECT_ROWS:
-                short[c, rank] = (row.lo, row.hi, left)
+        # The constant keeps this an aggregate when every proposal is one.
+        ranges = numbers.selectExpr("count(1)", *(t.proposal() for t in pending)).first()[1:]
+        tallies = numbers.selectExpr(
+            *(
+                f"struct(count_if(`{t.col}` < {_text(q[0])}),"
+                f" count_if(`{t.col}` BETWEEN {_text(q[0])} AND {_text(q[1])}))"
+                for t, q in zip(pending, ranges, strict=True)
+            )
+        ).first()
+        moved = [_closer(t, q, *n) for t, q, n in zip(pending, ranges, tallies, strict=True)]
+        pending = []
+        for t in moved:
+            if t.low == t.high:
+                found[t.col, t.rank] = t.low
+            elif t.rows <= _DIRECT_ROWS:
+                short.append(t)
             else:
-                wide.add((c, row.lo, row.hi))
-        pending = [t for t in pending if t not in found and t not in short]
-        for c, lo, hi in wide:
-            part = numbers.where(F.col(c).between(lo, hi))
-            cuts[c] = sorted({*cuts[c], *part.approxQuantile(c, _PROBES, 1 / (4 * _BUCKETS))})
+                pending.append(t)
     if short:
-        keys = list(short)
-        items = [
-            f"named_struct('t', {i}, 'v', if(`{c}` BETWEEN CAST('{short[c, r][0]!r}' AS DOUBLE)"
-            f" AND CAST('{short[c, r][1]!r}' AS DOUBLE), `{c}`, NULL))"
-            for i, (c, r) in enumerate(keys)
-        ]
+        items = ", ".join(
+            f"named_struct('t', {i}, 'v', if({t.within()}, `{t.col}`, NULL))"
+            for i, t in enumerate(short)
+        )
         lists = (
-            numbers.selectExpr(f"inline(array({', '.join(items)}))")
+            numbers.selectExpr(f"inline(array({items}))")
             .where("v IS NOT NULL")
             .groupBy("t")
             .agg(F.sort_array(F.collect_list("v")).alias("vs"))
         )
-        spots = F.lit([short[k][2] for k in keys])
-        for row in lists.select("t", F.get("vs", F.get(spots, F.col("t"))).alias("v")).collect():
-            found[keys[row.t]] = row.v
+        spots = ", ".join(str(t.rank - t.below) for t in short)
+        for row in lists.selectExpr("t", f"get(vs, array({spots})[t]) AS v").collect():
+            found[short[row.t].col, short[row.t].rank] = row.v
     return found
 
 
@@ -108,14 +151,16 @@ def exact_quantiles(
     """
     clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols]
     numbers = df.select(*clean)
-    counts = numbers.agg(*(F.count(c).alias(c) for c in cols)).first().asDict()
+    facts = numbers.agg(*(F.struct(F.count(c), F.min(c), F.max(c)) for c in cols)).first()
+    known = {c: tuple(f) for c, f in zip(cols, facts, strict=True)}
+    counts = {c: k[0] for c, k in known.items()}
     if sum(counts.values()) <= _DIRECT_CELLS:
         spots = F.array(*(F.lit(float(s)) for s in shares))
         got = numbers.agg(*(F.percentile(c, spots).alias(c) for c in cols)).first()
         return {c: list(got[c]) if got[c] is not None else [None] * len(shares) for c in cols}
     spots = {(c, s): s * (counts[c] - 1) for c in cols for s in shares if counts[c]}
     wanted = {(c, r) for (c, _), x in spots.items() for r in (math.floor(x), math.ceil(x))}
-    found = _at_ranks(numbers, sorted(wanted))
+    found = _at_ranks(numbers, sorted(wanted), known)
 
     def value(c: str, share: float) -> float | None:
         if not counts[c]:

@@ -101,6 +101,17 @@ def test_quantiles_by_counting_equal_numpy(spark, narrow):
     assert found["e"] == [None] * 5
 
 
+@pytest.mark.parametrize("accuracy", [20])
+def test_quantiles_survive_a_poor_sketch(spark, narrow, monkeypatch, accuracy):
+    monkeypatch.setattr(quantiles, "_ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "_DIRECT_ROWS", 20)
+    rng = random.Random(2)
+    values = [rng.choice([5.0, rng.gauss(0, 100), 1e12 * rng.random(), -3.25]) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    shares = [0.01, 0.49, 0.5, 0.75]
+    assert quantiles.exact_quantiles(df, ["x"], shares)["x"] == pytest.approx(list(np.quantile(values, shares)))
+
+
 def test_quantiles_when_one_value_fills_the_table(spark, narrow):
     df = spark.range(5000).select(F.when(F.col("id") % 500 == 0, F.col("id")).otherwise(42).cast("double").alias("x"))
     want = np.quantile([float(i) if i % 500 == 0 else 42.0 for i in range(5000)], [0.0005, 0.5, 0.9999])

@@ -339,13 +339,20 @@ def cte(*parts: str) -> str:
 MODEL_FEATURES = ["x_quantity", "x_discount", "x_tax", "x_price"]
 
 
+def row_id() -> Column:
+    """A line's key: order and line number alone repeat."""
+    return F.concat_ws(
+        "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long")
+    )
+
+
 def model_table(spark: SparkSession, sf: str) -> DataFrame:
     """A target that follows a linear rule plus repeatable noise; tax is missing on line 7."""
     line = F.col("l_linenumber").cast("long")
     noise = ((F.col("l_orderkey") * 7919 + line * 31 + F.col("l_partkey")) % 1024) / 1024 - 0.5
     y = F.lit(20.0) - F.col("l_quantity") * 0.15 + F.col("l_discount") * 20 + noise
     return table(spark, sf, "lineitem", spread=True).select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        row_id().alias("row_id"),
         (F.col("l_suppkey") % 25).alias("grp"),
         F.col("l_quantity").alias("x_quantity"),
         F.col("l_discount").alias("x_discount"),
@@ -356,7 +363,7 @@ def model_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MODEL = """model AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, l_suppkey % 25 AS grp,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS row_id, l_suppkey % 25 AS grp,
          l_quantity AS x_quantity, l_discount AS x_discount,
          CASE WHEN l_linenumber <> 7 THEN l_tax END AS x_tax, l_extendedprice AS x_price,
          2e1 - l_quantity * CAST('0.15' AS DOUBLE) + l_discount * 20
@@ -368,7 +375,7 @@ def shap_table(spark: SparkSession, sf: str) -> DataFrame:
     """A given attribution table: three features per line, in sixteenths."""
     line = F.col("l_linenumber").cast("long")
     base = table(spark, sf, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        row_id().alias("row_id"),
         F.array(
             F.struct(F.lit("quantity").alias("feature"), F.col("l_quantity").alias("value"), ((F.col("l_orderkey") % 64 - 32) / 16).alias("shap")),
             F.struct(F.lit("line").alias("feature"), line.cast("double").alias("value"), ((F.col("l_partkey") % 32 - 16) / 16).alias("shap")),
@@ -379,13 +386,13 @@ def shap_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SHAP = """shap AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, 'quantity' AS feature,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS row_id, 'quantity' AS feature,
          l_quantity AS value, (l_orderkey % 64 - 32) / 16e0 AS shap FROM lineitem
   UNION ALL
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey), 'line',
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)), 'line',
          CAST(l_linenumber AS DOUBLE), (l_partkey % 32 - 16) / 16e0 FROM lineitem
   UNION ALL
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey), 'supplier',
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)), 'supplier',
          CAST(l_suppkey % 10 AS DOUBLE), (l_suppkey % 16 - 8) / 16e0 FROM lineitem)"""
 
 

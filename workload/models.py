@@ -37,8 +37,13 @@ def builders():
     return training.build_models(X, "y")
 
 
-def fitted(spark, sf, name) -> PipelineModel:
-    return builders()[name](SMALL.get(name, {})).fit(ly.model_table(spark, sf))
+def training_rows(spark, sf):
+    """The model table, kept: fitting reads it many times."""
+    return ly.model_table(spark, sf).persist()
+
+
+def fitted(rows, name) -> PipelineModel:
+    return builders()[name](SMALL.get(name, {})).fit(rows)
 
 
 # --- rows, splits, folds -----------------------------------------------------
@@ -105,7 +110,7 @@ def group_folds(spark, sf):
     + "SELECT row_id, coalesce(x_tax, (SELECT quantile_cont(x_tax, 0.5) FROM model)) AS x_tax, x_price FROM model",
 )
 def median_imputer(spark, sf):
-    model = ly.model_table(spark, sf)
+    model = training_rows(spark, sf)
     filled = estimators.MedianImputer(["x_tax", "x_price"]).fit(model).transform(model)
     return filled.select(
         "row_id", F.col("x_tax__filled").alias("x_tax"), F.col("x_price__filled").alias("x_price")
@@ -119,7 +124,7 @@ def median_imputer(spark, sf):
   round((x_price - avg(x_price) OVER ()) / stddev_pop(x_price) OVER (), 6) AS x_price FROM model""",
 )
 def standardiser(spark, sf):
-    model = ly.model_table(spark, sf)
+    model = training_rows(spark, sf)
     cols = ["x_quantity", "x_price"]
     scaled = Pipeline(stages=[estimators.MedianImputer(cols), estimators.Standardiser(cols)]).fit(model)
     return scaled.transform(model).select(
@@ -132,8 +137,8 @@ def standardiser(spark, sf):
     ly.cte(ly.MODEL) + "SELECT round(avg(y), 9) AS prediction, count(*) AS n FROM model",
 )
 def mean_baseline(spark, sf):
-    model = fitted(spark, sf, training.BASELINE)
-    scored = model.transform(ly.model_table(spark, sf))
+    rows = training_rows(spark, sf)
+    scored = fitted(rows, training.BASELINE).transform(rows)
     return scored.groupBy(F.round("prediction", 9).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -143,32 +148,33 @@ coef AS (SELECT sum(z * (y - mean)) / (max(n) + 1e1) AS b FROM z)
 SELECT row_id, round(mean + b * z, 6) AS prediction FROM z, coef"""
 
 
-def _one_feature_ridge(spark, sf):
+def _one_feature_ridge(rows):
     """With one feature the penalised slope has a closed form."""
     build = training.build_models(["x_quantity"], "y")[training.RIDGE]
-    return build({"alpha": 10.0}).fit(ly.model_table(spark, sf))
+    return build({"alpha": 10.0}).fit(rows)
 
 
-def _predictions(model, spark, sf):
-    scored = model.transform(ly.model_table(spark, sf))
+def _predictions(model, rows):
+    scored = model.transform(rows)
     return scored.select("row_id", F.round("prediction", 6).alias("prediction"))
 
 
 @query("ridge", _RIDGE_SQL)
 def ridge(spark, sf):
-    return _predictions(_one_feature_ridge(spark, sf), spark, sf)
+    rows = training_rows(spark, sf)
+    return _predictions(_one_feature_ridge(rows), rows)
 
 
 @query("save_model", _RIDGE_SQL)
 def save_model(spark, sf):
-    path = writers.save_model(_one_feature_ridge(spark, sf), scratch_path(spark, "model"))
-    return _predictions(writers.load_model(path), spark, sf)
+    rows = training_rows(spark, sf)
+    path = writers.save_model(_one_feature_ridge(rows), scratch_path(spark, "model"))
+    return _predictions(writers.load_model(path), rows)
 
 
 def _fit_quality(spark, sf, name):
-    model = fitted(spark, sf, name)
-    scored = model.transform(ly.model_table(spark, sf))
-    return training.regression_metrics(scored, "y", "prediction")
+    rows = training_rows(spark, sf)
+    return training.regression_metrics(fitted(rows, name).transform(rows), "y", "prediction")
 
 
 @query("random_forest")
@@ -236,7 +242,7 @@ def regression_metrics(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    return training.feature_importance(fitted(spark, sf, training.FOREST), X, spark)
+    return training.feature_importance(fitted(training_rows(spark, sf), training.FOREST), X, spark)
 
 
 def _level(spark, sf, name, group):
@@ -392,9 +398,8 @@ def snapshot(spark, sf):
 
 @query("tree_shap")
 def tree_shap(spark, sf):
-    model = fitted(spark, sf, training.FOREST)
-    cores = spark.sparkContext.defaultParallelism
-    return attribution.tree_shap(model, ly.model_table(spark, sf), "row_id", X, cores)
+    rows = training_rows(spark, sf)
+    return attribution.tree_shap(fitted(rows, training.FOREST), rows, "row_id", X)
 
 
 @query(
@@ -403,9 +408,10 @@ def tree_shap(spark, sf):
 )
 def shap_check(spark, sf):
     """Base value plus contributions against the prediction, for every row."""
-    model, data = fitted(spark, sf, training.BOOSTED_LEVEL), ly.model_table(spark, sf)
-    shap = attribution.tree_shap(model, data, "row_id", X, spark.sparkContext.defaultParallelism)
-    predicted = model.transform(data).select("row_id", "prediction")
+    rows = training_rows(spark, sf)
+    model = fitted(rows, training.BOOSTED_LEVEL)
+    shap = attribution.tree_shap(model, rows, "row_id", X)
+    predicted = model.transform(rows).select("row_id", "prediction")
     checked = attribution.shap_check(shap, predicted, "row_id", "prediction")
     return checked.select("rows_checked", (F.col("largest_gap") < 1e-6).alias("exact"))
 

@@ -586,15 +586,16 @@ def demographic_features(spark, sf):
 
 
 def matrix_layers(spark, sf) -> features.Layers:
-    mesh = ly.mesh(spark, sf)
+    """The cleaned layers, kept: measuring and joining each read them."""
+    mesh = ly.mesh(spark, sf).persist()
     return features.Layers(
-        trees=ly.trees(spark, sf),
-        canopy=ly.canopy(spark, sf),
+        trees=ly.trees(spark, sf).persist(),
+        canopy=ly.canopy(spark, sf).persist(),
         vegetation=mesh,
         buildings=ly.buildings(spark, sf),
-        roads=ly.roads(spark, sf),
-        parks=ly.parks(spark, sf),
-        water=ly.water(spark, sf),
+        roads=ly.roads(spark, sf).persist(),
+        parks=ly.parks(spark, sf).persist(),
+        water=ly.water(spark, sf).persist(),
         heat=mesh,
         people=mesh,
         polygon_ids=("mesh_id",),

@@ -563,7 +563,9 @@ def _describe_sql(table: str, cols: list[str]) -> str:
 
 @query("describe_table", ly.cte(ly.MODEL) + _describe_sql("model", [*ly.MODEL_FEATURES, "y"]))
 def describe_table(spark, sf):
-    found = aggregates.describe_table(ly.model_table(spark, sf), [*ly.MODEL_FEATURES, "y"])
+    # Quartiles take several passes, so the columns are kept.
+    rows = ly.model_table(spark, sf).select(*ly.MODEL_FEATURES, "y").persist()
+    found = aggregates.describe_table(rows, [*ly.MODEL_FEATURES, "y"])
     return found.withColumns(
         {
             "std": F.round("std", 6),
