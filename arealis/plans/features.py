@@ -234,16 +234,13 @@ def urban_features(
 ) -> DataFrame:
     """All built-form features with the share of sealed surface, capped at 1."""
     ready = ready or gridjoin.prepare(areas, key)
-    joined = tables.join_common(
-        [
-            building_features(buildings, areas, key, ready),
-            road_features(roads, areas, key, ready),
-            park_water_features(parks, water, areas, key, ready),
-            distance_features(areas, parks, water, key),
-            area_sizes(areas, key),
-        ],
-        key,
-    )
+    parts = [
+        building_features(buildings, areas, key, ready),
+        road_features(roads, areas, key, ready),
+        park_water_features(parks, water, areas, key, ready),
+        distance_features(areas, parks, water, key),
+    ]
+    joined = tables.join_common([*parts, area_sizes(areas, key)], key)
     sealed = (F.col("total_building_area_sqm") + F.col("estimated_road_area_sqm")) / F.col("_area")
     return joined.withColumn("impervious_ratio", v.clamp(sealed, high=1.0)).drop(
         "total_building_area_sqm", "estimated_road_area_sqm", "_area"

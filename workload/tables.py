@@ -554,7 +554,7 @@ def missing_profile(spark, sf):
 
 def _describe_sql(table: str, cols: list[str]) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 9) AS mean, round(stddev_samp({c}), 6) AS std,
+        f"""SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 6) AS std,
   min({c}) AS min, round(quantile_cont({c}, 0.25), 9) AS q25, round(quantile_cont({c}, 0.5), 9) AS q50,
   round(quantile_cont({c}, 0.75), 9) AS q75, max({c}) AS max FROM {table}"""
         for c in cols
@@ -568,8 +568,9 @@ def describe_table(spark, sf):
     found = aggregates.describe_table(rows, [*ly.MODEL_FEATURES, "y"])
     return found.withColumns(
         {
+            "mean": F.round("mean", 7),
             "std": F.round("std", 6),
-            **{c: F.round(c, 9) for c in ("mean", "q25", "q50", "q75")},
+            **{c: F.round(c, 9) for c in ("q25", "q50", "q75")},
         }
     )
 
