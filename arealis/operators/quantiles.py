@@ -199,14 +199,25 @@ def running_total(
     )
 
 
-def average_rank(df: DataFrame, col: str, out: str = "rank", cast: str | None = "int") -> DataFrame:
+def average_rank(
+    df: DataFrame, col: str, out: str = "rank", cast: str | None = "int", hot_rows: int = 2_000_000
+) -> DataFrame:
     """Descending rank with ties averaged, truncated to a whole number by default.
 
     Ranks are worked out once per distinct value, so ties never pile up in a task.
+    Values held by more than ``hot_rows`` rows, of which there are at most rows /
+    hot_rows, get theirs from a broadcast; only the others are shuffled to be joined.
     """
     counted = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_total(counted, col, "_n", "_ahead", descending=True)
     rank: Column = F.col("_ahead") + (F.col("_n") + 1) / F.lit(2.0)
     if cast:
         rank = rank.cast(cast)
-    return df.join(placed.select(col, rank.alias(out)), col, "left")
+    ranks = placed.select(col, rank.alias(out), (F.col("_n") > hot_rows).alias("_hot"))
+    hot = F.broadcast(ranks.where("_hot").drop("_hot"))
+    known = df.where(F.col(col).isNotNull())
+    often = known.join(hot, col)
+    seldom = known.join(hot, col, "left_anti").join(ranks.where("NOT _hot").drop("_hot"), col)
+    missing = df.where(F.col(col).isNull()).withColumn(out, F.lit(None).cast(seldom.schema[out].dataType))
+    columns = [*df.columns, out]
+    return often.select(columns).unionByName(seldom.select(columns)).unionByName(missing.select(columns))

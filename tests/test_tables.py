@@ -124,9 +124,14 @@ def test_average_rank_equals_pandas(spark, monkeypatch, split):
         monkeypatch.setattr(quantiles, "_DIRECT_ROWS", 20)
     import pandas as pd
 
-    pdf = pd.DataFrame({"k": range(500), "x": [float((i * 37) % 90) for i in range(500)]})
-    found = quantiles.average_rank(spark.createDataFrame(pdf), "x").toPandas().sort_values("k")
-    assert list(found["rank"]) == list(pdf["x"].rank(ascending=False).astype(int))
+    # One value holds a third of the rows.
+    pdf = pd.DataFrame({"k": range(500), "x": [7.0 if i % 3 == 0 else float((i * 37) % 90) for i in range(500)]})
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(500, None)], "k long, x double"))
+    hot = 50 if split else 2_000_000
+    found = quantiles.average_rank(df, "x", hot_rows=hot).toPandas().sort_values("k")
+    assert list(found["rank"][:500]) == list(pdf["x"].rank(ascending=False).astype(int))
+    assert len(found) == 501
+    assert pd.isna(found["rank"].iloc[500])
 
 
 def test_dissolve_spreads_large_groups(spark):
