@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Short columns, by cells, are left to the built-in percentile.
-_DIRECT_CELLS = 2_000_000
+_DIRECT_CELLS = 4_000_000
 # Once a value range holds this few rows they are sorted as one list.
 _DIRECT_ROWS = 200_000
 _BUCKETS = 1024
