@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arealis.llm import html, language, sharding
+from arealis.llm import decontaminate, html, language, sharding, spotsigs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +40,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_html_text")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_spot_signatures")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
