@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arealis.llm import decontaminate, html, language, sharding, spotsigs
+from arealis.llm import decontaminate, html, language, sharding, spotsigs, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op6_spot_signatures")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited(table(spark, sf_dir, "documents"))

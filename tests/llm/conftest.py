@@ -25,6 +25,12 @@ def planted() -> list[tuple[int, str | None]]:
     rows.append((40, " ".join(word() for _ in range(20000))))
     rows.append((41, rows[-1][1][:60000]))
     rows += [(i, " ".join(word() for _ in range(3 + i % 5))) for i in range(42, 60)]
+    spotted = [rng.choice(["the", "of", "is", word(), word(), word()]) for _ in range(300)]
+    for i in range(60, 70):
+        text = list(spotted)
+        for _ in range(2 * (i % 5)):
+            text[rng.randrange(len(text))] = word()
+        rows.append((i, " ".join(text)))
     return rows
 
 

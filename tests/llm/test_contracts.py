@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from arealis.llm import decontaminate, sharding, spotsigs
+from arealis.llm import decontaminate, sharding, spotsigs, substrings
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -96,3 +96,25 @@ def test_decontaminated_text(spark):
     bench = spark.createDataFrame([(9, item)], "item_id long, text string")
     out = {r["doc_id"]: r["text"] for r in decontaminate.cleaned(docs, bench).collect()}
     assert out == {1: "before it , and this is what stands after the passage for a while", 3: None, 4: "clean"}
+
+
+def test_repeated_words(docs, rows, table, table_rows, same):
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    for df, own in ((docs, rows), (table, table_rows)):
+        wanted = brute.repeated_words(own)
+        assert any(r[2] for r in wanted) and not all(r[2] for r in wanted)
+        same(substrings.deduplicated(df), columns, wanted)
+
+
+def test_frequent_windows_change_nothing(docs, rows, same, monkeypatch):
+    monkeypatch.setattr(substrings, "SAMPLE", 1.0)
+    monkeypatch.setattr(substrings, "SEEN", 2)
+    same(substrings.deduplicated(docs), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.repeated_words(rows))
+
+
+def test_repeated_words_of_repeated_rows(spark, same):
+    rows = [(1, "w " * 40), (1, "w " * 40), (None, " ".join(map(str, range(50)))), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    same(substrings.deduplicated(df), columns, brute.repeated_words(rows))
+    assert substrings.deduplicated(df.limit(0)).count() == 0
