@@ -111,14 +111,22 @@ def buckets(docs: DataFrame) -> int:
     return BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def by_bucket(packed: DataFrame, work: Callable[[Pieces], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run ``work`` on all pieces of each bucket."""
+def by_bucket(
+    packed: DataFrame,
+    work: Callable[[Pieces], Iterator[pa.RecordBatch]],
+    schema: str,
+    direct: Callable[[bytes], Iterator[pa.RecordBatch]] | None = None,
+) -> DataFrame:
+    """Run ``work`` on all pieces of each bucket; blocks of negative buckets go to ``direct``."""
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = -1, []
         for batch in batches:
             for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket < 0:
+                    yield from direct(block.as_py())
+                    continue
                 if bucket != now and held:
                     yield from work(concat(held))
                     held = []
@@ -148,7 +156,7 @@ SPANS = "id binary, spans binary"
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, facts: DataFrame) -> DataFrame:
-    """Each document (columns doc_id, id, text) with its spans and the facts of its text.
+    """Each document (id, text and further columns) with its spans and the facts of its text.
 
     Texts travel compressed. A text with many copies makes one key hot on the side of the
     documents only, which Spark's skew join splits.
@@ -160,9 +168,11 @@ def with_spans(docs: DataFrame, spans: DataFrame, facts: DataFrame) -> DataFrame
             for i in range(0, batch.num_rows, 512):
                 b = batch.slice(i, 512)
                 bodies = [press.compress(x.as_buffer()) if x.is_valid else b"" for x in b.column("text")]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), pa.array(bodies, pa.binary())], ["doc_id", "id", "body"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(bodies, pa.binary())], [*names, "body"])
 
-    packed = docs.select("doc_id", "id", "text").mapInArrow(pack, "doc_id long, id binary, body binary")
+    names = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*names, F.lit(b"").alias("body")).schema
+    packed = docs.select(*names, "text").mapInArrow(pack, schema)
     found = spans.groupBy("id").agg(F.collect_list("spans").alias("spans"))
     known = facts.join(found, "id", "full_outer")
     return packed.join(known, "id", "left")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 
-from arealis.llm import decontaminate, sharding, spotsigs, substrings
+from arealis.llm import decontaminate, sharding, spotsigs, substrings, suffixes
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -118,3 +119,42 @@ def test_repeated_words_of_repeated_rows(spark, same):
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     same(substrings.deduplicated(df), columns, brute.repeated_words(rows))
     assert substrings.deduplicated(df.limit(0)).count() == 0
+
+
+def test_repeated_bytes(docs, rows, table, table_rows, same):
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    for df, own in ((docs, rows), (table, table_rows)):
+        wanted = brute.repeated_bytes(own)
+        assert any(r[2] for r in wanted) and not all(r[2] for r in wanted)
+        same(suffixes.deduplicated(df), columns, wanted)
+
+
+def test_frequent_minimisers_change_nothing(docs, rows, same, monkeypatch):
+    monkeypatch.setattr(suffixes, "SAMPLE", 1.0)
+    monkeypatch.setattr(suffixes, "SEEN", 2)
+    same(suffixes.deduplicated(docs), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeated_bytes(rows))
+
+
+def test_repeated_bytes_of_repeated_rows(spark):
+    text = "".join(chr(33 + i % 90) for i in range(0, 4000, 7))
+    df = spark.createDataFrame([(5, text), (5, text), (7, text), (None, "q" * 99), (9, text[:99])], "doc_id long, text string")
+    out = sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffixes.deduplicated(df).collect())
+    own = brute.repeated_bytes([(5, text)])[0][2]
+    assert out == [(0, 0), (5, own), (5, own), (7, len(text)), (9, 0)]
+    assert suffixes.deduplicated(df.limit(0)).count() == 0
+
+
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(3)
+    texts = [b"", b"a", b"aaaaaa", b"abracadabra", b"mississippi" * 5, b"\x00\x00\xff\x00", bytes(rng.integers(97, 99, 500).astype(np.uint8))]
+    texts += [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (2, 3, 50, 400)]
+    for raw in texts:
+        data = np.frombuffer(raw, np.uint8)
+        sa = suffixes.suffix_array(data)
+        assert sa.tolist() == sorted(range(len(raw) + 1), key=lambda i: raw[i:])
+        prefix = suffixes.common_prefixes(data, sa)
+        for a, b in zip(sa, sa[1:], strict=False):
+            n = 0
+            while a + n < len(raw) and b + n < len(raw) and raw[a + n] == raw[b + n]:
+                n += 1
+            assert prefix[b] == n
