@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from arealis.llm import decontaminate, sharding, spotsigs, substrings, suffixes
+from arealis.llm import decontaminate, pii, sharding, spotsigs, substrings, suffixes
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -158,3 +158,41 @@ def test_suffix_array_and_common_prefixes():
             while a + n < len(raw) and b + n < len(raw) and raw[a + n] == raw[b + n]:
                 n += 1
             assert prefix[b] == n
+
+
+PERSONAL = [
+    (1, "mail a.b+c@x-y.example.com, or a@b.c_d@e.f and q@w.e@r.t"),
+    (2, "é 1.2.3.4 256.1.1.1 001.002.003.004 1.2.3.4.5.6.7.8 99999999999999999999.1.1.1"),
+    (3, "cards 4111 1111 1111 1111, 4111111111111112, 4984250489669609 and 5-5-5"),
+    (4, "call +1 (988) 555-2485 or +44 20 7946 0958 or +1 2 or +"),
+    (5, "+1 (525) 555-3296 4524132264652876 together"),
+    (6, None),
+    (7, ""),
+    (8, "9" * 30000),
+    (9, "a" * 30000),
+    (10, "x@" * 5000 + " (((" * 2000),
+    (11, "a@b.co " * 400),
+    (5, "+1 (525) 555-3296 4524132264652876 together"),
+]
+
+
+def test_personal_data_base(spark, docs, rows, table, table_rows, same):
+    columns = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+    own = spark.createDataFrame(PERSONAL, "doc_id long, text string")
+    for df, plain_rows in ((own, PERSONAL), (docs, rows), (table, table_rows)):
+        same(pii.spans(df), columns, [r[:6] for r in brute.personal(plain_rows)])
+    assert pii.spans(own.limit(0)).count() == 0
+
+
+def test_personal_data_adds_what_a_failed_match_swallowed(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = spark.createDataFrame([(-1, PERSONAL[4][1]), (-2, "a clean text of 12 words")], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in pii.spans(table.select("doc_id", "text").unionByName(more)).where("doc_id < 0").collect()}
+    assert out == {-1: "card:18:34,phone:0:17", -2: ""}
+
+
+def test_redaction(spark):
+    rows = [(i, f"write to n{i}@mail.example.com or 10.0.0.{i} now 1 2 3", 5, i) for i in range(30)] + [(99, None, 5, 1), (98, "clean", 5, 1)]
+    out = {r["doc_id"]: r for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, s int")).collect()}
+    assert out[3]["text"] == "write to [EMAIL] or [IP] now 1 2 3" and out[3]["n_chars"] == len(out[3]["text"])
+    assert out[99]["text"] is None and out[98]["text"] == "clean" and out[98]["n_chars"] == 5
