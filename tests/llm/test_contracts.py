@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from arealis.llm import decontaminate, pii, sharding, spotsigs, substrings, suffixes
+from arealis.llm import decontaminate, jaccard, pii, sharding, spotsigs, substrings, suffixes
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -196,3 +196,49 @@ def test_redaction(spark):
     out = {r["doc_id"]: r for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, s int")).collect()}
     assert out[3]["text"] == "write to [EMAIL] or [IP] now 1 2 3" and out[3]["n_chars"] == len(out[3]["text"])
     assert out[99]["text"] is None and out[98]["text"] == "clean" and out[98]["n_chars"] == 5
+
+
+def test_jaccard_join(docs, rows, table, table_rows, same):
+    columns = ["doc_id", "n_shingles", "component_id"]
+    for df, own in ((docs, rows), (table, table_rows)):
+        same(jaccard.linked(df), columns, brute.components(own))
+
+
+def test_one_of_each_component_stays(spark, docs, rows):
+    stay = {r["doc_id"] for r in jaccard.first_of_each(docs).collect()}
+    assert stay == {i for i, _, c in brute.components(rows) if i == c}
+    assert jaccard.first_of_each(docs).columns == docs.columns
+    same = [(None, "a b"), (None, "a b"), (1, None), (1, None), (2, "x y"), (3, "X  y"), (3, "other"), (4, "")]
+    out = jaccard.first_of_each(spark.createDataFrame(same, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([same[0], same[2], same[3], same[4], same[6], same[7]], key=repr)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 1.0])
+def test_signatures_meet(share):
+    """Sets within the bound share a posting, whatever the allocation of credits."""
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 3, 4, 7, 20, 47, 48, 63, 64, 100, 190, 255, 256, 400):
+        for _ in range(20):
+            a = rng.integers(0, 1 << 62, size).astype(np.uint64)
+            extra = rng.integers(0, 1 << 62, size).astype(np.uint64)
+            gone = int(rng.integers(0, size // 4 + 1))
+            b = np.concatenate([a[gone:], extra[: (3 * (size - gone) * 100 // 75 - 0) // 3 - (size - gone)]])[: 4 * size // 3]
+            x, y = np.unique(a), np.unique(b)
+            both = len(np.intersect1d(x, y))
+            if 100 * both < 75 * (len(x) + len(y) - both):
+                continue
+            costly = rng.choice(x, min(3, size), replace=False)
+            known = jaccard.signatures(x, np.array([0, len(x)]), {}, np.zeros(0, np.uint64))[1]
+            row, sig, _ = jaccard.signatures(
+                np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), dict.fromkeys(range(9), share), np.unique(known)[:3] if costly.size else known
+            )
+            assert set(sig[row == 0]) & set(sig[row == 1])
+
+
+def test_large_groups_and_blocks_change_nothing(spark, docs, rows, same, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1.0)
+    monkeypatch.setattr(jaccard, "SEEN", 2)
+    same(jaccard.linked(docs), ["doc_id", "n_shingles", "component_id"], brute.components(rows))
+    assert jaccard.linked(docs.limit(0)).count() == 0
