@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arealis.llm import decontaminate, html, jaccard, language, pii, sharding, spotsigs, substrings, suffixes
+import corpus_pipeline
+from arealis.llm import decontaminate, html, jaccard, language, packing, pii, sharding, spotsigs, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +33,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 @query("op3_sharding")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.by_bytes(table(spark, sf_dir, "documents"))
@@ -72,3 +78,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.deduplicated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from arealis.llm import decontaminate, jaccard, pii, sharding, spotsigs, substrings, suffixes
+from arealis.llm import decontaminate, jaccard, packing, pii, sharding, spotsigs, substrings, suffixes
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -242,3 +242,49 @@ def test_large_groups_and_blocks_change_nothing(spark, docs, rows, same, monkeyp
     monkeypatch.setattr(jaccard, "SEEN", 2)
     same(jaccard.linked(docs), ["doc_id", "n_shingles", "component_id"], brute.components(rows))
     assert jaccard.linked(docs.limit(0)).count() == 0
+
+
+def _bins(rows, capacity):
+    """What every packing must obey, and that best fit left no piece where it fits better elsewhere alone."""
+    room, sources, texts = {}, {}, {}
+    for r, source, text in rows:
+        room[r["bin"]] = room.get(r["bin"], capacity) - r["n_words"]
+        if r["n_words"] < capacity:
+            assert source is None or source not in sources.setdefault(r["bin"], set())
+            assert text is None or text not in texts.setdefault(r["bin"], set())
+        sources.setdefault(r["bin"], set()).add(source)
+        texts.setdefault(r["bin"], set()).add(text)
+    for r, _, _ in rows:
+        assert room[r["bin"]] == r["room"] >= 0
+    return room
+
+
+def test_packing(spark, rows):
+    own = [(i, t, None if i % 11 == 0 else f"s{i % 5}") for i, t in rows] + [(3, "one", "s3")] * 3 + [(None, "null id", "s9")]
+    out = packing.packed(spark.createDataFrame(own, "doc_id long, text string, source string"), capacity=100, chunk=20).collect()
+    by_id = {i: (s, t) for i, t, s in own}
+    _bins([(r, *by_id[r["doc_id"]]) for r in out], 100)
+    words_of = {}
+    for r in out:
+        words_of[r["doc_id"]] = words_of.get(r["doc_id"], 0) + r["n_words"]
+        assert r["start"] == 100 * r["piece"]
+    assert words_of.pop(None) == 2 and words_of.pop(3) == 4
+    assert words_of == {i: len(brute.WORDS.findall((t or "").encode())) for i, t, _ in own if i not in (3, None)}
+    assert packing.packed(spark.createDataFrame(own, "doc_id long, text string, source string").limit(0)).count() == 0
+    assert packing.packed(spark.createDataFrame([(1, "a")], "doc_id long, text string")).count() == 1
+
+
+def test_best_fit_takes_the_tightest_compatible_bin():
+    assert packing.best_fit([(7, 1, 1), (6, 2, 2), (3, 1, 4), (3, 4, 8), (0, 1, 1)], 10) == [0, 1, 1, 0, 2]
+    rng = np.random.default_rng(1)
+    pieces = [(int(rng.integers(0, 60)), 1 << int(rng.integers(0, 6)), 1 << int(rng.integers(0, 30))) for _ in range(400)]
+    got = packing.best_fit(pieces, 100)
+    state = []
+    for (size, a, b), at in zip(pieces, got, strict=True):
+        fits = [(room, k) for k, (room, x, y) in enumerate(state) if room >= size and not (x & a or y & b)]
+        want = min(fits)[1] if fits else len(state)
+        assert at == want
+        if want == len(state):
+            state.append((100, 0, 0))
+        room, x, y = state[want]
+        state[want] = (room - size, x | a, y | b)
