@@ -4,35 +4,23 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arealis.session import scratch_path
+
 # Short columns, by cells, are left to the built-in percentile.
 _DIRECT_CELLS = 4_000_000
 # Once a value range holds this few rows they are sorted as one list.
 _DIRECT_ROWS = 200_000
-_BUCKETS = 1024
 # How far a proposed range reaches to either side of a rank, as a share of the rows,
 # and the accuracy of the sketch that proposes it.
 _SLACK = 1 / 1024
 _ACCURACY = 10_000
-_PROBES = [i / _BUCKETS for i in range(1, _BUCKETS)]
-
-
-def value_buckets(df: DataFrame, col: str, cuts: Sequence[float], out: str) -> DataFrame:
-    """Number the value ranges between sorted cuts; a cut's own value is a range by itself."""
-    if not cuts:
-        return df.withColumn(out, F.lit(0))
-    splits = [-math.inf, *cuts, math.inf]
-    placed = Bucketizer(splits=splits, inputCol=col, outputCol="_at", handleInvalid="keep").transform(df)
-    at = F.col("_at").cast("int")
-    own = F.get(F.expr(f"array({', '.join(f'{float(c)!r}D' for c in cuts)})"), at - 1) == F.col(col)
-    return placed.withColumn(out, at * 2 - F.coalesce(own, F.lit(False)).cast("int")).drop("_at")
 
 
 @dataclass(frozen=True)
@@ -167,57 +155,52 @@ def exact_quantiles(
             return None
         spot = spots[c, share]
         below, above = found[c, math.floor(spot)], found[c, math.ceil(spot)]
-        return below + (above - below) * (spot - math.floor(spot))
+        # to the last bit what the built-in gives for short tables
+        return below if below == above else (math.ceil(spot) - spot) * below + (spot - math.floor(spot)) * above
 
     return {c: [value(c, s) for s in shares] for c in cols}
 
 
-def running_total(
-    df: DataFrame, order: str, weight: str, out: str, descending: bool = False
-) -> DataFrame:
-    """Sum of ``weight`` over all rows ordered strictly before each row.
+def running_totals(df: DataFrame, order: Sequence[Column], weights: Mapping[str, Column]) -> DataFrame:
+    """Per output name, the sum of its weight over all rows sorted before each row.
 
-    ``order`` must be unique. A window over the whole table would sort it in one
-    task; here value ranges are summed on their own and shifted by the totals of
-    the ranges before them.
+    A window over the whole table would sort it in one task. Here rows are dealt by ranges
+    of ``order`` and written once, sorted; windows run inside the ranges, and each range is
+    shifted by the totals of those before it, two short rows a range on the driver. Use
+    it on grouped tables: rows equal in ``order`` come in any order.
     """
-    rows = df.count()
-    few = rows <= _DIRECT_ROWS
-    cuts = [] if few else sorted(set(df.approxQuantile(order, _PROBES, 1 / (4 * _BUCKETS))))
-    split = value_buckets(df, order, cuts, "_b")
-    # One row per bucket, so this window is short.
-    heads = split.groupBy("_b").agg(F.sum(weight).alias("_t"))
-    place = F.col("_b").desc() if descending else F.col("_b").asc()
-    before = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    key = F.col(order).desc() if descending else F.col(order).asc()
-    within = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        split.join(F.broadcast(heads), "_b")
-        .withColumn(out, F.col("_before") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
-        .drop("_b", "_before")
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranges")
+    rows = df.withColumns({f"_w_{n}": w for n, w in weights.items()}).repartitionByRange(parts, *order)
+    rows = rows.sortWithinPartitions(*order).withColumns(
+        {"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
     )
-
-
-def average_rank(
-    df: DataFrame, col: str, out: str = "rank", cast: str | None = "int", hot_rows: int = 2_000_000
-) -> DataFrame:
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    heads = rows.groupBy("_range").agg(*(F.sum(f"_w_{n}").alias(n) for n in weights)).orderBy("_range").collect()
+    before, at = [], {n: 0 for n in weights}
+    for h in heads:
+        before.append((h["_range"], *at.values()))
+        at = {n: at[n] + h[n] for n in weights}
+    kinds = {n: rows.schema[f"_w_{n}"].dataType.simpleString() for n in weights}
+    shifts = spark.createDataFrame(before, "_range int, " + ", ".join(f"_b_{n} {k}" for n, k in kinds.items()))
+    within = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {n: F.col(f"_b_{n}") + F.coalesce(F.sum(f"_w_{n}").over(within), F.lit(0)) for n in weights}
+    # one row a range, so the broadcast is as small as the list above
+    return rows.join(F.broadcast(shifts), "_range").withColumns(sums).select(*df.columns, *weights)
+
+
+def average_rank(df: DataFrame, col: str, out: str = "rank", cast: str | None = "int") -> DataFrame:
     """Descending rank with ties averaged, truncated to a whole number by default.
 
-    Ranks are worked out once per distinct value, so ties never pile up in a task.
-    Values held by more than ``hot_rows`` rows, of which there are at most rows /
-    hot_rows, get theirs from a broadcast; only the others are shuffled to be joined.
+    Ranks are worked out once per distinct value, so ties never pile up in a task, and
+    come back by one left join: a value with very many rows is hot on the left side only,
+    which Spark's skew join splits. Null has no rank.
     """
     counted = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_total(counted, col, "_n", "_ahead", descending=True)
+    placed = running_totals(counted, [F.desc(col)], {"_ahead": F.col("_n")})
     rank: Column = F.col("_ahead") + (F.col("_n") + 1) / F.lit(2.0)
     if cast:
         rank = rank.cast(cast)
-    ranks = placed.select(col, rank.alias(out), (F.col("_n") > hot_rows).alias("_hot"))
-    hot = F.broadcast(ranks.where("_hot").drop("_hot"))
-    known = df.where(F.col(col).isNotNull())
-    often = known.join(hot, col)
-    seldom = known.join(hot, col, "left_anti").join(ranks.where("NOT _hot").drop("_hot"), col)
-    missing = df.where(F.col(col).isNull()).withColumn(out, F.lit(None).cast(seldom.schema[out].dataType))
-    columns = [*df.columns, out]
-    return often.select(columns).unionByName(seldom.select(columns)).unionByName(missing.select(columns))
+    return df.join(placed.select(col, rank.alias(out)), col, "left").select(*df.columns, out)

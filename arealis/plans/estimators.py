@@ -15,7 +15,6 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arealis.functions import values as v
 from arealis.operators.quantiles import exact_quantiles
 
 FILLED = "__filled"
@@ -27,24 +26,14 @@ def _double(value: float) -> str:
 
 
 class MedianImputer(Estimator):
-    """Fill null and NaN with the training median, into ``<column>__filled``.
+    """Fill null and NaN with the exact training median, into ``<column>__filled``."""
 
-    The median is exact by default; ``approximate=True`` takes it from one
-    sketch pass, which is the cheaper choice on very long tables.
-    """
-
-    def __init__(self, cols: Sequence[str], approximate: bool = False) -> None:
+    def __init__(self, cols: Sequence[str]) -> None:
         super().__init__()
-        self.cols, self.approximate = list(cols), approximate
+        self.cols = list(cols)
 
     def medians(self, dataset: DataFrame) -> dict[str, float]:
-        if self.approximate:
-            found = dataset.agg(
-                *(F.percentile_approx(v.null_nan(F.col(c).cast("double")), 0.5, 10000).alias(c) for c in self.cols)
-            ).first()
-            got = found.asDict()
-        else:
-            got = {c: q[0] for c, q in exact_quantiles(dataset, self.cols, [0.5]).items()}
+        got = {c: q[0] for c, q in exact_quantiles(dataset, self.cols, [0.5]).items()}
         return {c: 0.0 if got[c] is None else got[c] for c in self.cols}
 
     def _fit(self, dataset: DataFrame) -> Transformer:

@@ -33,9 +33,30 @@ def test_split_keeps_groups_whole(table):
     assert train.count() + test.count() == 80
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_folds_keep_groups_whole_and_even(table, monkeypatch, limit):
-    monkeypatch.setattr(training, "MAX_DRIVER_GROUPS", limit)
+def test_groups_are_dealt_like_one_by_one():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        k = int(rng.integers(1, 7))
+        groups = sorted((int(x) for x in rng.choice([1, 1, 1, 2, 3, 7, 40, 500], rng.integers(1, 60))), reverse=True)
+        loads, want = [0] * k, []
+        for n in groups:
+            i = loads.index(min(loads))
+            loads[i] += n
+            want.append(i)
+        classes = [(n, len(list(x))) for n, x in itertools.groupby(groups)]
+        got = [turn[i % len(turn)] for _, a, b, turn in training.deal(classes, k) for i in range(b - a)]
+        assert got == want
+
+
+def test_rows_without_a_group_stay(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"g{i % 5}") for i in range(100)], "k int, grp string")
+    found = training.group_folds(df, "grp", 3)
+    assert found.count() == 100 and found.where("grp is null").select("fold").distinct().count() == 1
+    train, test = training.group_split(df, "grp", 0.2)
+    assert train.count() + test.count() == 100 and test.select("grp").distinct().count() == 1
+
+
+def test_folds_keep_groups_whole_and_even(table):
     folds = training.group_folds(table, "grp", 4).groupBy("fold").agg(F.count("k").alias("n"), F.collect_set("grp").alias("g")).collect()
     assert sorted(r.n for r in folds) == [20, 20, 20, 20]
     assert len(set(itertools.chain(*(r.g for r in folds)))) == 8
@@ -79,10 +100,20 @@ def test_whole_run_and_artifacts(spark, table, tmp_path):
     loaded = PipelineModel.load(f"{root}/best_model")
     again = loaded.transform(table).agg(F.sum("prediction")).first()[0]
     assert again == pytest.approx(result.final_model.transform(table).agg(F.sum("prediction")).first()[0])
-    with pytest.raises(ValueError, match="neither"):
+    with pytest.raises(TypeError, match="no importances"):
         training.feature_importance(quick[training.BASELINE]({}).fit(table), X, spark)
 
 
+@pytest.mark.parametrize("name", [training.FOREST, training.BOOSTED_LEVEL])
+def test_importances_sum_to_one_and_follow_the_rule(spark, table, name):
+    model = training.build_models(X, "y")[name]({"n_estimators": 5, "max_depth": 4}).fit(table)
+    found = {r.feature: r.importance for r in training.feature_importance(model, X, spark).collect()}
+    assert sum(found.values()) == pytest.approx(1) and max(found, key=found.get) == "x0"
+    if name == training.FOREST:
+        own = dict(zip(X, model.stages[-1].featureImportances.toArray(), strict=True))
+        assert found == pytest.approx(own)
+
+
 def brute_shap(nodes, weights, row):
     """Shapley values from every subset of features, walking the trees."""
 

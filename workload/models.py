@@ -101,6 +101,20 @@ def group_folds(spark, sf):
     return training.group_folds(lines, "grp", 5).groupBy("grp", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "group_folds_with_missing",
+    ly.cte(_folds_sql("rows", "grp", 5).replace("ORDER BY count(*) DESC, grp)", "ORDER BY count(*) DESC, grp NULLS FIRST)").replace(
+        "sizes AS (", "rows AS (SELECT nullif(l_suppkey % 7, 3) AS grp FROM lineitem),\nsizes AS (", 1
+    ))
+    + "SELECT grp, n, fold FROM folds",
+)
+def group_folds_with_missing(spark, sf):
+    """Rows without a group are kept, as one group."""
+    code = F.col("l_suppkey") % 7
+    lines = ly.table(spark, sf, "lineitem").select(F.when(code != 3, code).alias("grp"))
+    return training.group_folds(lines, "grp", 5).groupBy("grp", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- estimators --------------------------------------------------------------
 
 
