@@ -439,6 +439,34 @@ def clip_polygon(geom: str, bbox: BBox) -> Column:
     return F.expr(_let("cs", closed, made))
 
 
+def clip_line(geom: str, bbox: BBox) -> Column:
+    """The stretches of a line inside a closed rectangle; null when none has a length.
+
+    Each segment is held to the range of its parameter in which it lies between the
+    four sides (Liang and Barsky 1984).
+    """
+    xmin, ymin, xmax, ymax = (_number(b) for b in bbox)
+    limits = [("-d.x", f"s.x0 - {xmin}"), ("d.x", f"{xmax} - s.x0"), ("-d.y", f"s.y0 - {ymin}"), ("d.y", f"{ymax} - s.y0")]
+    start = ", ".join(f"if({p} < 0, ({q}) / ({p}), 0D)" for p, q in limits)
+    end = ", ".join(f"if({p} > 0, ({q}) / ({p}), 1D)" for p, q in limits)
+    outside = " OR ".join(f"({p} = 0 AND {q} < 0)" for p, q in limits)
+    span = f"named_struct('a', if({outside}, 2D, greatest(0D, {start})), 'b', least(1D, {end}), 's', s, 'd', d)"
+    spans = f"transform({_segments(geom)}, s -> {_let('d', _point('s.x1 - s.x0', 's.y1 - s.y0'), span)})"
+    at = [_point(f"k.s.x0 + k.{t} * k.d.x", f"k.s.y0 + k.{t} * k.d.y") for t in "ab"]
+    parts = f"transform(filter({spans}, k -> k.a < k.b), k -> array({', '.join(at)}))"
+    made = f"CASE WHEN size(cs) > 0 THEN {_geometry(repr('MultiLineString'), 'cs')} END"
+    return F.expr(_let("cs", parts, made))
+
+
+def clip_points(geom: str, bbox: BBox) -> Column:
+    """The points inside a closed rectangle; null when none is."""
+    xmin, ymin, xmax, ymax = (_number(b) for b in bbox)
+    inside = f"p.x BETWEEN {xmin} AND {xmax} AND p.y BETWEEN {ymin} AND {ymax}"
+    parts = f"filter(transform({geom}.parts, r -> filter(r, p -> {inside})), r -> size(r) > 0)"
+    made = f"CASE WHEN size(cs) > 0 THEN {_geometry(f'{geom}.kind', 'cs')} END"
+    return F.expr(_let("cs", parts, made))
+
+
 def _side(s: str, x: str, y: str) -> str:
     return f"signum(({s}.x1 - {s}.x0) * ({y} - {s}.y0) - ({s}.y1 - {s}.y0) * ({x} - {s}.x0))"
 

@@ -6,7 +6,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Typical carriageway width in metres by road class.
 ROAD_WIDTH_M = {
@@ -117,7 +116,3 @@ def text_or(col: Column, missing: str = "no data") -> Column:
 def null_nan(col: Column) -> Column:
     """NaN to null, so that sums and maxima skip it."""
     return F.when(~F.isnan(col), col)
-
-
-def numeric_columns(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema if isinstance(f.dataType, T.NumericType)]

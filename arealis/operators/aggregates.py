@@ -94,7 +94,8 @@ def distinct_count(df: DataFrame, col: str, approximate: bool = False) -> DataFr
     return df.agg(agg.alias("distinct_values"))
 
 
-def _missing(df: DataFrame, col: str) -> Column:
+def is_missing(df: DataFrame, col: str) -> Column:
+    """Null, or NaN in a column of floating point numbers."""
     c = F.col(col)
     if df.schema[col].dataType.typeName() in ("double", "float"):
         return c.isNull() | F.isnan(c)
@@ -104,7 +105,7 @@ def _missing(df: DataFrame, col: str) -> Column:
 def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Missing values per column, columns without any left out, most first."""
     cols = list(cols or df.columns)
-    counted = df.agg(*(F.count_if(_missing(df, c)).alias(c) for c in cols))
+    counted = df.agg(*(F.count_if(is_missing(df, c)).alias(c) for c in cols))
     long = counted.unpivot([], cols, "column_name", "missing")
     return long.where(F.col("missing") > 0).orderBy(F.desc("missing"), "column_name")
 
@@ -113,9 +114,9 @@ def completeness(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows with all columns present, as count and share, and the share of missing cells."""
     present = None
     for c in cols:
-        ok = ~_missing(df, c)
+        ok = ~is_missing(df, c)
         present = ok if present is None else present & ok
-    cells = sum((_missing(df, c).cast("int") for c in cols[1:]), _missing(df, cols[0]).cast("int"))
+    cells = sum((is_missing(df, c).cast("int") for c in cols[1:]), is_missing(df, cols[0]).cast("int"))
     return df.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(present).alias("complete_rows"),
@@ -260,40 +261,29 @@ def total_bounds(df: DataFrame, geom: str = "geom") -> DataFrame:
     )
 
 
-def dissolve(
-    df: DataFrame, key: str, col: str, geom: str = "geom", max_parts: int = 100_000
-) -> DataFrame:
-    """Parts under one key as a multi-part shape, with the mean of a value.
+def dissolve(df: DataFrame, key: str, col: str, geom: str = "geom") -> DataFrame:
+    """The outline of the shapes under each key, one row an edge, with the mean of a value.
 
-    Shared edges stay, so the area is that of the parts. A key with more than
-    ``max_parts`` shapes spreads over several rows, told apart by ``chunk``, as no
-    single row could hold them; the mean is that of the whole key in each.
+    Columns: key, the mean, x0, y0, x1, y1 (the inside lies to the left) and ``times``.
+    Edges that two shapes share run both ways and cancel, so no inner edge is left;
+    an edge that shapes lying on each other have in common counts as often (``times``).
+    Vertices must be equal to match. Edges are grouped over all tasks, so the grain is the
+    same for a shed and for a state; ``sum(times * (x0 * y1 - x1 * y0)) / 2`` is the area.
     """
     known = df.where(F.col(key).isNotNull())
-    per_key = known.groupBy(key).agg(F.avg(col).alias(col), F.count(F.lit(1)).alias("_n"))
-    # At most rows / max_parts keys can be this large, so they fit a broadcast.
-    large = per_key.where(F.col("_n") > max_parts).select(
-        key, F.ceil(F.col("_n") / max_parts).alias("_chunks")
-    )
-    shape = F.col(geom)
-    spread = F.pmod(F.xxhash64(shape["xmin"], shape["ymin"], shape["parts"]), F.col("_chunks"))
-    parts = (
-        known.select(key, geom)
-        .join(F.broadcast(large), key, "left")
-        .withColumn("chunk", F.coalesce(spread, F.lit(0)))
-        .groupBy(key, "chunk")
-        .agg(
-            F.flatten(F.collect_list(shape["parts"])).alias("parts"),
-            F.min(shape["xmin"]).alias("xmin"),
-            F.min(shape["ymin"]).alias("ymin"),
-            F.max(shape["xmax"]).alias("xmax"),
-            F.max(shape["ymax"]).alias("ymax"),
-        )
-    )
-    merged = F.struct(
-        F.lit("MultiPolygon").alias("kind"), "parts", "xmin", "ymin", "xmax", "ymax"
+    value = known.groupBy(key).agg(F.avg(col).alias(col))
+    shapes = known.where(g.is_kind(geom, g.POLYGON_KINDS))
+    edge = shapes.select(key, F.explode(g.segments(geom)).alias("e")).select(key, "e.*").where("x0 <> x1 OR y0 <> y1")
+    back = "(x0 > x1 OR (x0 = x1 AND y0 > y1))"
+    ways = edge.selectExpr(
+        f"`{key}`", f"if({back}, -1L, 1L) AS _way",
+        *(f"if({back}, {c}{1 - i}, {c}{i}) AS _{c}{i}" for c in "xy" for i in (0, 1)),
+    )
+    net = ways.groupBy(key, "_x0", "_y0", "_x1", "_y1").agg(F.sum("_way").alias("_net")).where("_net <> 0")
+    outline = net.selectExpr(
+        f"`{key}`", *(f"if(_net > 0, _{c}{i}, _{c}{1 - i}) AS {c}{i}" for i in (0, 1) for c in "xy"), "abs(_net) AS times"
     )
-    return parts.join(per_key.select(key, col), key).select(key, "chunk", col, merged.alias(geom))
+    return outline.join(value, key).select(key, col, "x0", "y0", "x1", "y1", "times")
 
 
 def geometry_report(df: DataFrame, geom: str = "geom") -> DataFrame:

@@ -69,13 +69,20 @@ def round_for_display(df: DataFrame, cols: Sequence[str], digits: int, text: Seq
 def clip_to_box(
     df: DataFrame, bbox: tuple[float, float, float, float], geom: str = "geom"
 ) -> DataFrame:
-    """Layer cut to a rectangle; rows left without any shape are dropped."""
+    """Layer cut to a rectangle; rows left without any shape are dropped.
+
+    Polygons keep the rings that have area inside, lines the stretches inside (one part a
+    segment), points stay where they lie inside or on the border.
+    """
     xmin, ymin, xmax, ymax = (float(b) for b in bbox)
     col = F.col(geom)
     meets = (col["xmin"] <= xmax) & (col["xmax"] >= xmin) & (col["ymin"] <= ymax) & (col["ymax"] >= ymin)
     within = (col["xmin"] >= xmin) & (col["xmax"] <= xmax) & (col["ymin"] >= ymin) & (col["ymax"] <= ymax)
-    cut = F.when(within | ~g.is_kind(geom, g.POLYGON_KINDS), col).otherwise(
-        g.clip_polygon(geom, bbox)
+    cut = (
+        F.when(within | g.is_kind(geom, ("Point",)), col)
+        .when(g.is_kind(geom, g.LINE_KINDS), g.clip_line(geom, bbox))
+        .when(g.is_kind(geom, g.POINT_KINDS), g.clip_points(geom, bbox))
+        .otherwise(g.clip_polygon(geom, bbox))
     )
     return df.where(meets).withColumn(geom, cut).where(F.col(geom).isNotNull())
 
@@ -132,7 +139,9 @@ def merge_tiles(tiles: Sequence[DataFrame], key: str) -> DataFrame:
     """Union of tiles; an object found in several tiles is kept from the first."""
     numbered = [t.withColumn("_tile", F.lit(i)) for i, t in enumerate(tiles)]
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
-    return first_per_key(united, key, ["_tile"]).drop("_tile")
+    # doubles inside one tile: the content decides, so a task run again picks the same row
+    told = united.withColumn("_content", F.xxhash64(*(c for c in united.columns if c != "_tile")))
+    return first_per_key(told, key, ["_tile", "_content"]).drop("_tile", "_content")
 
 
 def union_tiles(tiles: Sequence[DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arealis.functions import geometry as g
+from arealis.operators.aggregates import is_missing
 
 _SCHEMA = (
     "layer string, present boolean, total_rows bigint, total_columns bigint,"
@@ -18,9 +19,7 @@ _SCHEMA = (
 
 def _one(name: str, df: DataFrame) -> DataFrame:
     plain = [c for c in df.columns if c != "geom"]
-    empty = reduce(
-        lambda a, b: a + b, (F.col(c).isNull().cast("long") for c in plain), F.lit(0).cast("long")
-    )
+    empty = reduce(lambda a, b: a + b, (is_missing(df, c).cast("long") for c in plain), F.lit(0).cast("long"))
     if "geom" in df.columns:
         broken = g.has_open_ring("geom") | g.has_short_ring("geom") | g.crosses_itself("geom")
         kinds = F.array_join(F.array_sort(F.collect_set("geom.kind")), ",")

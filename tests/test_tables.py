@@ -118,33 +118,61 @@ def test_quantiles_when_one_value_fills_the_table(spark, narrow):
     assert quantiles.exact_quantiles(df, ["x"], [0.0005, 0.5, 0.9999])["x"] == pytest.approx(list(want))
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_average_rank_equals_pandas(spark, monkeypatch, split):
-    if split:
-        monkeypatch.setattr(quantiles, "_DIRECT_ROWS", 20)
+def test_average_rank_equals_pandas(spark):
     import pandas as pd
 
     # One value holds a third of the rows.
     pdf = pd.DataFrame({"k": range(500), "x": [7.0 if i % 3 == 0 else float((i * 37) % 90) for i in range(500)]})
     df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(500, None)], "k long, x double"))
-    hot = 50 if split else 2_000_000
-    found = quantiles.average_rank(df, "x", hot_rows=hot).toPandas().sort_values("k")
+    ranked = quantiles.average_rank(df, "x")
+    found = ranked.toPandas().sort_values("k")
     assert list(found["rank"][:500]) == list(pdf["x"].rank(ascending=False).astype(int))
     assert len(found) == 501
     assert pd.isna(found["rank"].iloc[500])
 
 
-def test_dissolve_spreads_large_groups(spark):
-    from arealis.functions import geometry as g
+def test_average_rank_scans_its_input_twice(spark, tmp_path, capsys):
+    path = str(tmp_path / "in")
+    spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("x")).write.parquet(path)
+    quantiles.average_rank(spark.read.parquet(path), "x").explain()
+    # the other scan was that of the counts, which are a table of their own
+    assert capsys.readouterr().out.count(str(tmp_path)) <= 1
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_quantiles_are_the_same_on_both_paths(spark, monkeypatch, limit):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.gauss(0, 1e3),) for _ in range(997)], "x double")
+    shares = [i / 61 for i in range(62)]
+    want = list(df.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0])
+    monkeypatch.setattr(quantiles, "_DIRECT_CELLS", limit)
+    assert quantiles.exact_quantiles(df, ["x"], shares)["x"] == want
+
+
+def test_dissolve_has_one_grain_and_no_inner_edges(spark):
     from tests.shapes import box, layer
 
     df = layer(spark, [(("big" if i < 50 else "small"), float(i), box(i, 0, i + 1, 1)) for i in range(53)], "k string, x double")
-    merged = aggregates.dissolve(df, "k", "x", max_parts=10)
-    rows = merged.select("k", "chunk", "x", g.area("geom").alias("a")).collect()
-    assert sum(r.a for r in rows if r.k == "big") == 50.0
-    assert len([r for r in rows if r.k == "big"]) > 1
+    rows = aggregates.dissolve(df, "k", "x").collect()
+    area = lambda k: sum(r.times * (r.x0 * r.y1 - r.x1 * r.y0) for r in rows if r.k == k) / 2
+    assert (area("big"), area("small")) == (50.0, 3.0)
     assert {r.x for r in rows if r.k == "big"} == {24.5}
-    assert [(r.x, r.a) for r in rows if r.k == "small"] == [(51.0, 3.0)]
+    assert len([r for r in rows if r.k == "big"]) == 102 and all(r.times == 1 for r in rows)
+
+
+def test_merge_keeps_one_double_of_a_tile_by_content(spark):
+    rows = [(1, "b"), (1, "a"), (2, "c")]
+    found = {tuple(tb.merge_tiles([spark.createDataFrame(rows[:n] + rows[n:], "k int, v string").repartition(p)], "k").collect()) for n, p in ((0, 1), (1, 3), (2, 2))}
+    assert len({frozenset(x) for x in found}) == 1
+
+
+def test_lines_and_points_are_clipped(spark):
+    from arealis.functions import geometry as g
+    from tests.shapes import layer
+
+    df = layer(spark, [("a", [[(-5, 5), (15, 5)]]), ("b", [[(2, 2), (2, 20), (30, 20)]]), ("c", [[(-1, -1), (-1, 30)]])], kind="LineString")
+    found = {r.id: r.n for r in tb.clip_to_box(df, (0, 0, 10, 10)).select("id", g.length("geom").alias("n")).collect()}
+    assert found == {"a": 10.0, "b": 8.0}
 
 
 def test_correlation_is_pairwise(spark):

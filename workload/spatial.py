@@ -348,16 +348,38 @@ def rollup_weighted(spark, sf):
 @query(
     "dissolve",
     ly.cte(ly.MESH)
-    + """SELECT SA2_MAIN16, avg(UHI18_M) AS UHI18_M, sum((x1 - x0) * (y1 - y0)) AS sqm, count(*) AS parts,
-       min(x0) AS xmin, max(y1) AS ymax FROM mesh GROUP BY SA2_MAIN16""",
+    + """, e AS (SELECT SA2_MAIN16, unnest([
+    {'ax': x0, 'ay': y0, 'qx': x1, 'qy': y0, 'way': 1}, {'ax': x1, 'ay': y0, 'qx': x1, 'qy': y1, 'way': 1},
+    {'ax': x0, 'ay': y1, 'qx': x1, 'qy': y1, 'way': -1}, {'ax': x0, 'ay': y0, 'qx': x0, 'qy': y1, 'way': -1}]) AS u FROM mesh),
+net AS (SELECT SA2_MAIN16, u.ax, u.ay, u.qx, u.qy, sum(u.way) AS n FROM e GROUP BY ALL HAVING sum(u.way) <> 0),
+outline AS (SELECT SA2_MAIN16, CAST(sum(abs(n)) AS BIGINT) AS edges, sum(n * (ax * qy - qx * ay)) / 2 AS sqm, min(ax) AS xmin, max(qy) AS ymax
+  FROM net GROUP BY SA2_MAIN16),
+value AS (SELECT SA2_MAIN16, avg(UHI18_M) AS UHI18_M FROM mesh GROUP BY SA2_MAIN16)
+SELECT SA2_MAIN16, UHI18_M, edges, sqm, xmin, ymax FROM outline JOIN value USING (SA2_MAIN16)""",
 )
 def dissolve(spark, sf):
     merged = aggregates.dissolve(ly.mesh(spark, sf), "SA2_MAIN16", "UHI18_M")
     return merged.groupBy("SA2_MAIN16", "UHI18_M").agg(
-        F.sum(g.area("geom")).alias("sqm"),
-        F.sum(F.size("geom.parts")).alias("parts"),
-        F.min("geom.xmin").alias("xmin"),
-        F.max("geom.ymax").alias("ymax"),
+        F.sum("times").alias("edges"),
+        (F.sum(F.expr("times * (x0 * y1 - x1 * y0)")) / 2).alias("sqm"),
+        F.min("x0").alias("xmin"),
+        F.max("y1").alias("ymax"),
+    )
+
+
+@query(
+    "dissolve_tiling",
+    ly.cte(ly.SA1)
+    + """SELECT sa2, CAST(16 AS BIGINT) AS edges, 1e4 AS sqm, min(x0) AS xmin, max(y1) AS ymax FROM sa1 GROUP BY sa2""",
+)
+def dissolve_tiling(spark, sf):
+    """Sixteen squares an area that share all inner edges: only the sixteen outer ones stay."""
+    squares = ly.sa1(spark, sf).withColumn("one", F.lit(1.0))
+    return aggregates.dissolve(squares, "sa2", "one").groupBy("sa2").agg(
+        F.sum("times").alias("edges"),
+        (F.sum(F.expr("times * (x0 * y1 - x1 * y0)")) / 2).alias("sqm"),
+        F.min("x0").alias("xmin"),
+        F.max("y1").alias("ymax"),
     )
 
 
