@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import quote, urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +22,21 @@ def sniff_separator(header: str) -> str:
     return max(_SEPARATORS, key=header.count)
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_delimited(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    line_breaks: bool = True,
+    seen: Observation | None = None,
+) -> DataFrame:
     """Delimited text with a header, its separator found from the first line.
 
     Columns are matched by header name, so ``schema`` may list a subset in any
-    order; a byte-order mark on the first name is dropped. No types are inferred.
+    order; a byte-order mark on the first name is dropped. No types are inferred:
+    a value that is no value of its type becomes null, and ``seen`` counts those
+    (``unread_<column>``). Quoted fields may hold line breaks; as a break then doesn't
+    end a record, a file is read by one task. ``line_breaks=False`` is for files
+    without such fields and splits them.
     """
     header = spark.read.text(path).limit(1).first()[0]
     sep = sniff_separator(header)
@@ -32,12 +44,17 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> Data
         spark.read.option("header", True)
         .option("sep", sep)
         .option("enforceSchema", False)
-        .option("multiLine", False)
+        .option("multiLine", line_breaks)
+        .option("escape", '"')
         .csv(path)
     )
     named = raw.toDF(*(c.lstrip(_BOM).strip() for c in raw.columns))
     kept = [f for f in schema if f.name in named.columns]
-    return named.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in kept))
+    read = {f.name: F.col(f.name).try_cast(f.dataType) for f in kept}
+    if seen is not None:
+        lost = [F.count_if(F.col(c).isNotNull() & x.isNull()).alias(f"unread_{c}") for c, x in read.items()]
+        named = named.observe(seen, *lost)
+    return named.select(*(x.alias(c) for c, x in read.items()))
 
 
 def from_geojson(text: str) -> Column:
@@ -72,17 +89,19 @@ def from_geojson(text: str) -> Column:
 def read_geojson(spark: SparkSession, path: str, properties: T.StructType, lines: bool = False) -> DataFrame:
     """Features to rows with their properties and ``geom``.
 
-    A FeatureCollection is one JSON value and is read by one task per file;
-    ``lines=True`` reads one feature per line, which splits.
+    A FeatureCollection is one JSON value without places to cut, so each file is parsed
+    by one task, which streams it into one row a feature; the shapes are then dealt
+    out and read by all. ``lines=True`` reads one feature per line, which splits.
     """
-    props = properties.simpleString()
-    feature = f"struct<type:string,properties:{props},geometry:string>"
+    feature = T.StructType(
+        [T.StructField("type", T.StringType()), T.StructField("properties", properties), T.StructField("geometry", T.StringType())]
+    )
     if lines:
         rows = spark.read.text(path).select(F.from_json("value", feature).alias("f"))
     else:
-        whole = spark.read.text(path, wholetext=True)
-        many = F.from_json("value", f"struct<features:array<{feature}>>")
-        rows = whole.select(F.explode(many["features"]).alias("f"))
+        whole = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(feature))]))
+        features = whole.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+        rows = features.repartition(spark.sparkContext.defaultParallelism)
     return rows.select("f.properties.*", from_geojson("f.geometry").alias("geom"))
 
 
@@ -102,21 +121,19 @@ def read_layer_parquet(
 def read_layer_dir(spark: SparkSession, root: str) -> DataFrame:
     """One Parquet layer per sub-directory, with its name in ``layer``.
 
-    In each sub-directory only the first file in name order counts; empty ones
-    give no rows.
+    A layer's first dataset in name order counts, with all its parts; layers without
+    any give no rows. A dataset is a file, a directory of part files, or the part
+    files that Spark wrote straight into the sub-directory.
     """
-    rows = spark.read.option("recursiveFileLookup", False).parquet(f"{root.rstrip('/')}/*/")
-    path = F.col("_metadata.file_path")
-    tagged = rows.select("*", path.alias("_path")).withColumn(
-        "layer", F.element_at(F.split("_path", "/"), -2)
-    )
-    paths = rows.select(path.alias("_path")).distinct()
-    first = (
-        paths.withColumn("layer", F.element_at(F.split("_path", "/"), -2))
-        .groupBy("layer")
-        .agg(F.min("_path").alias("_path"))
-    )
-    return tagged.join(first, ["layer", "_path"], "left_semi").drop("_path")
+    rows = spark.read.option("recursiveFileLookup", True).parquet(root)
+    # what follows the root in the file's path, whichever scheme either is written with
+    folder = quote(urlsplit(root.rstrip("/")).path)
+    inside = F.split(F.element_at(F.split(F.col("_metadata.file_path"), re.escape(folder) + "/"), -1), "/")
+    name = F.when(F.size(inside) == 2, F.regexp_replace(inside[1], r"^(part-)\d.*$", "$1")).otherwise(inside[1])
+    tagged = rows.select("*", inside[0].alias("layer"), name.alias("_dataset")).where("_dataset IS NOT NULL")
+    first = tagged.groupBy("layer").agg(F.min("_dataset").alias("_dataset"))
+    # one short row a layer
+    return tagged.join(first, ["layer", "_dataset"], "left_semi").drop("_dataset")
 
 
 def read_boundaries(
@@ -137,10 +154,13 @@ OBSERVATION_SCHEMA = (
 )
 
 
-def read_observations_json(spark: SparkSession, path: str) -> DataFrame:
-    """The nested weather feed as one typed row per reading."""
-    whole = spark.read.text(path, wholetext=True)
-    return explode_observations(whole, "value")
+def read_observations_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The nested weather feed as one typed row per reading.
+
+    A file is one feed and is read by one task; with ``lines=True`` each line is one,
+    and files split.
+    """
+    return explode_observations(spark.read.text(path, wholetext=not lines), "value")
 
 
 def explode_observations(df: DataFrame, col: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import struct
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,3 +106,34 @@ def test_street_map_cleaning(spark):
     row = clean.first()
     assert (row.osmid, row.highway) == ("a;b", "residential;service")
     assert "junk" not in clean.columns
+
+
+def test_delimited_keeps_line_breaks_and_counts_what_it_can_not_read(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('code,x\n1,"2.5"\n"a\nb",7\n"say ""hi""",bad\n')
+    seen = Observation("seen")
+    rows = readers.read_delimited(spark, str(path), SCHEMA, seen=seen).collect()
+    assert [tuple(r) for r in rows] == [("1", 2.5), ("a\nb", 7.0), ('say "hi"', None)]
+    assert seen.get == {"unread_code": 0, "unread_x": 1}
+
+
+def test_features_without_shape_or_values(spark):
+    df = layer(spark, [("a", HOLED)]).withColumns({"geom": F.lit(None).cast(g.GEOM_TYPE), "n": F.lit(None).cast("int")})
+    value = json.loads(writers.geojson_lines(df).first().value)
+    assert value == {"type": "Feature", "properties": {"id": "a", "n": None}, "geometry": None}
+
+
+def test_layer_dir_reads_all_parts_of_the_first_dataset(spark, tmp_path):
+    root = tmp_path / "some layers"
+    spark.range(100).repartition(4).write.parquet(str(root / "one"))
+    spark.range(30).repartition(3).write.parquet(str(root / "two" / "a.parquet"))
+    spark.range(50).coalesce(1).write.parquet(str(root / "two" / "b.parquet"))
+    found = {r.layer: r["count"] for r in readers.read_layer_dir(spark, str(root)).groupBy("layer").count().collect()}
+    assert found == {"one": 100, "two": 30}
+
+
+def test_quality_counts_nan(spark):
+    from arealis.plans import quality
+
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
+    assert quality.layer_quality_report(spark, {"a": df}).first().missing_values == 2

@@ -36,18 +36,25 @@ def densest_areas(spark, sf):
 
 @query(
     "read_delimited",
-    "SELECT c_custkey AS code, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer",
+    """SELECT c_custkey AS code, CASE c_custkey % 4 WHEN 0 THEN c_name || chr(10) || 'second line' WHEN 1 THEN 'a "quoted"; ' || c_name ELSE c_name END AS name,
+  c_acctbal AS balance, c_mktsegment AS segment FROM customer""",
 )
 def read_delimited(spark, sf):
-    """The customers as semicolon-separated text with a byte-order mark, read back."""
+    """The customers as semicolon-separated text with a byte-order mark, read back.
+
+    Some names hold a line break, a quote or a separator.
+    """
     path = scratch_path(spark, "delimited")
     out = ly.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("﻿code"),
-        F.col("c_name").alias("name"),
+        F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("\nsecond line")))
+        .when(F.col("c_custkey") % 4 == 1, F.concat(F.lit('a "quoted"; '), "c_name"))
+        .otherwise(F.col("c_name"))
+        .alias("name"),
         F.col("c_acctbal").alias("balance"),
         F.col("c_mktsegment").alias("segment"),
     )
-    out.write.option("header", True).option("sep", ";").csv(path)
+    out.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
     return readers.read_delimited(
         spark, path, schema("code bigint, name string, balance double, segment string")
     )
@@ -71,6 +78,26 @@ def read_geojson(spark, sf):
     return _park_columns(back)
 
 
+@query(
+    "read_geojson_collection",
+    ly.cte(ly.WATER)
+    + """SELECT water_id, water_id % 3 = 0 AS flag, CASE WHEN water_id % 5 <> 0 THEN CASE WHEN polygon THEN 'Polygon' ELSE 'LineString' END END AS kind,
+  CASE WHEN water_id % 5 <> 0 THEN x0 END AS xmin, CASE WHEN water_id % 5 <> 0 AND polygon THEN y1 WHEN water_id % 5 <> 0 THEN y0 END AS ymax FROM water""",
+)
+def read_geojson_collection(spark, sf):
+    """Each layer part as one FeatureCollection over many lines, some features without a shape."""
+    layer = ly.water(spark, sf).select(
+        "water_id", (F.col("water_id") % 3 == 0).alias("flag"), F.when(F.col("water_id") % 5 != 0, F.col("geom")).alias("geom")
+    )
+    lines = writers.geojson_lines(layer).withColumn("file", F.pmod(F.xxhash64("value"), F.lit(4)))
+    files = lines.groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("value")), ",\n").alias("body"))
+    path = scratch_path(spark, "collections")
+    whole = files.select("file", F.format_string('{"type":"FeatureCollection",\n"features":[%s]}', "body").alias("value"))
+    whole.write.partitionBy("file").text(path)
+    back = readers.read_geojson(spark, path, schema("water_id bigint, flag boolean"))
+    return back.select("water_id", "flag", "geom.kind", "geom.xmin", "geom.ymax")
+
+
 @query(
     "write_geojson",
     ly.cte(ly.WATER)
@@ -105,12 +132,13 @@ def write_layer(spark, sf):
 UNION ALL SELECT 'water', s_suppkey FROM supplier""",
 )
 def read_layer_dir(spark, sf):
-    """Two layers in sub-directories; a second file in one of them is not read."""
+    """Two layers of five parts each; a later dataset beside one of them is not read."""
     root = scratch_path(spark, "layers")
     parks = ly.parks(spark, sf).select(F.col("park_id").alias("id"))
     water = ly.water(spark, sf).select(F.col("water_id").alias("id"))
-    parks.coalesce(1).write.parquet(f"{root}/parks")
-    water.coalesce(1).write.parquet(f"{root}/water")
+    parks.repartition(5).write.parquet(f"{root}/parks")
+    water.repartition(5).write.parquet(f"{root}/water/a.parquet")
+    parks.write.parquet(f"{root}/water/b.parquet")
     return readers.read_layer_dir(spark, root)
 
 
@@ -151,7 +179,9 @@ def read_observations_json(spark, sf):
     feed = events.select(
         F.to_json(F.struct(F.struct(F.array(reading).alias("data")).alias("observations"))).alias("value")
     )
-    return readers.explode_observations(feed, "value")
+    path = scratch_path(spark, "feeds")
+    feed.write.text(path)
+    return readers.read_observations_json(spark, path, lines=True)
 
 
 @query(
