@@ -9,7 +9,9 @@ holding the lower-left corner of the boxes' intersection (Dittrich and Seeger
 
 The area side is measured first. Below ``broadcast_bytes`` it is broadcast and the
 other layer is never shuffled, so a crowded area or cell costs nothing. Above it
-the join shuffles, with crowded cells salted over several tasks.
+the join shuffles, and cells crowded on either side are salted over several tasks: the
+crowded side is dealt out, the other one copied. Shapes of many edges are cut into strips
+on both sides before they meet, so no row and no pair holds more than a strip's edges.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arealis.functions import geometry as g
+from arealis.session import scratch_path
 
 CELL = ["_role", "_lvl", "_cx", "_cy"]
 
-# Bytes per edge and per cell row, used to size the area side.
-_EDGE_BYTES = 48
+# Bytes per edge (six fields of eight with header and offset) and per cell row without
+# its key, used to size the area side.
+_EDGE_BYTES = 64
 _ROW_BYTES = 160
 
 
@@ -53,10 +57,10 @@ class AreaStats:
     levels: tuple[int, ...]
     box: tuple[float, float, float, float]
     split: bool = False
+    key_bytes: int = 8
 
-    @property
-    def mean_edges(self) -> float:
-        return self.edges / self.rows if self.rows else 0.0
+    def size(self) -> int:
+        return self.rows * (_ROW_BYTES + self.key_bytes) + self.edges * _EDGE_BYTES
 
 
 def _level(step: int, shape: str) -> str:
@@ -86,41 +90,39 @@ def _measure(rows: DataFrame, step: int) -> AreaStats:
         F.expr("coalesce(max(size(_edges)), 0)"),
         F.expr(f"collect_set({_level(step, '_a')})"),
         F.expr("struct(min(_axmin), min(_aymin), max(_axmax), max(_aymax))"),
+        F.expr("coalesce(bool_or(_lo > CAST('-Infinity' AS DOUBLE) OR _hi < CAST('Infinity' AS DOUBLE)), false)"),
+        F.expr("coalesce(max(octet_length(CAST(_key AS STRING))), 0)"),
     ).first()
-    return AreaStats(got[0], got[1], got[2], tuple(sorted(got[3])), tuple(got[4]))
+    return AreaStats(got[0], got[1], got[2], tuple(sorted(got[3])), tuple(got[4]), got[5], got[6])
 
 
-def _split_large(rows: DataFrame, limit: int) -> DataFrame:
-    """Cut shapes with many edges into vertical strips.
+def _cut_long(
+    rows: DataFrame, limit: int, edges: str = "_edges", lo: str = "_lo", hi: str = "_hi", low: str = "_axmin", high: str = "_axmax"
+) -> DataFrame:
+    """Cut shapes with many edges into vertical strips, each with about as many edges.
 
     Every closed form used here is a sum over x, so a strip only needs the edges
-    that reach into it and the result is the plain sum over strips.
+    that reach into it and the result is the plain sum over strips. The borders are
+    quantiles of the edges' left ends, so clumped vertices get narrow strips; only
+    edges that lie above one and the same x can't be told apart by it.
     """
-    small = rows.where(F.expr(f"size(_edges) <= {limit}"))
-    large = rows.where(F.expr(f"size(_edges) > {limit}")).selectExpr(
-        "*",
-        f"CAST(ceil(size(_edges) / {limit}) AS INT) AS _n",
-        "greatest(_axmax - _axmin, 1e-9D) AS _width",
+    n = f"CAST(ceil(size({edges}) / {limit}) AS INT)"
+    spots = f"transform(sequence(1, {n} - 1), i -> xs[CAST(floor(i * CAST(size(xs) AS DOUBLE) / {n}) AS INT)])"
+    cuts = g._let("xs", f"array_sort(transform({edges}, e -> e.xl))", f"array_distinct({spots})")
+    none = "slice(array(0D), 1, 0)"
+    cut = rows.selectExpr("*", f"if(size({edges}) > {limit}, {cuts}, {none}) AS _cuts").selectExpr(
+        "*", "explode(sequence(0, size(_cuts))) AS _k"
     )
-
-    def strip(x: str) -> str:
-        return f"greatest(least(CAST(floor(({x} - _axmin) / _width * _n) AS INT), _n - 1), 0)"
-
-    # One strip further on either side, so rounding at a border loses nothing.
-    reach = f"sequence(greatest({strip('_e.xl')} - 1, 0), least({strip('_e.xr')} + 1, _n - 1))"
-    pieces = (
-        large.selectExpr("*", "explode(_edges) AS _e")
-        .selectExpr("*", f"explode({reach}) AS _k")
-        .groupBy("_key", *_AREA_BOX, "_n", "_width", "_k")
-        .agg(F.collect_list("_e").alias("_edges"))
-        .selectExpr(
-            "*",
-            "if(_k = 0, CAST('-Infinity' AS DOUBLE), _axmin + _width * _k / _n) AS _lo",
-            "if(_k = _n - 1, CAST('Infinity' AS DOUBLE), _axmin + _width * (_k + 1) / _n) AS _hi",
-        )
-        .withColumns({"_axmin": F.expr("greatest(_axmin, _lo)"), "_axmax": F.expr("least(_axmax, _hi)")})
-    )
-    return small.unionByName(pieces.select(*small.columns))
+    left = "if(_k = 0, CAST('-Infinity' AS DOUBLE), get(_cuts, _k - 1))"
+    right = "if(_k = size(_cuts), CAST('Infinity' AS DOUBLE), get(_cuts, _k))"
+    cut = cut.withColumns({lo: F.expr(left), hi: F.expr(right)})
+    return cut.withColumns(
+        {
+            edges: F.expr(f"if(size(_cuts) = 0, {edges}, filter({edges}, e -> e.xl <= {hi} AND e.xr >= {lo}))"),
+            low: F.expr(f"greatest({low}, {lo})"),
+            high: F.expr(f"least({high}, {hi})"),
+        }
+    ).select(*rows.columns)
 
 
 @dataclass(frozen=True)
@@ -133,9 +135,13 @@ class PreparedAreas:
 
 
 def prepare(
-    areas: DataFrame, key: str, geom: str = "geom", settings: JoinSettings = DEFAULT
+    areas: DataFrame, key: str, geom: str = "geom", settings: JoinSettings = DEFAULT, keep: bool = True
 ) -> PreparedAreas:
-    """Measure an area layer once; the result can stand for it in every join here."""
+    """Measure an area layer once; the result can stand for it in every join here.
+
+    With ``keep`` the worked-out edges are written to the shared folder, so that several
+    joins read them instead of working them out again.
+    """
     rows = areas.where(g.is_kind(geom, g.POLYGON_KINDS)).select(
         F.col(key).alias("_key"),
         g.edges(geom).alias("_edges"),
@@ -143,30 +149,27 @@ def prepare(
         F.lit(float("-inf")).alias("_lo"),
         F.lit(float("inf")).alias("_hi"),
     )
-    stats = _measure(rows, settings.level_step)
-    if stats.max_edges > settings.max_edges:
-        rows = _split_large(rows, settings.max_edges)
-        stats = replace(_measure(rows, settings.level_step), split=True)
-    return PreparedAreas(rows, stats, settings)
+    rows = _cut_long(rows, settings.max_edges)
+    if keep:
+        path = scratch_path(areas.sparkSession, "areas")
+        rows.write.parquet(path)
+        rows = areas.sparkSession.read.schema(rows.schema).parquet(path)
+    return PreparedAreas(rows, _measure(rows, settings.level_step), settings)
 
 
 Areas = DataFrame | PreparedAreas
 
 
 def _prepared(areas: Areas, key: str, settings: JoinSettings) -> PreparedAreas:
-    return areas if isinstance(areas, PreparedAreas) else prepare(areas, key, settings=settings)
-
+    return areas if isinstance(areas, PreparedAreas) else prepare(areas, key, settings=settings, keep=False)
 
-def _bytes(rows: int, edges: int) -> int:
-    return rows * _ROW_BYTES + edges * _EDGE_BYTES
 
-
-def _fits(cells: DataFrame, bound: int, settings: JoinSettings) -> bool:
+def _fits(cells: DataFrame, copies: int, stats: AreaStats, settings: JoinSettings) -> bool:
     """Whether the area side may be broadcast: by its bound, else by its measured size."""
-    if bound <= settings.broadcast_bytes:
+    if copies * stats.size() <= settings.broadcast_bytes:
         return True
     got = cells.selectExpr("count(1)", "coalesce(sum(size(_edges)), 0)").first()
-    return _bytes(got[0], got[1]) <= settings.broadcast_bytes
+    return replace(stats, rows=got[0], edges=got[1]).size() <= settings.broadcast_bytes
 
 
 def _join_cells(
@@ -174,23 +177,29 @@ def _join_cells(
 ) -> DataFrame:
     if fits:
         return source.join(F.broadcast(cells), CELL)
-    # Each crowded cell holds at least hot_rows rows, so there are at most
-    # rows / hot_rows of them: small enough to broadcast whatever the layer's size.
-    hot = (
-        source.groupBy(*CELL)
-        .count()
-        .where(F.col("count") > settings.hot_rows)
-        .selectExpr(*CELL, f"CAST(ceil(count / {settings.hot_rows}) AS INT) AS _salts")
-    )
-    # Rows are spread by their content, so a task run again spreads them the same way.
-    spread = F.pmod(F.xxhash64(*salt_on), F.expr("coalesce(_salts, 1)")).cast("int")
-    left = source.join(F.broadcast(hot), CELL, "left").withColumn("_salt", spread).drop("_salts")
-    right = (
-        cells.join(F.broadcast(hot), CELL, "left")
-        .selectExpr("*", "explode(sequence(0, coalesce(_salts, 1) - 1)) AS _salt")
-        .drop("_salts")
-    )
-    return left.join(right, [*CELL, "_salt"])
+    # Each crowded cell holds at least hot_rows rows or edges, so there are at most so
+    # many of them: small enough to broadcast whatever the layer's size.
+    most = settings.hot_rows
+
+    def crowded(side: DataFrame, weight: str, out: str) -> DataFrame:
+        weighed = side.groupBy(*CELL).agg(F.expr(weight).alias("_weight")).where(F.col("_weight") > most)
+        return F.broadcast(weighed.selectExpr(*CELL, f"CAST(ceil(_weight / {most}) AS INT) AS {out}"))
+
+    many, heavy = crowded(source, "count(1)", "_many"), crowded(cells, "sum(greatest(size(_edges), 1))", "_heavy")
+
+    # Rows are dealt by their content, so a task run again deals them the same way.
+    def dealt(by: list[str], salts: str) -> Column:
+        return F.pmod(F.xxhash64(*by), F.expr(f"coalesce({salts}, 1)")).cast("int")
+
+    def copied(salts: str) -> Column:
+        return F.explode(F.expr(f"sequence(0, coalesce({salts}, 1) - 1)"))
+
+    left = source.join(many, CELL, "left").join(heavy, CELL, "left")
+    left = left.withColumn("_s1", dealt(salt_on, "_many")).withColumn("_s2", copied("_heavy")).drop("_many", "_heavy")
+    right = cells.join(many, CELL, "left").join(heavy, CELL, "left")
+    own = ["_key", "_axmin", "_aymin", "_lo"] if "_axmin" in cells.columns else ["_key", "_lo"]
+    right = right.withColumn("_s1", copied("_many")).withColumn("_s2", dealt(own, "_heavy")).drop("_many", "_heavy")
+    return left.join(right, [*CELL, "_s1", "_s2"])
 
 
 def _source_names(df: DataFrame) -> list[str]:
@@ -239,7 +248,7 @@ def join_within(
         )
     )
     per_axis = 2**settings.refine + 1
-    fits = _fits(cells, per_axis**2 * _bytes(stats.rows, stats.edges), settings)
+    fits = _fits(cells, per_axis**2, stats, settings)
 
     levels = ", ".join(str(v - settings.refine) for v in stats.levels)
     bx0, by0, bx1, by1 = (g._number(b) for b in stats.box)
@@ -258,14 +267,18 @@ def join_within(
     return joined.select(*kept, F.col("_key").alias(key))
 
 
-def _box_pairs(source: DataFrame, ready: PreparedAreas, geom: str = "geom") -> DataFrame:
-    """Pairs of source rows and area pieces whose boxes meet, each once."""
+def _boxed(geom: str = "geom") -> list[Column]:
+    return [F.col(f"{geom}.{c}").alias(f"_s{c}") for c in ("xmin", "ymin", "xmax", "ymax")]
+
+
+def _box_pairs(boxed: DataFrame, ready: PreparedAreas) -> DataFrame:
+    """Pairs of source rows and area pieces whose boxes meet, each once.
+
+    Source rows carry their box (``_boxed``) and what is needed of them later, but no
+    whole geometry, as they are copied to each cell they touch.
+    """
     rows, stats, settings = ready.rows, ready.stats, ready.settings
     step = settings.level_step
-    boxed = source.select(
-        *_source_names(source),
-        *(F.col(f"{geom}.{c}").alias(f"_s{c}") for c in ("xmin", "ymin", "xmax", "ymax")),
-    )
     if not stats.rows:
         return boxed.limit(0).join(rows, F.lit(False))
     x0, y0, x1, y1 = (g._number(b) for b in stats.box)
@@ -309,13 +322,13 @@ def _box_pairs(source: DataFrame, ready: PreparedAreas, geom: str = "geom") -> D
         *_AREA_BOX,
     )
     copies = 4 * (1 + (highest - lowest) // step)
-    fits = _fits(cells, copies * _bytes(stats.rows, stats.edges), settings)
-    salt_on = ["_sxmin", "_symin", *_spreading(source, geom)]
+    fits = _fits(cells, copies, stats, settings)
+    salt_on = ["_sxmin", "_symin", *_source_names(boxed)]
     meet = (
         "_sxmin <= _axmax AND _axmin <= _sxmax AND _symin <= _aymax AND _aymin <= _symax"
         f" AND {_cell('greatest(_sxmin, _axmin)')} = _cx AND {_cell('greatest(_symin, _aymin)')} = _cy"
     )
-    return _join_cells(left, cells, fits, salt_on, settings).where(meet).drop(*CELL, "_salt")
+    return _join_cells(left, cells, fits, salt_on, settings).where(meet).drop(*CELL, "_s1", "_s2")
 
 
 def area_terms(
@@ -337,12 +350,18 @@ def area_terms(
     kept = [c for c in _source_names(source) if c not in (geom, key)]
     parts = g.edge_pair("_e", "_h", "_y0", "_lo", "_hi")
     heights = [f"{parts[n].format(a='_a', b='_b')} AS _{n}" for n in ("fa", "fb", "ga", "gb")]
-    own = f"filter({g._edges(geom)}, e -> e.s <> 0)"
+    # Both sides come in strips; a pair of them counts where both lie.
+    pieces = polygons.select(
+        *kept, F.expr(f"filter({g._edges(geom)}, e -> e.s <> 0)").alias("_oe"), *_boxed(geom),
+        F.lit(float("-inf")).alias("_slo"), F.lit(float("inf")).alias("_shi"),
+    )
+    pieces = _cut_long(pieces, ready.settings.max_edges, "_oe", "_slo", "_shi", "_sxmin", "_sxmax")
+    reach = "filter({}, e -> e.xr > {}xmin AND e.xl < {}xmax)"
     rows = (
-        _box_pairs(polygons, ready, geom)
+        _box_pairs(pieces, ready)
         .selectExpr(
-            *kept, f"_key AS `{key}`", "greatest(_symin, _aymin) AS _y0", "_lo", "_hi", "_edges",
-            "_sxmin", "_sxmax", "_symin", f"explode({own}) AS _e",
+            *kept, f"_key AS `{key}`", "greatest(_symin, _aymin) AS _y0", "greatest(_lo, _slo) AS _lo", "least(_hi, _shi) AS _hi",
+            f"{reach.format('_edges', '_s', '_s')} AS _edges", "_symin", f"explode({reach.format('_oe', '_a', '_a')}) AS _e",
         )
         .selectExpr("*", "explode(_edges) AS _h")
         .where(
@@ -404,9 +423,18 @@ def length_terms(
         "_e.xl <= greatest(_g.x0, _g.x1) AND _e.xr >= least(_g.x0, _g.x1)"
         " AND greatest(_e.yl, _e.yr) >= least(_g.y0, _g.y1)"
     )
+    # Lines of many segments come in pieces, each with its own box.
+    limit = ready.settings.max_edges
+    slices = f"transform(sequence(0, CAST(floor((size(gs) - 1) / {limit}) AS INT)), k -> slice(gs, k * {limit} + 1, {limit}))"
+    box = [
+        f"array_{end}(transform(_gs, s -> {pick}(s.{axis}0, s.{axis}1))) AS _s{axis}{end}"
+        for axis in "xy"
+        for end, pick in (("min", "least"), ("max", "greatest"))
+    ]
+    pieces = only.selectExpr(*kept, f"explode({g._let('gs', g._segments(geom), slices)}) AS _gs").selectExpr("*", *box)
     rows = (
-        _box_pairs(only, ready, geom)
-        .selectExpr(*kept, f"_key AS `{key}`", "_lo", "_hi", "_edges", f"explode({g._segments(geom)}) AS _g")
+        _box_pairs(pieces, ready)
+        .selectExpr(*kept, f"_key AS `{key}`", "_lo", "_hi", "_edges", "explode(_gs) AS _g")
         .selectExpr("*", "explode(_edges) AS _e")
         .where(near)
     )
@@ -434,59 +462,75 @@ def overlay_length(
 
 # --- nearest -----------------------------------------------------------------
 
-# The pyramid's finest level has at most this many cells per axis, so all levels
-# together hold at most 4/3 of its square: about 350,000 rows, always broadcast.
-_PYRAMID_SIDE = 512
+# Levels of the first bound, from the whole extent down, two exponents apart.
+_LEVELS = 14
+
+
+def _occupied(features: DataFrame, levels: list[int]) -> DataFrame:
+    """A vertex in each cell that has any, at the given levels."""
+    spots = features.select(F.explode(F.flatten("geom.parts")).alias("_v")).selectExpr("_v.x AS _vx", "_v.y AS _vy")
+    cells = spots.selectExpr("*", f"explode(array({', '.join(map(str, levels))})) AS _lvl").selectExpr(
+        "_lvl", f"{_cell('_vx')} AS _cx", f"{_cell('_vy')} AS _cy", "_vx", "_vy"
+    )
+    return cells.groupBy("_lvl", "_cx", "_cy").agg(F.first("_vx").alias("_vx"), F.first("_vy").alias("_vy"))
+
+
+def _nearer(probes: DataFrame, features: DataFrame, levels: list[int], key: str, path: str) -> DataFrame:
+    """Per left row the least distance to a vertex of the probed cells, written once."""
+    met = probes.join(_occupied(features, levels), ["_lvl", "_cx", "_cy"])
+    found = met.groupBy(key, "_px", "_py").agg(F.expr("min(hypot(_vx - _px, _vy - _py)) AS _r"))
+    found.write.parquet(path)
+    return probes.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def _upper_bounds(
-    left: DataFrame, key: str, features: DataFrame, geom: str, box: tuple[float, float, float, float]
+    points: DataFrame, key: str, features: DataFrame, box: tuple[float, float, float, float], settings: JoinSettings
 ) -> DataFrame:
-    """A distance per left row within which a feature is certain to lie."""
-    x0, y0, x1, y1 = box
-    finest = _PYRAMID_SIDE.bit_length() - 1
-    size = max(x1 - x0, y1 - y0, 1e-6) * (1 + 1e-9) / _PYRAMID_SIDE
-
-    def at(value: str, origin: float) -> str:
-        return f"CAST(floor(({value} - {g._number(origin)}) / {g._number(size)}) AS INT)"
-
-    spot = f"{geom}.parts[0][0]"
-    occupied = (
-        features.selectExpr(f"{spot}.x AS fx", f"{spot}.y AS fy")
-        .groupBy(F.expr(at("fx", x0)).alias("_cx"), F.expr(at("fy", y0)).alias("_cy"))
-        .agg(F.min(F.struct("fx", "fy")).alias("v"))
+    """A distance per left row within which a feature is certain to lie, a few times the true one.
+
+    First each point looks at the 3 x 3 cells around it at levels from the whole extent
+    down, so how features are spread, clumped or scattered far, doesn't matter: the
+    smallest level with a neighbour bounds the distance from both sides. Then the circle
+    of that bound is looked through once more in cells of a quarter to half its radius.
+    All are equi joins on cells; what a point probes doesn't grow with the layer.
+    """
+    spark = points.sparkSession
+    x0, y0, x1, y1 = (g._number(b) for b in box)
+    top = math.ceil(math.log2(max(box[2] - box[0], box[3] - box[1], 1e-3))) + 1
+    levels = [top - 2 * i for i in range(_LEVELS)]
+    around = "explode(sequence({0} - 1, {0} + 1))"
+    held = points.selectExpr(key, "_px", "_py", f"least(greatest(_px, {x0}), {x1}) AS _hx", f"least(greatest(_py, {y0}), {y1}) AS _hy")
+    probes = (
+        held.selectExpr("*", f"explode(array({', '.join(map(str, levels))})) AS _lvl")
+        .selectExpr(key, "_px", "_py", "_lvl", "_hy", f"{around.format(_cell('_hx'))} AS _cx")
+        .selectExpr(key, "_px", "_py", "_lvl", "_cx", f"{around.format(_cell('_hy'))} AS _cy")
     )
-    # Coarser cells are built from the occupied finest ones, not from the layer.
-    levels = f"explode(sequence(0, {finest})) AS _up"
-    coarser = ["_up", "shiftright(_cx, _up) AS _cx", "shiftright(_cy, _up) AS _cy"]
-    pyramid = (
-        occupied.selectExpr("_cx", "_cy", "v", levels)
-        .selectExpr(*coarser, "v")
-        .groupBy("_up", "_cx", "_cy")
-        .agg(F.min("v").alias("v"))
+    bounds = _nearer(probes, features, levels, key, scratch_path(spark, "bounds"))
+    # the nearest feature's vertex may lie in any cell of the circle, its own bound included
+    level = "CAST(floor(log2(_r / 2)) AS INT)"
+    found = bounds.where("_r > 0").agg(F.collect_set(F.expr(level))).first()[0]
+    if not found:
+        return bounds
+    cells = (
+        bounds.where("_r > 0")
+        .selectExpr(key, "_px", "_py", "_r", f"{level} AS _lvl")
+        .selectExpr("*", f"explode(sequence({_cell('_px - _r')}, {_cell('_px + _r')})) AS _cx")
+        .selectExpr("*", f"explode(sequence({_cell('_py - _r')}, {_cell('_py + _r')})) AS _cy")
     )
-    held_x = f"least(greatest(_px, {g._number(x0)}), {g._number(x1)})"
-    held_y = f"least(greatest(_py, {g._number(y0)}), {g._number(y1)})"
-    probes = left.selectExpr(
-        key, "_px", "_py", f"{at(held_x, x0)} AS _cx", f"{at(held_y, y0)} AS _cy", levels
-    ).selectExpr(key, "_px", "_py", *coarser)
-    met = probes.join(F.broadcast(pyramid), ["_up", "_cx", "_cy"])
-    return met.groupBy(key, "_px", "_py").agg(F.expr("min(hypot(v.fx - _px, v.fy - _py)) AS _r"))
+    closer = _nearer(cells, features, sorted(found), key, scratch_path(spark, "bounds"))
+    both = bounds.unionByName(closer).groupBy(key, "_px", "_py").agg(F.min("_r").alias("_r"))
+    path = scratch_path(spark, "bounds")
+    both.write.parquet(path)
+    return spark.read.schema(both.schema).parquet(path)
 
 
-def join_nearest(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    geom: str = "geom",
-    out: str = "distance",
-    settings: JoinSettings = DEFAULT,
+def nearest_pairs(
+    left: DataFrame, right: DataFrame, key: str, geom: str = "geom", settings: JoinSettings = DEFAULT
 ) -> DataFrame:
-    """Distance from each left point to the nearest right feature of any kind.
+    """Left points with the segments and polygons that ``join_nearest`` measures.
 
-    One row per ``key``; 0 inside a polygon. A pyramid of occupied cells gives each
-    row a distance that certainly reaches a feature, then only features within
-    that distance are measured, segment by segment.
+    A point meets what touches the circle of its bound: a few features, unless many lie
+    about as far from it as the nearest one.
     """
     points = left.selectExpr(key, f"{geom}.xmin AS _px", f"{geom}.ymin AS _py").where(
         f"_px IS NOT NULL AND {key} IS NOT NULL"
@@ -496,10 +540,9 @@ def join_nearest(
         "min(geom.xmin)", "min(geom.ymin)", "max(geom.xmax)", "max(geom.ymax)"
     ).first()
     if extent[0] is None:
-        return points.select(key, F.lit(None).cast("double").alias(out)).limit(0)
-
-    # One row per left point, read by the measurement and by the join below.
-    bounds = _upper_bounds(points, key, features, "geom", tuple(extent)).persist()
+        bounds = points.select(key, "_px", "_py", F.lit(0.0).alias("_r")).limit(0)
+    else:
+        bounds = _upper_bounds(points, key, features, tuple(extent), settings)
     # A hair wider than the bound, so the feature that set it is found again.
     reach = "(_r * (1 + 1e-9D) + 1e-9D)"
     circles = bounds.selectExpr(
@@ -513,19 +556,34 @@ def join_nearest(
         "CAST('Infinity' AS DOUBLE) AS _hi",
     )
     ready = PreparedAreas(circles, _measure(circles, settings.level_step), settings)
-    segment_box = (
-        "named_struct('xmin', least(seg.x0, seg.x1), 'ymin', least(seg.y0, seg.y1),"
-        " 'xmax', greatest(seg.x0, seg.x1), 'ymax', greatest(seg.y0, seg.y1))"
-    )
     by_segment = features.select(F.explode(g.segments("geom")).alias("seg")).selectExpr(
-        f"{segment_box} AS geom", "seg", "CAST(NULL AS array<array<struct<x:double,y:double>>>) AS rings"
-    )
-    whole = features.where(g.is_kind("geom", g.POLYGON_KINDS)).selectExpr(
-        "named_struct('xmin', geom.xmin, 'ymin', geom.ymin, 'xmax', geom.xmax, 'ymax', geom.ymax) AS geom",
-        "CAST(NULL AS struct<x0:double,y0:double,x1:double,y1:double>) AS seg",
-        "geom.parts AS rings",
+        "seg", "CAST(NULL AS array<array<struct<x:double,y:double>>>) AS rings",
+        "least(seg.x0, seg.x1) AS _sxmin", "least(seg.y0, seg.y1) AS _symin",
+        "greatest(seg.x0, seg.x1) AS _sxmax", "greatest(seg.y0, seg.y1) AS _symax",
+    )
+    whole = features.where(g.is_kind("geom", g.POLYGON_KINDS)).select(
+        F.expr("CAST(NULL AS struct<x0:double,y0:double,x1:double,y1:double>)").alias("seg"),
+        F.col("geom.parts").alias("rings"),
+        *_boxed(),
     )
-    pairs = _box_pairs(by_segment.unionByName(whole), ready)
+    return _box_pairs(by_segment.unionByName(whole), ready)
+
+
+def join_nearest(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    geom: str = "geom",
+    out: str = "distance",
+    settings: JoinSettings = DEFAULT,
+) -> DataFrame:
+    """Distance from each left point to the nearest right feature of any kind.
+
+    One row per ``key``; 0 inside a polygon. Cells around each point give it a distance
+    that certainly reaches a feature, then only features within that distance are
+    measured, segment by segment.
+    """
+    pairs = nearest_pairs(left, right, key, geom, settings)
     held = "_key.x BETWEEN _sxmin AND _sxmax AND _key.y BETWEEN _symin AND _symax"
     inside = g._strictly_inside(g._edges("named_struct('parts', rings)"), "_key.x", "_key.y")
     apart = F.when(F.col("seg").isNotNull(), g.point_segment_distance("_key.x", "_key.y", "seg")).when(

@@ -202,6 +202,65 @@ def test_nearest_of_any_kind(spark, rng_layers, path):
         assert r.distance == pytest.approx(away(*left[r.id]), abs=1e-9)
 
 
+def scattered(kind: str) -> tuple[list, list]:
+    rng = random.Random(11)
+    left = [(f"p{i}", rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(200)]
+    if kind == "outlier":
+        right = [(f"f{i}", rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(20_000)] + [("away", 1e6, -1e6)]
+    elif kind == "cluster":
+        right = [(f"f{i}", rng.gauss(50, 0.01), rng.gauss(50, 0.01)) for i in range(20_000)]
+        right += [(f"g{i}", rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(2_000)]
+    else:
+        right = [(f"f{i}", rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(20_000)]
+    return left, right
+
+
+@pytest.mark.parametrize("kind", ["even", "outlier", "cluster"])
+def test_nearest_measures_few_pairs_however_features_lie(spark, kind):
+    left, right = scattered(kind)
+    near, far = points(spark, left), points(spark, right)
+    assert gridjoin.nearest_pairs(near, far, "id").count() < 100 * len(left)
+    spots = np.array([r[1:] for r in right])
+    found = {r.id: r.distance for r in gridjoin.join_nearest(near, far, "id").collect()}
+    want = {i: float(np.hypot(*(spots - (x, y)).T).min()) for i, x, y in left}
+    assert found == pytest.approx(want)
+
+
+CROWDED = [gridjoin.JoinSettings(broadcast_bytes=b, hot_rows=100, max_edges=m) for b in (0, 256 << 20) for m in (16, 2048)]
+
+
+@pytest.mark.parametrize("settings", CROWDED)
+def test_one_source_over_thousands_of_areas(spark, settings):
+    areas = layer(spark, [(f"{i}-{j}", box(i, j, i + 1, j + 1)) for i in range(60) for j in range(50)], "area string")
+    ring = star(random.Random(5), 30, 25, 24, 400)
+    shape = layer(spark, [("s", ring)])
+    found = gridjoin.overlay_area(shape, areas, "area", ["id"], settings=settings).collect()
+    assert sum(r.piece_area for r in found) == pytest.approx(shape.select(g.area("geom")).first()[0])
+    line = layer(spark, [("l", ring)], kind="LineString")
+    inside = gridjoin.overlay_length(line, areas, "area", ["id"], settings=settings).collect()
+    assert sum(r.clipped_length for r in inside) == pytest.approx(line.select(g.length("geom")).first()[0])
+
+
+@pytest.mark.parametrize("settings", CROWDED)
+def test_clumped_vertices(spark, settings):
+    rng = random.Random(6)
+    # nearly all vertices lie in a thousandth of the width
+    xs = sorted([rng.uniform(50, 50.1) for _ in range(5000)] + [0.0, 100.0])
+    ring = [(x, 10 + rng.random()) for x in xs]
+    ring = [[(0.0, 0.0), (100.0, 0.0), *ring[::-1], (0.0, 0.0)]]
+    ready = gridjoin.prepare(layer(spark, [("a", ring)], "area string"), "area", settings=settings)
+    assert ready.stats.max_edges <= settings.max_edges + 8
+    square = layer(spark, [("q", box(25, 0, 75, 30)), ("r", box(50.02, 5, 50.03, 30))])
+    found = {r.id: r.piece_area for r in gridjoin.overlay_area(square, ready, "area", ["id"]).collect()}
+    back = {r.id: r.piece_area for r in gridjoin.overlay_area(
+        layer(spark, [("big", ring)]), layer(spark, [("q", box(25, 0, 75, 30)), ("r", box(50.02, 5, 50.03, 30))], "area string"), "area", ["id"], settings=settings
+    ).withColumnRenamed("id", "big").withColumnRenamed("area", "id").collect()}
+    want = {k: clip_convex(ring[0], box(*b)[0]) for k, b in (("q", (25, 0, 75, 30)), ("r", (50.02, 5, 50.03, 30)))}
+    assert found == pytest.approx(want, rel=1e-9) and back == pytest.approx(want, rel=1e-9)
+    spots = points(spark, [("in", 50.05, 9.0), ("out", 50.05, 12.0), ("left", 1.0, 5.0)])
+    assert {r.id for r in gridjoin.join_within(spots, ready, "area").collect()} == {"in", "left"}
+
+
 def test_no_pairwise_plan(spark):
     areas = layer(spark, [("a", box(0, 0, 5, 5))], "area string")
     shapes = layer(spark, [("s", box(1, 1, 2, 2))])
