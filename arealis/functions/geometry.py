@@ -13,8 +13,12 @@ an underscore return text, to be put together.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from arealis.functions import arrays
 
 POINT_TYPE = "struct<x:double,y:double>"
 GEOM_TYPE = (
@@ -29,6 +33,8 @@ POINT_KINDS = ("Point", "MultiPoint")
 MIN_PIECE_AREA = 1e-6
 # The same for lines, in metres.
 MIN_PIECE_LENGTH = 1e-9
+# Polygons up to this many vertices are tested for crossings inside their row.
+_FEW_SIDES = 48
 
 # A point on an edge adds this to its winding number, which marks it as not
 # strictly inside whatever the other edges say.
@@ -516,12 +522,6 @@ def _short(ring: str) -> str:
     return f"size(array_distinct({ring})) < 3"
 
 
-def _crosses_itself(ring: str) -> str:
-    seg = "named_struct('x0', p.x, 'y0', p.y, 'x1', q.x, 'y1', q.y)"
-    pairs = f"zip_with({ring}, {_rotate(ring)}, (p, q) -> {seg})"
-    return _let("ss", pairs, f"exists(ss, a -> exists(ss, b -> {_cross('a', 'b')}))")
-
-
 def has_open_ring(geom: str) -> Column:
     return F.expr(f"{_is(geom, POLYGON_KINDS)} AND exists({geom}.parts, r -> {_open('r')})")
 
@@ -531,14 +531,36 @@ def has_short_ring(geom: str) -> Column:
     return F.expr(f"{_is(geom, POLYGON_KINDS)} AND exists({geom}.parts, r -> {_short('r')})")
 
 
-def crosses_itself(geom: str) -> Column:
-    return F.expr(f"{_is(geom, POLYGON_KINDS)} AND exists({geom}.parts, r -> {_crosses_itself('r')})")
+@F.arrow_udf(T.BooleanType())
+def _long_crosses(parts: pa.Array) -> pa.Array:
+    held = arrays.view(parts)
+    found = [
+        arrays.crosses([held.ring(k) for k in range(held.rows[i], held.rows[i + 1])]) if held.known[i] else None
+        for i in range(len(held.known))
+    ]
+    return pa.array(found, pa.bool_())
+
 
+def crosses_itself(geom: str) -> Column:
+    """Whether any two sides of a polygon cross, of one ring or of two.
 
-def keep_simple_rings(geom: str, parts: str) -> Column:
-    """``geom`` with new ``parts``, except rings that would cross themselves."""
-    chosen = f"if({_is(geom, POLYGON_KINDS)} AND {_crosses_itself('new')}, old, new)"
-    return geometry(f"{geom}.kind", f"zip_with({geom}.parts, {parts}, (old, new) -> {chosen})")
+    Shapes of few sides compare all pairs in the row; the others go to Arrow batches,
+    which sort their sides and compare only those that overlap in x.
+    """
+    segs = f"transform({_segments(geom)}, (s, i) -> named_struct('x0', s.x0, 'y0', s.y0, 'x1', s.x1, 'y1', s.y1, 'i', i))"
+    few = _let("ss", segs, f"exists(ss, a -> exists(ss, b -> b.i > a.i AND {_cross('a', 'b')}))")
+    sides = f"size(flatten({geom}.parts))"
+    polygon = _is(geom, POLYGON_KINDS)
+    many = F.when(F.expr(f"{polygon} AND {sides} > {_FEW_SIDES}"), F.col(f"{geom}.parts"))
+    return F.coalesce(_long_crosses(many), F.expr(f"{polygon} AND {sides} <= {_FEW_SIDES} AND {few}"))
+
+
+def has_hole_outside(geom: str) -> Column:
+    """A hole of a polygon with a vertex outside its shell, on which sides alone can't tell."""
+    shell = _edges(f"named_struct('parts', slice({geom}.parts, 1, 1))")
+    holes = f"slice({geom}.parts, 2, greatest(size({geom}.parts) - 1, 1))"
+    out = _let("es", shell, f"exists({holes}, h -> exists(slice(h, 1, 8), p -> {_winding('es', 'p.x', 'p.y')} = 0))")
+    return F.expr(f"{geom}.kind = 'Polygon' AND size({geom}.parts) > 1 AND {out}")
 
 
 def repair_rings(geom: str) -> Column:

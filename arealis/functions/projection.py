@@ -1,8 +1,8 @@
 """Longitude and latitude to transverse Mercator metres and back.
 
 Krueger n-series (Karney 2011), three terms, on the GRS80 ellipsoid. GDA94 and
-WGS84 are treated as one datum; a GDA2020 layer lies about 1.8 m away and must be
-shifted before it is passed in.
+WGS84 are treated as one datum; ``datum="GDA2020"`` first takes degrees of that datum,
+about 1.8 m away, back to GDA94 by the published seven-parameter transformation.
 """
 
 from __future__ import annotations
@@ -99,18 +99,62 @@ def _inverse(x: str, y: str, grid: Grid) -> str:
     return g._let("u", undone, g._point(lon, lat))
 
 
-def forward(lon: str, lat: str, grid: Grid = ZONE_55) -> Column:
+# GDA94 to GDA2020, in metres, arc seconds and parts per million
+# (coordinate frame rotation; applied backwards here).
+SHIFT = (0.06155, -0.01087, -0.04019)
+ROTATION = (-0.0394924, -0.0327221, -0.0328979)
+SCALE_PPM = -0.009994
+
+DATUMS = ("GDA94", "WGS84", "GDA2020")
+
+
+def _to_gda94(lon: str, lat: str) -> str:
+    """Degrees of GDA2020 as a point in degrees of GDA94, over Earth-centred metres."""
+    n = g._number
+    e2 = FLATTENING * (2 - FLATTENING)
+    rx, ry, rz = (math.radians(s / 3600) for s in ROTATION)
+    tx, ty, tz = SHIFT
+    scale = 1 + SCALE_PPM * 1e-6
+    nu = f"({n(SEMI_MAJOR)} / sqrt(1 - {n(e2)} * sin(radians({lat})) * sin(radians({lat}))))"
+    there = (
+        f"named_struct('x', {nu} * cos(radians({lat})) * cos(radians({lon})) - {n(tx)},"
+        f" 'y', {nu} * cos(radians({lat})) * sin(radians({lon})) - {n(ty)},"
+        f" 'z', {nu} * (1 - {n(e2)}) * sin(radians({lat})) - {n(tz)})"
+    )
+    # the inverse of a rotation this small is its transpose, to well below a micrometre
+    back = (
+        f"named_struct('x', (c.x - {n(rz)} * c.y + {n(ry)} * c.z) / {n(scale)},"
+        f" 'y', ({n(rz)} * c.x + c.y - {n(rx)} * c.z) / {n(scale)},"
+        f" 'z', (-{n(ry)} * c.x + {n(rx)} * c.y + c.z) / {n(scale)})"
+    )
+    # latitude by three fixed-point steps from the spherical guess, each hundreds of times closer
+    p = "sqrt(h.x * h.x + h.y * h.y)"
+    phi = f"atan2(h.z, {p} * (1 - {n(e2)}))"
+    for _ in range(3):
+        phi = g._let("f", phi, f"atan2(h.z + {n(e2)} * {n(SEMI_MAJOR)} / sqrt(1 - {n(e2)} * sin(f) * sin(f)) * sin(f), {p})")
+    return g._let("h", g._let("c", there, back), g._point("degrees(atan2(h.y, h.x))", f"degrees({phi})"))
+
+
+def _shifted(lon: str, lat: str, grid: Grid, datum: str) -> str:
+    if datum not in DATUMS:
+        raise ValueError(f"datum is one of {', '.join(DATUMS)}")
+    if datum != "GDA2020":
+        return _forward(lon, lat, grid)
+    return g._let("old", _to_gda94(lon, lat), _forward("old.x", "old.y", grid))
+
+
+def forward(lon: str, lat: str, grid: Grid = ZONE_55, datum: str = "GDA94") -> Column:
     """Degrees to a grid point in metres."""
-    return F.expr(_forward(lon, lat, grid))
+    return F.expr(_shifted(lon, lat, grid, datum))
 
 
-def forward_point(lon: str, lat: str, grid: Grid = ZONE_55) -> Column:
+def forward_point(lon: str, lat: str, grid: Grid = ZONE_55, datum: str = "GDA94") -> Column:
     """Degrees to a point geometry in metres."""
     made = (
         "CASE WHEN m.x IS NOT NULL AND m.y IS NOT NULL THEN named_struct('kind', 'Point',"
         " 'parts', array(array(m)), 'xmin', m.x, 'ymin', m.y, 'xmax', m.x, 'ymax', m.y) END"
     )
-    return F.expr(g._let("m", _forward(lon, lat, grid), made))
+    return F.expr(g._let("m", _shifted(lon, lat, grid, datum), made))
 
 
 def inverse(x: str, y: str, grid: Grid = ZONE_55) -> Column:
@@ -118,9 +162,9 @@ def inverse(x: str, y: str, grid: Grid = ZONE_55) -> Column:
     return F.expr(_inverse(x, y, grid))
 
 
-def project(geom: str, grid: Grid = ZONE_55) -> Column:
-    """Every vertex from degrees to metres."""
-    return g.map_points(geom, _forward("p.x", "p.y", grid))
+def project(geom: str, grid: Grid = ZONE_55, datum: str = "GDA94") -> Column:
+    """Every vertex from degrees of the given datum to metres of the grid on GDA94."""
+    return g.map_points(geom, _shifted("p.x", "p.y", grid, datum))
 
 
 def unproject(geom: str, grid: Grid = ZONE_55) -> Column:

@@ -286,25 +286,38 @@ def dissolve(df: DataFrame, key: str, col: str, geom: str = "geom") -> DataFrame
     return outline.join(value, key).select(key, col, "x0", "y0", "x1", "y1", "times")
 
 
+def with_faults(df: DataFrame, geom: str = "geom") -> DataFrame:
+    """The rows with ``_open``, ``_short``, ``_crossed`` and ``_outside``: what is wrong with a shape.
+
+    Crossings are those of any two sides, also of two rings; ``_outside`` tells a hole that
+    leaves its shell. Other kinds than polygons have none of it.
+    """
+    no = F.lit(False)
+    return df.withColumns(
+        {
+            "_open": F.coalesce(g.has_open_ring(geom), no),
+            "_short": F.coalesce(g.has_short_ring(geom), no),
+            "_crossed": F.coalesce(g.crosses_itself(geom), no),
+            "_outside": F.coalesce(g.has_hole_outside(geom), no),
+        }
+    )
+
+
 def geometry_report(df: DataFrame, geom: str = "geom") -> DataFrame:
     """Shapes per kind, with counts of the faults a repair can and cannot mend."""
-    marked = df.where(F.col(geom).isNotNull()).select(
-        F.col(f"{geom}.kind").alias("kind"),
-        g.has_open_ring(geom).alias("open"),
-        g.has_short_ring(geom).alias("short"),
-        g.crosses_itself(geom).alias("crossed"),
-    )
+    marked = with_faults(df.where(F.col(geom).isNotNull()).select(F.col(f"{geom}.kind").alias("kind"), geom), geom)
     return marked.groupBy("kind").agg(
         F.count(F.lit(1)).alias("shapes"),
-        F.expr("count_if(NOT (open OR short OR crossed)) AS valid"),
-        F.count_if(F.col("open")).alias("open_rings"),
-        F.count_if(F.col("short")).alias("short_rings"),
-        F.count_if(F.col("crossed")).alias("self_crossing"),
+        F.expr("count_if(NOT (_open OR _short OR _crossed OR _outside)) AS valid"),
+        F.count_if(F.col("_open")).alias("open_rings"),
+        F.count_if(F.col("_short")).alias("short_rings"),
+        F.count_if(F.col("_crossed")).alias("self_crossing"),
+        F.count_if(F.col("_outside")).alias("holes_outside"),
     )
 
 
 def repair(df: DataFrame, geom: str = "geom") -> DataFrame:
     """Safe repairs, and a ``quarantined`` flag on shapes they cannot mend."""
-    mended = df.withColumn(geom, g.repair_rings(geom))
-    bad = g.has_short_ring(geom) | g.crosses_itself(geom)
-    return mended.withColumn("quarantined", F.coalesce(bad, F.lit(False)))
+    mended = with_faults(df.withColumn(geom, g.repair_rings(geom)), geom)
+    bad = F.col("_short") | F.col("_crossed") | F.col("_outside")
+    return mended.withColumn("quarantined", bad).drop("_open", "_short", "_crossed", "_outside")

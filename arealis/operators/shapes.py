@@ -6,15 +6,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arealis.functions import arrays
 from arealis.functions import geometry as g
 
 
+def _outer(xy: np.ndarray) -> np.ndarray:
+    """The points that are not inside the polygon of the extremes in 32 directions."""
+    turn = np.linspace(0, 2 * np.pi, 32, endpoint=False)
+    far = xy[np.argmax(xy @ np.stack([np.cos(turn), np.sin(turn)]), axis=0)]
+    far = far[np.append(True, (far[1:] != far[:-1]).any(axis=1))]
+    inside = np.full(len(xy), len(far) > 2)
+    for (ax, ay), (bx, by) in zip(far, np.roll(far, -1, axis=0), strict=True):
+        if (ax, ay) != (bx, by):
+            inside &= (bx - ax) * (xy[:, 1] - ay) - (by - ay) * (xy[:, 0] - ax) > 0
+    return xy[~inside]
+
+
 def hull_points(xy: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, counter-clockwise (Andrew's monotone chain, 1979)."""
-    xy = np.unique(xy, axis=0)
+    """Corners of the convex hull, counter-clockwise (Andrew's monotone chain, 1979).
+
+    The chain is walked for the few points only that no polygon of extremes holds.
+    """
+    xy = np.unique(_outer(xy) if len(xy) > 64 else xy, axis=0)
     if len(xy) < 3:
         return xy
 
@@ -120,25 +137,20 @@ def simplify(df: DataFrame, tolerance: float, geom: str = "geom") -> DataFrame:
     A ring keeps at least four points. A ring that would cross itself is left
     as it was.
     """
-    points = f"array<array<{g.POINT_TYPE}>>"
-
-    @F.pandas_udf(points)
-    def thin(parts: pd.Series, kinds: pd.Series) -> pd.Series:
-        out = []
-        for rings, kind in zip(parts, kinds, strict=True):
-            if rings is None:
-                out.append(None)
-                continue
-            done = []
-            for ring in rings:
-                xy = np.array([(p["x"], p["y"]) for p in ring], dtype=float).reshape(-1, 2)
-                if kind in g.POLYGON_KINDS:
-                    xy = _thin_ring(xy, tolerance)
-                elif kind in g.LINE_KINDS and len(xy) > 2:
+
+    @F.arrow_udf(f"array<array<{g.POINT_TYPE}>>")
+    def thin(parts: pa.Array, kinds: pa.Array) -> pa.Array:
+        held, kind, done = arrays.view(parts), kinds.to_pylist(), []
+        for i in range(len(kind)):
+            for k in range(held.rows[i], held.rows[i + 1]):
+                xy = held.ring(k)
+                if kind[i] in g.POLYGON_KINDS:
+                    new = _thin_ring(xy, tolerance)
+                    xy = xy if new is xy or arrays.crosses([new]) else new
+                elif kind[i] in g.LINE_KINDS and len(xy) > 2:
                     xy = xy[thin_line(xy, tolerance)]
-                done.append([{"x": float(x), "y": float(y)} for x, y in xy])
-            out.append(done)
-        return pd.Series(out)
+                done.append(xy)
+        return arrays.build(held.rows - held.rows[0], done, held.known)
 
     thinned = df.withColumn("_thin", thin(F.col(f"{geom}.parts"), F.col(f"{geom}.kind")))
-    return thinned.withColumn(geom, g.keep_simple_rings(geom, "_thin")).drop("_thin")
+    return thinned.withColumn(geom, g.geometry(f"{geom}.kind", "_thin")).drop("_thin")

@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealis.functions import geometry as g
-from arealis.operators.aggregates import is_missing
+from arealis.operators.aggregates import is_missing, with_faults
 
 _SCHEMA = (
     "layer string, present boolean, total_rows bigint, total_columns bigint,"
@@ -21,7 +20,8 @@ def _one(name: str, df: DataFrame) -> DataFrame:
     plain = [c for c in df.columns if c != "geom"]
     empty = reduce(lambda a, b: a + b, (is_missing(df, c).cast("long") for c in plain), F.lit(0).cast("long"))
     if "geom" in df.columns:
-        broken = g.has_open_ring("geom") | g.has_short_ring("geom") | g.crosses_itself("geom")
+        df = with_faults(df)
+        broken = F.col("_open") | F.col("_short") | F.col("_crossed") | F.col("_outside")
         kinds = F.array_join(F.array_sort(F.collect_set("geom.kind")), ",")
         valid = F.count_if(F.col("geom").isNotNull() & ~broken)
     else:
@@ -30,7 +30,7 @@ def _one(name: str, df: DataFrame) -> DataFrame:
         F.lit(name).alias("layer"),
         F.lit(True).alias("present"),
         F.count(F.lit(1)).alias("total_rows"),
-        F.lit(len(df.columns)).cast("long").alias("total_columns"),
+        F.lit(len(plain) + ("geom" in df.columns)).cast("long").alias("total_columns"),
         F.coalesce(F.sum(empty), F.lit(0)).alias("missing_values"),
         kinds.alias("geometry_types"),
         valid.alias("valid_geometries"),

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import math
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,77 @@ def test_geometry_report_and_repair(spark):
     assert mended == {"ok": (False, 5), "bow": (True, 5), "open": (False, 5)}
 
 
+def test_rings_are_held_against_each_other(spark):
+    square = box(0, 0, 10, 10)[0]
+    cases = {
+        "hole inside": [square, box(2, 2, 4, 4)[0]],
+        "hole outside": [square, box(20, 20, 22, 22)[0]],
+        "hole across": [square, [(8, 8), (12, 8.5), (12, 9), (8, 8)]],
+        "hole on the border": [square, [(10, 5), (8, 4), (8, 6), (10, 5)]],
+    }
+    faults = aggregates.with_faults(layer(spark, list(cases.items()))).collect()
+    assert {r.id: (r._crossed, r._outside) for r in faults} == {
+        "hole inside": (False, False), "hole outside": (False, True), "hole across": (True, True), "hole on the border": (False, False),
+    }
+    assert aggregates.geometry_report(layer(spark, list(cases.items()))).first().valid == 2
+
+
+@pytest.mark.parametrize("n", [40, 400, 4000])
+def test_crossings_of_short_and_long_rings(spark, n):
+    ring = [(100 * math.cos(2 * math.pi * i / n), 100 * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    tangled = list(ring)
+    tangled[n // 2], tangled[n // 2 + 1] = tangled[n // 2 + 1], tangled[n // 2]
+    start = time.perf_counter()
+    found = {r.id: r.c for r in layer(spark, [("plain", [ring + ring[:1]]), ("tangled", [tangled + tangled[:1]])]).select("id", g.crosses_itself("geom").alias("c")).collect()}
+    assert found == {"plain": False, "tangled": True}
+    assert time.perf_counter() - start < 20
+
+
+def test_hull_of_many_points(spark):
+    from arealis.operators import shapes
+
+    rng = np.random.default_rng(2)
+    xy = rng.normal(0, 10, (3000, 2)).round(3)
+    want = {tuple(p) for p in shapes.hull_points(xy[:64])}
+    assert want == {tuple(p) for p in _hull_of(xy[:64])}
+    assert {tuple(p) for p in shapes.hull_points(xy)} == {tuple(p) for p in _hull_of(xy)}
+
+
+def _hull_of(xy):
+    """Points that some line has all others on one side of (gift wrapping)."""
+    pts = [tuple(p) for p in xy]
+    at, out = min(pts), []
+    while at not in out:
+        out.append(at)
+        rest = np.array([p for p in pts if p != at])
+        d = rest - at
+        best = 0
+        for i in range(1, len(rest)):
+            cross = d[best, 0] * d[i, 1] - d[best, 1] * d[i, 0]
+            if cross < 0 or (cross == 0 and (d[i] ** 2).sum() > (d[best] ** 2).sum()):
+                best = i
+        at = tuple(rest[best])
+    return out
+
+
+def test_datum_shift_is_that_of_the_plate(spark):
+    from arealis.functions import projection
+
+    # a station's coordinates in both datums, as published with the transformation
+    dms = lambda d, m, sec: d + m / 60 + sec / 3600
+    old = (dms(133, 53, 7.847844), -dms(23, 40, 12.446019))
+    new = (dms(133, 53, 7.87779), -dms(23, 40, 12.3965))
+    zone = projection.Grid(central_meridian=135.0)
+    df = spark.createDataFrame([(*old, *new)], "a double, b double, c double, d double")
+    was, now, plain = df.select(
+        projection.forward("a", "b", zone).alias("p"), projection.forward("c", "d", zone, "GDA2020").alias("q"), projection.forward("c", "d", zone).alias("r")
+    ).first()
+    assert (now.x, now.y) == pytest.approx((was.x, was.y), abs=2e-3)
+    assert math.hypot(plain.x - was.x, plain.y - was.y) > 1.5
+    with pytest.raises(ValueError, match="datum"):
+        projection.forward("lon", "lat", datum="NAD27")
+
+
 def test_repair_turns_rings_the_right_way(spark):
     clockwise = [box(0, 0, 4, 4)[0][::-1], box(1, 1, 2, 2)[0]]
     made = spark.createDataFrame(

@@ -59,11 +59,21 @@ def test_wkb_round_trip_and_big_endian(spark, tmp_path):
     back = readers.read_layer_parquet(spark, path)
     assert back.select("geom").first() == df.select("geom").first()
     big = struct.pack(">BI", 0, 2) + struct.pack(">I", 2) + struct.pack(">dddd", 0, 1, 2, 3)
-    assert wkb.read_wkb(big) == ("LineString", [[{"x": 0.0, "y": 1.0}, {"x": 2.0, "y": 3.0}]])
+    read = lambda raw: (wkb.read_wkb(raw)[0], [p.tolist() for p in wkb.read_wkb(raw)[1]])
+    assert read(big) == ("LineString", [[[0.0, 1.0], [2.0, 3.0]]])
     with_height = struct.pack("<BI", 1, 1001) + struct.pack("<ddd", 1, 2, 3)
-    assert wkb.read_wkb(with_height) == ("Point", [[{"x": 1.0, "y": 2.0}]])
+    assert read(with_height) == ("Point", [[[1.0, 2.0]]])
     with_srid = struct.pack("<BII", 1, 1 | 0x20000000, 4326) + struct.pack("<dd", 1, 2)
-    assert wkb.read_wkb(with_srid) == ("Point", [[{"x": 1.0, "y": 2.0}]])
+    assert read(with_srid) == ("Point", [[[1.0, 2.0]]])
+    mixed = layer(spark, [("a", HOLED), ("b", box(0, 0, 1, 1))]).unionByName(
+        layer(spark, [("m", [[(1, 2)], [(3, 4)]])], kind="MultiPoint")
+    ).unionByName(layer(spark, [("l", [[(0, 0), (1, 1)], [(2, 2), (3, 3), (4, 5)]])], kind="MultiLineString"))
+    mixed = mixed.unionByName(mixed.limit(1).withColumns({"id": F.lit("none"), "geom": F.lit(None).cast(g.GEOM_TYPE)})).coalesce(1)
+    again = readers.read_layer_parquet(spark, writers.write_layer(mixed, str(tmp_path / "mixed"), wkb=True))
+    want = {r.id: r.geom for r in mixed.collect()}
+    found = {r.id: r.geom for r in again.collect()}
+    flat = lambda geom: geom and [(p.x, p.y) for part in geom.parts for p in part]
+    assert {k: flat(v) for k, v in found.items()} == {k: flat(v) for k, v in want.items()}
 
 
 def test_layer_dir_takes_first_file(spark, tmp_path):

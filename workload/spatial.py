@@ -203,20 +203,24 @@ def _faulty(spark, sf):
     short = F.array(p(x, y), p(x + w, y), p(x, y))
     open_ring = F.array(p(x, y), p(x + w, y), p(x + w, y + w), p(x, y + w))
     ring = F.when(k % 7 == 0, bow).when(k % 11 == 0, short).when(k % 5 == 0, open_ring).otherwise(box)
+    away = F.array(p(x + 9, y), p(x + 9, y + 1), p(x + 10, y), p(x + 9, y))
+    across = F.array(p(x + 3, y + 1), p(x + 3, y + 2), p(x + 7, y + 1.5), p(x + 3, y + 1))
+    around = F.array(*(p(x + 2 + dx, y + 2 + dy) for dx, dy in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))))
+    hole = F.when(k % 13 == 1, away).when(k % 13 == 2, across).when(k % 13 == 3, around)
     base = ly.buildings(spark, sf).select(F.col("building_id").alias("p_partkey"), "geom")
-    ringed = base.withColumn("ring", ring)
-    return ringed.select("p_partkey", g.geometry("'Polygon'", "array(ring)").alias("geom"))
+    ringed = base.withColumn("rings", F.filter(F.array(ring, hole), lambda r: r.isNotNull()))
+    return ringed.select("p_partkey", g.geometry("'Polygon'", "rings").alias("geom"))
 
 
 @query(
     "geometry_report",
-    """WITH f AS (SELECT p_partkey % 7 = 0 AS crossed,
-       p_partkey % 7 <> 0 AND p_partkey % 11 = 0 AS short,
-       p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 5 = 0 AS open FROM part)
-SELECT 'Polygon' AS kind, count(*) AS shapes, count(*) FILTER (NOT (crossed OR short OR open)) AS valid,
+    """WITH r AS (SELECT p_partkey % 13 AS h, p_partkey % 7 = 0 AS bow, p_partkey % 7 <> 0 AND p_partkey % 11 = 0 AS short,
+       p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 5 = 0 AS open FROM part),
+f AS (SELECT *, bow OR (h = 2 AND NOT short) AS crossed, h IN (1, 2) OR (h = 3 AND (bow OR short)) AS outside FROM r)
+SELECT 'Polygon' AS kind, count(*) AS shapes, count(*) FILTER (NOT (crossed OR short OR open OR outside)) AS valid,
        count(*) FILTER (open) AS open_rings, count(*) FILTER (short) AS short_rings,
-       count(*) FILTER (crossed) AS self_crossing,
-       count(*) FILTER (crossed OR short) AS quarantined
+       count(*) FILTER (crossed) AS self_crossing, count(*) FILTER (outside) AS holes_outside,
+       count(*) FILTER (crossed OR short OR outside) AS quarantined
 FROM f""",
 )
 def geometry_report(spark, sf):
