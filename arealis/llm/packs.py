@@ -21,6 +21,8 @@ from arealis.llm.text import ranges
 #: Bytes of pieces gathered before they are sent, and buckets a shuffle partition.
 FLUSH = 24 << 20
 BUCKETS = 8
+#: Effort of the compression of what is shuffled.
+LEVEL = 6
 LOWEST = -(1 << 63)
 PACKED = "bucket int, block binary"
 
@@ -32,7 +34,7 @@ def identity(text: Column) -> Column:
 
 def ids(column: pa.Array) -> np.ndarray:
     """Identities as rows of two integers."""
-    raw = b"".join(x.as_py() for x in column)
+    raw = b"".join(column.to_pylist())
     return np.frombuffer(raw, "<u8").reshape(-1, 2)
 
 
@@ -40,7 +42,7 @@ def ids(column: pa.Array) -> np.ndarray:
 class Pieces:
     """Pieces with the text they are from, its place in the order of ids, and their start in it."""
 
-    owner: np.ndarray  # n x 2, uint64
+    owner: np.ndarray  # n rows of 64-bit numbers
     order: np.ndarray  # int64
     start: np.ndarray  # int32
     length: np.ndarray  # int32, bytes
@@ -57,28 +59,52 @@ class Pieces:
         return np.concatenate([[0], np.cumsum(self.length, dtype=np.int64)])
 
 
-_FIELDS = (("owner", "<u8", 2), ("order", "<i8", 1), ("start", "<i4", 1), ("length", "<i4", 1), ("count", "<i4", 1), ("mark", "<u8", 1), ("flag", "u1", 1))
-
-
 def concat(parts: list[Pieces]) -> Pieces:
     return Pieces(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("owner", "order", "start", "length", "count", "mark", "flag", "body")))
 
 
-def encode(p: Pieces, at: np.ndarray, body_at: np.ndarray) -> bytes:
-    """The chosen pieces as one block; ``body_at`` are their borders in the body."""
-    out = [np.int64(len(at)).tobytes()]
-    out += [np.ascontiguousarray(getattr(p, f)[at]).astype(kind).tobytes() for f, kind, _ in _FIELDS]
-    out.append(p.body[ranges(body_at[at], p.length[at].astype(np.int64))].tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places: the high bytes, mostly equal, then compress away."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+class _Reader:
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, 0
+
+    def take(self, kind: str, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(self.raw, np.uint8, n * size, self.at).reshape(size, n)
+        self.at += n * size
+        return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
+def encode(p: Pieces, at: np.ndarray, borders: np.ndarray, marks: np.ndarray) -> bytes:
+    """The chosen pieces as one block; ``borders`` are the pieces' in the body.
+
+    Orders go as differences, and lengths that all exceed the windows by one number as that.
+    """
+    length, count = p.length[at], p.count[at]
+    more = int(length[0] - count[0])
+    fixed = bool((length - count == more).all())
+    out = [np.array([len(at), p.owner.shape[1], more if fixed else -1], "<i8").tobytes()]
+    out += [_planes(p.owner[at, k].astype("<u8")) for k in range(p.owner.shape[1])]
+    out += [_planes(np.diff(p.order[at], prepend=0).astype("<i8")), _planes(p.start[at].astype("<i4")), _planes(count.astype("<i4"))]
+    out += [] if fixed else [_planes(length.astype("<i4"))]
+    out += [_planes(marks[at].astype("<u4")), p.flag[at].astype("u1").tobytes()]
+    out.append(p.body[ranges(borders[at], length.astype(np.int64))].tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(out))
 
 
 def decode(block: bytes) -> Pieces:
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    n, at, got = int(np.frombuffer(raw, np.int64, 1)[0]), 8, {}
-    for f, kind, width in _FIELDS:
-        got[f] = np.frombuffer(raw, kind, n * width, at)
-        at += got[f].nbytes
-    return Pieces(**{**got, "owner": got["owner"].reshape(-1, 2)}, body=np.frombuffer(raw, np.uint8, -1, at))
+    raw = _Reader(zstandard.ZstdDecompressor().decompress(block))
+    n, width, more = (int(x) for x in np.frombuffer(raw.raw, "<i8", 3))
+    raw.at = 24
+    owner = np.stack([raw.take("<u8", n) for _ in range(width)], axis=1)
+    order, start, count = np.cumsum(raw.take("<i8", n)), raw.take("<i4", n), raw.take("<i4", n)
+    length = raw.take("<i4", n) if more < 0 else count + np.int32(more)
+    mark, flag = raw.take("<u4", n).astype(np.uint64), raw.take("u1", n)
+    return Pieces(owner, order, start, length, count, mark, flag, np.frombuffer(raw.raw, np.uint8, -1, raw.at))
 
 
 @dataclass
@@ -86,6 +112,9 @@ class Sender:
     """Gathers pieces and emits a row a bucket when enough have come."""
 
     buckets: int
+    #: Whether the receiver wants the minimisers: 24 bits beside the bucket, which tell
+    #: those of one bucket apart well enough to see which stand alone.
+    marked: bool = False
     held: list[Pieces] = field(default_factory=list)
     size: int = 0
 
@@ -102,7 +131,8 @@ class Sender:
             order = np.argsort(to, kind="stable")
             heads = np.flatnonzero(np.append(True, np.diff(to[order]) != 0))
             borders = p.borders
-            blocks = [encode(p, order[a:b], borders) for a, b in zip(heads, np.append(heads[1:], len(order)), strict=True)]
+            marks = (p.mark // np.uint64(self.buckets)) & np.uint64(0xFFFFFF if self.marked else 0)
+            blocks = [encode(p, order[a:b], borders, marks) for a, b in zip(heads, np.append(heads[1:], len(order)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(to[order[heads]].astype(np.int32)), pa.array(blocks, pa.binary())], ["bucket", "block"])
         self.held, self.size = [], 0
 
@@ -163,7 +193,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, facts: DataFrame) -> DataFrame
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 b = batch.slice(i, 512)
