@@ -16,8 +16,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arealis.llm.text import ranges
-
 #: Bytes of pieces gathered before they are sent, and buckets a shuffle partition.
 FLUSH = 24 << 20
 BUCKETS = 8
@@ -79,8 +77,13 @@ class _Reader:
         return np.ascontiguousarray(planes.T).view(kind).reshape(n)
 
 
-def encode(p: Pieces, at: np.ndarray, borders: np.ndarray, marks: np.ndarray) -> bytes:
-    """The chosen pieces as one block; ``borders`` are the pieces' in the body.
+def gather(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The given spans one after the other; for spans of a hundred bytes faster than an index a byte."""
+    return b"".join([raw[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
+
+
+def encode(p: Pieces, at: np.ndarray, raw: bytes, borders: np.ndarray, marks: np.ndarray) -> bytes:
+    """The chosen pieces as one block; ``raw`` is the body and ``borders`` the pieces' in it.
 
     Orders go as differences, and lengths that all exceed the windows by one number as that.
     """
@@ -92,7 +95,7 @@ def encode(p: Pieces, at: np.ndarray, borders: np.ndarray, marks: np.ndarray) ->
     out += [_planes(np.diff(p.order[at], prepend=0).astype("<i8")), _planes(p.start[at].astype("<i4")), _planes(count.astype("<i4"))]
     out += [] if fixed else [_planes(length.astype("<i4"))]
     out += [_planes(marks[at].astype("<u4")), p.flag[at].astype("u1").tobytes()]
-    out.append(p.body[ranges(borders[at], length.astype(np.int64))].tobytes())
+    out.append(gather(raw, borders[at], length))
     return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(out))
 
 
@@ -130,9 +133,9 @@ class Sender:
             to = (p.mark % np.uint64(self.buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             heads = np.flatnonzero(np.append(True, np.diff(to[order]) != 0))
-            borders = p.borders
+            borders, raw = p.borders, p.body.tobytes()
             marks = (p.mark // np.uint64(self.buckets)) & np.uint64(0xFFFFFF if self.marked else 0)
-            blocks = [encode(p, order[a:b], borders, marks) for a, b in zip(heads, np.append(heads[1:], len(order)), strict=True)]
+            blocks = [encode(p, order[a:b], raw, borders, marks) for a, b in zip(heads, np.append(heads[1:], len(order)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(to[order[heads]].astype(np.int32)), pa.array(blocks, pa.binary())], ["bucket", "block"])
         self.held, self.size = [], 0
 

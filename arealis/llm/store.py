@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from arealis.session import shared_dir
 
@@ -18,3 +18,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch of texts, at most.
+BATCH = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few rows, as texts are long: sets the session's limit unless it is lower."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now > BATCH or now <= 0:
+        spark.conf.set(name, str(BATCH))

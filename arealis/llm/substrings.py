@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arealis.llm.packs import PACKED, SPANS, Pieces, Sender, buckets, by_bucket, first_copies, identity, spans_batch, unpacked, with_spans
-from arealis.llm.store import kept
+from arealis.llm.packs import PACKED, SPANS, Pieces, Sender, buckets, by_bucket, first_copies, gather, identity, spans_batch, unpacked, with_spans
+from arealis.llm.store import kept, text_batches
 from arealis.llm.text import BASES, NOT_SPACE, grams, merge, mix, ranges, rows_of, sliding_min, slices, span_hashes, utf8, words
 
 WINDOW, M = 35, 4
@@ -143,7 +143,7 @@ def _pieces(w: Words, owner: np.ndarray, hot: Frequent, window: int, m: int) ->
     begin = w.starts[at]
     last = at + count + window - 2
     length = w.starts[last] + w.lengths[last] + 1 - begin
-    body = w.body[ranges(begin, length)]
+    body = np.frombuffer(gather(w.body.tobytes(), begin, length), np.uint8)
     start = (at - w.first[row]).astype(np.int32)
     return Pieces(owner[row], zero, start, length.astype(np.int32), count.astype(np.int32), mark, zero.astype(np.uint8), body)
 
@@ -245,6 +245,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, m: int = M) -> DataFrame
     a window keep everything; an empty table gives an empty result; null ids are fine; other
     columns are ignored. A task holds about 100 bytes for each byte of its longest text.
     """
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), identity(F.col("text")).alias("id"))
     hot = frequent(texts, window, m)
     spans = by_bucket(_cut(texts, hot, window, m), lambda p: _repeated(p, window), SPANS)

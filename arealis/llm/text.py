@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _U = np.uint64
 #: Odd multipliers of the two polynomial hashes over bytes and of the one over words.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -65,9 +65,17 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
             i = j
         else:
             return out
+    # in place where it can be, as these are the largest arrays of a task
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + _U(1)) * powers(base, len(values)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_inverse(base), len(values) + 1)[starts])
+    total[1:] = values
+    total[1:] += _U(1)
+    total[1:] *= powers(base, len(values))
+    np.cumsum(total, out=total)
+    found = total[ends]
+    found -= total[starts]
+    del total
+    found *= powers(_inverse(base), len(values) + 1)[starts]
+    return mix(found)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
