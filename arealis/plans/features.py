@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from arealis.functions import geometry as g
 from arealis.functions import values as v
 from arealis.operators import aggregates, gridjoin, shapes, tables
+from arealis.session import kept
 
 # An area layer already measured for joins, where the caller has one.
 Ready = gridjoin.PreparedAreas | None
@@ -306,7 +307,7 @@ def feature_matrix(layers: Layers, areas: DataFrame, key: str, name: str) -> Dat
     """
     # The area side and the mask serve several joins: measured and worked out once.
     ready = gridjoin.prepare(areas, key)
-    hull = shapes.convex_hull(layers.canopy).persist()
+    hull = kept(shapes.convex_hull(layers.canopy), "hull")
     ids = layers.polygon_ids
     parts = [
         tree_features(layers.trees, hull, areas, key, ready),
