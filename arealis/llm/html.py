@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arealis.llm.store import text_batches
+
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -43,11 +45,14 @@ CLOSES = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
 }
-CLOSES["thead"] = CLOSES["tfoot"] = CLOSES["tbody"]
+CLOSES["thead"] = CLOSES["tfoot"] = CLOSES["caption"] = CLOSES["colgroup"] = CLOSES["tbody"]
 #: Elements whose start ends an open paragraph.
 ENDS_P = BLOCK - frozenset("body html option optgroup tr tbody thead tfoot caption".split())
 #: An end tag inside these doesn't close anything outside them.
 SCOPE = frozenset(["table", "td", "th", "caption", "button", "object", "template", "html"])
+#: Parts of a table that hold no text themselves, and what they do hold.
+TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
 #: Deeper elements count as children of the element at this depth.
 MAX_DEPTH = 400
 
@@ -63,10 +68,10 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|c
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "parent")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], None
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -91,9 +96,21 @@ def parse(page: str) -> Node:
                 close(tags, border)
                 return
 
+    def place(what: Node | str) -> None:
+        """Into the open element; what has no place in a table goes before it, as in browsers."""
+        into, before = stack[-1], None
+        if into.tag in TABLE_PARTS and not (isinstance(what, Node) and what.tag in IN_TABLE):
+            before = next((x for x in reversed(stack) if x.tag == "table"), None)
+            into = before.parent if before else into
+        if isinstance(what, Node):
+            what.parent = into
+        held = into.children
+        # the open table is among the last of its parent's children
+        held.insert(next(i for i in range(len(held) - 1, -1, -1) if held[i] is before) if before else len(held), what)
+
     def put(text: str) -> None:
-        if text:
-            stack[-1].children.append(text)
+        if text and not (stack[-1].tag in TABLE_PARTS and not text.strip()):
+            place(text)
 
     def start(tag: str, attrs: dict[str, str]) -> None:
         if tag in ENDS_P:
@@ -103,7 +120,7 @@ def parse(page: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             start("tr", {})
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        place(node)
         if tag not in VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
 
@@ -290,7 +307,7 @@ def _rows(node: Node) -> Iterator[Node]:
         if isinstance(child, Node) and shown(child):
             if child.tag in ("tr", "caption"):
                 yield child
-            elif child.tag != "table":
+            elif child.tag in TABLE_PARTS:
                 yield from _rows(child)
 
 
@@ -300,31 +317,16 @@ def _span(cell: Node) -> int:
 
 
 def _table(table: Node) -> list[str]:
-    """Rows with cells padded to the width of their column; nested tables stay in one cell.
-
-    Text in a table but outside its cells comes first, as browsers move it before the table.
-    """
-    stray, head, grid = _Page(), [], []
-    for node in (table, *(c for c in table.children if isinstance(c, Node) and c.tag in ("tbody", "thead", "tfoot"))):
-        if node is table or shown(node):
-            for child in node.children:
-                if isinstance(child, str):
-                    stray.text(child)
-                elif child.tag not in ("tr", "caption", "tbody", "thead", "tfoot", "colgroup", "col") and shown(child):
-                    hold = Node("div", {})
-                    hold.children = [child]
-                    _walk(hold, stray)
-    stray.end()
+    """Rows with cells padded to the width of their column; nested tables stay in one cell."""
+    head: list[str] = []
+    grid: list[list[list[str]]] = []
     for row in _rows(table):
         if row.tag == "caption":
             head.append(" ".join(render(row).split()))
             continue
         cells: list[list[str]] = []
         for cell in row.children:
-            if isinstance(cell, str):
-                if cell.strip():
-                    cells.append([" ".join(cell.split())])
-            elif shown(cell):
+            if isinstance(cell, Node) and cell.tag in ("td", "th") and shown(cell):
                 cells.append([" ".join(line.split()) for line in render(cell).split("\n") if line.strip()])
                 cells.extend([[]] * (_span(cell) - 1))
         if any(cells):
@@ -335,7 +337,7 @@ def _table(table: Node) -> list[str]:
         for i, cell in enumerate(cells):
             if len(cell) <= 1:
                 widths[i] = max(widths.get(i, 0), min(40, len(cell[0]) if cell else 0))
-    out = [*stray.lines, *(h for h in head if h)]
+    out = [h for h in head if h]
     for cells in grid:
         line = "  ".join(" ".join(c).ljust(widths.get(i, 0)) for i, c in enumerate(cells))
         out.append(line.rstrip())
@@ -363,6 +365,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     repeated rows stay; a column named ``text`` that the input has is replaced. Only the
     page's own column goes to Python with a copy of the others.
     """
+    text_batches(pages.sparkSession)
     rest = [F.col(f"`{c}`") for c in pages.columns if c not in (html, "text")]
     source = pages.select(*rest, F.col(html).cast("string").alias("__html"))
     schema = source.drop("__html").withColumn("text", F.lit("")).schema
