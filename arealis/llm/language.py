@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from arealis.llm.store import kept
+from arealis.llm.store import text_batches
 from arealis.llm.text import BASES, mix, slices, utf8
 
 #: Columns of the presence matrix by length of the n-gram.
@@ -66,9 +67,9 @@ def presence(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndar
     row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(before[borders]))
     is_letter = chars != 32
     n_letters = np.bincount(row[is_letter], minlength=rows)
-    # one blank between words and between rows, none of it counted twice
+    # one blank after each word of a row; what stands in other rows plays no part
     keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]
+    keep[1:] |= is_letter[:-1] & (row[1:] == row[:-1])
     chars, row = chars[keep].astype(np.uint64), row[keep]
     at = 0
     code = np.zeros(len(chars), np.uint64)
@@ -140,6 +141,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -
         F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"),
     ).where("lang is not null and text is not null")
+    text_batches(labelled.sparkSession)
     rows = rows.withColumn("pick", F.xxhash64("text"))
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("pick").alias("n"))
     top = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
@@ -169,22 +171,24 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -
     return Model(languages, z, (root @ alpha).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns, ``lang_pred`` and ``score`` for each row, from its whole text alone.
 
     ``score`` is the softmax share of the best language, between 0 and 1. Null texts and
     texts without a letter get ``und`` and 0, as does every text if nothing was learned.
     """
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
-    schema = source.drop("__text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    text_batches(docs.sparkSession)
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    # the text goes to Python once, whether it is kept or not
+    held = text in keep and docs.schema[text].dataType == StringType()
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if held else [F.col(f"`{text}`").cast("string").alias("__text")]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            at = batch.schema.names.index("__text")
-            data, borders = utf8(batch.column(at))
+            data, borders = utf8(batch.column(text if held else "__text"))
             best = np.full(batch.num_rows, len(m.languages))
             score = np.zeros(batch.num_rows)
             for i0, j0 in slices(borders):
@@ -195,10 +199,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     e = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
                     best[i:j] = np.where(n > 0, s.argmax(axis=1), len(m.languages))
                     score[i:j] = np.where(n > 0, (e / e.sum(axis=1, keepdims=True)).max(axis=1), 0.0)
-            columns = [batch.column(k) for k in range(batch.num_columns) if k != at]
+            columns = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(list(names[best]), pa.string()), pa.array(score)],
-                [*[x for x in batch.schema.names if x != "__text"], "lang_pred", "score"],
+                [*columns, pa.array(list(names[best]), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"]
             )
 
     return source.mapInArrow(run, schema)
@@ -220,7 +223,7 @@ def filtered(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """The documents, all columns, whose language is known with at least ``min_score``."""
     names = docs.columns
     model = fit(docs.select("text", "lang"))
-    out = predict(docs.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(names)}).withColumn("text", F.col(f"__c{names.index('text')}")),
-                  model, [f"__c{i}" for i in range(len(names))])
+    hidden = docs.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(names)})
+    out = predict(hidden, model, hidden.columns, f"__c{names.index('text')}")
     kept_rows = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
     return kept_rows.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
