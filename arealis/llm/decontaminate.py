@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arealis.llm.store import text_batches
 from arealis.llm.text import ALNUM, BASES, LOWER, grams, merge, mix, ranges, rows_of, sliding_min, slices, span_hashes, utf8, words
 
 WINDOW, K = 10, 5
@@ -181,15 +182,15 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     (ids as strings, ascending). Null texts have no words; short items match as a whole;
     repeated rows and items are each judged; an empty benchmark hits nothing.
     """
+    text_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(b) for b in blocks(benchmark, window, k)]
-    source = docs.withColumn("__text", F.col("text").cast("string"))
-    schema = docs.selectExpr("*", "0L as __n_words", "array(struct(0L as s, 0L as e)) as __spans", "0L as __n_hit", "array('') as __items").schema
+    source = docs.withColumn("text", F.col("text").cast("string"))
+    schema = source.selectExpr("*", "0L as __n_words", "array(struct(0L as s, 0L as e)) as __spans", "0L as __n_hit", "array('') as __items").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("__text")
-            data, borders = utf8(batch.column(at))
+            data, borders = utf8(batch.column("text"))
             for i, j in slices(borders):
                 own, edge = data[borders[i] : borders[j]], borders[i : j + 1] - borders[i]
                 t = tokens(own, edge, both=False)
@@ -217,11 +218,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
                 )
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in range(part.num_columns) if c != at),
-                     pa.array(np.diff(t.first).astype(np.int64)), lists,
+                    [*part.columns, pa.array(np.diff(t.first).astype(np.int64)), lists,
                      pa.array(np.bincount(row[words_hit], minlength=j - i).astype(np.int64)),
                      pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    [*[x for x in batch.schema.names if x != "__text"], "__n_words", "__spans", "__n_hit", "__items"],
+                    [*batch.schema.names, "__n_words", "__spans", "__n_hit", "__items"],
                 )
 
     return source.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.llm.graph import components
-from arealis.llm.store import kept
+from arealis.llm.store import kept, text_batches
 from arealis.llm.text import BASES, LOWER, NOT_SPACE, grams, mix, ranges, rows_of, slices, span_hashes, utf8, words
 
 SHINGLE = 5
@@ -39,9 +39,11 @@ SHARES = (0.0, 0.125, 0.25)
 #: the list of contents at most, and how often the sample must show one.
 SAMPLE, FREQUENT, SEEN = 0.02, 8192, 6
 #: Sets of one group, and of one block, that are compared with each other in one task.
-GROUP, BLOCK = 2048, 2000
+GROUP, BLOCK = 2048, 500
 #: Shingles of one block.
 BLOCK_TOKENS = 1_000_000
+#: Postings that a task gathers before it sends them.
+POSTINGS = 250_000
 _U = np.uint64
 
 
@@ -314,7 +316,7 @@ def _groups(docs: DataFrame) -> DataFrame:
             ok = fresh[row] if len(row) else np.zeros(0, bool)
             held.append((sig[ok], name[row[ok]].view(np.uint64)))
             size += int(ok.sum())
-            if size >= 1_000_000:
+            if size >= POSTINGS:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -465,6 +467,7 @@ def linked(docs: DataFrame) -> DataFrame:
     key = F.col("doc_id").cast("long")
     text = F.col("text").cast("string")
     rows = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(LOWEST)).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    text_batches(docs.sparkSession)
     named = kept(_named(rows), "sets")
     classes = named.where("n_shingles > 0").groupBy("node").agg(
         F.min("key").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arealis.llm.store import kept
+from arealis.llm.store import kept, text_batches
 from arealis.llm.text import ALNUM, BASES, LOWER, mix, slices, span_hashes, utf8, words
 
 #: Anchors: frequent words of four languages that say nothing about a text's subject.
@@ -102,6 +102,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     Texts travel compressed. What the driver gets is one id a range.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -213,6 +214,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(s.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], ["doc_id", "sigs"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, sigs array<long>")
 
