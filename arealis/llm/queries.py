@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from arealis.llm import decontaminate, html, jaccard, language, packing, pii, sharding, spotsigs, substrings, suffixes
+from arealis.llm import decontaminate, html, jaccard, language, oracles, packing, pii, sharding, spotsigs, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +48,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", oracles.SUBSTRINGS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.deduplicated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -59,12 +59,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited(table(spark, sf_dir, "documents"))
 
 
-@query("op7_jaccard_join")
+@query("op7_jaccard_join", oracles.JACCARD)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", oracles.DECONTAMINATION)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
