@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 import numpy as np
 import pytest
@@ -144,6 +146,17 @@ def test_repeated_bytes_of_repeated_rows(spark):
     assert suffixes.deduplicated(df.limit(0)).count() == 0
 
 
+def test_repeated_bytes_of_texts_with_equal_short_tags(spark, same):
+    # the lowest 40 bits of the 64-bit hashes of these two are equal
+    one, two = (hashlib.sha512(str(i).encode()).hexdigest() for i in (1086763, 1443694))
+    rows = [(1, one), (2, two), (3, "before " + two + " after"), (4, two + one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert df.selectExpr(f"xxhash64(text) & {(1 << 40) - 1} as tag").distinct().count() == 3
+    wanted = brute.repeated_bytes(rows)
+    assert [r[2] for r in wanted] == [0, 0, 128, 256]
+    same(suffixes.deduplicated(df), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], wanted)
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(3)
     texts = [b"", b"a", b"aaaaaa", b"abracadabra", b"mississippi" * 5, b"\x00\x00\xff\x00", bytes(rng.integers(97, 99, 500).astype(np.uint8))]
