@@ -92,6 +92,24 @@ def test_blocks_of_the_benchmark_give_the_same_hits(spark, docs, monkeypatch):
     assert sorted(decontaminate.contamination(docs, bench).collect()) == whole
 
 
+def test_a_large_benchmark_is_joined_not_sent(spark, docs, rows, same, monkeypatch):
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    own = [(1, "One"), (2, None), (3, "b c d"), (4, rows[30][1]), (5, rows[30][1]), (6, "x " * 12), (7, "!!"), (8, "a b c d")]
+    own += [(i, rows[i][1]) for i in range(9, 20)]
+    bench = spark.createDataFrame(own, "item_id long, text string")
+    blocks, send, sent = decontaminate.blocks, type(spark.sparkContext).broadcast, []
+    monkeypatch.setattr(decontaminate, "blocks", lambda b, w, k: blocks(b, w, k, size=100))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    copies = docs.unionByName(docs.where("doc_id in (0, 30, 35)"))
+    again = [r for r in rows if r[0] in (0, 30, 35)]
+    wanted = brute.contaminated(rows, own)
+    same(decontaminate.contamination(copies, bench), columns, wanted + [r for r in wanted if r[0] in dict(again)])
+    assert not any(isinstance(x, decontaminate.Block) for x in sent)
+    cut = sorted(decontaminate.cleaned(docs, bench).select("doc_id", "text", "n_chars").collect())
+    monkeypatch.undo()
+    assert cut == sorted(decontaminate.cleaned(docs, bench).select("doc_id", "text", "n_chars").collect()) and cut
+
+
 def test_decontaminated_text(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     rows = [(1, f"before it {item}, and this is what stands after the passage for a while", 5), (2, item, 5), (3, None, 5), (4, "clean", 5)]
