@@ -555,12 +555,27 @@ def crosses_itself(geom: str) -> Column:
     return F.coalesce(_long_crosses(many), F.expr(f"{polygon} AND {sides} <= {_FEW_SIDES} AND {few}"))
 
 
+@F.arrow_udf(T.BooleanType())
+def _hole_leaves(parts: pa.Array, many: pa.Array) -> pa.Array:
+    held, found = arrays.view(parts), []
+    for i, several in enumerate(many.to_pylist()):
+        rings = [held.ring(k) for k in range(held.rows[i], held.rows[i + 1])] if held.known[i] else []
+        if several:
+            turns = [arrays.twice_area(r) for r in rings]
+            shells, holes = ([r for r, t in zip(rings, turns, strict=True) if t * way > 0] for way in (1, -1))
+        else:
+            shells, holes = rings[:1], rings[1:]
+        found.append(arrays.leaves(shells, holes) if holes else None)
+    return pa.array(found, pa.bool_())
+
+
 def has_hole_outside(geom: str) -> Column:
-    """A hole of a polygon with a vertex outside its shell, on which sides alone can't tell."""
-    shell = _edges(f"named_struct('parts', slice({geom}.parts, 1, 1))")
-    holes = f"slice({geom}.parts, 2, greatest(size({geom}.parts) - 1, 1))"
-    out = _let("es", shell, f"exists({holes}, h -> exists(slice(h, 1, 8), p -> {_winding('es', 'p.x', 'p.y')} = 0))")
-    return F.expr(f"{geom}.kind = 'Polygon' AND size({geom}.parts) > 1 AND {out}")
+    """A hole that lies outside its shell or leaves it, also through touching vertices.
+
+    The holes of a MultiPolygon are its clockwise rings, held against all its shells.
+    """
+    holed = F.expr(f"{_is(geom, POLYGON_KINDS)} AND size({geom}.parts) > 1")
+    return F.coalesce(_hole_leaves(F.when(holed, F.col(f"{geom}.parts")), F.expr(f"{geom}.kind = 'MultiPolygon'")), F.lit(False))
 
 
 def repair_rings(geom: str) -> Column:

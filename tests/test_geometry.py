@@ -119,6 +119,46 @@ def test_rings_are_held_against_each_other(spark):
     assert aggregates.geometry_report(layer(spark, list(cases.items()))).first().valid == 2
 
 
+def test_holes_that_leave_the_shell_without_a_crossing(spark):
+    # a shell with a notch from (4, 10) down to (5, 6), and one with a vertex on its side
+    notched = [(0, 0), (10, 0), (10, 10), (6, 10), (5, 6), (4, 10), (0, 10), (0, 0)]
+    many = [(1 + i / 4, 1 + (i % 2) / 4) for i in range(12)]
+    side = [(0, 0), (10, 0), (10, 5), (10, 10), (0, 10), (0, 0)]
+    oblique = [(0, 0), (9, 3), (6, 12), (-3, 9), (0, 0)]
+    far, square = box(20, 20, 30, 30)[0], box(0, 0, 10, 10)[0]
+    cases = {
+        "late vertex": [side, [*many, (10, 5), (12, 7), (10, 5), (1, 5), (1, 1)]],
+        "over the notch": [notched, [(4, 10), (6, 10), (6, 2), (4, 2), (4, 10)]],
+        "over the notch, halfway": [notched, [(3, 6), (5, 6), (7, 6), (7, 2), (3, 2), (3, 6)]],
+        "notch's side is the hole's": [notched, [(4, 10), (5, 6), (4, 2), (4, 10)]],
+        "along an oblique side": [oblique, [(0, 0), (9, 3), (3, 5), (0, 0)]],
+    }
+    wanted = {"late vertex": True, "over the notch": True, "over the notch, halfway": False, "notch's side is the hole's": False, "along an oblique side": False}
+    faults = aggregates.with_faults(layer(spark, list(cases.items()))).collect()
+    assert {r.id: r._outside for r in faults} == wanted
+    several = {
+        "second member's hole": [square, far, box(22, 22, 24, 24)[0][::-1]],
+        "hole of no member": [square, far, box(12, 12, 14, 14)[0][::-1]],
+        "no hole": [square, far],
+    }
+    made = layer(spark, list(several.items()), kind="MultiPolygon")
+    assert {r.id: r._outside for r in aggregates.with_faults(made).collect()} == {
+        "second member's hole": False, "hole of no member": True, "no hole": False,
+    }
+    assert aggregates.geometry_report(made).first().valid == 2
+    assert aggregates.repair(made).agg(F.count_if("quarantined")).first()[0] == 1
+
+
+def test_long_holes_are_held_against_long_shells(spark):
+    turn = [2 * math.pi * i / 40000 for i in range(40000)]
+    shell, hole = ([(r * math.cos(t), r * math.sin(t)) for t in turn] for r in (100, 90))
+    out = [*hole[:30000], (0, -110), *hole[30000:]]
+    start = time.perf_counter()
+    faults = layer(spark, [("in", [shell, hole]), ("out", [shell, out])]).select("id", g.has_hole_outside("geom").alias("o")).collect()
+    assert {r.id: r.o for r in faults} == {"in": False, "out": True}
+    assert time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize("n", [40, 400, 4000])
 def test_crossings_of_short_and_long_rings(spark, n):
     ring = [(100 * math.cos(2 * math.pi * i / n), 100 * math.sin(2 * math.pi * i / n)) for i in range(n)]
