@@ -147,3 +147,13 @@ def test_quality_counts_nan(spark):
 
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
     assert quality.layer_quality_report(spark, {"a": df}).first().missing_values == 2
+
+
+def test_collections_grow_in_number_with_the_features(spark, tmp_path):
+    made = layer(spark, [(str(i), box(i, 0, i + 1, 1)) for i in range(300)])
+    path = writers.write_geojson_collections(made, str(tmp_path / "many"), features=30)
+    files = [json.loads(p.read_text()) for p in (tmp_path / "many").glob("file=*/*.txt")]
+    assert len(files) == 10 and all(x["type"] == "FeatureCollection" for x in files)
+    assert sorted(int(f["properties"]["id"]) for x in files for f in x["features"]) == list(range(300))
+    back = readers.read_geojson(spark, path, made.select("id").schema)
+    assert {(r.id, r.x) for r in back.select("id", "geom.xmin").withColumnRenamed("xmin", "x").collect()} == {(str(i), float(i)) for i in range(300)}

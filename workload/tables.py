@@ -89,11 +89,7 @@ def read_geojson_collection(spark, sf):
     layer = ly.water(spark, sf).select(
         "water_id", (F.col("water_id") % 3 == 0).alias("flag"), F.when(F.col("water_id") % 5 != 0, F.col("geom")).alias("geom")
     )
-    lines = writers.geojson_lines(layer).withColumn("file", F.pmod(F.xxhash64("value"), F.lit(4)))
-    files = lines.groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("value")), ",\n").alias("body"))
-    path = scratch_path(spark, "collections")
-    whole = files.select("file", F.format_string('{"type":"FeatureCollection",\n"features":[%s]}', "body").alias("value"))
-    whole.write.partitionBy("file").text(path)
+    path = writers.write_geojson_collections(layer, scratch_path(spark, "collections"))
     back = readers.read_geojson(spark, path, schema("water_id bigint, flag boolean"))
     return back.select("water_id", "flag", "geom.kind", "geom.xmin", "geom.ymax")
 
