@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -149,26 +148,30 @@ def describe_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, over the rows where both are present."""
-    items = []
-    for a, b in itertools.combinations(cols, 2):
-        x, y = v.null_nan(F.col(a).cast("double")), v.null_nan(F.col(b).cast("double"))
-        both = x.isNotNull() & y.isNotNull()
-        r = F.corr(F.when(both, x), F.when(both, y))
-        items.append((a, b, r))
-        items.append((b, a, r))
+    """Pearson correlation of every pair, over the rows where both are present.
+
+    NaN counts as missing. A column that is constant over those rows, or has fewer than two
+    of them, has no correlation: null, on the diagonal too.
+    """
+    clean = df.select(*[v.null_nan(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def r(i: int, j: int) -> F.Column:
+        x, y = F.col(f"c{i}"), F.col(f"c{j}")
+        if i == j:
+            return F.when(F.stddev_pop(x) > 0, F.lit(1.0))
+        # covar_pop skips incomplete pairs, the deviations have to be told to
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        found = F.try_divide(F.covar_pop(x, y), spread)
+        return F.when(found.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), found)))
+
+    n = range(len(cols))
+    once = clean.agg(*[r(i, j).alias(f"r{i}_{j}") for i in n for j in n if i <= j])
     rows = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r"))
-        for a, b, r in items
-    ] + [
-        F.struct(
-            F.lit(c).alias("column_a"),
-            F.lit(c).alias("column_b"),
-            F.when(F.count(c) > 1, F.lit(1.0)).alias("r"),
-        )
-        for c in cols
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r"))
+        for i, a in enumerate(cols)
+        for j, b in enumerate(cols)
     ]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return once.select(F.inline(F.array(*rows)))
 
 
 def target_correlations(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:

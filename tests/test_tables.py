@@ -182,6 +182,19 @@ def test_correlation_is_pairwise(spark):
     assert found["a", "c"] == pytest.approx(np.corrcoef([2, 3, 4], [1, 5, 2])[0, 1])
 
 
+def test_correlation_of_constant_and_missing_columns(spark):
+    nan = float("nan")
+    rows = [(1.0, 7.1, nan, 1.0), (2.0, 7.1, 4.0, nan), (4.0, 7.1, nan, nan), (3.0, 7.1, 6.0, None)]
+    df = spark.createDataFrame(rows, "a double, level double, gap double, once double")
+    found = {(r.column_a, r.column_b): r.r for r in aggregates.correlation_matrix(df, ["a", "level", "gap", "once"]).collect()}
+    assert len(found) == 16
+    assert found.pop(("a", "a")) == found.pop(("gap", "gap")) == 1.0
+    assert found.pop(("a", "gap")) == found.pop(("gap", "a")) == pytest.approx(1.0)
+    assert set(found.values()) == {None}
+    assert {r.r for r in aggregates.target_correlations(df, ["level", "once"], "a").collect()} == {None}
+    assert {r.r for r in aggregates.correlation_matrix(df.limit(0), ["a", "gap"]).collect()} == {None}
+
+
 def test_trend_and_histogram(spark):
     df = spark.range(11).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2 + 1).cast("double").alias("y"))
     line = aggregates.linear_trend(df, "x", "y", 3).collect()

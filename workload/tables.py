@@ -621,6 +621,27 @@ def correlation_matrix(spark, sf):
     return found.withColumn("r", F.round("r", 6))
 
 
+_GAPS = {"x_quantity": "x_quantity", "y": "y", "gap": "CASE WHEN x_quantity <= 25 THEN y END"}
+
+
+@query(
+    "correlation_with_gaps",
+    ly.cte(ly.MODEL)
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({x}, {y}), 6) AS r FROM model"
+        for a, x in _GAPS.items()
+        for b, y in _GAPS.items()
+    )
+    + "".join(f" UNION ALL SELECT 'level', '{c}', NULL" for c in [*_GAPS, "level"])
+    + "".join(f" UNION ALL SELECT '{c}', 'level', NULL" for c in _GAPS),
+)
+def correlation_with_gaps(spark, sf):
+    """Correlations beside a constant column, and over NaN."""
+    gap = F.when(F.col("x_quantity") <= 25, F.col("y")).otherwise(float("nan"))
+    rows = ly.model_table(spark, sf).select("x_quantity", "y", gap.alias("gap"), F.lit(7.5).alias("level"))
+    return aggregates.correlation_matrix(rows, rows.columns).withColumn("r", F.round("r", 6))
+
+
 @query(
     "target_correlations",
     ly.cte(ly.SCORED)
