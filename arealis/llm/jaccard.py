@@ -413,7 +413,7 @@ def _verified(docs: DataFrame, together: DataFrame, classes: DataFrame) -> DataF
     Labels of much weight are dealt into blocks, and each two blocks are one task.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = together.join(classes.select("node", "n_shingles", F.col("first").alias("key")), "node")
+    members = together.join(classes.select("node", "n_shingles", F.col("first").alias("key"), F.col("first_hash").alias("text_hash")), "node")
     weight = members.groupBy("label").agg(F.count(F.lit(1)).alias("many"), F.sum("n_shingles").alias("tokens"))
     weight = weight.where("many > 1").withColumn(
         "blocks", F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
@@ -422,7 +422,7 @@ def _verified(docs: DataFrame, together: DataFrame, classes: DataFrame) -> DataF
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int")
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select(
-        "key", "node", "own", F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
+        "key", "text_hash", "node", "own", F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
         F.concat_ws("/", "label", F.least("own", "other"), F.greatest("own", "other")).alias("pair"),
     )
 
@@ -450,7 +450,8 @@ def _verified(docs: DataFrame, together: DataFrame, classes: DataFrame) -> DataF
                     held[node] = (own, tokens[first[i] : first[i + 1]].copy())
         yield from found()
 
-    rows = docs.select("key", "text").join(members, "key")
+    # by the text as well, as many rows may have one id or none
+    rows = docs.select("key", "text_hash", "text").join(members, ["key", "text_hash"]).drop("text_hash")
     return rows.repartition(n, "task").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
 
 
@@ -470,7 +471,7 @@ def linked(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
     named = kept(_named(rows), "sets")
     classes = named.where("n_shingles > 0").groupBy("node").agg(
-        F.min("key").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map")
+        F.min("key").alias("first"), F.min_by("text_hash", "key").alias("first_hash"), F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map")
     )
     classes = kept(classes, "classes")
     near = kept(_candidates(_groups(rows), classes), "near")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arealis.llm import decontaminate, jaccard, packing, pii, sharding, spotsigs, substrings, suffixes
 from tests.llm import brute
@@ -229,6 +231,21 @@ def test_redaction(spark):
     assert out[99]["text"] is None and out[98]["text"] == "clean" and out[98]["n_chars"] == 5
 
 
+def test_jaccard_join_of_rows_without_an_id(spark, table):
+    many = table.crossJoin(spark.range(15)).select("doc_id", F.concat_ws(" ", "text", F.lit("copy"), "id", F.xxhash64("text", "id")).alias("text"))
+    many = many.withColumn("doc_id", F.monotonically_increasing_id())
+
+    def seconds(df):
+        start = time.perf_counter()
+        found = jaccard.linked(df).collect()
+        return time.perf_counter() - start, found
+
+    usual, wanted = seconds(many)
+    took, found = seconds(many.withColumn("doc_id", F.lit(None).cast("long")))
+    assert len(found) == len(wanted) and {r["component_id"] for r in found} == {None}
+    assert took < 2 * usual + 5
+
+
 def test_jaccard_join(docs, rows, table, table_rows, same):
     columns = ["doc_id", "n_shingles", "component_id"]
     for df, own in ((docs, rows), (table, table_rows)):
