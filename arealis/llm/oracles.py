@@ -56,3 +56,50 @@ reach AS (SELECT r AS a, r AS b FROM documents_rows UNION SELECT reach.a, way.b
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(e.doc_id) AS component_id
 FROM documents_rows d JOIN reach ON reach.a = d.r JOIN documents_rows e ON e.r = reach.b LEFT JOIN size ON size.r = d.r
 GROUP BY d.r, d.doc_id, n"""
+
+COLLOCATIONS = f"""WITH piece AS (SELECT row_number() OVER () AS r, lang, x FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+word AS (SELECT r, lang, unnest(l) AS x, generate_subscripts(l, 1) AS o
+  FROM (SELECT r, lang, regexp_extract_all(x, '[^\x20\x09]+') AS l FROM piece)),
+lead_by AS MATERIALIZED (SELECT lang, x AS a, lead(x) OVER p AS b, lead(x, 2) OVER p AS c FROM word WINDOW p AS (PARTITION BY r ORDER BY o)),
+f AS MATERIALIZED (SELECT lang, [a] AS w, count(*) AS f FROM lead_by GROUP BY lang, a
+  UNION ALL SELECT lang, [a, b], count(*) FROM lead_by WHERE b IS NOT NULL GROUP BY lang, a, b
+  UNION ALL SELECT lang, [a, b, c], count(*) FROM lead_by WHERE c IS NOT NULL GROUP BY lang, a, b, c),
+often AS (SELECT lang, w, f AS a FROM f WHERE len(w) > 1 AND f >= 10),
+longer AS (SELECT lang, w, max(a) AS m FROM (SELECT lang, w[1:2] AS w, a FROM often WHERE len(w) = 3
+  UNION ALL SELECT lang, w[2:3], a FROM often WHERE len(w) = 3) GROUP BY lang, w),
+own AS (SELECT lang, w, a FROM often LEFT JOIN longer USING (lang, w) WHERE m IS NULL OR 100 * m < 50 * a),
+cut AS (SELECT lang, w, a, unnest(range(1, len(w))) AS k FROM own),
+scored AS (SELECT c.lang, c.w, a, k, p.f AS l, q.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(p.f AS HUGEINT) * q.f) AS score
+  FROM cut c JOIN f p ON p.lang = c.lang AND p.w = c.w[1:k] JOIN f q ON q.lang = c.lang AND q.w = c.w[k + 1:]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+total AS (SELECT lang, count(*) AS n FROM word GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank,
+  array_to_string(w, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM best JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0, a1, .. to the codebooks b0, b1, .. and the codebooks after them."""
+    out = []
+    for k in range(n + 1):
+        out.append(f"""a{k} AS MATERIALIZED (SELECT r, part, entry, d FROM (
+  SELECT v.r, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS d FROM x v JOIN b{k} b ON b.part = v.part AND b.pos = v.pos GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1)""")
+        if k < n:
+            out.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, CAST(CASE WHEN n IS NULL THEN b.x ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS x
+  FROM b{k} b LEFT JOIN (SELECT v.part, a.entry, v.pos, sum(v.x) AS s, count(*) AS n FROM x v JOIN a{k} a ON a.r = v.r AND a.part = v.part GROUP BY ALL) m
+  ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)""")
+    return ",\n".join(out)
+
+
+VECTOR_CODES = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding AS e, len(embedding) // 8 AS wide
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT r, (i - 1) // wide AS part, (i - 1) % wide AS pos, CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, wide, unnest(e) AS c, generate_subscripts(e, 1) AS i FROM v)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x FROM x WHERE r <= 16),
+{_rounds(6)},
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  sha256((SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos) FROM b6)) AS codebooks_sha256
+FROM coded JOIN v USING (r)"""

@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from arealis.llm import decontaminate, html, jaccard, language, oracles, packing, pii, sharding, spotsigs, substrings, suffixes
+from arealis.llm import (
+    codes,
+    decontaminate,
+    html,
+    jaccard,
+    language,
+    oracles,
+    packing,
+    phrases,
+    pii,
+    sharding,
+    spotsigs,
+    substrings,
+    suffixes,
+    tokenfiles,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,4 +95,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query("op11_token_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return tokenfiles.contents(tokenfiles.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end=2))
+
+
+@query("op12_collocations", oracles.COLLOCATIONS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_codes", oracles.VECTOR_CODES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
