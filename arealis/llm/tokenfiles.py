@@ -17,6 +17,7 @@ Files are written and read through ``pyarrow.fs``, so the folder may be any it k
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
@@ -30,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.llm.store import kept, text_batches
+from arealis.llm.text import NOT_SPACE, ranges, slices, utf8, words
 from arealis.session import shared_dir
 
 MAGIC = b"IDPACK01"
 BLOCK = 4096
 #: Ids a file, about, and ids unpacked at once.
 FILE, RUN = 1 << 26, 1 << 20
-#: Characters that a text has before it is encoded in pieces, and those sent to the tokenizer together.
-PIECE, TOGETHER = 1 << 16, 1 << 19
+#: Bytes of texts whose words are looked up together.
+TOGETHER = 1 << 21
 _U = np.uint64
 
 
@@ -184,58 +186,51 @@ def tokenizer(source: str):
     return _TOKENIZERS[key]
 
 
-def pieces(text: str) -> Iterator[str]:
-    """A long text cut at single spaces between ASCII letters or digits.
+#: Different words whose ids a Python worker remembers, and bytes of those that it doesn't.
+WORDS, LONG = 1 << 19, 256
+_IDS: dict[int, dict[bytes, list[int]]] = {}
 
-    There words end whatever the text is, no character combines with another, and no special
-    token is cut in two, so the ids of the pieces are those of the text.
+
+def encoded(texts: pa.Array, source: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts: first row, row past the last, ids of all, and the number of ids of each.
+
+    White space of ASCII ends words under this kind of tokenizer (no normalisation, special
+    token or merge reaches across it; the tests compare with whole texts), so each
+    different word is encoded once. A text may be of any length, its longest word is what the
+    tokenizer takes at once.
     """
-    start = 0
-    while len(text) - start > PIECE:
-        at = text.find(" ", start + PIECE)
-        while at > 0 and not (at + 1 < len(text) and text[at - 1].isascii() and text[at - 1].isalnum() and text[at + 1].isascii() and text[at + 1].isalnum()):
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        yield text[start:at]
-        start = at
-    yield text[start:]
-
-
-def encoded(texts: list[str | None], source: str, end: int | None) -> Iterator[np.ndarray]:
-    """The ids of each text, and the end id."""
-    own = tokenizer(source)
-    tail = np.array([] if end is None else [end], np.uint32)
-    held: list[tuple[int, str]] = []
-    found: dict[int, list[np.ndarray]] = {}
-
-    def flush() -> None:
-        for (i, _), e in zip(held, own.encode_batch_fast([p for _, p in held], add_special_tokens=False), strict=True):
-            found[i].append(np.array(e.ids, np.uint32))
-        held.clear()
-
-    done, size = 0, 0
-    for i, text in enumerate(texts):
-        found[i] = []
-        for p in pieces(text or ""):
-            if p:
-                held.append((i, p))
-                size += len(p)
-            if size >= TOGETHER:
-                flush()
-                size = 0
-        if not held:
-            for k in range(done, i + 1):
-                yield np.concatenate([*found.pop(k), tail])
-            done = i + 1
-    if held:
-        flush()
-    for k in range(done, len(texts)):
-        yield np.concatenate([*found.pop(k), tail])
+    own, known = tokenizer(source), _IDS.setdefault(hash(source), {})
+    data, borders = utf8(texts)
+    for i, j in slices(borders, TOGETHER):
+        part, edges = data[borders[i] : borders[j]], borders[i : j + 1] - borders[i]
+        starts, ends, first = words(part, edges, NOT_SPACE)
+        offsets = np.append(0, np.cumsum(ends - starts))
+        flat = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(part[NOT_SPACE[part]])]
+        )
+        found = flat.dictionary_encode()
+        names = found.dictionary.to_pylist()
+        if len(known) > WORDS:
+            known.clear()
+        new = [w for w in names if w not in known]
+        for k in range(0, len(new), 10_000):
+            some = new[k : k + 10_000]
+            out = own.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            known.update(zip(some, (e.ids for e in out), strict=True))
+        lists = [known[w] for w in names]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(length.sum()))
+        at = found.indices.to_numpy()
+        many = np.append(0, np.cumsum(length[at]))
+        start = np.cumsum(length) - length
+        yield i, j, ids[ranges(start[at], length[at])], np.diff(many[first])
 
 
 def tokenized(docs: DataFrame, path: str, end: int | None = 2) -> tuple[DataFrame, int]:
-    """doc_id, n (ids), crc (of the ids) and packed ids of every text, and the width.
+    """doc_id, n (ids), crc (of the ids) and ids (16 bits each, or 32) of every text, and the width.
 
     ``path`` is a tokenizer's JSON file on the driver; its text goes to the tasks. Some
     megabytes is its proven size: a larger one is refused.
@@ -250,17 +245,21 @@ def tokenized(docs: DataFrame, path: str, end: int | None = 2) -> tuple[DataFram
     width = width_of(size)
     sent = spark.sparkContext.broadcast(source)
 
+    kind = np.dtype("<u2" if width <= 16 else "<u4")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, crc = [], [], []
-            for x in encoded(batch.column("text").to_pylist(), sent.value, end):
-                ids.append(pack(x, width).tobytes())
-                n.append(len(x))
-                crc.append(zlib.crc32(x.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "n", "crc", "ids"],
-            )
+            for i, j, ids, n in encoded(batch.column("text"), sent.value):
+                if end is not None:
+                    ids = np.insert(ids, np.cumsum(n), end)
+                    n = n + 1
+                borders = np.append(0, np.cumsum(n)).tolist()
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in itertools.pairwise(borders)]
+                packed = ids.astype(kind)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id")[i:j], pa.array(n), pa.array(crc, pa.int64()), pa.array([packed[a:b].tobytes() for a, b in itertools.pairwise(borders)], pa.binary())],
+                    ["doc_id", "n", "crc", "ids"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return kept(rows.mapInArrow(run, "doc_id long, n long, crc long, ids binary"), "ids"), width
@@ -277,25 +276,26 @@ def written(rows: DataFrame, width: int, folder: str, block: int = BLOCK) -> Dat
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE))
     keys = ["doc_id", "crc", "n", "salt"]
+    kind = np.dtype("<u2" if width <= 16 else "<u4")
     store, root = _open(folder)
     store.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, part, path = None, 0, ""
         for batch in batches:
-            for doc, n, ids, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "part")), strict=True):
+            for doc, ids, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "part")), strict=True):
                 if writer is None:
                     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids"
                     own, at = _open(path)
                     writer = Writer(own.open_output_stream(at), width, block)
-                writer.add(doc, unpack(np.frombuffer(ids, "<u8"), width)[:n])
+                writer.add(doc, np.frombuffer(ids, kind))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_ids": writer.n, "n_docs": len(writer.docs)}])
 
     salted = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
     ordered = salted.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    ordered = ordered.select("doc_id", "n", "ids", F.spark_partition_id().cast("long").alias("part"))
+    ordered = ordered.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("part"))
     files = kept(ordered.mapInArrow(run, "part long, path string, n_ids long, n_docs long"), "files")
     base, out = 0, []
     for r in sorted(files.collect(), key=lambda r: r["part"]):
@@ -345,7 +345,7 @@ def token_files(docs: DataFrame, path: str, end: int | None = 2, folder: str | N
     """Encode every whole text, write the files and return their manifest.
 
     A null text is an empty one: the end id alone. Repeated rows and rows of one id or of
-    none are documents of their own, null ids first. Texts of any length are encoded in pieces. An
+    none are documents of their own, null ids first. Texts may have any length. An
     empty table has no files; other columns are ignored. ``folder`` is one below the
     shared folder if none is given.
     """
