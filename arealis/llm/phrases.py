@@ -7,10 +7,10 @@ columns of all windows are all phrases of k words.
 
 Words travel as 64-bit hashes, beside a table of the words that shows whether two share
 one (then all is done again with another seed). Windows are counted in the tasks that read
-the texts, packed by buckets of their first words, and counted again by bucket. There a
+the texts, packed by buckets of their first word, and counted again by bucket. There a
 window's last words can be padded, too, once its whole count shows that no phrase they
 end is frequent: sums of shorter prefixes stay exact, and few rows are left to roll up.
-Prefixes that a sample finds very frequent are dealt over buckets by the last word.
+Windows whose first words a sample finds very frequent are dealt over buckets by more words.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from arealis.llm.text import BASES, LOWER, SLICE, mix, ranges, slices, span_hash
 
 _U = np.uint64
 PAD = 0
-#: Windows that a task holds before it packs them, and buckets a shuffle partition.
-HELD, BUCKETS = 1 << 20, 4
-#: Share of documents looked at for frequent prefixes, and the share of windows that makes one.
-SAMPLE, FREQUENT = 0.01, 1 / 2000
+#: Windows that a task holds before it packs them, words it remembers to have named, and buckets a shuffle partition.
+HELD, SEEN, BUCKETS = 1 << 20, 1 << 21, 4
+#: Share of documents looked at for frequent first words.
+SAMPLE = 0.01
 ENDS = frozenset(b".,;:!?\n\x0b\x0c\r")
 INSIDE = table(lambda b: b not in ENDS and b not in (0x20, 0x09))
 END = table(lambda b: b in ENDS)
@@ -78,29 +78,54 @@ def windows(column: pa.Array, size: int, seed: int) -> Iterator[tuple[np.ndarray
         yield rows[i + row], out, (part, starts, ends, hashes)
 
 
-def _prefix(lang: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """A hash of the language and all words but the last."""
-    h = lang.copy()
-    for x in window[:-1]:
+def _prefixes(lang: np.ndarray, window: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the language and the first word, the first two words, and so on."""
+    h = lang
+    for x in window:
         h = mix(h + x)
-    return h
+        yield h
 
 
-def _counted(lang: np.ndarray, key: np.ndarray, window: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Equal windows as one, in order of their prefix: prefix hash, language (number), window, count."""
-    prefix = _prefix(key, window)
-    order = np.lexsort((window[-1], prefix))
-    prefix, lang, window, n = prefix[order], lang[order], window[:, order], n[order]
+def _dealt(lang: np.ndarray, window: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many first words deal out each window, and their hash: the fewest that aren't hot."""
+    level, deal, still = np.ones(len(lang), np.int64), np.zeros(len(lang), _U), np.ones(len(lang), bool)
+    for k, prefix in enumerate(_prefixes(lang, window), 1):
+        deal[still], level[still] = prefix[still], k
+        if not len(hot):
+            break
+        still &= np.isin(prefix, hot)
+    return level, deal
+
+
+def _counted(lang: np.ndarray, window: np.ndarray, n: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal windows as one, in order (of ``first``, of the language, of the words), and one row of each."""
+    order = np.lexsort((*window[::-1], lang) if first is None else (*window[::-1], lang, first))
+    lang, window, n = lang[order], window[:, order], n[order]
     new = np.ones(len(n), bool)
-    new[1:] = prefix[1:] != prefix[:-1]
-    inner = np.flatnonzero(~new)
-    mixed = (lang[inner] != lang[inner - 1]) | (window[:-1, inner] != window[:-1, inner - 1]).any(0)
-    if mixed.any():  # two prefixes of one hash: order by all columns
-        order = np.lexsort((*window[::-1], lang))
-        prefix, lang, window, n = prefix[order], lang[order], window[:, order], n[order]
     new[1:] = (lang[1:] != lang[:-1]) | (window[:, 1:] != window[:, :-1]).any(0)
     at = np.flatnonzero(new)
-    return prefix[at], lang[at], window[:, at], np.add.reduceat(n, at) if len(at) else n
+    return lang[at], window[:, at], np.add.reduceat(n, at) if len(at) else n, order[at]
+
+
+def _padded(lang: np.ndarray, window: np.ndarray, n: np.ndarray, level: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Counted windows with all words padded that only rare phrases need.
+
+    A phrase of k first words is rare if all its windows are here (``level`` says so) and
+    they are fewer than ``least``. What such windows count goes on to the phrase of one word less.
+    """
+    window, rest, total = window.copy(), n, n
+    for k in range(len(window), -1, -1):
+        new = np.ones(len(rest), bool)
+        new[1:] = (lang[1:] != lang[:-1]) | (window[:k, 1:] != window[:k, :-1]).any(0)
+        at = np.flatnonzero(new)
+        lang, window, level, rest, total = lang[at], window[:, at], level[at], np.add.reduceat(rest, at), np.add.reduceat(total, at)
+        stays = rest > 0
+        if k:
+            stays &= (window[k - 1] != PAD) & ((total >= least) | (level > k))
+        yield lang[stays], window[:, stays], rest[stays]
+        rest = np.where(stays, 0, rest)
+        if k:
+            window[k - 1] = PAD
 
 
 def _names_hash(names: list[str]) -> np.ndarray:
@@ -147,8 +172,8 @@ class _Languages:
         return np.array([self.number[x] for x in names], np.int64)
 
 
-def _frequent(docs: DataFrame, size: int, seed: int) -> np.ndarray:
-    """Hashes of prefixes that many windows of a sample have, at most 1 / FREQUENT of them.
+def _frequent(docs: DataFrame, size: int, seed: int, share: float) -> np.ndarray:
+    """Hashes of the first words that more than ``share`` of a sample's windows have.
 
     They only decide how windows are dealt out.
     """
@@ -158,167 +183,139 @@ def _frequent(docs: DataFrame, size: int, seed: int) -> np.ndarray:
         for batch in batches:
             lang = known.of(batch.column("lang").to_pylist())
             for row, window, _ in windows(batch.column("text"), size, seed):
-                prefix, n = np.unique(_prefix(known.hashes[lang[row]], window), return_counts=True)
-                some = n > max(1, int(len(row) * FREQUENT / 4))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(prefix[some].view(np.int64), 0)), pa.array(np.append(n[some], len(row)))], ["prefix", "n"]
-                )
+                for prefix in list(_prefixes(known.hashes[lang[row]], window))[:-1]:
+                    found, n = np.unique(prefix, return_counts=True)
+                    some = n > max(1, int(len(row) * share / 4))
+                    yield pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some])], ["prefix", "n"])
+                # the row of prefix 0 has the number of all windows
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([len(row)])], ["prefix", "n"])
 
-    # the row of prefix 0 has the number of all windows
     found = docs.sample(SAMPLE, seed=11).mapInArrow(run, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
-    most = found.orderBy(F.desc("n"), "prefix").limit(int(1 / FREQUENT) + 1).collect()
+    # no more than 1 / share of each length can pass it
+    most = found.orderBy(F.desc("n"), "prefix").limit(int(size / share) + 1).collect()
     total = next((r["n"] for r in most if r["prefix"] == 0), 0)
-    hot = [r["prefix"] for r in most if r["prefix"] != 0 and r["n"] > total * FREQUENT]
+    hot = [r["prefix"] for r in most if r["prefix"] != 0 and r["n"] > total * share]
     return np.sort(np.array(hot, np.int64).view(_U))
 
 
-def _packed(docs: DataFrame, size: int, seed: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Rows of windows (bucket, n, blob) and of words (hash, word), written."""
+def _words(docs: DataFrame, seed: int) -> DataFrame:
+    """hash and word of all different words, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Languages()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        named: list[tuple[np.ndarray, pa.Array]] = []
-        many = 0
+        held: list[tuple[np.ndarray, pa.Array]] = []
+        seen, many = np.zeros(0, _U), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            lang = np.concatenate([x for x, _ in held])
-            window = np.concatenate([x for _, x in held], axis=1)
-            prefix, lang, window, n = _counted(lang, known.hashes[lang], window, np.ones(len(lang), np.int64))
-            spread = np.isin(prefix, hot)
-            deal = np.where(spread, mix(prefix + window[-1]), prefix) % _U(buckets)
-            order = np.argsort(deal, kind="stable")
-            edges = np.searchsorted(deal[order], np.arange(buckets + 1, dtype=_U))
-            names = list(known.number)
-            rows = [(b, order[edges[b] : edges[b + 1]]) for b in np.flatnonzero(np.diff(edges))]
-            for k in range(0, len(rows), 64):
-                some = rows[k : k + 64]
-                yield batch_of(
-                    bucket=pa.array([int(b) for b, _ in some], pa.int32()),
-                    n=pa.array([len(at) for _, at in some], pa.int64()),
-                    blob=pa.array([_pack(names, lang[at], window[:, at], n[at]) for _, at in some], pa.binary()),
+            nonlocal seen
+            own, first = np.unique(np.concatenate([h for h, _ in held]), return_index=True)
+            if len(seen):
+                new = seen[np.minimum(np.searchsorted(seen, own), len(seen) - 1)] != own
+                own, first = own[new], first[new]
+            text = pa.concat_arrays([w for _, w in held])
+            for k in range(0, len(own), 50_000):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[k : k + 50_000].view(np.int64)), text.take(pa.array(first[k : k + 50_000])).cast(pa.binary())], ["hash", "word"]
                 )
-            hashes = np.concatenate([h for h, _ in named])
-            text = pa.concat_arrays([w for _, w in named])
-            _, first = np.unique(hashes, return_index=True)
-            for k in range(0, len(first), 50_000):
-                some = first[k : k + 50_000]
-                yield batch_of(hash=pa.array(hashes[some].view(np.int64)), word=text.take(pa.array(some)))
-
-        def batch_of(**columns: pa.Array) -> pa.RecordBatch:
-            n = len(next(iter(columns.values())))
-            kinds = {"bucket": pa.int32(), "n": pa.int64(), "blob": pa.binary(), "hash": pa.int64(), "word": pa.large_binary()}
-            return pa.RecordBatch.from_arrays(
-                [(columns[c] if c in columns else pa.nulls(n, t)).cast(pa.binary() if t == pa.large_binary() else t) for c, t in kinds.items()], list(kinds)
-            )
+            seen = np.sort(np.concatenate([seen, own])) if len(seen) < SEEN else own
 
         for batch in batches:
-            lang = known.of(batch.column("lang").to_pylist())
-            for row, window, (data, starts, ends, hashes) in windows(batch.column("text"), size, seed):
-                held.append((lang[row], window))
-                many += len(row)
+            for _, _, (data, starts, ends, hashes) in windows(batch.column("text"), 1, seed):
                 own, first = np.unique(hashes, return_index=True)
                 length = ends[first] - starts[first]
                 text = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), len(own),
                     [None, pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int64)), pa.py_buffer(data[ranges(starts[first], length)])],
                 )
-                named.append((own, text))
+                held.append((own, text))
+                many += len(own)
                 if many >= HELD:
                     yield from flush()
-                    held, named, many = [], [], 0
+                    held, many = [], 0
         if held:
             yield from flush()
 
-    return kept(docs.mapInArrow(run, "bucket int, n long, blob binary, hash long, word binary"), "windows")
+    found = docs.select("lang", "text").mapInArrow(run, "hash long, word binary").distinct()
+    return kept(found.select("hash", F.col("word").cast("string").alias("word")), "words")
 
 
-def _merged(packed: DataFrame, size: int, least: int, hot: np.ndarray, parts: int) -> DataFrame:
+def _merged(docs: DataFrame, size: int, seed: int, least: int, parts: int) -> DataFrame:
     """lang, w1 .. (0 where padded) and n of all windows; what no frequent phrase needs is padded."""
     columns = [f"w{k + 1}" for k in range(size)]
+    buckets = parts * BUCKETS
+    hot = _frequent(docs, size, seed, 1 / (4 * buckets))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Languages()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        many = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            lang = np.concatenate([x for x, _ in held])
+            window = np.concatenate([x for _, x in held], axis=1)
+            held.clear()
+            deal = (_dealt(known.hashes[lang], window, hot)[1] % _U(buckets)).astype(np.int64)
+            lang, window, n, row = _counted(lang, window, np.ones(len(lang), np.int64), deal)
+            edges = np.searchsorted(deal[row], np.arange(buckets + 1))
+            names = list(known.number)
+            some = np.flatnonzero(np.diff(edges))
+            for k in range(0, len(some), 64):
+                own = some[k : k + 64]
+                blobs = [_pack(names, lang[edges[b] : edges[b + 1]], window[:, edges[b] : edges[b + 1]], n[edges[b] : edges[b + 1]]) for b in own]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+        for batch in batches:
+            lang = known.of(batch.column("lang").to_pylist())
+            for row, window, _ in windows(batch.column("text"), size, seed):
+                held.append((lang[row], window))
+                many += len(row)
+                if many >= HELD:
+                    yield from flush()
+                    many = 0
+        if held:
+            yield from flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Languages()
-        short: list[tuple[np.ndarray, ...]] = []
         now, held, many = None, [], 0
 
-        def one() -> None:
-            """The held blobs as one."""
-            nonlocal held, many
-            lang = np.concatenate([x[0] for x in held])
-            window = np.concatenate([x[1] for x in held], axis=1)
-            _, lang, window, n = _counted(lang, known.hashes[lang], window, np.concatenate([x[2] for x in held]))
-            held, many = [(lang, window, n)], len(n)
+        def one() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The held windows counted."""
+            lang, window, n, _ = _counted(
+                np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held], axis=1), np.concatenate([x[2] for x in held])
+            )
+            held[:] = [(lang, window, n)]
+            return held[0]
 
-        def rows(lang: np.ndarray, window: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def bucket() -> Iterator[pa.RecordBatch]:
+            lang, window, n = one()
+            held.clear()
             names = pa.array(list(known.number), pa.string())
-            for a in range(0, len(n), 50_000):
-                b = a + 50_000
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(lang[a:b])), *(pa.array(w[a:b].view(np.int64)) for w in window), pa.array(n[a:b])], ["lang", *columns, "n"]
-                )
+            level = _dealt(known.hashes[lang], window, hot)[0]
+            for lang, window, n in _padded(lang, window, n, level, least):
+                for a in range(0, len(n), 50_000):
+                    b = a + 50_000
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(lang[a:b])), *(pa.array(w[a:b].view(np.int64)) for w in window), pa.array(n[a:b])], ["lang", *columns, "n"]
+                    )
 
-        def bucket() -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            one()
-            lang, window, n = held[0]
-            prefix = _prefix(known.hashes[lang], window)
-            new = np.ones(len(n), bool)
-            new[1:] = (lang[1:] != lang[:-1]) | (window[:-1, 1:] != window[:-1, :-1]).any(0)
-            first = np.flatnonzero(new)
-            of = np.cumsum(new) - 1
-            total = np.add.reduceat(n, first)
-            # a prefix dealt over buckets has its whole count in none of them
-            whole = ~np.isin(prefix[first], hot)
-            rare = whole & (total < least)
-            stays = (n >= least) & (window[-1] != PAD) & ~rare[of]
-            if stays.any():
-                yield from rows(lang[stays], window[:, stays], n[stays])
-            rest = total - np.bincount(of[stays], n[stays], len(first)).astype(np.int64)
-            padded = window[:, first].copy()
-            padded[-1] = PAD
-            if size > 1:
-                padded[-2, rare] = PAD
-            some = rest > 0
-            short.append((lang[first][some], padded[:, some], rest[some]))
-            held = []
-
-        def shorter() -> None:
-            lang = np.concatenate([x[0] for x in short])
-            window = np.concatenate([x[1] for x in short], axis=1)
-            _, lang, window, n = _counted(lang, known.hashes[lang], window, np.concatenate([x[2] for x in short]))
-            short[:] = [(lang, window, n)]
-
-        size_now = 0
         for batch in batches:
             for name, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
                 if name != now and held:
                     yield from bucket()
-                    size_now += len(short[-1][2])
-                    if size_now > HELD:
-                        shorter()
-                        size_now = len(short[0][2])
-                        if size_now > HELD // 2:
-                            yield from rows(*short[0])
-                            short.clear()
-                            size_now = 0
-                now, many = name, many if held else 0
+                    many = 0
+                now = name
                 names, lang, window, n = _unpack(blob.as_py())
                 held.append((known.of(names)[lang], window, n))
                 many += len(n)
-                if many > 4 * HELD and len(held) > 1:
+                if many > 4 * HELD:
                     one()
-                    # the next time only after as many more again
                     many = 0
         if held:
             yield from bucket()
-        if short:
-            shorter()
-            yield from rows(*short[0])
 
-    blobs = packed.where("blob IS NOT NULL").select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    blobs = docs.mapInArrow(pack, "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     schema = ", ".join(["lang string", *(f"{c} long" for c in columns), "n long"])
-    return kept(blobs.mapInArrow(run, schema), "counts")
+    return kept(blobs.mapInArrow(merge, schema), "counts")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -330,29 +327,26 @@ def counts(docs: DataFrame, size: int = 3, least: int = 10) -> tuple[DataFrame,
     """Phrases of 1 to ``size`` words with their counts by language, and the words.
 
     The first table has lang, words (hashes; none: the language's words in all) and f, for
-    phrases that occur at least ``least`` times and for all single words and totals; the
-    second hash and word.
+    phrases that occur at least ``least`` times and totals; the second hash and word.
     """
     spark = docs.sparkSession
     text_batches(spark)
     docs = _texts(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for seed in range(8):
-        hot = _frequent(docs, size, seed)
-        packed = _packed(docs, size, seed, parts * BUCKETS, hot)
-        named = kept(packed.where("hash IS NOT NULL").select("hash", F.col("word").cast("string").alias("word")).distinct(), "words")
+        named = _words(docs, seed)
         if not named.groupBy("hash").count().where("count > 1").limit(1).count():
             break
     else:
         raise RuntimeError("words share a hash under eight seeds")
-    merged = _merged(packed, size, least, hot, parts)
+    merged = _merged(docs, size, seed, least, parts)
     columns = [f"w{k + 1}" for k in range(size)]
     rolled = merged.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # the level's bits are set for the columns that are summed over, the last column lowest
     kinds = [((1 << (size - k)) - 1, columns[:k]) for k in range(size + 1)]
     phrase = F.coalesce(*[F.when(F.col("level") == level, F.array(*own) if own else F.array().cast("array<long>")) for level, own in kinds])
     found = rolled.select("lang", phrase.alias("words"), "f").where("words IS NOT NULL AND NOT array_contains(words, 0L)")
-    return kept(found.where(f"f >= {least} OR size(words) <= 1"), "phrases"), named
+    return kept(found.where(f"f >= {least} OR size(words) = 0"), "phrases"), named
 
 
 def collocations(docs: DataFrame, size: int = 3, least: int = 10, inside: int = 50, top: int = 2000) -> DataFrame:
