@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arealis.llm.store import kept, text_batches
-from arealis.llm.text import NOT_SPACE, ranges, slices, utf8, words
+from arealis.llm.text import NOT_SPACE, ranges, slices, table, utf8, words
 from arealis.session import shared_dir
 
 MAGIC = b"IDPACK01"
@@ -187,46 +188,82 @@ def tokenizer(source: str):
 
 
 #: Different words whose ids a Python worker remembers, and bytes of those that it doesn't.
-WORDS, LONG = 1 << 19, 256
-_IDS: dict[int, dict[bytes, list[int]]] = {}
-
-
-def encoded(texts: pa.Array, source: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+WORDS, LONG = 1 << 20, 256
+_IDS: dict[int, dict[bytes, bytes]] = {}
+#: Marks that end a word of ASCII before them, and what stands before them.
+MARK = table(lambda b: b in b",.;:!?")
+BEFORE = table(lambda b: chr(b).isalnum() and b < 0x80)
+#: Words that are one unit to this kind of tokenizer: letters that stay letters in any form and case.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LAST = "</w>"
+
+
+class Lookup:
+    """The ids of words, as bytes, each word encoded once."""
+
+    def __init__(self, source: str):
+        self.own, self.known = tokenizer(source), _IDS.setdefault(hash(source), {})
+        vocabulary = self.own.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(LAST)]] = True
+
+    def of(self, names: list[bytes]) -> list[bytes]:
+        if len(self.known) > WORDS:
+            self.known.clear()
+        new = [w for w in names if w not in self.known]
+        texts = [w.decode() for w in new]
+        # a plain word's last id says that it is the last, if the vocabulary has such marks
+        plain = [i for i, t in enumerate(texts) if PLAIN.fullmatch(t)] if self.last.any() else []
+        self._together([new[i] for i in plain], [texts[i] for i in plain])
+        rest = [i for i, w in enumerate(new) if w not in self.known]
+        for k in range(0, len(rest), 10_000):
+            some = rest[k : k + 10_000]
+            out = self.own.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)
+            self.known.update((new[i], np.array(e.ids, "<u4").tobytes()) for i, e in zip(some, out, strict=True))
+        found = [self.known[w] for w in names]
+        for i in rest:
+            if len(new[i]) > LONG:
+                del self.known[new[i]]
+        return found
+
+    def _together(self, names: list[bytes], texts: list[str]) -> None:
+        """Words encoded as one text each five hundred, and told apart by their last ids."""
+        runs = [(k, min(k + 500, len(names))) for k in range(0, len(names), 500)]
+        for (a, b), e in zip(runs, self.own.encode_batch_fast([" ".join(texts[a:b]) for a, b in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            # as many last ids as words, or each word is encoded by itself
+            if len(ends) == b - a and ends[-1] == len(ids):
+                data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.known.update((w, data[i:j]) for w, i, j in zip(names[a:b], at, at[1:], strict=False))
+
+
+def encoded(texts: pa.Array, lookup: Lookup) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of texts: first row, row past the last, ids of all, and the number of ids of each.
 
-    White space of ASCII ends words under this kind of tokenizer (no normalisation, special
-    token or merge reaches across it; the tests compare with whole texts), so each
-    different word is encoded once. A text may be of any length, its longest word is what the
-    tokenizer takes at once.
+    White space of ASCII ends words under this kind of tokenizer, and a mark after a letter or
+    digit begins one: no normalisation, special token or merge reaches across them (the
+    tests compare with whole texts). So each different word is encoded once. A text may
+    be of any length, its longest word is what the tokenizer takes at once.
     """
-    own, known = tokenizer(source), _IDS.setdefault(hash(source), {})
     data, borders = utf8(texts)
     for i, j in slices(borders, TOGETHER):
         part, edges = data[borders[i] : borders[j]], borders[i : j + 1] - borders[i]
-        starts, ends, first = words(part, edges, NOT_SPACE)
+        starts, ends, _ = words(part, edges, NOT_SPACE)
+        cuts = np.flatnonzero(MARK[part[1:]] & BEFORE[part[:-1]]) + 1
+        cuts = cuts[~np.isin(cuts, edges)]
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
         offsets = np.append(0, np.cumsum(ends - starts))
         flat = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(part[NOT_SPACE[part]])]
         )
         found = flat.dictionary_encode()
-        names = found.dictionary.to_pylist()
-        if len(known) > WORDS:
-            known.clear()
-        new = [w for w in names if w not in known]
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            out = own.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            known.update(zip(some, (e.ids for e in out), strict=True))
-        lists = [known[w] for w in names]
-        for w in new:
-            if len(w) > LONG:
-                del known[w]
-        length = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(length.sum()))
-        at = found.indices.to_numpy()
+        own = lookup.of(found.dictionary.to_pylist())
+        length = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        ids, at = np.frombuffer(b"".join(own), "<u4"), found.indices.to_numpy()
         many = np.append(0, np.cumsum(length[at]))
         start = np.cumsum(length) - length
-        yield i, j, ids[ranges(start[at], length[at])], np.diff(many[first])
+        yield i, j, ids[ranges(start[at], length[at])], np.diff(many[np.searchsorted(starts, edges)])
 
 
 def tokenized(docs: DataFrame, path: str, end: int | None = 2) -> tuple[DataFrame, int]:
@@ -248,8 +285,9 @@ def tokenized(docs: DataFrame, path: str, end: int | None = 2) -> tuple[DataFram
     kind = np.dtype("<u2" if width <= 16 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(sent.value)
         for batch in batches:
-            for i, j, ids, n in encoded(batch.column("text"), sent.value):
+            for i, j, ids, n in encoded(batch.column("text"), lookup):
                 if end is not None:
                     ids = np.insert(ids, np.cumsum(n), end)
                     n = n + 1

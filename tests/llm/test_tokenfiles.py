@@ -6,6 +6,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as fs
 import pytest
 from hypothesis import given, settings
@@ -57,6 +58,19 @@ def test_odd_rows(spark, same):
     assert tokenfiles.contents(tokenfiles.token_files(df.limit(0), PATH)).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBzÀéßİʼ'sStd,.;:!?<|>- \t\n\u00a0\u0301\u0327\u3000١9中ǅ"), max_size=40) | st.sampled_from(["<|endoftext|>", "it's.", "Ǆe,", "e\u0301."]), max_size=8))
+def test_words_encode_as_whole_texts_do(parts):
+    texts = ["".join(parts), *parts, None]
+    with open(PATH, encoding="utf-8") as f:
+        lookup = tokenfiles.Lookup(f.read())
+    own = lookup.own
+    got = []
+    for _, _, ids, n in tokenfiles.encoded(pa.array(texts, pa.string()), lookup):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_files_of_lost_tasks_are_not_read(spark, tmp_path, same):
     rows = [(i, f"text {i}") for i in range(20)]
     files = tokenfiles.token_files(spark.createDataFrame(rows, "doc_id long, text string"), PATH, folder=str(tmp_path)).cache()
