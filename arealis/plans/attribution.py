@@ -35,26 +35,28 @@ class LeafPaths:
     value: np.ndarray
 
 
-def tree_nodes(model: PipelineModel, spark: SparkSession) -> pd.DataFrame:
-    """Node table of the fitted trees, read back from the saved model.
-
-    Its size is that of the model, which the driver already holds.
-    """
+def tree_table(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """Node table of the fitted trees, read back from the saved model: a row a node, gains by row."""
     path = scratch_path(spark, "trees")
     model.stages[-1].write().save(path)
     data = spark.read.parquet(f"{path}/data")
     nodes = data.select("treeID", "nodeData.*") if "nodeData" in data.columns else data
-    flat = nodes.select(
+    return nodes.select(
         "treeID",
         "id",
         "prediction",
+        "gain",
         F.col("rawCount").cast("double").alias("cover"),
         "leftChild",
         "rightChild",
         F.col("split.featureIndex").alias("feature"),
         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     )
-    return flat.toPandas()
+
+
+def tree_nodes(model: PipelineModel, spark: SparkSession) -> pd.DataFrame:
+    """The node table on the driver. Its size is that of the model, which the driver already holds."""
+    return tree_table(model, spark).toPandas()
 
 
 def leaf_paths(nodes: pd.DataFrame, weights: Sequence[float]) -> tuple[float, list[LeafPaths]]:

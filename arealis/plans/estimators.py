@@ -43,7 +43,9 @@ class MedianImputer(Estimator):
             f"coalesce(nanvl(CAST({c} AS DOUBLE), {null}), {_double(medians[c])}) AS {c}{FILLED}"
             for c in self.cols
         )
-        return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+        fitted = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+        fitted.medians = medians
+        return fitted
 
 
 class Standardiser(Estimator):

@@ -211,14 +211,136 @@ def random_forest(spark, sf):
     return _fit_quality(spark, sf, training.FOREST)
 
 
-@query("boosted_trees_level", _BETTER_SQL)
+#: Features of so few values that each has a bin of its own.
+EXACT = ["x_quantity", "x_discount", "x_tax"]
+
+
+def _best_split_sql(rows: str, l2: str, least: int) -> str:
+    """The split of most gain of ``rows`` (q, d, t, y and prediction p), by the sums of all values below each cut."""
+    values = " UNION ALL ".join(f"SELECT {i} AS f, {c} AS v, y - p AS r FROM {rows}" for i, c in enumerate("qdt"))
+    return f"""SELECT f, cut, gl, nl, g, n, (gl * gl / (nl + {l2}) + (g - gl) * (g - gl) / (n - nl + {l2}) - g * g / (n + {l2})) / 2 AS gain FROM (
+  SELECT f, v / 2 + lead(v) OVER w / 2 AS cut, sum(r) OVER w AS gl, sum(c) OVER w AS nl, sum(r) OVER (PARTITION BY f) AS g, sum(c) OVER (PARTITION BY f) AS n
+  FROM (SELECT f, v, sum(r) AS r, count(*) AS c FROM ({values}) GROUP BY f, v) WINDOW w AS (PARTITION BY f ORDER BY v))
+  WHERE cut IS NOT NULL AND nl >= {least} AND n - nl >= {least} ORDER BY gain DESC, f, cut LIMIT 1"""
+
+
+_NAMES = "['x_quantity', 'x_discount', 'x_tax'][CAST(f AS INTEGER) + 1]"
+
+
+def _boosted_sql(l2: str, least: int, extra: str) -> str:
+    return ly.cte(ly.MODEL) + f"""sides AS (SELECT grp, row_number() OVER (ORDER BY md5(CAST(grp AS VARCHAR) || ':42'), grp) <= ceil(CAST('0.2' AS DOUBLE) * count(*) OVER ()) AS held
+  FROM (SELECT DISTINCT grp FROM model)),
+own AS (SELECT m.* FROM model m JOIN sides USING (grp) WHERE NOT held),
+train AS MATERIALIZED (SELECT x_quantity AS q, x_discount AS d, coalesce(x_tax, (SELECT quantile_cont(x_tax, 0.5) FROM own)) AS t, y, avg(y) OVER () AS p FROM own),
+best AS ({_best_split_sql("train", l2, least)})
+SELECT {_NAMES} AS feature, cut AS threshold, round(gain / n, 6) AS gain_of_a_row, CAST(n AS BIGINT) AS rows, CAST(nl AS BIGINT) AS left_rows,
+  round(gl / (nl + {l2}), 6) AS left_value, round((g - gl) / (n - nl + {l2}), 6) AS right_value,
+  (SELECT count(*) FROM model JOIN sides USING (grp) WHERE held) AS held_out, {extra}, true AS explains_most FROM best""".replace("sides AS (", ", sides AS (", 1)
+
+
+def _splits(model, spark):
+    """The root of each boosted tree beside its children's values; tree 0 is the start value."""
+    nodes = attribution.tree_table(model, spark)
+    child = lambda side: nodes.select("treeID", F.col("id").alias(f"{side}Child"), F.col("prediction").alias(f"{side}_value"), F.col("cover").alias(f"{side}_rows"))
+    return nodes.where("id = 0 AND treeID > 0").join(child("left"), ["treeID", "leftChild"]).join(child("right"), ["treeID", "rightChild"])
+
+
+def _first_split(spark, sf, name):
+    """The first split of the first tree, in full, and what the model explains of groups it hasn't seen.
+
+    The trees are fewer than the product's (see SMALL).
+    """
+    train, test = training.group_split(training_rows(spark, sf), "grp")
+    model = training.build_models(EXACT, "y")[name](SMALL[name]).fit(train)
+    held = training.regression_metrics(model.transform(test), "y", "prediction").select((F.col("R2") > 0.5).alias("explains_most"))
+    split = _splits(model, spark).where("treeID = 1").select(
+        F.element_at(F.array(*map(F.lit, EXACT)), F.col("feature") + 1).alias("feature"),
+        "threshold",
+        F.round("gain", 6).alias("gain_of_a_row"),
+        F.col("cover").cast("long").alias("rows"),
+        F.col("left_rows").cast("long").alias("left_rows"),
+        *(F.round(f"{s}_value", 6).alias(f"{s}_value") for s in ("left", "right")),
+    )
+    leaves = attribution.tree_table(model, spark).where("treeID = 1").agg(
+        F.sum((F.col("leftChild") < 0).cast("long")).alias("leaves")
+    )
+    many = test.agg(F.count(F.lit(1)).alias("held_out"))
+    return split.join(leaves).join(many).join(held)
+
+
+@query("boosted_trees_level", _boosted_sql("1e0", 1, "CAST(16 AS BIGINT) AS leaves"))
 def boosted_trees_level(spark, sf):
-    return _fit_quality(spark, sf, training.BOOSTED_LEVEL)
+    return _first_split(spark, sf, training.BOOSTED_LEVEL)
 
 
-@query("boosted_trees_leaf", _BETTER_SQL)
+@query("boosted_trees_leaf", _boosted_sql("0e0", 20, "CAST(31 AS BIGINT) AS leaves"))
 def boosted_trees_leaf(spark, sf):
-    return _fit_quality(spark, sf, training.BOOSTED_LEAF)
+    return _first_split(spark, sf, training.BOOSTED_LEAF)
+
+
+# Three rounds of one split each can be said in SQL to the last digit: every round's
+# sums are taken over the predictions after the rounds before.
+_STUMPS = {"n_estimators": 3, "max_depth": 1, "learning_rate": 0.5}
+
+
+def _stumps_sql(rounds: int) -> str:
+    out = ["""filled AS (SELECT row_id, x_quantity AS q, x_discount AS d, coalesce(x_tax, (SELECT quantile_cont(x_tax, 0.5) FROM model)) AS t, y FROM model),
+p0 AS MATERIALIZED (SELECT *, avg(y) OVER () AS p FROM filled)"""]
+    for k in range(1, rounds + 1):
+        out.append(f"s{k} AS MATERIALIZED ({_best_split_sql(f'p{k - 1}', '1e0', 1)})")
+        out.append(f"""p{k} AS MATERIALIZED (SELECT row_id, q, d, t, y,
+  p + CAST('0.5' AS DOUBLE) * CASE WHEN [q, d, t][CAST(f AS INTEGER) + 1] <= cut THEN gl / (nl + 1e0) ELSE (g - gl) / (n - nl + 1e0) END AS p FROM p{k - 1}, s{k})""")
+    out.append("s AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM s{k}" for k in range(1, rounds + 1)) + ")")
+    return ly.cte(ly.MODEL) + ", " + ",\n".join(out)
+
+
+def stumps(rows):
+    return training.build_models(EXACT, "y")[training.BOOSTED_LEVEL](_STUMPS).fit(rows)
+
+
+@query(
+    "boosted_stumps",
+    _stumps_sql(3) + f"""SELECT CAST(k AS INTEGER) AS round, {_NAMES} AS feature, cut AS threshold, round(gain / n, 6) AS gain_of_a_row, CAST(nl AS BIGINT) AS left_rows,
+  CAST(n - nl AS BIGINT) AS right_rows, round(gl / (nl + 1e0), 6) AS left_value, round((g - gl) / (n - nl + 1e0), 6) AS right_value FROM s""",
+)
+def boosted_stumps(spark, sf):
+    """Every split of three rounds over all lines."""
+    return _splits(stumps(training_rows(spark, sf)), spark).select(
+        F.col("treeID").alias("round"),
+        F.element_at(F.array(*map(F.lit, EXACT)), F.col("feature") + 1).alias("feature"),
+        "threshold",
+        F.round("gain", 6).alias("gain_of_a_row"),
+        *(F.col(f"{s}_rows").cast("long").alias(f"{s}_rows") for s in ("left", "right")),
+        *(F.round(f"{s}_value", 6).alias(f"{s}_value") for s in ("left", "right")),
+    )
+
+
+@query(
+    "boosted_importance",
+    _stumps_sql(3) + f"""SELECT v.feature, round(coalesce(sum(gain) FILTER ({_NAMES} = v.feature), 0) / sum(gain), 6) AS importance
+FROM s, (VALUES ('x_quantity'), ('x_discount'), ('x_tax')) AS v(feature) GROUP BY v.feature""",
+)
+def boosted_importance(spark, sf):
+    """Share of all gain by feature."""
+    found = training.feature_importance(stumps(training_rows(spark, sf)), EXACT, spark)
+    return found.select("feature", F.round("importance", 6).alias("importance"))
+
+
+@query(
+    "boosted_shap",
+    _stumps_sql(3) + f""", leaf AS (SELECT k, {_NAMES} AS feature, f, cut, CAST('0.5' AS DOUBLE) * gl / (nl + 1e0) AS a, CAST('0.5' AS DOUBLE) * (g - gl) / (n - nl + 1e0) AS b, nl, n FROM s),
+own AS (SELECT feature, f, cut, a, b, (nl * a + (n - nl) * b) / n AS e FROM leaf),
+base AS (SELECT (SELECT avg(y) FROM model) + sum(e) AS base FROM own)
+SELECT row_id, v.feature, [q, d, t][v.f + 1] AS value, round(base, 6) AS base_value,
+  round(coalesce((SELECT sum(CASE WHEN [q, d, t][v.f + 1] <= cut THEN a ELSE b END - e) FROM own WHERE own.f = v.f), 0), 6) AS shap
+FROM filled, base, (VALUES ('x_quantity', 0), ('x_discount', 1), ('x_tax', 2)) AS v(feature, f)""",
+)
+def boosted_shap(spark, sf):
+    """Attribution of every row and feature in closed form: a split's leaf against its mean leaf."""
+    rows = training_rows(spark, sf)
+    found = attribution.tree_shap(stumps(rows), rows, "row_id", EXACT)
+    # no negative zeros
+    return found.withColumns({c: F.round(c, 6) + 0.0 for c in ("shap", "base_value")})
 
 
 # --- comparison and search ---------------------------------------------------
