@@ -25,10 +25,15 @@ from arealis.llm.text import BASES, mix, slices, utf8
 
 #: Columns of the presence matrix by length of the n-gram.
 WIDTHS = {1: 1 << 9, 2: 1 << 12, 3: 1 << 13, 4: 1 << 13}
-#: Training texts and landmarks a language, at most and on average.
-SAMPLE, LANDMARKS = 400, 32
-#: Languages that the sample makes room for.
-LANGUAGES = 64
+#: Training texts a language, about, and of all languages; landmarks likewise. Each language has a text.
+SAMPLE, SAMPLES = 400, 12_800
+LANDMARKS, MARKS = 32, 1024
+#: Rows of presence that are unpacked at once.
+UNPACKED = 256
+#: A text is of no learned language if it has less than this share of both the usual score of
+#: its best language and the usual part of pairs of characters that the language's texts have.
+LITTLE = 0.5
+PAIRS = slice(WIDTHS[1], WIDTHS[1] + WIDTHS[2])
 RIDGE = 0.1
 UNKNOWN = "und"
 _BATCH = 96
@@ -89,16 +94,38 @@ def presence(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    """Landmark rows, and the coefficients of each language on the kernel against them."""
+    """Landmark rows, the coefficients of each language on the kernel against them, and what its texts are like.
+
+    ``pairs`` are the columns of pairs of characters that its training texts have; ``usual``
+    is the median score and the median part of such pairs of its texts.
+    """
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    pairs: np.ndarray
+    usual: np.ndarray
+
+    def known(self, x: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Whether each row has enough in common with its best language."""
+        best = scores.argmax(axis=1)
+        few = scores.max(axis=1) < LITTLE * self.usual[0, best]
+        out = np.ones(len(x), bool)
+        at = np.flatnonzero(few)
+        out[at] = covered(x[at], self.pairs[best[at]]) >= LITTLE * self.usual[1, best[at]]
+        return out
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.landmarks.T) @ self.weights
 
 
+def covered(x: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The part of each row's pairs of characters that are in the same row of ``pairs``; 1 without pairs."""
+    own = x[:, PAIRS] > 0
+    many = own.sum(axis=1)
+    return np.where(many > 0, (own & pairs).sum(axis=1) / np.maximum(many, 1), 1.0)
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that training never sees: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -130,45 +157,82 @@ def _unit(bits: list[bytes]) -> np.ndarray:
     return x
 
 
+def _measured(bits: list[bytes], marks: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kernel of packed rows against the landmarks, and how far ``pairs`` cover them; some rows at a time."""
+    kernel, part = np.empty((len(bits), len(marks))), np.empty(len(bits))
+    for i in range(0, len(bits), UNPACKED):
+        x = _unit(bits[i : i + UNPACKED])
+        kernel[i : i + UNPACKED], part[i : i + UNPACKED] = x @ marks.T, covered(x, pairs[i : i + UNPACKED])
+    return kernel, part
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
     """Train on (text, lang). Null texts, null labels and texts without letters teach nothing.
 
-    The sample is bounded: of each language's different texts about ``sample`` are taken,
-    those whose hash is smallest, and at most ``LANGUAGES * sample`` in all; copies count
-    once. Ties and the order of rows don't matter.
+    The sample is bounded: about ``sample`` different texts of each language, fewer where all
+    languages would have more than ``SAMPLES``, those whose hash is smallest; copies count
+    once. Every language has at least one, so all labels can be predicted. Landmarks are
+    ``landmarks`` a language and ``MARKS`` in all. A fifth of the texts only tells which scores
+    a language's texts usually have. Ties and the order of rows don't matter.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(
         F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"),
     ).where("lang is not null and text is not null")
-    text_batches(labelled.sparkSession)
-    rows = rows.withColumn("pick", F.xxhash64("text"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("pick").alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not top:
-        return Model([], np.zeros((0, sum(WIDTHS.values())), np.float32), np.zeros((0, 0), np.float32))
+    text_batches(spark)
+    rows = rows.withColumn("pick", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    # a label a row: what the model itself has to hold; texts without a letter can't be a label's only one
+    lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("pick"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("pick").alias("n"), F.min(lettered).alias("least")).where("least IS NOT NULL").collect()
+    if not counts:
+        none = np.zeros((0, sum(WIDTHS.values())), np.float32)
+        return Model([], none, np.zeros((0, 0), np.float32), none[:, PAIRS] > 0, np.zeros((2, 0)))
     # the share of all hash values that gives the wanted number of texts
-    share = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], min(1.0, sample / max(1, r["n"])))])
-    chosen = rows.where(F.shiftrightunsigned("pick", 1) < share[F.col("lang")] * float(2**63))
+    wanted = min(sample, SAMPLES / len(counts))
+    most = 2**63 - 1
+    upto = [(r["lang"], max(r["least"], min(most, int(wanted / max(1, r["n"]) * most)))) for r in counts]
+    chosen = rows.join(F.broadcast(spark.createDataFrame(upto, "lang string, upto long")), "lang").where("pick <= upto")
     chosen = chosen.groupBy("lang", "pick").agg(F.first("text").alias("text"))
-    packed = chosen.mapInArrow(_packed, "lang string, pick long, bits binary")
-    got = packed.orderBy("pick", "lang").limit(LANGUAGES * sample).collect()
+    got = sorted(chosen.mapInArrow(_packed, "lang string, pick long, bits binary").collect(), key=lambda r: (r["pick"], r["lang"]))
     languages = sorted({r["lang"] for r in got})
-    if not languages:
-        return Model([], np.zeros((0, sum(WIDTHS.values())), np.float32), np.zeros((0, 0), np.float32))
-    label = np.array([languages.index(r["lang"]) for r in got])
-    x = _unit([bytes(r["bits"]) for r in got])
-    marks = np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(languages))])
-    z = x[marks]
+    number = {x: k for k, x in enumerate(languages)}
+    label = np.array([number[r["lang"]] for r in got])
+    bits = [bytes(r["bits"]) for r in got]
+    # the n-th text of each language, for all n
+    order = np.argsort(label, kind="stable")
+    nth = np.empty(len(label), np.int64)
+    nth[order] = np.arange(len(label)) - np.searchsorted(label[order], label[order])
+    first = np.lexsort((np.arange(len(label)), nth))
+    marks = np.sort(first[: min(MARKS, int((nth < landmarks).sum()))])
+    z = _unit([bits[i] for i in marks])
     value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
     root = vector / np.sqrt(np.maximum(value, 1e-6 * value.max()))
-    phi = (x @ z.T).astype(np.float64) @ root
-    y = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    # a fifth is kept from training, none of a language of few texts
+    aside = (nth % 5 == 4) & ~np.isin(np.arange(len(label)), marks)
+    pairs = np.zeros((len(languages), WIDTHS[2]), bool)
+    for k in range(len(languages)):
+        texts = [bits[i] for i in np.flatnonzero((label == k) & ~aside)]
+        either = np.bitwise_or.reduce(np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1), axis=0)
+        pairs[k] = np.unpackbits(either)[PAIRS]
+    kernel, part = _measured(bits, z, pairs[label])
+    phi = kernel @ root
+    own, at = phi[~aside], label[~aside]
     # each language weighs the same, however many texts it has
-    weight = 1.0 / np.bincount(label)[label]
-    gram = phi.T @ (phi * weight[:, None])
-    alpha = np.linalg.solve(gram + RIDGE / len(got) * np.eye(len(marks)), phi.T @ (y * weight[:, None]))
-    return Model(languages, z, (root @ alpha).astype(np.float32))
+    weight = 1.0 / np.bincount(at, minlength=len(languages))[at]
+    total = np.zeros((phi.shape[1], len(languages)))
+    np.add.at(total.T, at, own * weight[:, None])
+    gram = own.T @ (own * weight[:, None])
+    right = 2 * total - (own * weight[:, None]).sum(0)[:, None]
+    alpha = np.linalg.solve(gram + RIDGE / len(own) * np.eye(len(marks)), right)
+    seen = aside if aside.any() else np.ones(len(label), bool)
+    scores = np.einsum("ij,ji->i", phi[seen], alpha[:, label[seen]])
+    usual = np.empty((2, len(languages)))
+    for k in range(len(languages)):
+        own = label[seen] == k
+        own = own if own.any() else np.ones(len(own), bool)
+        usual[:, k] = np.median(scores[own]), np.median(part[seen][own])
+    return Model(languages, z, (root @ alpha).astype(np.float32), pairs, usual)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
@@ -176,9 +240,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
     ``score`` is the softmax share of the best language, between 0 and 1. Null texts and
     texts without a letter get ``und`` and 0, as does every text if nothing was learned.
+    ``known`` is false for them, and for texts that have little in common with any learned
+    language: both their score and the part of their character pairs that the best language's training
+    texts have are below half of what is usual there.
     """
     text_batches(docs.sparkSession)
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("known")).schema
     # the text goes to Python once, whether it is kept or not
     held = text in keep and docs.schema[text].dataType == StringType()
     source = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if held else [F.col(f"`{text}`").cast("string").alias("__text")]))
@@ -191,6 +258,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             data, borders = utf8(batch.column(text if held else "__text"))
             best = np.full(batch.num_rows, len(m.languages))
             score = np.zeros(batch.num_rows)
+            known = np.zeros(batch.num_rows, bool)
             for i0, j0 in slices(borders):
                 for i in range(i0, j0 if m.languages else i0, _BATCH):
                     j = min(j0, i + _BATCH)
@@ -198,17 +266,18 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                     s = m.scores(x).astype(np.float64)
                     e = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
                     best[i:j] = np.where(n > 0, s.argmax(axis=1), len(m.languages))
+                    known[i:j] = (n > 0) & m.known(x, s)
                     score[i:j] = np.where(n > 0, (e / e.sum(axis=1, keepdims=True)).max(axis=1), 0.0)
             columns = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(list(names[best]), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"]
+                [*columns, pa.array(list(names[best]), pa.string()), pa.array(score), pa.array(known)], [*keep, "lang_pred", "score", "known"]
             )
 
     return source.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document; the held-out ones don't train.
+    """doc_id, held_out, lang_pred, score and known of every document; the held-out ones don't train.
 
     A null id is not held out. Repeated rows are each predicted. An empty table gives an
     empty result. Other columns are ignored.
@@ -219,11 +288,10 @@ def identify(docs: DataFrame) -> DataFrame:
     return out
 
 
-def filtered(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """The documents, all columns, whose language is known with at least ``min_score``."""
+def filtered(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, whose language is one of those learned (see ``predict``)."""
     names = docs.columns
     model = fit(docs.select("text", "lang"))
     hidden = docs.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(names)})
     out = predict(hidden, model, hidden.columns, f"__c{names.index('text')}")
-    kept_rows = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept_rows.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
+    return out.where("known").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -45,6 +46,29 @@ def test_texts_without_an_answer(spark):
     assert kept.count() == len(rows) - 3
 
 
+def test_more_labels_than_there_is_room_for_many_texts_of_each(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßñ") for _ in range(rng.randint(2, 6))) for _ in range(12)] for k in range(70)}
+    rows = [(f"l{k:02}", " ".join(rng.choice(w) for _ in range(30))) for k, w in words.items() for _ in range(2 if k == 69 else 8)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    monkeypatch.setattr(language, "SAMPLES", 350)
+    monkeypatch.setattr(language, "MARKS", 100)
+    model = language.fit(df)
+    assert len(model.languages) == 70 and len(model.landmarks) == 100
+    new = [(f"l{k:02}", " ".join(rng.choice(w) for _ in range(40))) for k, w in words.items()]
+    out = language.predict(spark.createDataFrame(new, "lang string, text string"), model, ["lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 68
+
+
+def test_another_script_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IN ('en', 'de')").select("doc_id", "text", "lang")
+    other = ["съешь же ещё этих мягких французских булок", "漢字かな交じり文を書く", "γειά σου κόσμε αυτό είναι ένα κείμενο"]
+    more = spark.createDataFrame([(-1 - i, " ".join(x.split()[k:] + x.split()), None) for i, x in enumerate(other) for k in range(5)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language.filtered(docs.unionByName(more)).select("doc_id").collect()}
+    with_letters = {r["doc_id"] for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert kept == with_letters
+
+
 def test_presence_is_the_set_of_grams():
     texts = ["Abba b", "", "é É", "a-b"]
     x, n = language.presence(*utf8(pa.array(texts)))
