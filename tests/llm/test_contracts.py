@@ -224,6 +224,40 @@ def test_personal_data_adds_what_a_failed_match_swallowed(spark):
     assert out == {-1: "card:18:34,phone:0:17", -2: ""}
 
 
+def test_runs_of_overlapping_spans(spark):
+    rows = [(s, s + n, (r, 0), 1) for s, n, r in ((0, 5, 0.9), (4, 6, 0.95), (9, 3, 0.97), (12, 2, 0.5), (13, 4, 0.4), (20, 1, 0.1))]
+    kind = "array<struct<s:int,e:int,rank:struct<p:double,n:int>,kind:int>>"
+    df = spark.createDataFrame([(rows,), ([],), (rows[3:],)], f"x {kind}")
+    found = [[(r["s"], r["e"]) for r in row[0]] for row in df.select(pii._best_of_runs(F.col("x"))).collect()]
+    assert found == [[(9, 12), (12, 14), (20, 21)], [], [(12, 14), (20, 21)]]
+    base = spark.createDataFrame([([(0, 3, 9), (1, 20, 25), (2, 21, 40)], [(1, s, e, [1.0]) for s, e in ((0, 3), (2, 4), (9, 10), (8, 9), (26, 30), (39, 41), (40, 41))])], "b array<struct<kind:int,s:int,e:int>>, c array<struct<kind:int,s:int,e:int,f:array<double>>>")
+    assert [(r["s"], r["e"]) for r in base.select(pii._apart(F.col("b"), F.col("c")).alias("x")).first()[0]] == [(0, 3), (9, 10), (40, 41)]
+
+
+def test_many_matches_in_one_text(spark, same):
+    text = lambda n: " ".join(f"x{i}@a{i}.de +49 30 {i:07d} é" if i % 2 else f"10.1.{i % 300}.{i % 256}," for i in range(n))
+    long, text = text(100_000), text(4000)
+    rows = [(i, f"mail n{i}@m.de or 10.0.0.{i} and 1.2.3.444 or 300.1.1.{i}") for i in range(40)]
+    table = spark.createDataFrame([*rows, (-1, text)], "doc_id long, text string")
+    own = spark.createDataFrame([(-1, long)], "doc_id long, text string")
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model is not None
+    start = time.perf_counter()
+    found = pii.find(own, model).select(F.size("__base"), pii._shown(F.col("__base"))).collect()[0]
+    took = time.perf_counter() - start
+    wanted = brute.personal([(-1, long)])[0]
+    assert found[0] == sum(wanted[1:5]) > 100_000 and found[1] == wanted[6]
+    assert took < 20
+    wanted = brute.personal([(-1, text)])[0]
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(table).collect()}
+    parts, at = [], 0
+    for s, e, k in sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in wanted[6].split(","))):
+        if s >= at:
+            parts += [text[at:s], f"[{k.upper()}]"]
+        at = max(at, e)
+    assert out[-1] == "".join([*parts, text[at:]])
+
+
 def test_redaction(spark):
     rows = [(i, f"write to n{i}@mail.example.com or 10.0.0.{i} now 1 2 3", 5, i) for i in range(30)] + [(99, None, 5, 1), (98, "clean", 5, 1)]
     out = {r["doc_id"]: r for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, s int")).collect()}

@@ -42,4 +42,4 @@ def test_queries_have_operators():
     import __spark_entry__ as entry
 
     names = {x.split("_")[0] for x in entry.queries() if x.startswith("op") and x[2].isdigit()}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
