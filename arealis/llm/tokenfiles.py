@@ -40,7 +40,7 @@ BLOCK = 4096
 #: Ids a file, about, and ids unpacked at once.
 FILE, RUN = 1 << 26, 1 << 20
 #: Bytes of texts whose words are looked up together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 23
 _U = np.uint64
 
 
@@ -238,6 +238,18 @@ class Lookup:
                 self.known.update((w, data[i:j]) for w, i, j in zip(names[a:b], at, at[1:], strict=False))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of more text, so that a frequent word is looked up seldom."""
+    held, size = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            size += batch.nbytes
+        if held and (batch is None or size >= TOGETHER):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+
+
 def encoded(texts: pa.Array, lookup: Lookup) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of texts: first row, row past the last, ids of all, and the number of ids of each.
 
@@ -250,8 +262,10 @@ def encoded(texts: pa.Array, lookup: Lookup) -> Iterator[tuple[int, int, np.ndar
     for i, j in slices(borders, TOGETHER):
         part, edges = data[borders[i] : borders[j]], borders[i : j + 1] - borders[i]
         starts, ends, _ = words(part, edges, NOT_SPACE)
-        cuts = np.flatnonzero(MARK[part[1:]] & BEFORE[part[:-1]]) + 1
-        cuts = cuts[~np.isin(cuts, edges)]
+        cut = np.zeros(len(part) + 1, bool)
+        cut[1:-1] = MARK[part[1:]] & BEFORE[part[:-1]]
+        cut[edges] = False
+        cuts = np.flatnonzero(cut)
         starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
         offsets = np.append(0, np.cumsum(ends - starts))
         flat = pa.LargeBinaryArray.from_buffers(
@@ -286,7 +300,7 @@ def tokenized(docs: DataFrame, path: str, end: int | None = 2) -> tuple[DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(sent.value)
-        for batch in batches:
+        for batch in _joined(batches):
             for i, j, ids, n in encoded(batch.column("text"), lookup):
                 if end is not None:
                     ids = np.insert(ids, np.cumsum(n), end)

@@ -247,7 +247,7 @@ def test_many_matches_in_one_text(spark, same):
     took = time.perf_counter() - start
     wanted = brute.personal([(-1, long)])[0]
     assert found[0] == sum(wanted[1:5]) > 100_000 and found[1] == wanted[6]
-    assert took < 20
+    assert took < 60  # a thousand and more if every match met every other
     wanted = brute.personal([(-1, text)])[0]
     out = {r["doc_id"]: r["text"] for r in pii.redacted(table).collect()}
     parts, at = [], 0
