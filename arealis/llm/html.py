@@ -51,10 +51,15 @@ ENDS_P = BLOCK - frozenset("body html option optgroup tr tbody thead tfoot capti
 #: An end tag inside these doesn't close anything outside them.
 SCOPE = frozenset(["table", "td", "th", "caption", "button", "object", "template", "html"])
 #: Parts of a table that hold no text themselves, and what they do hold.
+TABLE = frozenset(["table"])
 TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
 IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
-#: Deeper elements count as children of the element at this depth.
+#: What deeper elements show counts as shown by the element at this depth.
 MAX_DEPTH = 400
+#: Cells up to this long set the width of their column; what follows a longer one starts a line of its own.
+WIDE = 120
+#: Kinds of inputs that don't show their value.
+VALUELESS = frozenset("checkbox radio file image color range hidden password".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -68,10 +73,10 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|c
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "deep")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], None
+        self.tag, self.attrs, self.children, self.parent, self.deep = tag, attrs, [], None, False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -86,21 +91,31 @@ def parse(page: str) -> Node:
     """The element tree; text is kept as strings among the children."""
     root = Node("html", {})
     stack, at, n = [root], 0, len(page)
+    where: dict[str, list[int]] = {}  # places in the stack, so that no rule has to search it
+
+    def push(node: Node) -> None:
+        where.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            node = stack.pop()
+            where[node.tag].pop()
+            if node.deep and node.tag in BLOCK:
+                node.children.append(Node("div", {}))
+
+    def last(tags: frozenset[str]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     def close(tags: frozenset[str], border: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in border:
-                return
-            if stack[i].tag in tags:
-                del stack[i:]
-                close(tags, border)
-                return
+        while (i := last(tags)) and i > last(border):
+            cut(i)
 
     def place(what: Node | str) -> None:
         """Into the open element; what has no place in a table goes before it, as in browsers."""
         into, before = stack[-1], None
-        if into.tag in TABLE_PARTS and not (isinstance(what, Node) and what.tag in IN_TABLE):
-            before = next((x for x in reversed(stack) if x.tag == "table"), None)
+        if into.tag in TABLE_PARTS and not into.deep and not (isinstance(what, Node) and what.tag in IN_TABLE):
+            before = stack[i] if (i := last(TABLE)) else None
             into = before.parent if before else into
         if isinstance(what, Node):
             what.parent = into
@@ -120,9 +135,21 @@ def parse(page: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             start("tr", {})
         node = Node(tag, attrs)
+        if len(stack) < MAX_DEPTH:
+            place(node)
+            if tag not in VOID:
+                push(node)
+            return
+        if tag in ("td", "th"):
+            place(" ")
         place(node)
-        if tag not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        if tag not in VOID:
+            # open for the rules above; what it holds is its parent's, or nobody's if it is hidden
+            inner = Node(tag, attrs)
+            inner.deep = True
+            if shown(node):
+                inner.children = stack[-1].children
+            push(inner)
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -145,24 +172,21 @@ def parse(page: str) -> Node:
                 end = shut.start() if shut else n
                 if tag in ("textarea", "xmp"):
                     put(entities.unescape(page[at:end]) if tag == "textarea" else page[at:end])
-                if stack[-1].tag == tag:
-                    stack.pop()
+                if len(stack) > 1 and stack[-1].tag == tag:
+                    cut(len(stack) - 1)
                 at = n if shut is None else (page.find(">", end) + 1 or n)
         elif end_tag := m["end"]:
             end_tag = end_tag.lower()
             if end_tag == "br":
                 start("br", {})
-            elif end_tag == "p" and not any(x.tag == "p" for x in stack):
+            elif end_tag == "p" and not where.get("p"):
                 start("p", {})
-                stack.pop()
+                cut(len(stack) - 1)
             else:
-                border = SCOPE - frozenset([end_tag]) if end_tag not in ("tr", "tbody", "thead", "tfoot", "table") else frozenset(["table"]) - frozenset([end_tag])
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == end_tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in border:
-                        break
+                border = SCOPE if end_tag not in ("tr", "tbody", "thead", "tfoot", "table") else TABLE
+                close_one = where.get(end_tag)
+                if close_one and close_one[-1] > last(border - {end_tag}):
+                    cut(close_one[-1])
         elif m["cdata"]:
             put(m["cdata"])
     return root
@@ -244,8 +268,11 @@ def _walk(node: Node, page: _Page, depth: int = 0, number: list[int] | None = No
             if alt := child.attrs.get("alt", "").strip():
                 page.text(alt)
         elif tag == "input":
-            if child.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search"):
+            kind = child.attrs.get("type", "text").lower()
+            if kind not in VALUELESS:
                 page.text(child.attrs.get("value", ""))
+            elif kind == "image":
+                page.text(child.attrs.get("alt", ""))
         elif tag == "table":
             page.space_out()
             for line in _table(child):
@@ -317,30 +344,40 @@ def _span(cell: Node) -> int:
 
 
 def _table(table: Node) -> list[str]:
-    """Rows with cells padded to the width of their column; nested tables stay in one cell."""
+    """Rows with every cell at the place of its column; nested tables stay in one cell.
+
+    A column is as wide as its longest cell of at most ``WIDE``. After a longer cell the rest of
+    its row goes on in the next line, each cell still at its place, so a long cell
+    costs no padding in other rows.
+    """
     head: list[str] = []
-    grid: list[list[list[str]]] = []
+    grid: list[list[str]] = []
     for row in _rows(table):
         if row.tag == "caption":
             head.append(" ".join(render(row).split()))
             continue
-        cells: list[list[str]] = []
+        cells: list[str] = []
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th") and shown(cell):
-                cells.append([" ".join(line.split()) for line in render(cell).split("\n") if line.strip()])
-                cells.extend([[]] * (_span(cell) - 1))
+                cells.append(" ".join(render(cell).split()))
+                cells.extend([""] * (_span(cell) - 1))
         if any(cells):
             grid.append(cells)
-    # a cell of many lines is a block of its own, so only short ones set a column's width
     widths: dict[int, int] = {}
     for cells in grid:
         for i, cell in enumerate(cells):
-            if len(cell) <= 1:
-                widths[i] = max(widths.get(i, 0), min(40, len(cell[0]) if cell else 0))
+            widths[i] = max(widths.get(i, 0), len(cell) if len(cell) <= WIDE else 0)
     out = [h for h in head if h]
     for cells in grid:
-        line = "  ".join(" ".join(c).ljust(widths.get(i, 0)) for i, c in enumerate(cells))
-        out.append(line.rstrip())
+        line, place = "", 0
+        for i, cell in enumerate(cells):
+            if cell:
+                if line and len(line) > place - 2:
+                    out.append(line)
+                    line = ""
+                line = line.ljust(place) + cell
+            place += widths[i] + 2
+        out.append(line)
     return out
 
 
