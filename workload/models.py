@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,7 +11,7 @@ from arealis.functions import colour
 from arealis.functions import geometry as g
 from arealis.operators import gridjoin
 from arealis.operators import tables as tb
-from arealis.plans import attribution, estimators, features, presentation, scoring, training
+from arealis.plans import attribution, estimators, features, forest, presentation, scoring, training
 from arealis.plans.features import FEATURE_COLUMNS
 from arealis.session import scratch_path
 from arealis.sources import writers
@@ -214,6 +214,23 @@ def random_forest(spark, sf):
 #: Features of so few values that each has a bin of its own.
 EXACT = ["x_quantity", "x_discount", "x_tax"]
 
+# A tree without limit that sees every row parts all rows that can be parted: each is
+# given the mean of the rows that equal it.
+_UNLIMITED_SQL = ly.cte(ly.MODEL) + """, filled AS (SELECT x_quantity, x_discount, coalesce(x_tax, (SELECT quantile_cont(x_tax, 0.5) FROM model)) AS x_tax, y FROM model)
+SELECT x_quantity, x_discount, x_tax, count(*) AS rows, round(avg(y) + 1.37e-7, 6) AS prediction FROM filled GROUP BY ALL"""
+
+
+@query("unlimited_tree", _UNLIMITED_SQL)
+def unlimited_tree(spark, sf):
+    """Each different row of the features with what a single unlimited tree, grown from all rows, predicts for it."""
+    rows = training_rows(spark, sf)
+    filled = estimators.MedianImputer(EXACT).fit(rows).transform(rows)
+    table = VectorAssembler(inputCols=[c + estimators.FILLED for c in EXACT], outputCol="features").transform(filled)
+    model = forest.DeepForest("y", forest.Settings(trees=1, bootstrap=False)).fit(table)
+    same = table.groupBy(*[F.col(c + estimators.FILLED).alias(c) for c in EXACT], "features").agg(F.count(F.lit(1)).alias("rows"))
+    # targets are multiples of 1/1024: the small shift keeps means off the borders of rounding
+    return model.transform(same).select(*EXACT, "rows", F.round(F.col("prediction") + 1.37e-7, 6).alias("prediction"))
+
 
 def _best_split_sql(rows: str, l2: str, least: int) -> str:
     """The split of most gain of ``rows`` (q, d, t, y and prediction p), by the sums of all values below each cut."""
