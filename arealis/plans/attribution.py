@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arealis.operators.quantiles import average_rank
+from arealis.plans import treeshap
 from arealis.plans.estimators import FILLED
-from arealis.session import scratch_path
-
-# Working memory of one batch in a task, in rows x leaves x features cells.
-_CELLS = 4_000_000
-
-
-@dataclass(frozen=True)
-class LeafPaths:
-    """Leaves that use the same number of distinct features on their path.
-
-    Each leaf has, per feature on its path, the interval a row must fall in and the
-    share of training rows that stay on the path when the feature is unknown.
-    """
-
-    feature: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    share: np.ndarray
-    value: np.ndarray
+from arealis.session import kept, scratch_path
 
 
 def tree_table(model: PipelineModel, spark: SparkSession) -> DataFrame:
@@ -54,132 +34,36 @@ def tree_table(model: PipelineModel, spark: SparkSession) -> DataFrame:
     )
 
 
-def tree_nodes(model: PipelineModel, spark: SparkSession) -> pd.DataFrame:
-    """The node table on the driver. Its size is that of the model, which the driver already holds."""
-    return tree_table(model, spark).toPandas()
-
-
-def leaf_paths(nodes: pd.DataFrame, weights: Sequence[float]) -> tuple[float, list[LeafPaths]]:
-    """Expected prediction and the leaves of a weighted sum of trees."""
-    base = 0.0
-    by_size: dict[int, list[tuple]] = {}
-    for tree_id, tree in nodes.groupby("treeID"):
-        rows = tree.set_index("id")
-        left, right = rows["leftChild"].to_dict(), rows["rightChild"].to_dict()
-        feature, threshold = rows["feature"].to_dict(), rows["threshold"].to_dict()
-        cover, value = rows["cover"].to_dict(), rows["prediction"].to_dict()
-        weight = weights[int(tree_id)]
-        # (node, {feature: (low, high, share)})
-        todo: list[tuple[int, dict[int, tuple[float, float, float]]]] = [(0, {})]
-        while todo:
-            node, path = todo.pop()
-            if left[node] < 0:
-                leaf = value[node] * weight
-                base += leaf * cover[node] / cover[0]
-                if path:
-                    by_size.setdefault(len(path), []).append((path, leaf))
-                continue
-            f, t = int(feature[node]), threshold[node]
-            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-            for child, bounds in (
-                (left[node], (low, min(high, t))),
-                (right[node], (max(low, t), high)),
-            ):
-                todo.append((child, {**path, f: (*bounds, share * cover[child] / cover[node])}))
-    groups = []
-    for size in sorted(by_size):
-        found = by_size[size]
-        keys = [sorted(p) for p, _ in found]
-        cell = np.array([[p[f] for f in k] for k, (p, _) in zip(keys, found, strict=True)])
-        groups.append(
-            LeafPaths(
-                np.array(keys),
-                cell[:, :, 0],
-                cell[:, :, 1],
-                cell[:, :, 2],
-                np.array([leaf for _, leaf in found]),
-            )
-        )
-    return base, groups
-
-
-def shap_values(x: np.ndarray, groups: Sequence[LeafPaths]) -> np.ndarray:
-    """Path-dependent Shapley values of every row (Lundberg et al. 2018).
-
-    A leaf credits feature i with value * (o_i - z_i) times the Shapley-weighted sum
-    over subsets of the others, where o says whether the row fits the feature's
-    interval and z is the share that stays anyway. The weights are a beta integral, so
-    that sum is the integral over t in [0, 1] of prod_{j != i} (z_j (1 - t) + o_j t):
-    a polynomial, for which Gauss-Legendre nodes are exact.
-    """
-    out = np.zeros_like(x)
-    for group in groups:
-        leaves, size = group.feature.shape
-        at, weight = np.polynomial.legendre.leggauss((size + 1) // 2)
-        at, weight = (at + 1) / 2, weight / 2
-        step = max(1, _CELLS // max(1, leaves * size))
-        for start in range(0, len(x), step):
-            rows = x[start : start + step]
-            picked = rows[:, group.feature]
-            fits = ((picked > group.low) & (picked <= group.high)).astype(float)
-            rest = np.zeros_like(fits)
-            for t, w in zip(at, weight, strict=True):
-                factor = group.share * (1 - t) + fits * t
-                rest += w * factor.prod(axis=2, keepdims=True) / factor
-            credit = (fits - group.share) * rest * group.value[:, None]
-            flat = credit.reshape(len(rows), -1)
-            order = group.feature.ravel()
-            for f in np.unique(order):
-                out[start : start + step, f] += flat[:, order == f].sum(axis=1)
-    return out
-
-
 def tree_shap(
     model: PipelineModel,
     df: DataFrame,
     key: str,
     features: Sequence[str],
     tasks: int | None = None,
+    block: int = treeshap.BLOCK,
+    leaves: int = treeshap.LEAVES,
 ) -> DataFrame:
     """``key, feature, value, shap, base_value``, one row per row and feature.
 
-    Rows are imputed by the model's own first stage. The leaf table is broadcast and
-    rows are independent, so this is a single pass without a shuffle. ``tasks``
-    spreads rows that come from fewer files than there are cores.
+    Rows are imputed by the model's own first stage. The trees are sent in blocks of about ``block``
+    bytes, each a single pass over the rows without a shuffle. ``tasks`` spreads rows that come
+    from fewer files than there are cores. Of a tree more than ``leaves`` are worked on in
+    pieces; a tree itself is packed by one task, at some 50 bytes a node.
     """
-    spark = df.sparkSession
     last = model.stages[-1]
-    nodes = tree_nodes(model, spark)
-    trees = int(nodes["treeID"].nunique())
-    boosted = type(last).__name__.startswith("GBT")
-    weights = list(last.treeWeights) if boosted else [1.0 / trees] * trees
-    base, groups = leaf_paths(nodes, weights)
-    shared = spark.sparkContext.broadcast(groups)
+    trees = last.getNumTrees
+    weights = list(last.treeWeights) if type(last).__name__.startswith("GBT") else [1.0 / trees] * trees
     names = list(features)
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float)
-            found = shap_values(x, shared.value)
-            yield pd.DataFrame(
-                {
-                    key: np.repeat(pdf[key].to_numpy(), len(names)),
-                    "feature": np.tile(names, len(pdf)),
-                    "value": x.ravel(),
-                    "shap": found.ravel(),
-                    "base_value": base,
-                }
-            )
-
+    packed = kept(treeshap.pieces(tree_table(model, df.sparkSession), weights, len(names), leaves), "pieces")
+    base = packed.agg(F.sum("base")).first()[0]
     filled = model.stages[0].transform(df).select(
-        key, *(F.col(c + FILLED).alias(c) for c in names)
+        F.col(key).alias("key"), F.array(*(F.col(c + FILLED).cast("double") for c in names)).alias("x")
     )
     if tasks:
-        filled = filled.repartition(tasks, key)
-    kind = df.schema[key].dataType.simpleString()
-    return filled.mapInPandas(
-        explain, f"{key} {kind}, feature string, value double, shap double, base_value double"
-    )
+        filled = filled.repartition(tasks, "key")
+    found = treeshap.explained(filled, packed, block)
+    each = F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), F.col("x").alias("value"), "shap")
+    return found.select(F.col("key").alias(key), F.inline(each), F.lit(base).alias("base_value"))
 
 
 def shap_check(shap: DataFrame, predicted: DataFrame, key: str, prediction: str) -> DataFrame:

@@ -153,7 +153,7 @@ def test_shap_equals_brute_force_and_rebuilds(spark, table, name):
     check = attribution.shap_check(shap, predicted, "k", "prediction").first()
     assert check.rows_checked == 80
     assert check.largest_gap < 1e-9
-    nodes = attribution.tree_nodes(model, spark)
+    nodes = attribution.tree_table(model, spark).toPandas()
     last = model.stages[-1]
     weights = list(last.treeWeights) if name != training.FOREST else [1 / 4] * 4
     for key in ("r0", "r3", "r41"):
