@@ -56,6 +56,34 @@ def area_weighted_mean(
     return pieces.groupBy(key).agg(*aggs, F.count(F.lit(1)).alias("mesh_block_count"))
 
 
+def area_weighted_means(
+    layers: Mapping[str, tuple[DataFrame, Sequence[str]]],
+    areas: gridjoin.Areas,
+    key: str,
+    id_cols: Sequence[str],
+    null_policy: str = "zero",
+    settings: gridjoin.JoinSettings = gridjoin.DEFAULT,
+) -> DataFrame:
+    """``area_weighted_mean`` of several layers by one overlay and one group-by.
+
+    ``layers`` is name -> (source, columns). Columns are ``<name>_<column>``,
+    ``<name>_<column>_max`` and ``<name>_pieces``, all null where an area has no piece of the layer.
+    """
+    slim = {name: source.select(*id_cols, *cols, "geom") for name, (source, cols) in layers.items()}
+    pieces = gridjoin.overlay_layers(slim, areas, key, id_cols, settings=settings)
+    aggs = []
+    for name, (_, cols) in layers.items():
+        here = F.col("layer_name") == name
+        weight = F.when(here, F.col("piece_area"))
+        for c in (f"{name}_{c}" for c in cols):
+            value = v.null_nan(F.col(c).cast("double"))
+            aggs.append(weighted_mean(value, weight, null_policy).alias(c))
+            aggs.append(F.max(value).alias(f"{c}_max"))
+        many = F.count(F.when(here, 1))
+        aggs.append(F.when(many > 0, many).alias(f"{name}_pieces"))
+    return pieces.groupBy(key).agg(*aggs)
+
+
 def rollup_weighted(
     pred: DataFrame, weights: DataFrame, key: str, parent: str, value: str, weight: str = "area"
 ) -> DataFrame:

@@ -17,7 +17,9 @@ on both sides before they meet, so no row and no pair holds more than a strip's
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -393,6 +395,46 @@ def overlay_area(
     return _per_pair(terms, key, id_cols, out).where(F.col(out) > g.MIN_PIECE_AREA)
 
 
+def overlay_layers(
+    layers: Mapping[str, DataFrame],
+    areas: Areas,
+    key: str,
+    id_cols: Sequence[str],
+    geom: str = "geom",
+    out: str = "piece_area",
+    settings: JoinSettings = DEFAULT,
+) -> DataFrame:
+    """``overlay_area`` of several layers at once: their columns, ``layer_name``, ``layer_ids``, key and area.
+
+    Every different shape is overlaid once, however many layers and rows have it; layers drawn on one
+    mesh share all of the work. Shapes are told apart by two 64-bit hashes and their box. A
+    column of a layer comes back as ``<layer>_<column>``, null in rows of the others.
+    ``id_cols`` identify a row within its layer.
+    """
+    box = ["xmin", "ymin", "xmax", "ymax"]
+    shape = ["_h0", "_h1", *(f"_{c}" for c in box)]
+    rows = []
+    for name, source in layers.items():
+        own = source.where(g.is_kind(geom, g.POLYGON_KINDS))
+        rows.append(
+            own.select(
+                F.lit(name).alias("layer_name"),
+                F.array(*(F.col(c).cast("string") for c in id_cols)).alias("layer_ids"),
+                *(F.xxhash64(F.lit(i), geom).alias(f"_h{i}") for i in range(2)),
+                *(F.col(f"{geom}.{c}").alias(f"_{c}") for c in box),
+                *(F.col(c).alias(f"{name}_{c}") for c in _source_names(source) if c not in (geom, key, *id_cols)),
+                F.col(geom).alias("_geom"),
+            )
+        )
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    shapes = every.groupBy(*shape).agg(F.first("_geom").alias("geom"))
+    terms = area_terms(shapes.select(F.struct(*shape).alias("shape_key"), "geom"), areas, key, out="_t", settings=settings)
+    pieces = terms.groupBy("shape_key", key).agg(F.sum("_t").alias("_t")).select("shape_key.*", key, "_t")
+    # a row is known by its ids, so parts under the same ids are one
+    met = every.drop("_geom").join(pieces, shape).drop(*shape)
+    return _per_pair(met, key, ["layer_name", "layer_ids"], out).where(F.col(out) > g.MIN_PIECE_AREA)
+
+
 def _per_pair(terms: DataFrame, key: str, id_cols: list[str], out: str) -> DataFrame:
     """Terms summed per source row and area.
 

@@ -280,6 +280,35 @@ def demographic_features(
     )
 
 
+def polygon_features(
+    vegetation: DataFrame,
+    heat: DataFrame,
+    people: DataFrame,
+    areas: DataFrame,
+    key: str,
+    id_cols: Sequence[str],
+    ready: Ready = None,
+) -> DataFrame:
+    """What the vegetation, heat and people features say, from one overlay of all three layers."""
+    wanted = {
+        "vegetation": (vegetation, ["PERANYVEG", "PERANYTREE"]),
+        "heat": (heat, ["UHI18_M"]),
+        "people": (people, ["POPU_DENS", "PER_CARE"]),
+    }
+    means = aggregates.area_weighted_means(wanted, ready or areas, key, id_cols)
+    full = tables.complete_on(areas, means, key)
+    return full.select(
+        key,
+        F.col("vegetation_PERANYVEG").alias("vegetation_cover_pct_state"),
+        F.col("vegetation_PERANYTREE").alias("tree_cover_pct_state"),
+        F.col("heat_UHI18_M").alias("mean_uhi_2018"),
+        F.col("heat_UHI18_M_max").alias("max_uhi_2018"),
+        F.col("heat_pieces").alias("heat_mesh_block_count"),
+        F.col("people_POPU_DENS").alias("population_density"),
+        F.col("people_PER_CARE").alias("pct_population_needing_care"),
+    )
+
+
 @dataclass(frozen=True)
 class Layers:
     """The cleaned layers a matrix is built from, all in metres.
@@ -312,7 +341,6 @@ def feature_matrix(layers: Layers, areas: DataFrame, key: str, name: str) -> Dat
     parts = [
         tree_features(layers.trees, hull, areas, key, ready),
         canopy_features(layers.canopy, hull, areas, key, ready),
-        state_vegetation_features(layers.vegetation, areas, key, ids, ready),
         urban_features(
             layers.buildings,
             layers.roads,
@@ -322,8 +350,7 @@ def feature_matrix(layers: Layers, areas: DataFrame, key: str, name: str) -> Dat
             key,
             ready,
         ),
-        heat_target(layers.heat, areas, key, ids, ready),
-        demographic_features(layers.people, areas, key, ids, ready),
+        polygon_features(layers.vegetation, layers.heat, layers.people, areas, key, ids, ready),
     ]
     base = areas.select(key, name, (g.area("geom") / SQ_KM).alias("area_sqkm"))
     return reduce(lambda a, b: tables.attach(a, b, key), parts, base)

@@ -309,6 +309,34 @@ def test_null_values_act_as_zero_by_default(spark):
     assert (empty.v, empty.v_max) == (0.0, None)
 
 
+def test_layers_overlaid_together_equal_each_alone(spark):
+    areas = layer(spark, [("a", box(0, 0, 10, 10)), ("b", box(10, 0, 20, 10)), ("far", box(90, 0, 99, 9))], "area string")
+    mesh = [(f"m{i}", float(i) if i % 3 else None, box(4 * i - 3, -2, 4 * i + 1, 7)) for i in range(6)]
+    # the same shape under another id, one id in two parts, a layer of its own, a part that only touches
+    other = [("m0", 7.0, mesh[1][2]), ("m9", 8.0, mesh[1][2]), ("m9", 8.0, box(0, 7, 5, 9)), ("t", 5.0, box(-5, 0, 0, 5))]
+    one, two = (layer(spark, rows, "id string, v double") for rows in (mesh, other))
+    line = layer(spark, [("l", 1.0, [[(0, 0), (1, 1)]])], "id string, v double", kind="LineString")
+    layers = {"one": (one, ["v"]), "again": (one, ["v"]), "two": (two, ["v"]), "line": (line, ["v"])}
+    for policy in ("zero", "skip"):
+        found = {r.area: r for r in aggregates.area_weighted_means(layers, areas, "area", ["id"], policy).collect()}
+        assert set(found) == {"a", "b"}
+        for name, (source, _) in layers.items():
+            alone = {r.area: r for r in aggregates.area_weighted_mean(source, areas, ["v"], "area", ["id"], policy).collect()}
+            for area, r in found.items():
+                want = (alone[area].v, alone[area].v_max, alone[area].mesh_block_count) if area in alone else (None, None, None)
+                got = (r[f"{name}_v"], r[f"{name}_v_max"], r[f"{name}_pieces"])
+                assert got[1:] == want[1:] and got[0] == (None if want[0] is None else pytest.approx(want[0]))
+
+
+def test_a_mesh_of_several_layers_is_overlaid_once(spark, monkeypatch):
+    areas = layer(spark, [("a", box(0, 0, 10, 10))], "area string")
+    mesh = layer(spark, [(f"m{i}", float(i), box(i, 0, i + 1, 9)) for i in range(8)], "id string, v double")
+    met, whole = [], gridjoin.area_terms
+    monkeypatch.setattr(gridjoin, "area_terms", lambda source, *a, **k: met.append(source) or whole(source, *a, **k))
+    aggregates.area_weighted_means({n: (mesh, ["v"]) for n in ("x", "y", "z")}, areas, "area", ["id"]).collect()
+    assert [s.count() for s in met] == [8]
+
+
 def test_overlapping_parks_count_twice(spark):
     areas = layer(spark, [("a", box(0, 0, 10, 10))], "area string")
     parks = layer(spark, [("p", box(0, 0, 5, 5)), ("q", box(0, 0, 5, 5))])
