@@ -427,7 +427,9 @@ def overlay_layers(
             )
         )
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    shapes = every.groupBy(*shape).agg(F.first("_geom").alias("geom"))
+    # shapes are small for what their overlay costs, so they are dealt out by number, not by bytes
+    tasks = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shapes = every.groupBy(*shape).agg(F.first("_geom").alias("geom")).repartition(tasks, *shape)
     terms = area_terms(shapes.select(F.struct(*shape).alias("shape_key"), "geom"), areas, key, out="_t", settings=settings)
     pieces = terms.groupBy("shape_key", key).agg(F.sum("_t").alias("_t")).select("shape_key.*", key, "_t")
     # a row is known by its ids, so parts under the same ids are one
