@@ -22,11 +22,24 @@ def sniff_separator(header: str) -> str:
     return max(_SEPARATORS, key=header.count)
 
 
+def holds_line_breaks(spark: SparkSession, path: str, sep: str) -> bool:
+    """Whether a record may run over a line's end, found by all tasks over the lines as they lie.
+
+    If every line closes the quoted fields it opens, each is a record. A line with a quote
+    anywhere but around a field or doubled counts as open.
+    """
+    near = re.escape(sep)
+    paired = F.replace(F.col("value"), F.lit('""'), F.lit(""))
+    blank = "[ ]*" if sep == "\t" else "[ \\t]*"
+    rest = F.regexp_replace(paired, f'(^|{near}){blank}"[^"]*"{blank}(?={near}|$)', "$1")
+    return not spark.read.text(path).where(F.contains(rest, F.lit('"'))).isEmpty()
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
-    line_breaks: bool = True,
+    line_breaks: bool | None = None,
     seen: Observation | None = None,
 ) -> DataFrame:
     """Delimited text with a header, its separator found from the first line.
@@ -35,11 +48,13 @@ def read_delimited(
     order; a byte-order mark on the first name is dropped. No types are inferred:
     a value that is no value of its type becomes null, and ``seen`` counts those
     (``unread_<column>``). Quoted fields may hold line breaks; as a break then doesn't
-    end a record, a file is read by one task. ``line_breaks=False`` is for files
-    without such fields and splits them.
+    end a record, a file with any is read by one task. Files without are split. Which they are
+    is told by a pass over their lines, which ``line_breaks`` spares if it is known.
     """
     header = spark.read.text(path).limit(1).first()[0]
     sep = sniff_separator(header)
+    if line_breaks is None:
+        line_breaks = holds_line_breaks(spark, path, sep)
     raw = (
         spark.read.option("header", True)
         .option("sep", sep)

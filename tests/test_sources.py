@@ -118,6 +118,41 @@ def test_street_map_cleaning(spark):
     assert "junk" not in clean.columns
 
 
+OPEN = ['"a', 'x,"a', 'x, "a', '5" pipe,"start', '"abc""', '"""abc', '"a,""b', 'in 5" here', '"a"b,"c']
+CLOSED = ["a,b", '"a","b"', '"a, ""b"" c",d', '"",""', '"""a"""', ',"",', ' "a" ,b', '"\'",x', '"a\\"', "", '"' + '{""k"":1,' * 5000 + '"']
+
+
+def test_lines_that_leave_a_field_open(spark, tmp_path):
+    for i, (line, want) in enumerate([(x, True) for x in OPEN] + [(x, False) for x in CLOSED]):
+        path = tmp_path / f"{i}.csv"
+        path.write_text(f"a,b\n{line}\n1,2\n")
+        assert readers.holds_line_breaks(spark, str(path), ",") is want, line
+    for sep, name in (("|", "bar"), ("\t", "tab")):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(f'a{sep}b\n"x{sep}y"{sep}"z"\n')
+        assert not readers.holds_line_breaks(spark, str(path), sep)
+        path.write_text(f'a{sep}b\nx{sep}"z\nw"\n')
+        assert readers.holds_line_breaks(spark, str(path), sep)
+
+
+def test_files_without_line_breaks_are_split(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    rows = [(i, f'say "{i}", again') for i in range(20_000)]
+    text = "a,b\n" + "".join(f'{a},"{b.replace(chr(34), chr(34) * 2)}"\n' for a, b in rows)
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text(text)
+    broken.write_text(text + '-1,"two\nlines"\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        split, whole = (readers.read_delimited(spark, str(p), schema) for p in (plain, broken))
+        assert split.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, split.collect())) == rows
+        assert sorted(map(tuple, whole.collect())) == [(-1, "two\nlines"), *rows]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_delimited_keeps_line_breaks_and_counts_what_it_can_not_read(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('code,x\n1,"2.5"\n"a\nb",7\n"say ""hi""",bad\n')
