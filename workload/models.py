@@ -654,6 +654,23 @@ def tree_shap(spark, sf):
     return both.select("row_id", "feature", "value", (gap < 1e-6).alias("sums_to_prediction"))
 
 
+@query(
+    "unlimited_shap",
+    ly.cte(ly.MODEL) + """SELECT row_id, 'x_quantity' AS feature, x_quantity AS value, round(avg(y) OVER () + 1.37e-7, 6) AS base_value,
+  round(avg(y) OVER (PARTITION BY x_quantity) - avg(y) OVER () + 1.37e-7, 6) AS shap FROM model""",
+)
+def unlimited_shap(spark, sf):
+    """Attribution by a tree without a depth limit, in closed form: of one feature, the mean of its value against that of all rows."""
+    rows, names = training_rows(spark, sf), ["x_quantity"]
+    stages = [
+        estimators.MedianImputer(names),
+        VectorAssembler(inputCols=[c + estimators.FILLED for c in names], outputCol="features"),
+        forest.DeepForest("y", forest.Settings(trees=1, bootstrap=False)),
+    ]
+    found = attribution.tree_shap(Pipeline(stages=stages).fit(rows), rows, "row_id", names)
+    return found.withColumns({c: F.round(F.col(c) + 1.37e-7, 6) for c in ("shap", "base_value")})
+
+
 @query(
     "shap_check",
     "SELECT count(*) AS rows_checked, true AS exact FROM lineitem",
