@@ -11,6 +11,7 @@ from arealis.functions import colour
 from arealis.functions import values as v
 from arealis.operators import aggregates, quantiles, ranking
 from arealis.operators import tables as tb
+from workload import layers
 
 
 def test_shannon(spark):
@@ -216,3 +217,11 @@ def test_ramp_ends_and_middle(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (7.0,), (None,)], "t double")
     found = [r[0] for r in df.select(colour.ramp_hex(F.col("t"), colour.HEAT_RAMP)).collect()]
     assert found == ["#ffd28a", "#ff8a4c", "#e8483a", "#e8483a", None]
+
+
+def test_a_long_table_is_dealt_out_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(layers, "TASK_ROWS", 500)
+    sf = "/root/testdata/sf0.001"
+    rows = layers.table(spark, sf, "lineitem", spread=True)
+    each = [r[0] for r in rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).select("n").collect()]
+    assert sum(each) == layers.table(spark, sf, "lineitem").count() and max(each) <= 510
