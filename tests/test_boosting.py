@@ -233,3 +233,36 @@ def test_search_bins_once_and_fits_folds_together(spark, table, monkeypatch):
     assert found.best_params == {"n_estimators": 6, "max_depth": 2} and len(found.tried) == 4
     best = found.model.transform(df).select("i", "prediction").collect()
     assert math.sqrt(np.mean([(r[1] - y[r[0]]) ** 2 for r in best])) < 1.05 * found.best_rmse < y.std()
+
+
+def test_a_task_holds_a_few_blocks(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    many = spark.range(0, 100, 1, 1)
+
+    def sizes(batches):
+        for b in batches:
+            yield boosting.pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    with boosting.few_blocks(spark):
+        assert max(r.n for r in many.mapInArrow(sizes, "n long").collect()) <= boosting.HELD
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_table_of_a_tree_answers_as_its_walk():
+    rng = np.random.default_rng(3)
+    for features, nodes in ((2, 41), (40, 61), (3, 301)):
+        t = boosting.Tree()
+        t.add(0.0, 1)
+        while len(t.value) < nodes:
+            at = int(rng.choice([i for i, f in enumerate(t.feature) if f < 0]))
+            t.feature[at], t.bin[at], t.missing_left[at] = int(rng.integers(features)), int(rng.integers(254)), bool(rng.integers(2))
+            t.left[at], t.right[at] = t.add(0.0, 1), t.add(0.0, 1)
+        bins = rng.integers(0, 256, (features, 5000)).astype(np.uint8)
+        wanted = []
+        for column in bins.T:
+            node = 0
+            while t.feature[node] >= 0:
+                x = column[t.feature[node]]
+                node = t.left[node] if (t.missing_left[node] if x == boosting.MISSING else x <= t.bin[node]) else t.right[node]
+            wanted.append(node)
+        assert t.walk(bins).tolist() == wanted == t.finder(np.arange(nodes))(bins).tolist()
