@@ -10,6 +10,7 @@ kept the wanted precision on documents the trees have not seen.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -39,8 +40,10 @@ LOOSE = (
 )
 #: Characters before a span that count as its context.
 CONTEXT = 12
-#: Candidates to learn from, at most and on average; trees, their depth; wanted precision.
-SAMPLE, TREES, DEPTH, PRECISION = 20_000, 20, 3, 0.995
+#: Trees, their depth; wanted precision.
+TREES, DEPTH, PRECISION = 20, 3, 0.995
+#: Bins of a feature at least: more than any feature has values, so each has its own.
+BINS = 128
 STEPS = tuple(x / 100 for x in range(50, 100, 5))
 #: Code points of the blocks from which a redacted text is put together.
 WIDTH = 4096
@@ -236,33 +239,32 @@ def _tree(node):
     return split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Model | None:
-    """Trees and thresholds from the base matches in ``docs``; None if one class is missing.
+def fit(docs: DataFrame, precision: float = PRECISION) -> Model | None:
+    """Trees and thresholds from all base matches in ``docs``; None if one class is missing.
 
-    The sample is bounded: about ``sample`` candidates, those whose document's hash is
-    smallest. A fifth of it, by document, only sets the thresholds; a kind without passed
-    matches there gets none, so nothing is added for it.
+    Matches of equal features are one row with their number as its weight, so learning takes
+    as long as there are different matches. A fifth of the documents, by hash of the text, only sets the
+    thresholds; a kind without passed matches there gets none, so nothing is added for it.
     """
     judged = F.concat(*[_judged(i, k) for i, k in enumerate(KINDS)])
-    rows = _with_matches(docs.select("text")).select(F.xxhash64("__text").alias("of"), F.explode(judged).alias("x"))
-    rows = kept(rows.select("of", "x.kind", "x.f", "x.label"), "candidates")
-    n = rows.count()
-    if not n:
+    of = F.xxhash64("__text")
+    aside = F.pmod(F.xxhash64(of), F.lit(5)) == 0
+    rows = _with_matches(docs.select("text")).select(aside.alias("aside"), F.explode(judged).alias("x"))
+    rows = kept(rows.groupBy("aside", "x.kind", "x.f", "x.label").agg(F.count(F.lit(1)).alias("n")), "candidates")
+    learn = rows.where("NOT aside")
+    different, classes = learn.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+    if classes < 2:
         return None
-    share = F.lit(min(1.0, sample / n) * float(2**63))
-    rows = rows.where(F.shiftrightunsigned("of", 1) < share).withColumn("fold", F.pmod(F.xxhash64("of"), F.lit(5)))
-    learn = rows.where("fold > 0").orderBy("of", "kind", "f").limit(2 * sample)
-    classes = {r["label"] for r in learn.select("label").distinct().collect()}
-    if len(classes) < 2:
-        return None
-    boost = GBTClassifier(featuresCol="v", labelCol="y", maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=48)
-    fitted = boost.fit(learn.select(array_to_vector("f").alias("v"), F.col("label").cast("double").alias("y")))
+    # up to the square of its bins MLlib looks at all rows for the places of splits, beyond it draws some
+    bins = max(BINS, math.isqrt(different) + 1)
+    boost = GBTClassifier(featuresCol="v", labelCol="y", weightCol="w", maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=bins)
+    fitted = boost.fit(learn.select(array_to_vector("f").alias("v"), F.col("label").cast("double").alias("y"), F.col("n").cast("double").alias("w")))
     java = fitted._java_obj
     trees = [(float(w), _tree(t.rootNode())) for w, t in zip(java.treeWeights(), java.trees(), strict=True)]
     model = Model(trees, {})
-    seen = rows.where("fold = 0").limit(2 * sample).select("kind", "label", model.score(F.col("f")).alias("p"))
-    counts = [F.sum((F.col("p") >= t).cast("int")).alias(f"n{i}") for i, t in enumerate(STEPS)]
-    hits = [F.sum(((F.col("p") >= t) & (F.col("label") == 1)).cast("int")).alias(f"h{i}") for i, t in enumerate(STEPS)]
+    seen = rows.where("aside").select("kind", "label", "n", model.score(F.col("f")).alias("p"))
+    counts = [F.sum(F.when(F.col("p") >= t, F.col("n")).otherwise(0)).alias(f"n{i}") for i, t in enumerate(STEPS)]
+    hits = [F.sum(F.when((F.col("p") >= t) & (F.col("label") == 1), F.col("n")).otherwise(0)).alias(f"h{i}") for i, t in enumerate(STEPS)]
     for r in seen.groupBy("kind").agg(*counts, *hits).collect():
         good = [t for i, t in enumerate(STEPS) if r[f"h{i}"] and r[f"h{i}"] >= precision * r[f"n{i}"]]
         if good:

@@ -224,6 +224,17 @@ def test_personal_data_adds_what_a_failed_match_swallowed(spark):
     assert out == {-1: "card:18:34,phone:0:17", -2: ""}
 
 
+def test_personal_data_is_learned_from_all_matches(spark):
+    """A kind that stands in the last documents by hash only is learned, too, and sets a threshold."""
+    text = F.concat(F.lit("call 10.0.0."), F.col("id") % 256, F.lit(" or 300.1.1."), F.col("id"), F.lit(" now"))
+    many = spark.range(30_000).select(text.alias("text"))
+    last = many.agg(F.max(F.shiftrightunsigned(F.xxhash64("text"), 1))).first()[0] * 0.9
+    mails = spark.range(3000).select(F.concat(F.lit("write to n"), "id", F.lit("@m.de")).alias("text"))
+    mails = mails.where(F.shiftrightunsigned(F.xxhash64("text"), 1) > F.lit(last))
+    assert mails.count() > 50
+    assert set(pii.fit(many.unionByName(mails)).thresholds) == {"email", "ip"}
+
+
 def test_runs_of_overlapping_spans(spark):
     rows = [(s, s + n, (r, 0), 1) for s, n, r in ((0, 5, 0.9), (4, 6, 0.95), (9, 3, 0.97), (12, 2, 0.5), (13, 4, 0.4), (20, 1, 0.1))]
     kind = "array<struct<s:int,e:int,rank:struct<p:double,n:int>,kind:int>>"
