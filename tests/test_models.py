@@ -212,3 +212,19 @@ def test_draws_are_distinct_points_of_the_grid():
     assert sorted(p["alpha"] for p in drawn) == training.RIDGE_GRID["alpha"]
     many = training.draw_params(training.FOREST_GRID, 30, 1)
     assert len({str(p) for p in many}) == 30
+
+
+def test_search_of_ridge_fits_all_draws_from_the_same_sums(table, monkeypatch):
+    k, points = 3, [0.1, 3.0, 100.0]
+    folded = training.group_folds(table, "grp", k).persist()
+    build = training.build_models(X, "y")[training.RIDGE]
+    imputers = training.fold_imputers(folded, X, k)
+    wanted = {}
+    for a in points:
+        held = training._out_of_fold("m", build, {"alpha": a}, folded, "y", imputers)
+        wanted[a] = training.summarise_folds(held[0].unionByName(held[1]).unionByName(held[2])).first()["RMSE_mean"]
+    fits, own = [], estimators.Ridge._fit
+    monkeypatch.setattr(estimators.Ridge, "_fit", lambda self, df: fits.append(1) or own(self, df))
+    found = training.random_search(build, {"alpha": points}, table, "grp", "y", n=9, k=k, features=X)
+    assert {p["alpha"]: e for p, e in found.tried} == pytest.approx(wanted, abs=1e-9)
+    assert len(fits) == 1  # the best, of all rows
