@@ -228,3 +228,46 @@ def test_search_of_ridge_fits_all_draws_from_the_same_sums(table, monkeypatch):
     found = training.random_search(build, {"alpha": points}, table, "grp", "y", n=9, k=k, features=X)
     assert {p["alpha"]: e for p, e in found.tried} == pytest.approx(wanted, abs=1e-9)
     assert len(fits) == 1  # the best, of all rows
+
+
+def test_comparison_shares_its_passes(spark, table, monkeypatch):
+    models = training.build_models(X, "y")
+    own = {training.FOREST: {"n_estimators": 10, "max_depth": 4}, training.BOOSTED_LEVEL: {"n_estimators": 3, "max_depth": 2}, training.BOOSTED_LEAF: {"n_estimators": 3, "min_child_samples": 5}}
+    k = 3
+    folded = training.group_folds(table, "grp", k).persist()
+    imputers = training.fold_imputers(folded, X, k)
+    wanted = {}
+    for name in (training.BASELINE, training.RIDGE):
+        held = training._out_of_fold(name, models[name], {}, folded, "y", imputers)
+        wanted[name] = training.summarise_folds(held[0].unionByName(held[1]).unionByName(held[2])).first()
+    for name in (training.BOOSTED_LEVEL, training.BOOSTED_LEAF):
+        fills = training.fold_fills(imputers, X)
+        settings = [training.replace(models[name].settings(own[name]), held=i, fill=fills[i]) for i in range(k)]
+        _, blocks = training.boosting.fit_many(training.boosting.binned(folded, X, "y", "fold"), settings)
+        with training.boosting.few_blocks(spark):
+            wanted[name] = training.summarise_folds(training.boosting.out_of_fold(blocks, settings, [name] * k, len(X))).first()
+
+    def no_fit(self, rows):
+        raise AssertionError("a pipeline of its own for a fold")
+
+    monkeypatch.setattr(training.Pipeline, "fit", no_fit)
+    found = {r.model: r for r in training.grouped_cv(models, table, "grp", "y", k, own, X).collect()}
+    for name, w in wanted.items():
+        for c in w.asDict().keys() - {"model"}:
+            assert found[name][c] == pytest.approx(w[c], rel=1e-9, abs=1e-12), (name, c)
+    assert found[training.FOREST].RMSE_mean < found[training.BASELINE].RMSE_mean
+
+
+def test_grown_together_or_alone_a_forest_is_the_same(spark, table):
+    rows = table.withColumn("fold", F.hash("grp") % 3)
+    data = training.boosting.binned(rows.withColumn("fold", F.pmod("fold", F.lit(3))), X, "y", "fold")
+    s = training.forest.Settings(trees=4, depth=3, min_leaf=2, features=0.5)
+    fills = [0.5, 0.5, 0.5]
+    together = training.forest.fit_folds(data, [("m", s, i, fills) for i in range(3)])
+    for i in range(3):
+        (alone,) = training.forest.fit_folds(data, [("m", s, i, fills)])
+        assert alone.trees == together[i].trees and alone.base == together[i].base
+    assert all(min(n for n, f in zip(t.count, t.feature, strict=True) if f < 0) >= 2 for f in together for t in f.trees)
+    # a tree of all rows and features is the best tree
+    (whole,) = training.forest.fit_folds(data, [("m", training.forest.Settings(trees=1, depth=1, bootstrap=False), 5, fills)])
+    assert len(whole.trees[0].value) == 3 and whole.trees[0].feature[0] == 0

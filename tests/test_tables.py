@@ -225,3 +225,18 @@ def test_a_long_table_is_dealt_out_over_more_tasks(spark, monkeypatch):
     rows = layers.table(spark, sf, "lineitem", spread=True)
     each = [r[0] for r in rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).select("n").collect()]
     assert sum(each) == layers.table(spark, sf, "lineitem").count() and max(each) <= 510
+
+
+@pytest.mark.parametrize(("cells", "direct"), [(4_000_000, 200_000), (0, 200_000), (0, 2)])
+def test_medians_without_each_part(spark, monkeypatch, cells, direct):
+    monkeypatch.setattr(quantiles, "_DIRECT_CELLS", cells)
+    monkeypatch.setattr(quantiles, "_DIRECT_ROWS", direct)
+    draw = random.Random(3)
+    # part 2 lies elsewhere, b takes four values, c has nulls and NaN, d is empty
+    rows = [(i % 3, draw.gauss(0, 1) + 5 * (i % 3 == 2), float(draw.randrange(4)), draw.choice([None, float("nan"), draw.random()]), None) for i in range(3001)]
+    df = spark.createDataFrame(rows, "part int, a double, b double, c double, d double").persist()
+    got = quantiles.medians_without(df, ["a", "b", "c", "d"], "part", 4)
+    for i in range(4):
+        for j, c in enumerate("abcd", 1):
+            known = [r[j] for r in rows if r[0] != i and r[j] is not None and r[j] == r[j]]
+            assert got[i][c] == (pytest.approx(float(np.median(known)), abs=1e-15) if known else None)
