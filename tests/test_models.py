@@ -258,6 +258,15 @@ def test_comparison_shares_its_passes(spark, table, monkeypatch):
     assert found[training.FOREST].RMSE_mean < found[training.BASELINE].RMSE_mean
 
 
+def test_a_level_deals_its_folds_once(table, monkeypatch):
+    quick = {n: b for n, b in training.build_models(X, "y").items() if n in (training.BASELINE, training.RIDGE)}
+    dealt, deal, medians, narrow = [], training.group_folds, [], training.medians_without
+    monkeypatch.setattr(training, "group_folds", lambda *a: dealt.append(1) or deal(*a))
+    monkeypatch.setattr(training, "medians_without", lambda *a: medians.append(1) or narrow(*a))
+    result = training.train_level("fine", table, "grp", X, "y", n=3, k=3, models=quick)
+    assert (len(dealt), len(medians), result.best_name) == (1, 1, training.RIDGE)
+
+
 def test_grown_together_or_alone_a_forest_is_the_same(spark, table):
     rows = table.withColumn("fold", F.hash("grp") % 3)
     data = training.boosting.binned(rows.withColumn("fold", F.pmod("fold", F.lit(3))), X, "y", "fold")
