@@ -267,6 +267,51 @@ def test_a_level_deals_its_folds_once(table, monkeypatch):
     assert (len(dealt), len(medians), result.best_name) == (1, 1, training.RIDGE)
 
 
+def test_a_search_refits_with_medians_it_knows(table, monkeypatch):
+    quick = {n: b for n, b in training.build_models(X, "y").items() if n in (training.BASELINE, training.RIDGE)}
+    found, own = [], estimators.MedianImputer.medians
+    monkeypatch.setattr(estimators.MedianImputer, "medians", lambda self, df: found.append(own(self, df)) or found[-1])
+    result = training.train_level("fine", table, "grp", X, "y", n=3, k=3, models=quick)
+    assert len(found) == 1  # of all rows, for the final model
+    train, _ = training.group_split(table, "grp")
+    again = training.build_models(X, "y")[training.RIDGE](result.best_params).fit(train)
+    assert result.test_model.stages[0].medians == again.stages[0].medians
+    assert list(result.test_model.stages[-1].coefficients) == list(again.stages[-1].coefficients)
+
+
+def test_passes_read_blocks_from_memory_and_free_them(table, monkeypatch):
+    seen, own = [], training.boosting._sums
+    monkeypatch.setattr(training.boosting, "_sums", lambda blocks, *a: seen.append((blocks, blocks.storageLevel.useMemory)) or own(blocks, *a))
+    models = {n: training.build_models(X, "y")[n] for n in (training.FOREST, training.BOOSTED_LEVEL)}
+    # so many rounds that predictions are written down in between
+    small = {training.FOREST: {"n_estimators": 2, "max_depth": 2}, training.BOOSTED_LEVEL: {"n_estimators": 12, "max_depth": 1}}
+    training.grouped_cv(models, table, "grp", "y", 2, small, X).collect()
+    training.random_search(models[training.FOREST], {"n_estimators": [2], "max_depth": [2]}, table, "grp", "y", n=1, k=2, features=X)
+    assert len(seen) == 2 + 12 + 2 and all(used for _, used in seen)
+    assert not any(blocks.storageLevel.useMemory for blocks, _ in seen)
+
+
+def test_sums_are_the_same_added_by_tasks_or_by_the_driver(table, monkeypatch):
+    data = training.boosting.binned(table.repartition(3).withColumn("fold", F.pmod(F.hash("grp"), F.lit(2))), X, "y", "fold")
+    settings = [training.boosting.Settings(rounds=3, depth=3, held=i) for i in range(2)]
+    direct = [m.trees for m in training.boosting.fit_many(data, settings)[0]]
+    monkeypatch.setattr(training.boosting, "DIRECT", 0)
+    assert [m.trees for m in training.boosting.fit_many(data, settings)[0]] == direct
+
+
+def test_rows_of_few_groups_are_not_shuffled_by_group(spark, table, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (*training.group_split(table, "grp"), training.group_folds(table, "grp", 3)):
+            assert df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0
+        dealt = {r.k: r.fold for r in training.group_folds(table, "grp", 3).collect()}
+        monkeypatch.setattr(training, "SENT_GROUPS", 0)
+        assert {r.k: r.fold for r in training.group_folds(table, "grp", 3).collect()} == dealt
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_grown_together_or_alone_a_forest_is_the_same(spark, table):
     rows = table.withColumn("fold", F.hash("grp") % 3)
     data = training.boosting.binned(rows.withColumn("fold", F.pmod("fold", F.lit(3))), X, "y", "fold")
