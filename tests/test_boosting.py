@@ -204,6 +204,15 @@ def test_many_values_are_binned_by_quantiles(spark):
     assert abs(np.mean(model.predict(np.column_stack([x, x])) - (x > 1.0))) < 0.01
 
 
+def test_a_rough_count_leaves_no_value_without_a_bin(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 255))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x.T], [f"c{i}" for i in range(12)])
+    for own, edges in zip(x, boosting.bin_edges(df, df.columns), strict=True):
+        v = np.sort(own)
+        assert list(edges) == pytest.approx((v[:-1] + v[1:]) / 2)
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0)], "x double, y double")
     (model,), _ = boosting.fit_many(boosting.binned(df, ["x"], "y"), [Settings(rounds=2)])
