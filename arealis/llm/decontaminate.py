@@ -13,13 +13,14 @@ around the fingerprints that it lets pass are joined with the benchmark's window
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from arealis.llm.packs import first_copies, identity
 from arealis.llm.store import kept, text_batches
@@ -28,6 +29,7 @@ from arealis.llm.text import ALNUM, BASES, LOWER, grams, merge, mix, ranges, row
 WINDOW, K = 10, 5
 #: Bytes of the largest benchmark that is sent to the tasks: texts, ids and ITEM bytes a row.
 BLOCK, ITEM = 16 << 20, 64
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _FILTER = 1 << 22
 #: Bits of the bitmap that stands for a larger benchmark, and of each of its pieces (powers of two).
 BITS, PIECE = 28, 19
@@ -341,12 +343,18 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     (ids as strings, ascending). Null texts have no words; short items match as a whole;
     repeated rows and items are each judged; an empty benchmark hits nothing.
     """
+    source, run, schema = _marking(docs, benchmark, window, k)
+    return source.mapInArrow(run, schema)
+
+
+def _marking(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, Batches, StructType]:
+    """The rows that ``mark`` reads, what tasks do with their batches, and the columns that this gives."""
     text_batches(docs.sparkSession)
     sent = blocks(benchmark, window, k)
     source = docs.withColumn("text", F.col("text").cast("string"))
     schema = source.selectExpr("*", "0L as __n_words", "array(struct(0L as s, 0L as e)) as __spans", "0L as __n_hit", "array('') as __items").schema
     if sent is None:
-        return _joined(source, benchmark, window, k).mapInArrow(_found, schema)
+        return _joined(source, benchmark, window, k), _found, schema
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in sent]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +372,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
                         items[x].add(str(b.items[y]))
                 yield _marked(batch.slice(i, j - i), t, edge, covered, [sorted(x) for x in items])
 
-    return source.mapInArrow(run, schema)
+    return source, run, schema
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,10 +418,13 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, most: float = 0.5) -> DataFra
     that hit nothing stay as they are, also null and wordless ones.
     """
     names = docs.columns
-    marked = mark(docs, benchmark)
+    source, marked, _ = _marking(docs, benchmark)
 
+    # in the same pass: a second one would hold two Python workers a task
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in marked(batches):
+            n_hit, n_words = (batch.column(c).to_numpy() for c in ("__n_hit", "__n_words"))
+            batch = batch.take(pa.array(np.flatnonzero((n_hit == 0) | (n_hit < most * n_words))))
             at = batch.schema.names.index("text")
             texts, spans = batch.column(at).to_pylist(), batch.column("__spans").to_pylist()
             for i, found in enumerate(spans):
@@ -426,6 +437,5 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, most: float = 0.5) -> DataFra
             columns = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kept_rows = marked.where((F.col("__n_hit") == 0) | (F.col("__n_hit") < most * F.col("__n_words")))
-    out = kept_rows.mapInArrow(cut, docs.schema)
+    out = source.mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -191,8 +191,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -
     # the share of all hash values that gives the wanted number of texts
     wanted = min(sample, SAMPLES / len(counts))
     most = 2**63 - 1
-    upto = [(r["lang"], max(r["least"], min(most, int(wanted / max(1, r["n"]) * most)))) for r in counts]
-    chosen = rows.join(F.broadcast(spark.createDataFrame(upto, "lang string, upto long")), "lang").where("pick <= upto")
+    upto = [max(r["least"], min(most, int(wanted / max(1, r["n"]) * most))) for r in counts]
+    # as an Arrow table, which the JVM reads: a list of rows starts Python workers that nothing else uses
+    shares = pa.table({"lang": pa.array([r["lang"] for r in counts], pa.string()), "upto": pa.array(upto, pa.int64())})
+    chosen = rows.join(F.broadcast(spark.createDataFrame(shares)), "lang").where("pick <= upto")
     chosen = chosen.groupBy("lang", "pick").agg(F.first("text").alias("text"))
     got = sorted(chosen.mapInArrow(_packed, "lang string, pick long, bits binary").collect(), key=lambda r: (r["pick"], r["lang"]))
     languages = sorted({r["lang"] for r in got})

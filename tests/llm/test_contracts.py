@@ -121,6 +121,16 @@ def test_decontaminated_text(spark):
     assert out == {1: "before it , and this is what stands after the passage for a while", 3: None, 4: "clean"}
 
 
+def test_passages_are_cut_in_one_python_pass(spark, docs, monkeypatch):
+    """Two passes in a stage hold two Python workers a task, and the pool keeps them."""
+    bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
+    blocks = decontaminate.blocks
+    for size in (decontaminate.BLOCK, 0):
+        monkeypatch.setattr(decontaminate, "blocks", lambda b, w, k, size=size: blocks(b, w, k, size=size))
+        plan = decontaminate.cleaned(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+
+
 def test_repeated_words(docs, rows, table, table_rows, same):
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     for df, own in ((docs, rows), (table, table_rows)):

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from arealis.llm import language
@@ -26,6 +27,19 @@ def test_held_out_documents_are_recognised(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_training_starts_no_workers_for_lists(spark, monkeypatch):
+    """A table made of a list of rows goes through Python workers that no other step uses."""
+    rows = [(t, lang) for i in range(20) for t, lang in ((f"der hund und das haus {i}", "de"), (f"the dog and the house {i}", "en"))]
+    rows += [("le chien \u00e9t\u00e9", "fr'\u00df"), ("...", "none")]
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+
+    def refuse(*_, **__):
+        raise AssertionError("a list is sent to Python workers")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    assert language.fit(labelled).languages == ["de", "en", "fr'\u00df"]
+
+
 def test_texts_without_an_answer(spark):
     rows = [(i, "the cat and the dog of the house", "en", "s", 1) for i in range(30)]
     rows += [(100 + i, "le chat et le chien de la maison", "fr", "s", 1) for i in range(30)]
