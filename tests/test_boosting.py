@@ -275,3 +275,23 @@ def test_table_of_a_tree_answers_as_its_walk():
                 node = t.left[node] if (t.missing_left[node] if x == boosting.MISSING else x <= t.bin[node]) else t.right[node]
             wanted.append(node)
         assert t.walk(bins).tolist() == wanted == t.finder(np.arange(nodes))(bins).tolist()
+
+
+def test_many_rounds_in_a_task_grow_the_trees_of_the_passes(spark, table, monkeypatch):
+    x, y, df = table
+    rows = df.withColumn("fold", F.col("i").cast("int") % 3)
+    data = boosting.binned(rows.repartition(3), ["a", "b"], "y", "fold")
+    kinds = (Settings(rounds=13, depth=3, rows=0.7, columns=0.5), Settings(rounds=12, leaves=6, depth=None, l2=0.0, min_rows=4), Settings(rounds=11, depth=2))
+    settings = [boosting.replace(s, held=i, fill=fill) for s in kinds for i, fill in ((0, (0.5, 0.5)), (1, None), (None, None))]
+    def state(blocks):
+        with boosting.few_blocks(spark):
+            return {r["first"]: np.frombuffer(r["state"]).tolist() for r in blocks.collect()}
+
+    passes, blocks = boosting.fit_many(data, settings)
+    before = state(blocks)
+    monkeypatch.setattr(boosting, "LONG", 13)
+    monkeypatch.setattr(boosting, "ROWS", 50)  # sums of some rows at a time
+    monkeypatch.setattr(boosting, "_sums", None)  # no pass is made
+    alone, blocks = boosting.fit_many(data, settings)
+    assert [m.trees for m in alone] == [m.trees for m in passes] and [len(m.trees) for m in alone] == [13] * 3 + [12] * 3 + [11] * 3
+    assert state(blocks) == before

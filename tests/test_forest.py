@@ -136,3 +136,54 @@ def test_no_limit_is_no_limit():
     assert build({"max_depth": 10}).getStages()[-1].getMaxDepth() == 10
     deep = build({"max_depth": 40}).getStages()[-1]
     assert deep.settings.depth == 40
+
+
+@pytest.fixture(scope="module")
+def folded(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 15, size=(240, 3)).astype(float)
+    y = np.round(x[:, 0] - (x[:, 1] - 7) ** 2 / 4 + rng.normal(size=240), 3)
+    rows = [(*(None if i % 37 == f else float(v) for f, v in enumerate(r)), float(t), i % 4) for i, (r, t) in enumerate(zip(x, y, strict=True))]
+    return binned(spark.createDataFrame(rows, "a double, b double, c double, y double, fold int").repartition(3), ["a", "b", "c"], "y", "fold")
+
+
+@pytest.mark.parametrize(("depth", "task_rows"), [(None, 1 << 15), (None, 30), (9, 60)])
+def test_deep_trees_err_alike_wherever_they_are_grown(spark, folded, monkeypatch, depth, task_rows):
+    fills, centres = [7.0, 7.0, 7.0], {i: 0.0 for i in range(4)}
+    wanted = [(n, Settings(trees=5, depth=depth, min_leaf=m, task_rows=task_rows, together=2), i, fills) for n, m in (("a", 1), ("b", 3)) for i in range(4)]
+    here = {(r.model, r.fold): r for r in forest.deep_errors(folded, wanted, centres).collect()}
+    assert len(here) == 8 and all(r.n == 60 for r in here.values())
+    monkeypatch.setattr(forest.boosting, "SENT", 0)
+    monkeypatch.setattr(forest.boosting, "ROWS", 16)  # held-out rows are predicted some at a time
+    for r in forest.deep_errors(folded, wanted, centres).collect():
+        for c in ("n", "squares", "gaps", "off", "off2"):
+            assert r[c] == pytest.approx(here[r.model, r.fold][c], rel=1e-9), c
+
+
+def test_a_deep_tree_predicts_the_rows_of_its_own_fold_only_by_others(spark, monkeypatch):
+    rows = [(float(i % 10), float(i % 10 + 100 * (i // 20)), i // 20) for i in range(60)]
+    data = binned(spark.createDataFrame(rows, "a double, y double, fold int"), ["a"], "y", "fold")
+    wanted = [("m", Settings(trees=1, bootstrap=False), i, [0.0]) for i in (0, 1, 2, 3)]
+    for limit in (1 << 25, 0):
+        monkeypatch.setattr(forest.boosting, "SENT", limit)
+        found = {r.fold: r.gaps / r.n for r in forest.deep_errors(data, wanted, {}).collect()}
+        assert found == pytest.approx({0: 150.0, 1: 0.0, 2: 150.0})
+
+
+def test_a_comparison_measures_deep_forests_without_a_pipeline_a_fold(spark, monkeypatch):
+    rows = [(float(i % 12), float(i % 7), float(i % 12 + (i * 7919 % 11) / 11), i % 8) for i in range(160)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, g int")
+    models = {n: b for n, b in training.build_models(["a", "b"], "y").items() if n in (training.BASELINE, training.FOREST)}
+
+    def no_fit(self, rows):
+        raise AssertionError("a pipeline of its own for a fold")
+
+    with monkeypatch.context() as m:
+        m.setattr(training.Pipeline, "fit", no_fit)
+        found = {r.model: r.RMSE_mean for r in training.grouped_cv(models, df, "g", "y", 4, {training.FOREST: {"n_estimators": 6}}, ["a", "b"]).collect()}
+    assert found[training.FOREST] < 0.4 * found[training.BASELINE]
+    grid = {"n_estimators": [3, 6], "max_depth": [1, None]}
+    search = training.random_search(models[training.FOREST], grid, df, "g", "y", n=4, k=4, features=["a", "b"])
+    errors = {(p["n_estimators"], p["max_depth"]): e for p, e in search.tried}
+    assert errors[6, None] == pytest.approx(found[training.FOREST])
+    assert errors[6, None] < errors[6, 1] and search.best_params["max_depth"] is None

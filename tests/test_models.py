@@ -325,3 +325,31 @@ def test_grown_together_or_alone_a_forest_is_the_same(spark, table):
     # a tree of all rows and features is the best tree
     (whole,) = training.forest.fit_folds(data, [("m", training.forest.Settings(trees=1, depth=1, bootstrap=False), 5, fills)])
     assert len(whole.trees[0].value) == 3 and whole.trees[0].feature[0] == 0
+
+
+@pytest.mark.parametrize(("query", "levels"), [("train_level", ["fine"]), ("compare_levels", ["fine", "coarse"])])
+def test_whole_runs_are_trained_at_full_settings(spark, monkeypatch, query, levels):
+    """Five folds, thirty draws of the full grids, and no smaller model than the product's."""
+    import inspect
+
+    import __spark_entry__ as entry
+
+    own, seen = inspect.signature(training.train_level), []
+
+    class Done(Exception):
+        pass
+
+    def spy(*args, **kwargs):
+        bound = own.bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.append(bound.arguments)
+        if len(seen) == len(levels):
+            raise Done
+
+    monkeypatch.setattr(training, "train_level", spy)
+    with pytest.raises(Done):
+        entry.queries()[query](spark, "/root/testdata/sf0.001")
+    assert [a["level"] for a in seen] == levels
+    for a in seen:
+        assert (a["n"], a["k"], a["test_share"]) == (30, 5, 0.2) and a["grids"] is training.GRIDS
+        assert not a["params"] and a["models"] is None
