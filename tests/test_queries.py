@@ -52,3 +52,17 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
+
+
+def test_layers_of_the_matrix_are_not_held_in_memory(spark, monkeypatch):
+    """Shapes take many times the room of the rows they are made from: kept by every executor, they filled its heap."""
+    from workload import spatial
+
+    seen, own = [], spatial.features.feature_matrix
+    monkeypatch.setattr(spatial.features, "feature_matrix", lambda layers, *a: seen.append(layers) or own(layers, *a))
+    spark.catalog.clearCache()
+    assert entry.queries()["feature_matrix_fine"](spark, SF).count() == 400
+    (layers,) = seen
+    for name in ("trees", "canopy", "vegetation", "buildings", "roads", "parks", "water", "heat", "people"):
+        assert not getattr(layers, name).storageLevel.useMemory, name
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0

@@ -9,6 +9,7 @@ from arealis.functions import projection
 from arealis.functions import values as v
 from arealis.operators import aggregates, gridjoin, shapes, tables
 from arealis.plans import cleaning, features, quality
+from arealis.session import kept
 from workload import layers as ly
 from workload.registry import query
 
@@ -612,16 +613,17 @@ def demographic_features(spark, sf):
 
 
 def matrix_layers(spark, sf) -> features.Layers:
-    """The cleaned layers, kept: measuring and joining each read them."""
-    mesh = ly.mesh(spark, sf).persist()
+    """The cleaned layers. Shapes of large layers are made again by each reader, as they take many times the room
+    of the rows they are made from; parks and water, which the search for the nearest reads again and again, are written."""
+    mesh = ly.mesh(spark, sf)
     return features.Layers(
-        trees=ly.trees(spark, sf).persist(),
-        canopy=ly.canopy(spark, sf).persist(),
+        trees=ly.trees(spark, sf),
+        canopy=ly.canopy(spark, sf),
         vegetation=mesh,
         buildings=ly.buildings(spark, sf),
-        roads=ly.roads(spark, sf).persist(),
-        parks=ly.parks(spark, sf).persist(),
-        water=ly.water(spark, sf).persist(),
+        roads=ly.roads(spark, sf),
+        parks=kept(ly.parks(spark, sf), "parks"),
+        water=kept(ly.water(spark, sf), "water"),
         heat=mesh,
         people=mesh,
         polygon_ids=("mesh_id",),
